@@ -15,10 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from sluice.llm import scan, scratch
 from sluice.llm.gsaca import spread
@@ -224,8 +226,8 @@ def proximity_matches(index: DataFrame, phrases: list[tuple[object, str]], withi
     return index.mapInArrow(run, "item string, doc_id long, position int")
 
 
-@F.pandas_udf("long")
-def _covered(spans):
+@F.pandas_udf(LongType())
+def _covered(spans: pd.Series) -> pd.Series:
     """Tokens inside any of the (start, end) spans."""
 
     def one(blobs) -> int:

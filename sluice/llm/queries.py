@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm.decontaminate import contamination
 from sluice.llm.jaccard_join import jaccard_components
+from sluice.llm.quality_rules import quality
 from sluice.llm.suffix_dedup import remove_repeats
 
 
@@ -19,6 +20,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -29,7 +34,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_jaccard_join, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -318,7 +318,7 @@ def _cluster_links(survivors: DataFrame) -> DataFrame:
         asking = many.join(alone, "doc_id", "left_semi").drop("part")
         batches = asking.groupBy("cluster").agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("batches"))
         asking = asking.join(batches, "cluster").withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("batches").cast("long")).cast("int"))
-        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "part", "batch", "doc_id", "n", "tokens")
+        asking = scratch.keep(asking, "asking").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "part", "batch", "doc_id", "n", "tokens")
         index = many.join(batches, "cluster").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).select("cluster", "part", "batch", "doc_id", "n", "tokens")
         keys = ["cluster", "part", "batch"]
         more = asking.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(_across, "doc_id long, root long")

@@ -10,12 +10,17 @@ from sluice.llm.decontaminate import contamination
 from sluice.llm.jaccard_join import jaccard_components
 from sluice.llm.quality_rules import quality
 from sluice.llm.suffix_dedup import remove_repeats
+from sluice.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_jaccard_join, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

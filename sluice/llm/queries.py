@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm.decontaminate import contamination
 from sluice.llm.jaccard_join import jaccard_components
+from sluice.llm.packing import pack
 from sluice.llm.quality_rules import quality
 from sluice.llm.suffix_dedup import remove_repeats
 from sluice.llm.toxicity import toxicity
@@ -33,13 +34,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op9_packing, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm import scratch
+from sluice.llm import scan, scratch
 
 BLOCK_BYTES = 4 << 20
 
@@ -67,6 +67,7 @@ def answer_by_block(blocked: DataFrame, answers: DataFrame, fn: Callable[[int, p
     """``fn(block, documents, answers)`` for every block of documents; the documents stay where they are."""
     names = blocked.schema.names
 
+    @scan.frugal
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return fn(key[0].as_py(), left.select(names), right)
 

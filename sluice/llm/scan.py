@@ -7,7 +7,10 @@ memory of a worker does not depend on the size of a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,3 +204,18 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     for k in sorted_keys:
         new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
+
+
+def frugal(fn: Callable) -> Callable:
+    """``fn`` for one group of rows, handing freed memory back before the next group (or an idle worker) holds it."""
+
+    @functools.wraps(fn)
+    def run(*args):
+        out = fn(*args)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+        if trim:
+            trim(0)
+        return out
+
+    return run

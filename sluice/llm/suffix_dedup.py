@@ -121,6 +121,7 @@ class Entries:
 
 
 def _send(parts: int):
+    @scan.frugal
     def fn(key: tuple, docs: pa.Table) -> pa.Table:
         block = key[0].as_py()
         e = Entries(docs, parts)
@@ -154,6 +155,7 @@ def _by_block(block: np.ndarray, records: np.ndarray, kind: int, part: int) -> l
     return [(int(block[o[a]]), kind, part, records[o[a:b]].tobytes()) for a, b in zip(s, np.append(s, len(o))[1:], strict=True)]
 
 
+@scan.frugal
 def _smallest(key: tuple, table: pa.Table) -> pa.Table:
     """Smallest document of every piece; what blocks must be told, asked, and who shares a minimizer."""
     part = key[0].as_py()
@@ -291,6 +293,7 @@ def narrowed(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, text: np.n
     return flat, cut_start[keep], cut_windows[keep], new_text, d[keep], first_new[rank[cut_of]] + inside
 
 
+@scan.frugal
 def _resolve(key: tuple, members: pa.Table, sent: pa.Table) -> pa.Table:
     """Windows that a piece shares with a piece of a smaller document, told to every block that has it."""
     part = key[0].as_py()
@@ -411,7 +414,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     blocked = blocks.pack(docs, "repeats")
-    parts = 2 * blocks.buckets_for(docs)
+    parts = 4 * blocks.buckets_for(docs)
     sent = blocked.groupBy("block").applyInArrow(_send(parts), SENT)
     found = scratch.keep(sent.groupBy("part").applyInArrow(_smallest, ANSWERS), "smallest")
     scratch.release(spark)

@@ -67,8 +67,9 @@ def answer_by_block(blocked: DataFrame, answers: DataFrame, fn: Callable[[int, p
     """``fn(block, documents, answers)`` for every block of documents; the documents stay where they are."""
     names = blocked.schema.names
 
-    @scan.frugal
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return fn(key[0].as_py(), left.select(names), right)
+        out = fn(key[0].as_py(), left.select(names), right)
+        scan.trim()
+        return out
 
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

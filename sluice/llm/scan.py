@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -206,16 +205,20 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def frugal(fn: Callable) -> Callable:
-    """``fn`` for one group of rows, handing freed memory back before the next group (or an idle worker) holds it."""
+def trim() -> None:
+    """Hand freed memory back before the next group, or an idle worker, holds on to it."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if give_back:
+        give_back(0)
 
-    @functools.wraps(fn)
-    def run(*args):
-        out = fn(*args)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
-        if trim:
-            trim(0)
+
+def frugal(fn: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """``fn`` for one group of rows, followed by ``trim``."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        out = fn(key, table)
+        trim()
         return out
 
     return run

@@ -293,7 +293,6 @@ def narrowed(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, text: np.n
     return flat, cut_start[keep], cut_windows[keep], new_text, d[keep], first_new[rank[cut_of]] + inside
 
 
-@scan.frugal
 def _resolve(key: tuple, members: pa.Table, sent: pa.Table) -> pa.Table:
     """Windows that a piece shares with a piece of a smaller document, told to every block that has it."""
     part = key[0].as_py()
@@ -352,6 +351,7 @@ def _resolve(key: tuple, members: pa.Table, sent: pa.Table) -> pa.Table:
     k, which = spread(piece_runs[member_piece[take]], per_piece[member_piece[take]])
     out = np.zeros(len(k), RUN)
     out["entry"], out["start"], out["windows"], out["doc"] = m["entry"][take[which]], begin[k] - first_window[of[k]], length[k], answer[begin[k]]
+    scan.trim()
     return _answers(_by_block(m["block"][take[which]], out, FINE, part))
 
 

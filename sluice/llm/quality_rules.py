@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import scan, scratch
+from sluice.llm.sample import smallest_hashes
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WORDS = 5
@@ -247,8 +248,8 @@ def decision(rules: list[Rule]) -> Column:
 def train(stats: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> list[Rule]:
     """Rules from at most ``rows`` labelled documents; ids with conflicting or null quality are left out."""
     marked = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    joined = stats.where(~base_failed()).join(marked, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("low") == 0).alias("bad"), *[F.expr(v).alias(k) for k, v in FEATURES.items()])
-    sample = joined.orderBy("h", "doc_id").limit(rows).toPandas()
+    joined = stats.where(~base_failed()).join(marked, "doc_id").select("doc_id", (F.col("low") == 0).alias("bad"), *[F.expr(v).alias(k) for k, v in FEATURES.items()])
+    sample = smallest_hashes(joined, "doc_id", rows).toPandas()
     return learn({k: sample[k].to_numpy(float) for k in FEATURES}, sample["bad"].to_numpy(bool))
 
 

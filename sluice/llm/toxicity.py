@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import scan
+from sluice.llm.sample import smallest_hashes
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -141,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAINING_TOXIC, clean
 
     Without both classes the model has no weights and every score is the share of toxic rows (0.5 without rows).
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("toxic")).where("low = toxic").where(fold(F.col("doc_id")) != 0).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-    pick = known.where("toxic = 1").orderBy("h", "doc_id").limit(toxic).union(known.where("toxic = 0").orderBy("h", "doc_id").limit(clean))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("toxic")).where("low = toxic").where(fold(F.col("doc_id")) != 0).select("doc_id", "toxic")
+    pick = smallest_hashes(known.where("toxic = 1"), "doc_id", toxic).union(smallest_hashes(known.where("toxic = 0"), "doc_id", clean))
     # at most toxic + clean rows of three numbers
     sample = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", "toxic")
     counts = sample.coalesce(4).mapInArrow(_bucket_counts, "clean binary, toxic binary, n_clean long, n_toxic long").collect()

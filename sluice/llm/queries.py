@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.decontaminate import contamination
+from sluice.llm.html_text import extract
 from sluice.llm.jaccard_join import jaccard_components
 from sluice.llm.line_dedup import remove_repeated_lines
 from sluice.llm.packing import pack
 from sluice.llm.quality_rules import quality
 from sluice.llm.suffix_dedup import remove_repeats
+from sluice.llm.tool_calls import REPLY, as_calls, format_messages
 from sluice.llm.toxicity import toxicity
 from sluice.llm.warc import round_trip
 
@@ -47,6 +49,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_messages(as_calls(table(spark, sf_dir, "conversations")), REPLY)
+    return out.select("conv_id", F.col("position").alias("turn"), "kind", "call_id", "linked", "level", "ordinal", "valid", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    lines = F.when(F.length("text") == 0, 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -57,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op9_packing, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op7_chat_format, op8_html_text, op9_packing, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

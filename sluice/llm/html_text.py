@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -348,7 +349,7 @@ def visible_text(source: str | None) -> str:
 
 def text_column(source: Column) -> Column:
     @F.pandas_udf(StringType())
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda x: visible_text(x if isinstance(x, str) else None))
 

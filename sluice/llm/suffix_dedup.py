@@ -18,7 +18,7 @@ they stand. Consecutive windows with one minimizer form a piece.
    document they stand in, on the input as it was, and digests the rest.
 
 Texts scanned by the array are those of step 2 alone. Large groups are narrowed
-first: their pieces are cut at the second smallest hash, and equal cuts merge.
+first: their pieces are cut by further minimizers, and equal cuts merge.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ SPAN = WINDOW - ANCHOR + 1
 MOST_WINDOWS = 64
 #: Bytes of pieces laid out for one suffix-array batch, and of one text beyond which pieces are cut again.
 BATCH_BYTES = 1 << 20
-LARGE_TEXT = 1500
+LARGE_TEXT, MOST_TURNS = 1500, 8
 SCAN_BYTES = 1 << 17
 
 
@@ -258,41 +258,60 @@ def _batches(size: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def narrowed(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, text: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pieces of large texts cut where the second smallest hash of their windows changes.
+def narrowed(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, text: np.ndarray, doc: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
+    """Pieces of large texts cut where the smallest of another hash over their windows changes.
 
-    Equal windows have equal second hashes, so a text falls into one text per
-    second hash; cuts with equal content merge under their smallest document.
-    Returns the cut pieces (start, windows, text, doc) and, per old window, its new window.
+    Equal windows have equal minima under any hash of their substrings, so a
+    text falls into one text per minimum; cuts with equal content merge under
+    their smallest document. Each ``turn`` takes a hash of its own. Returns the
+    cut pieces (bytes, start, windows, text, doc) and, per old window, its new window.
     """
     length = windows + WINDOW - 1
-    k, which = spread(start, length)
+    k, _ = spread(start, length)
     flat = raw[k]
-    h = anchor_hashes(np.concatenate([flat, np.zeros(8, np.uint8)]))[: len(flat) - ANCHOR + 1]
-    mixed = scan.mix(h ^ scan.MIX_B)
-    piece_at = np.concatenate([[0], np.cumsum(length)])
-    mixed[h == anchor[which[: len(h)]]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    low = scan.sliding_min(mixed, SPAN)
-    w, of = spread(piece_at[:-1], windows)
-    second = low[w]
-    new = scan.group_starts(of, second)
-    cut_windows = np.diff(np.append(new, len(w)))
-    cut_start = w[new]
-    prefix = scan.prefix_hash(h)
-    content = scan.span_hash(prefix, cut_start, cut_start + cut_windows + SPAN - 1)
-    t, s2, d = text[of[new]], second[new], doc[of[new]]
-    o = np.lexsort((d, content, s2, t))
-    g = scan.group_starts(t[o], s2[o], content[o])
+    h = anchor_hashes(flat)
+    low = scan.sliding_min(scan.mix(h ^ scan.mix(np.array([turn + 1], np.uint64))[0]), SPAN)
+    w, of = spread(np.concatenate([[0], np.cumsum(length)])[:-1], windows)
+    least = low[w]
+    new = scan.group_starts(of, least)
+    cut_windows, cut_start = np.diff(np.append(new, len(w))), w[new]
+    content = scan.span_hash(scan.prefix_hash(h), cut_start, cut_start + cut_windows + SPAN - 1)
+    t, m, d = text[of[new]], least[new], doc[of[new]]
+    o = np.lexsort((d, content, m, t))
+    g = scan.group_starts(t[o], m[o], content[o])
     rank = np.empty(len(o), np.int64)
     rank[o] = np.repeat(np.arange(len(g)), np.diff(np.append(g, len(o))))
     keep = o[g]
-    texts = scan.group_starts(t[keep], s2[keep])
+    texts = scan.group_starts(t[keep], m[keep])
     new_text = np.repeat(np.arange(len(texts)), np.diff(np.append(texts, len(keep))))
     first_new = np.concatenate([[0], np.cumsum(cut_windows[keep])])[:-1]
     inside, cut_of = spread(np.zeros(len(new), np.int64), cut_windows)
     return flat, cut_start[keep], cut_windows[keep], new_text, d[keep], first_new[rank[cut_of]] + inside
 
 
+def smallest_documents(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, text: np.ndarray, doc: np.ndarray, turn: int = 0) -> np.ndarray:
+    """``equal_windows`` for texts of any size: large ones are narrowed first, pieces alone in their text keep their document.
+
+    Pieces are ordered by text. A window that differs from all others of its
+    text most likely leaves it within a turn or two, so that suffix arrays are
+    built of few variants however many there are.
+    """
+    out = np.repeat(doc, windows)
+    window = np.concatenate([[0], np.cumsum(windows)])[:-1]
+    size, pieces = np.bincount(text, windows + WINDOW)[text], np.bincount(text)[text]
+    large = (pieces > 1) & (size > LARGE_TEXT) & (turn < MOST_TURNS)
+    few = np.flatnonzero((pieces > 1) & ~large)
+    few = few[np.lexsort((text[few], size[few]))]  # texts of like size advance together
+    if len(few):
+        at, _ = spread(window[few], windows[few])
+        out[at] = equal_windows(raw, start[few], windows[few], text[few], doc[few])
+    if large.any():
+        at, _ = spread(window[large], windows[large])
+        flat, s, w, t, d, to = narrowed(raw, start[large], windows[large], text[large], doc[large], turn)
+        out[at] = np.minimum(out[at], smallest_documents(flat, s, w, t, d, turn + 1)[to])
+    return out
+
+
 def _resolve(key: tuple, members: pa.Table, sent: pa.Table) -> pa.Table:
     """Windows that a piece shares with a piece of a smaller document, told to every block that has it."""
     part = key[0].as_py()
@@ -312,26 +331,7 @@ def _resolve(key: tuple, members: pa.Table, sent: pa.Table) -> pa.Table:
         raise ValueError(f"part {part}: pieces asked for and received differ")
     doc = m["doc"][s]
     text = np.repeat(np.arange(len(g := scan.group_starts(anchor))), np.diff(np.append(g, len(anchor))))
-    size = np.bincount(text, windows + WINDOW)
-    large = size[text] > LARGE_TEXT
-    answer = np.repeat(doc, windows)
-    window_large = np.repeat(large, windows)
-    if (~large).any():
-        order = np.argsort(size[text[~large]], kind="stable")  # texts of like size advance together
-        few = np.flatnonzero(~large)[order]
-        few = few[np.lexsort((text[few], size[text[few]]))]
-        got = equal_windows(raw, start[few], windows[few], text[few], doc[few])
-        at, _ = spread(np.concatenate([[0], np.cumsum(windows)])[:-1][few], windows[few])
-        answer[at] = got
-    if large.any():
-        # the minimizer itself, in full: the smallest hash of the first window
-        full = np.array([anchor_hashes(np.concatenate([raw[a : a + WINDOW], np.zeros(8, np.uint8)]))[:SPAN].min() for a in start[large]], np.uint64)
-        flat, s2, w2, t2, d2, to = narrowed(raw, start[large], windows[large], text[large], doc[large], full)
-        by = np.lexsort((t2, np.bincount(t2, w2 + WINDOW)[t2]))
-        got = np.empty(int(w2.sum()), np.int64)
-        at, _ = spread(np.concatenate([[0], np.cumsum(w2)])[:-1][by], w2[by])
-        got[at] = equal_windows(flat, s2[by], w2[by], t2[by], d2[by])
-        answer[window_large] = np.minimum(answer[window_large], got[to])
+    answer = smallest_documents(raw, start, windows, text, doc)
     piece = np.repeat(np.arange(len(windows)), windows)
     lower = answer < doc[piece]
     if not lower.any():

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lit_col(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(x: Column) -> Column:

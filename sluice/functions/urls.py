@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions import fixed
-from sluice.functions.text import blank_to_null, strip
+from sluice.functions.text import blank_to_null, let, strip
 
 SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -19,6 +19,11 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, "(?s)" + SPLIT, group)
 
 
+def parts(url: Column) -> Column:
+    """Scheme, authority, path and query as an array, from one match."""
+    return F.split(F.regexp_replace(url, "(?s)" + SPLIT, "$1\x01$2\x01$3\x01$4"), "\x01", 4)
+
+
 def reason(url: Column) -> Column:
     """Why a URL cannot be fetched, or null: empty, scheme, host."""
     scheme = F.lower(part(url, 1))
@@ -59,27 +64,32 @@ def param(url: Column, name: str) -> Column:
 
 
 def join(scheme: Column, host: Column, path: Column, query: Column) -> Column:
-    head = F.when(F.length(host) > 0, F.concat(scheme, F.lit("://"), host, F.when((F.length(path) > 0) & ~path.startswith("/"), F.lit("/")).otherwise(F.lit("")))).otherwise(F.when(F.length(scheme) > 0, F.concat(scheme, F.lit(":"))).otherwise(F.lit("")))
-    return F.concat(head, path, F.when(F.length(query) > 0, F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    """A URL from its parts; a path after an authority starts with a slash."""
+    slash = F.when((F.length(path) > 0) & ~path.startswith("/"), "/").otherwise("")
+    head = F.when(F.length(host) > 0, F.concat(scheme, F.lit("://"), host, slash)).when(F.length(scheme) > 0, F.concat(scheme, F.lit(":"))).otherwise("")
+    return F.concat(head, path, let(query, lambda q: F.when(F.length(q) > 0, F.concat(F.lit("?"), q)).otherwise("")))
 
 
 def canonical(url: Column) -> Column:
     """One form per page: lower-case scheme and host, no default port, no tracking parameters, the rest sorted by name, no fragment, no trailing slash."""
-    u = strip(url)
-    scheme, host = F.lower(part(u, 1)), F.lower(part(u, 2))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_replace(part(u, 3), ";[^/]*$", "")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
     tracking = F.array(*[F.lit(x) for x in fixed.TRACKING_PARAMS])
-    kept = F.array_sort(F.filter(pairs(part(u, 4)), lambda p: ~F.array_contains(tracking, p["k"])))
-    return join(scheme, host, path, form(kept))
+
+    def rebuilt(p: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
+        scheme = F.lower(at(0))
+        host = F.regexp_replace(F.concat(scheme, F.lit("|"), F.lower(at(1))), r"^(http\|.*):80$|^(https\|.*):443$", "$1$2")
+        path = F.regexp_replace(at(2), ";[^/]*$", "")
+        path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+        kept = F.array_sort(F.filter(pairs(at(3)), lambda x: ~F.array_contains(tracking, x["k"])))
+        return join(scheme, F.substring_index(host, "|", -1), path, form(kept))
+
+    return let(parts(strip(url)), rebuilt)
 
 
 def source_of(url: Column) -> Column:
     """Source whose domain the host is or ends in (one ``www.`` removed), else 'generic'."""
-    host = F.regexp_replace(F.lower(part(url, 2)), r"^www\.", "")
-    tests = ((((host == d) | host.endswith("." + d)), s) for d, s in fixed.SOURCE_HOSTS.items())
-    return F.coalesce(*[F.when(t, s) for t, s in tests], F.lit("generic"))
+    name = lambda host: F.coalesce(*[F.when((host == d) | host.endswith("." + d), s) for d, s in fixed.SOURCE_HOSTS.items()], F.lit("generic"))
+    return let(F.regexp_replace(F.lower(part(url, 2)), r"^www\.", ""), name)
 
 
 def scoped_query(query: Column, source: Column) -> Column:
@@ -132,17 +142,15 @@ ADAPTERS: dict[str, tuple[list[str], Callable[[Column], Column], Callable[[Colum
 
 def adapter_of(url: Column) -> Column:
     """First adapter one of whose hosts occurs in the URL's host; generic takes the rest of the nonempty URLs."""
-    host = F.lower(part(url, 2))
-    tests = [F.when(reduce(lambda a, b: a | b, [host.contains(h) for h in hosts]), name) for name, (hosts, _, _) in ADAPTERS.items() if hosts]
-    return F.when(F.length(url) > 0, F.coalesce(*tests, F.lit("generic")))
+    name = lambda host: F.coalesce(*[F.when(reduce(lambda a, b: a | b, [host.contains(h) for h in hosts]), k) for k, (hosts, _, _) in ADAPTERS.items() if hosts], F.lit("generic"))
+    return F.when(F.length(url) > 0, let(F.lower(part(url, 2)), name))
 
 
 def _by_adapter(url: Column, at: int) -> Column:
-    name = adapter_of(url)
-    out = None
-    for k, spec in ADAPTERS.items():
-        out = F.when(name == k, spec[at](url)) if out is None else out.when(name == k, spec[at](url))
-    return out
+    def chosen(name: Column) -> Column:
+        return reduce(lambda out, k: out.when(name == k, ADAPTERS[k][at](url)), ADAPTERS, F.when(F.lit(False), F.lit(None).cast("string")))
+
+    return let(adapter_of(url), chosen)
 
 
 def external_id(url: Column) -> Column:

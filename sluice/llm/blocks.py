@@ -36,7 +36,7 @@ def pack(docs: DataFrame, tag: str, extra: Callable[[pa.Table], dict[str, pa.Arr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, serial, size = TaskContext.get().partitionId(), 0, 0
+        part, size = TaskContext.get().partitionId(), 0
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t.set_column(1, "text", pc.fill_null(t.column("text"), ""))

@@ -3,7 +3,7 @@
 Messages are rows, and stay rows: calls and results meet in a hash join on
 (conversation, call id), every message is validated and serialised on its own,
 and only the ordering looks at a conversation as a whole. Conversations up to
-LOCAL_MESSAGES messages are ordered one per group; larger ones by rounds of
+LOCAL_MESSAGES messages are ordered one after the other; larger ones by rounds of
 joins over all of them, one round per level of dependency.
 """
 
@@ -124,11 +124,11 @@ def _needs(messages: DataFrame) -> DataFrame:
     return of_results.union(wants.join(results, ["conv_id", "wanted"]).select("conv_id", "message", "needs"))
 
 
-def _levels_of_one(needs: pd.DataFrame) -> pd.DataFrame:
-    """Levels inside one conversation, by repeatedly taking what needs nothing more; what is left is in or behind a cycle."""
+def levels_of_one(needs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(message, level) inside one conversation, by repeatedly taking what needs nothing more; -1 for what is in or behind a cycle."""
     waits: dict[int, int] = {}
     then: dict[int, list[int]] = {}
-    for m, n in zip(needs["message"], needs["needs"], strict=True):
+    for m, n in needs:
         waits[m] = waits.get(m, 0) + 1
         waits.setdefault(n, 0)
         then.setdefault(n, []).append(m)
@@ -140,10 +140,23 @@ def _levels_of_one(needs: pd.DataFrame) -> pd.DataFrame:
             if waits[x] == 0:
                 level[x] = 1 + level[m]
                 ready.append(x)
-    rows = [(m, level.get(m, -1)) for m in waits]
-    out = pd.DataFrame(rows, columns=["message", "level"])
-    out.insert(0, "conv_id", needs["conv_id"].iloc[0])
-    return out
+    return [(m, level.get(m, -1)) for m in waits]
+
+
+def _levels_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Levels of conversations that arrive one after the other, holding one at a time."""
+    now, held = None, []
+    for pdf in frames:
+        out = []
+        for conv, m, n in pdf[["conv_id", "message", "needs"]].itertuples(index=False, name=None):
+            if conv != now and held:
+                out += [(now, *x) for x in levels_of_one(held)]
+                held = []
+            now = conv
+            held.append((m, n))
+        yield pd.DataFrame(out, columns=["conv_id", "message", "level"])
+    if held:
+        yield pd.DataFrame([(now, *x) for x in levels_of_one(held)], columns=["conv_id", "message", "level"])
 
 
 def _levels_by_rounds(needs: DataFrame) -> DataFrame:
@@ -174,7 +187,8 @@ def order(messages: DataFrame) -> DataFrame:
     large = messages.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_MESSAGES).select("conv_id")
     kind = dict(messages.dtypes)["conv_id"]
     schema = f"conv_id {kind}, message long, level int"
-    levels = needs.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_levels_of_one, schema)
+    local = needs.join(large, "conv_id", "left_anti").repartition("conv_id").sortWithinPartitions("conv_id")
+    levels = local.mapInPandas(_levels_in_order, schema)
     if large.limit(1).count():
         levels = levels.union(_levels_by_rounds(needs.join(large, "conv_id", "left_semi")))
     out = messages.join(levels, ["conv_id", "message"], "left").withColumn("level", F.coalesce("level", F.lit(0)))

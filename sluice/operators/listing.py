@@ -66,6 +66,11 @@ def detail(jobs: DataFrame, canonical_url: str) -> DataFrame:
     return summary(one).join(more, "canonical_url")
 
 
+def table_rows(df: DataFrame) -> DataFrame:
+    """The nine columns that a listing table shows."""
+    return df.select("title", "company", "location", "work_mode", "employment_type", "salary_raw", "source_name", "validation_status", "canonical_url")
+
+
 def experience_label(low: Column, high: Column) -> Column:
     return F.when(low.isNotNull() & high.isNotNull(), F.format_string("%d-%d years", low, high)).when(low.isNotNull(), F.format_string("%d+ years", low))
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import fixed, normalize, score, text, urls, validate
-from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, upsert
+from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, runs, upsert
 from sluice.plans import sql
+from sluice.sources import search_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,6 +429,40 @@ def llm_json_parse(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("o.k").alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
 
 
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS ev FROM events),
+r AS (SELECT user_id, arg_max(ev, (ts, event_id)) FILTER (ev IS NOT NULL) AS last, min(ts) FILTER (ev = 'started') AS a, max(ts) FILTER (ev IN ('completed', 'failed')) AS z, count(*) FILTER (ev = 'failed') AS n_errors, string_agg(props, ';' ORDER BY ts, event_id) FILTER (ev = 'failed') AS errors FROM e GROUP BY 1)
+SELECT user_id, CASE last WHEN 'started' THEN 'running' ELSE last END AS status, n_errors::INT AS n_errors, coalesce(errors, '') AS errors, CASE WHEN last <> 'started' THEN (epoch_us(z) - epoch_us(a)) / 1e6 END AS execution_duration_s FROM r""")
+def run_records(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("event_type")
+    e = events(spark, d).withColumn("event", F.when(t == "signup", "started").when(t == "purchase", "completed").when(t == "error", "failed")).withColumn("reason", F.when(t == "error", F.col("props"))).withColumn("query", F.lit(None).cast("string"))
+    r = runs.run_records(e, "user_id", "event", "at", "reason", "query", "event_id")
+    return r.select("user_id", "status", F.size("errors").alias("n_errors"), F.array_join("errors", ";").alias("errors"), "execution_duration_s")
+
+
+@query("SELECT user_id FROM events GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) = 'error'")
+def open_sources(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).withColumn("state", F.when(F.col("event_type") == "error", "open").otherwise("closed"))
+    return runs.open_sources(e, "user_id", "state", "at", "event_id")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'SEARCH_NETWORK_ERROR' WHEN page_id % 9 = 1 THEN 'SEARCH_RATE_LIMITED' WHEN page_id % 9 IN (2, 4) THEN 'SEARCH_HTTP_ERROR' WHEN page_id % 9 = 3 OR regexp_matches(lower(html), 'challenge|anomaly') THEN 'SEARCH_CHALLENGED' END AS classification
+FROM pages WHERE page_id % 9 < 5 OR regexp_matches(lower(html), 'challenge|anomaly')""")
+def search_failures(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 9
+    status = F.when(k == 1, 429).when(k == 2, 403).when(k == 3, 202).when(k == 4, 500).otherwise(200)
+    p = table(spark, d, "pages").withColumn("classification", search_pages.classify(status, F.col("html"), F.when(k == 0, "timeout")))
+    return runs.failure_log(p, "classification").select("page_id", "classification")
+
+
+@query("""WITH u AS (SELECT page_id, regexp_extract(lower(url), '^[a-z]+://[^/?#]+', 0) AS origin FROM pages), r AS (SELECT origin, min(page_id) % 3 > 0 AS allowed FROM u WHERE page_id % 2 = 0 GROUP BY 1)
+SELECT page_id, coalesce(allowed, true) AS robots_allowed FROM u LEFT JOIN r USING (origin)""")
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", "url")
+    origin = F.concat(F.lower(urls.part(F.col("url"), 1)), F.lit("://"), F.lower(urls.part(F.col("url"), 2)))
+    rules = p.where("page_id % 2 = 0").groupBy(origin.alias("origin")).agg((F.min("page_id") % 3 > 0).alias("allowed"))
+    return policy.robots(p, "url", rules).select("page_id", "robots_allowed")
+
+
 # --- documents and conversations ---
 
 

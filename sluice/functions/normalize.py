@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import fixed
@@ -79,6 +79,15 @@ def skills(raw: Column) -> Column:
     return F.transform(first, lambda x: F.struct(x["canonical"].alias("canonical"), x["original"].alias("original"), F.when(F.lower(x["original"]) != F.lower(x["canonical"]), x["original"]).alias("alias")))
 
 
+def distinct_skills(df: DataFrame, key: str, raw: Column) -> DataFrame:
+    """(key, pos, canonical, original, alias): what ``skills`` keeps of each row's entries, one row each; an aggregate by name, for long arrays."""
+    each = df.select(key, F.posexplode(raw).alias("pos", "_raw")).select(key, "pos", strip(F.col("_raw")).alias("original")).where(F.length("original") > 0)
+    x = F.col("original")
+    named = each.withColumn("canonical", F.coalesce(F.try_element_at(mapping(fixed.SKILLS), clean_skill(x)), x))
+    first = named.groupBy(key, F.lower("canonical").alias("_name")).agg(F.min_by(F.struct("pos", "canonical", "original"), "pos").alias("s"))
+    return first.select(key, "s.*", F.when(F.lower("s.original") != F.lower("s.canonical"), F.col("s.original")).alias("alias"))
+
+
 def employment_type(x: Column) -> Column:
     v = F.lower(strip(x))
     return F.when(v.isin("fulltime", "full time"), "full-time").when(v.isin("parttime", "part time"), "part-time").otherwise(v)

@@ -202,6 +202,17 @@ def skills_norm(spark: SparkSession, d: str) -> DataFrame:
     return n.where(F.size("s") > 0).select("doc_id", F.size("s").alias("n_skills"), F.get("s", F.lit(0))["canonical"].alias("first_skill"))
 
 
+@query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[\\n|]', ' ', 'g'), ' '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS raw FROM documents),
+e AS (SELECT doc_id, unnest(raw) AS original, generate_subscripts(raw, 1) AS pos FROM s),
+n AS (SELECT doc_id, pos, coalesce({sql.mapping(fixed.SKILLS)}[trim(regexp_replace(regexp_replace(lower(original), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s.#+\\-/]', ' ', 'g'), '\\s+', ' ', 'g'))], original) AS canonical FROM e)
+SELECT doc_id, count(DISTINCT lower(canonical)) AS n_skills, min_by(canonical, pos) AS first_skill FROM n GROUP BY doc_id""")
+def skills_norm_texts(spark: SparkSession, d: str) -> DataFrame:
+    """As skills_norm, over whole texts."""
+    words = F.split(F.regexp_replace("text", r"[\n|]", " "), " ")
+    n = normalize.distinct_skills(table(spark, d, "documents"), "doc_id", words)
+    return n.groupBy("doc_id").agg(F.count("*").alias("n_skills"), F.min_by("canonical", "pos").alias("first_skill"))
+
+
 # --- listings made from the order tables ---
 
 

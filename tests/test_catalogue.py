@@ -39,3 +39,11 @@ def test_query(spark, oracle, name):
     names = [x[0] for x in r.description]
     assert sorted(names) == cols
     assert got == sorted((tuple(plain(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
+
+
+def test_skills_of_whole_texts(spark, tmp_path):
+    """Pieces after the 30th count, and a text that begins with 30 empty ones stays."""
+    rows = [(1, " ".join(f"w{i}" for i in range(40)) + " W3 js javascript"), (2, " " * 35 + "k8s")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["skills_norm_texts"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 41, "w0"), (2, 1, "Kubernetes")}

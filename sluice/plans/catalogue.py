@@ -268,6 +268,13 @@ def title_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", score.title(F.substring("text", 1, 200), F.lit("that this of que die")).alias("title_score"))
 
 
+@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS w FROM documents)
+SELECT doc_id, least(1.0, len(list_intersect(w, ['that', 'this', 'que', 'die'])) / 4.0)::DOUBLE AS title_score FROM t""")
+def title_score_texts(spark: SparkSession, d: str) -> DataFrame:
+    """As title_score, over whole texts."""
+    return table(spark, d, "documents").select("doc_id", score.title(F.col("text"), F.lit("that this of que die")).alias("title_score"))
+
+
 @query(sql.JOBS + f" SELECT canonical_url, source_name, lifecycle_status FROM jobs WHERE lifecycle_status IN ('active', 'unknown') AND source_name = 'indeed' AND regexp_matches(location, '(?i)ION_1') AND last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 900 DAY AND experience_years_max >= 2 AND experience_years_min <= 6")
 def export_filter(spark: SparkSession, d: str) -> DataFrame:
     p = export.predicate(as_of(), source=" Indeed ", location="ION_1", posted_within_days=900, exp_min=2, exp_max=6)

@@ -3,35 +3,41 @@
 N-grams of three to six characters stay inside a word (its borders count as
 characters) and are hashed to a fixed number of buckets. The log ratio of a
 bucket's document frequencies in the two classes scales its value; a logistic
-regression is fitted on the scaled values of the most telling buckets. Only
-fixed-size tables ever travel: counts per bucket from the training sample,
-weights to the scoring tasks.
+regression is fitted on the scaled values of every bucket that enough training
+rows have. Only fixed-size tables ever travel: counts per bucket and the values
+of the training sample, weights to the scoring tasks. The driver keeps the
+values in files and fits over chunks of them.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+import os
+import tempfile
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm import scan
+from sluice.llm import scan, scratch
 from sluice.llm.sample import smallest_hashes
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
-SELECTED = 1 << 12
+#: Training rows that a bucket needs to get a weight.
+SUPPORT = 3
 #: Labelled rows of each class that the model is fitted on, at most; those with the smallest hash of their id.
-TRAINING_TOXIC, TRAINING_CLEAN = 3_000, 6_000
+TRAINING_TOXIC, TRAINING_CLEAN = 4_000, 8_000
 FOLDS = 5
 #: A bucket's value saturates once it makes up this share of a text's words.
 FULL_SHARE = 1 / 100
+#: Values of the training sample that a thread of the fit holds at a time.
+CHUNK = 1 << 18
 
 
 def fold(doc_id: Column) -> Column:
@@ -80,9 +86,9 @@ class Grams:
         """(document, feature, value) of the buckets that have a feature number."""
         f = number[self.bucket]
         at = np.flatnonzero(f >= 0)
-        key, count = np.unique(self.doc[at].astype(np.int64) * SELECTED + f[at], return_counts=True)
-        doc = key // SELECTED
-        return doc, key % SELECTED, np.minimum(1.0, count / np.maximum(1.0, self.words[doc] * FULL_SHARE))
+        key, count = np.unique(self.doc[at].astype(np.int64) * BUCKETS + f[at], return_counts=True)
+        doc = key // BUCKETS
+        return doc, key % BUCKETS, np.minimum(1.0, count / np.maximum(1.0, self.words[doc] * FULL_SHARE))
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, list[str | None]]]:
@@ -121,41 +127,85 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pydict({"clean": pa.array([counts[0].tobytes()], pa.binary()), "toxic": pa.array([counts[1].tobytes()], pa.binary()), "n_clean": pa.array([rows[0]]), "n_toxic": pa.array([rows[1]])})
 
 
-def fit_logistic(start: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 2e-4, steps: int = 300, rate: float = 0.15) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-penalised logistic regression, by full-batch gradient steps with moments.
-
-    Row r has the features and values from ``start[r]`` to ``start[r + 1]``. A
-    second copy by feature makes the gradient a sum over ranges as well.
-    """
-    n = len(y)
-    by = np.argsort(feature, kind="stable")
-    row_by = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))[by]
-    value_by, edge = value[by], np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=n_features))])
-    del by
-
-    def sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.add.reduceat(np.append(x, np.float32(0)), at[:-1], dtype=np.float64)
+class Values:
+    """Sparse training rows (y, features, values) in files of ``folder``, by row and, after ``turn``, once more by feature; memory holds chunks of them."""
+
+    def __init__(self, folder: str, rows: Iterable[tuple[int, bytes, bytes]], scale: np.ndarray):
+        y, size = [], []
+        with open(os.path.join(folder, "f"), "wb") as ff, open(os.path.join(folder, "v"), "wb") as fv:
+            for label, features, values in rows:
+                f = np.frombuffer(features, "<i4")
+                ff.write(features)
+                fv.write((np.frombuffer(values, "<f4") * scale[f]).astype("<f4"))
+                y.append(label)
+                size.append(len(f))
+        self.y, self.start = np.array(y, np.float64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        n = int(self.start[-1])
+        # a map of an empty file is an error
+        file = lambda name, kind, mode: np.memmap(os.path.join(folder, name), kind, mode, shape=n) if n else np.zeros(0, kind)
+        self.feature, self.value = file("f", "<i4", "r"), file("v", "<f4", "r")
+        self.spans = list(scan.chunks(self.start, CHUNK, CHUNK))
+        self.file, self.n_features = file, len(scale)
+
+    def turn(self) -> None:
+        """Write the copy by feature."""
+        self.row_by, self.value_by = self.file("rb", "<u2" if len(self.y) <= 1 << 16 else "<i4", "w+"), self.file("vb", "<f4", "w+")
+        count = np.zeros(self.n_features, np.int64)
+        for i, j in self.spans:
+            count += np.bincount(self.feature[self.start[i] : self.start[j]], minlength=self.n_features)
+        self.edge = np.concatenate([[0], np.cumsum(count)])
+        self.spans_by = list(scan.chunks(self.edge, CHUNK, CHUNK))
+        free = self.edge[:-1].copy()
+        for i, j in self.spans:
+            a, b = self.start[i], self.start[j]
+            by = np.argsort(self.feature[a:b], kind="stable")
+            f, first, times = np.unique(self.feature[a:b][by], return_index=True, return_counts=True)
+            at = np.repeat(free[f] - first, times) + np.arange(b - a)
+            self.row_by[at] = np.repeat(np.arange(i, j), np.diff(self.start[i : j + 1]))[by]
+            self.value_by[at] = self.value[a:b][by]
+            free[f] += times
+
+    @staticmethod
+    def _sums(x: np.ndarray, index: np.ndarray, value: np.ndarray, edge: np.ndarray, i: int, j: int) -> np.ndarray:
+        """Sums of x[index] * value over the ranges i to j of edge."""
+        a, at = edge[i], edge[i : j + 1] - edge[i]
+        out = np.add.reduceat(np.append(x[index[a : edge[j]]] * value[a : edge[j]], np.float32(0)), at[:-1], dtype=np.float64)
         out[at[:-1] == at[1:]] = 0
         return out
 
+    def times(self, pool: ThreadPoolExecutor, w: np.ndarray) -> np.ndarray:
+        """Sum per row of its values times the weights of their features."""
+        x = w.astype(np.float32)
+        return np.concatenate(list(pool.map(lambda s: self._sums(x, self.feature, self.value, self.start, *s), self.spans)))
+
+    def times_by(self, pool: ThreadPoolExecutor, e: np.ndarray) -> np.ndarray:
+        """Sum per feature of its values times the numbers of their rows."""
+        x = e.astype(np.float32)
+        return np.concatenate(list(pool.map(lambda s: self._sums(x, self.row_by, self.value_by, self.edge, *s), self.spans_by)))
+
+
+def fit_logistic(x: Values, penalty: float = 2e-4, steps: int = 300, rate: float = 0.15) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-penalised logistic regression, by full-batch gradient steps with moments."""
+    n, n_features = len(x.y), x.n_features
     w, b = np.zeros(n_features), 0.0
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
-    for t in range(1, steps + 1):
-        z = sums(w.astype(np.float32)[feature] * value, start) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g, gb = sums(e.astype(np.float32)[row_by] * value_by, edge) + penalty * w, e.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c, d = 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
-        b -= rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
+    with ThreadPoolExecutor(min(4, os.cpu_count() or 1)) as pool:
+        for t in range(1, steps + 1):
+            z = x.times(pool, w) + b
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - x.y) / n
+            g, gb = x.times_by(pool, e) + penalty * w, e.sum()
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            c, d = 1 - 0.9**t, 1 - 0.999**t
+            w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
+            b -= rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
     return w, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAINING_TOXIC, clean: int = TRAINING_CLEAN) -> Model:
     """Model from a bounded sample of the labelled rows outside fold 0; ids with conflicting labels are left out.
 
-    Without both classes the model has no weights and every score is the share of toxic rows (0.5 without rows).
+    Without both classes or a bucket with support the model has no weights and every score is the share of toxic rows (0.5 without rows).
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("toxic")).where("low = toxic").where(fold(F.col("doc_id")) != 0).select("doc_id", "toxic")
     pick = smallest_hashes(known.where("toxic = 1"), "doc_id", toxic).union(smallest_hashes(known.where("toxic = 0"), "doc_id", clean))
@@ -164,15 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAINING_TOXIC, clean
     counts = sample.coalesce(4).mapInArrow(_bucket_counts, "clean binary, toxic binary, n_clean long, n_toxic long").collect()
     n = np.array([sum(r.n_clean for r in counts), sum(r.n_toxic for r in counts)])
     number = np.full(BUCKETS, -1, np.int32)
-    if not n.all():
+    df = [np.sum([np.frombuffer(r[c], np.int32) for r in counts], axis=0, dtype=np.float32) for c in ("clean", "toxic")] if n.all() else []
+    del counts
+    kept = np.flatnonzero(df[0] + df[1] >= SUPPORT) if df else np.zeros(0, np.int64)
+    if not len(kept):
         share = float(n[1] / n.sum()) if n.sum() else 0.5
         return Model(number, np.zeros(1), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    df = [np.sum([np.frombuffer(r[c], np.int32) for r in counts], axis=0, dtype=np.float32) for c in ("clean", "toxic")]
-    del counts
-    ratio = np.log((df[1] + 1) / np.float32(n[1] + 2)) - np.log((df[0] + 1) / np.float32(n[0] + 2))
-    telling = np.argsort(-np.abs(ratio) / np.sqrt(1 / (df[1] + 1) + 1 / (df[0] + 1)), kind="stable")[:SELECTED]
-    telling = telling[(df[0] + df[1])[telling] >= 3]
-    number[telling] = np.arange(len(telling))
+    ratio = (np.log((df[1] + 1) / np.float32(n[1] + 2)) - np.log((df[0] + 1) / np.float32(n[0] + 2)))[kept]
+    number[kept] = np.arange(len(kept))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,16 +229,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAINING_TOXIC, clean
             for i, j, texts in _texts(batch):
                 doc, feature, value = Grams(texts).values(number)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_pydict({"y": pa.array(y[i:j].astype(np.int32)), "f": pa.array([feature[a:b].astype("<u2").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "v": pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
-
-    found = sample.mapInArrow(vectors, "y int, f binary, v binary").toArrow()
-    y = found.column("y").to_numpy()
-    feature = np.frombuffer(b"".join(found.column("f").to_pylist()), "<u2")
-    value = np.frombuffer(b"".join(found.column("v").to_pylist()), "<f4")
-    start = np.concatenate([[0], np.cumsum(pc.binary_length(found.column("f")).to_numpy() // 2)]).astype(np.int64)
-    del found
-    scaled = np.abs(ratio[telling])
-    w, b = fit_logistic(start, feature, value * scaled[feature], y, len(telling))
+                yield pa.RecordBatch.from_pydict({"y": pa.array(y[i:j].astype(np.int32)), "f": pa.array([feature[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "v": pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    found = scratch.keep(sample.mapInArrow(vectors, "y int, f binary, v binary"), "toxicity")
+    scaled = np.abs(ratio)
+    with tempfile.TemporaryDirectory() as folder:
+        x = Values(folder, found.toLocalIterator(), scaled)
+        # before the second copy is written
+        scratch.drop(found)
+        x.turn()
+        w, b = fit_logistic(x)
     return Model(number, w * scaled, b)
 
 

@@ -73,6 +73,18 @@ def test_toxicity(spark, no_docs):
     assert {r.score for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_of_rare_words(spark):
+    """A word of a small language counts, however many n-grams of the large one tell more."""
+    r = np.random.default_rng(5)
+    words = ["".join(chr(97 + k) for k in r.integers(0, 26, 8)) for _ in range(1200)]
+    rows = [(i, " ".join(words[(i % 2) * 600 :][:600])) for i in range(120)] + [(i, "спокойный хороший день" if i % 2 else "вот глупый грубиян") for i in range(1000, 1060)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, int(i % 2 == (i < 1000))) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    assert (model.number >= 0).sum() > 8192
+    assert (model.score(["вот глупый грубиян", "спокойный хороший день"]) >= 0.5).tolist() == [True, False]
+
+
 def alnum(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

@@ -4,9 +4,9 @@ N-grams of three to six characters stay inside a word (its borders count as
 characters) and are hashed to a fixed number of buckets. The log ratio of a
 bucket's document frequencies in the two classes scales its value; a logistic
 regression is fitted on the scaled values of every bucket that enough training
-rows have. Only fixed-size tables ever travel: counts per bucket and the values
-of the training sample, weights to the scoring tasks. The driver keeps the
-values in files and fits over chunks of them.
+rows have. The training sample is bounded and stored; one task fits over it, in
+chunks of files in its own temporary folder, and only counts and weights per
+bucket reach the driver and, from there, the scoring tasks.
 """
 
 from __future__ import annotations
@@ -36,8 +36,12 @@ TRAINING_TOXIC, TRAINING_CLEAN = 4_000, 8_000
 FOLDS = 5
 #: A bucket's value saturates once it makes up this share of a text's words.
 FULL_SHARE = 1 / 100
-#: Values of the training sample that a thread of the fit holds at a time.
-CHUNK = 1 << 18
+#: Values of the training sample that a thread of the fit holds at a time, and its threads.
+CHUNK, THREADS = 1 << 18, 2
+#: Files that the training sample is stored in.
+TRAINING_FILES = 16
+#: Characters scanned at a time.
+WINDOW_CHARS = 1 << 18
 
 
 def fold(doc_id: Column) -> Column:
@@ -50,23 +54,45 @@ _MULT = [scan.mix(np.array([k + 101], np.uint64) * scan.GOLD)[0] | np.uint64(1)
 
 
 class Grams:
-    """Hashed n-grams of consecutive texts: bucket and document of each, and words per document."""
+    """N-grams of consecutive texts: buckets of each document with their counts, and words per document.
 
-    def __init__(self, texts: list[str | None]):
+    Text is scanned in windows of characters that overlap by the longest n-gram,
+    so that memory grows with the distinct buckets of a long text, not with its length.
+    """
+
+    def __init__(self, texts: list[str | None], window: int = WINDOW_CHARS):
         low = [(t or "").lower() for t in texts]
         self.n_docs = len(low)
-        size = np.array([len(t) + 1 for t in low], np.int64)
-        code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.words = np.zeros(self.n_docs, np.int64)
+        size = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])]).astype(np.int64)
+        found = []
+        for i, j in scan.chunks(size, window, most=1 << 30):
+            for a in range(0, int(size[j] - size[i]), window):
+                found.append(self._scan(low[i:j], i, size[i : j + 1] - size[i], a, a + window))
+        key, count = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(found) > 1:
+            o = np.argsort(key, kind="stable")
+            s = scan.group_starts(key[o])
+            key, count = key[o[s]], np.add.reduceat(count[o], s) if len(s) else count
+        self.doc, self.bucket, self.count = key >> BUCKET_BITS, key & (BUCKETS - 1), count
+
+    def _scan(self, low: list[str], first: int, begin: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys ``document << BUCKET_BITS | bucket`` and counts of the n-grams that end at characters a to b of the texts laid end to end."""
+        before = min(a, max(SIZES))
+        if len(low) == 1:
+            text = low[0][a - before : b] + ("\n" if b > len(low[0]) else "")
+        else:
+            text = "\n".join([*low, ""])
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         letter = ((code >= _LETTER_FROM) & (code <= _LETTER_TO)) | (code >= 0xC0)
-        code = np.where(letter, code, 0).astype(np.uint64)
-        doc = np.repeat(np.arange(self.n_docs), size)
-        begin = letter.copy()
-        begin[1:] &= ~letter[:-1]
-        self.words = np.bincount(doc[begin], minlength=self.n_docs)
-        # a border before the first text, so that every word has one on both sides
-        code, letter, doc = np.append(np.uint64(0), code), np.append(False, letter), np.append(0, doc)
-        run = np.arange(len(letter)) - np.maximum.accumulate(np.where(letter, -1, np.arange(len(letter))))  # letters up to here
-        bucket, where = [], []
+        # a border before the first character, so that every word has one on both sides
+        code, letter = np.append(np.uint64(0), np.where(letter, code, 0).astype(np.uint64)), np.append(False, letter)
+        at = np.arange(len(code))
+        doc = first + np.searchsorted(begin, at + (a - before - 1), side="right") - 1
+        starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+        self.words += np.bincount(doc[starts[starts > before]], minlength=self.n_docs)
+        run = at - np.maximum.accumulate(np.where(letter, -1, at))  # letters up to here
+        found = []
         part = np.zeros(len(code), np.uint64)
         for k in range(max(SIZES)):
             part = part[: len(code) - k] + (code[k:] + np.uint64(1)) * _MULT[k]
@@ -74,21 +100,18 @@ class Grams:
             if n in SIZES:
                 last = np.arange(len(code) - k) + k
                 # all but the first and last character are letters, and at least one of those is
-                inside = run[last - 1] >= n - 2
-                at = np.flatnonzero(inside)
-                h = part[at] * scan.MIX_A
+                here = np.flatnonzero((run[last - 1] >= n - 2) & (last > before))
+                h = part[here] * scan.MIX_A
                 h ^= h >> np.uint64(31)
-                bucket.append((h * scan.GOLD >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
-                where.append(doc[at + 1])
-        self.bucket, self.doc = np.concatenate(bucket), np.concatenate(where)
+                found.append((doc[here + 1] << BUCKET_BITS) + (h * scan.GOLD >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        return np.unique(np.concatenate(found), return_counts=True)
 
     def values(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, feature, value) of the buckets that have a feature number."""
-        f = number[self.bucket]
-        at = np.flatnonzero(f >= 0)
-        key, count = np.unique(self.doc[at].astype(np.int64) * BUCKETS + f[at], return_counts=True)
-        doc = key // BUCKETS
-        return doc, key % BUCKETS, np.minimum(1.0, count / np.maximum(1.0, self.words[doc] * FULL_SHARE))
+        feature = number[self.bucket]
+        at = np.flatnonzero(feature >= 0)
+        doc = self.doc[at]
+        return doc, feature[at], np.minimum(1.0, self.count[at] / np.maximum(1.0, self.words[doc] * FULL_SHARE))
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, list[str | None]]]:
@@ -112,19 +135,18 @@ class Model:
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each bucket, per class, as one dense row per task."""
-    counts, rows = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+    """Documents of each class with each bucket, for the buckets that occur; bucket -1 counts the documents themselves."""
+    counts = np.zeros((2, BUCKETS + 1), np.int32)
     for batch in batches:
         y = np.asarray(batch.column(batch.schema.get_field_index("toxic")))
         for i, j, texts in _texts(batch):
             g = Grams(texts)
-            key = np.unique(g.doc.astype(np.int64) * BUCKETS + g.bucket)
-            label = y[i:j][key // BUCKETS]
+            label = y[i:j][g.doc]
             for c in (0, 1):
-                counts[c] += np.bincount(key[label == c] % BUCKETS, minlength=BUCKETS).astype(np.int32)
-                rows[c] += int((y[i:j] == c).sum())
-    if rows.sum():
-        yield pa.RecordBatch.from_pydict({"clean": pa.array([counts[0].tobytes()], pa.binary()), "toxic": pa.array([counts[1].tobytes()], pa.binary()), "n_clean": pa.array([rows[0]]), "n_toxic": pa.array([rows[1]])})
+                counts[c, :-1] += np.bincount(g.bucket[label == c], minlength=BUCKETS).astype(np.int32)
+                counts[c, -1] += int((y[i:j] == c).sum())
+    at = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), "clean": pa.array(counts[0, at]), "toxic": pa.array(counts[1, at])})
 
 
 class Values:
@@ -189,7 +211,7 @@ def fit_logistic(x: Values, penalty: float = 2e-4, steps: int = 300, rate: float
     n, n_features = len(x.y), x.n_features
     w, b = np.zeros(n_features), 0.0
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
-    with ThreadPoolExecutor(min(4, os.cpu_count() or 1)) as pool:
+    with ThreadPoolExecutor(THREADS) as pool:
         for t in range(1, steps + 1):
             z = x.times(pool, w) + b
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - x.y) / n
@@ -202,44 +224,64 @@ def fit_logistic(x: Values, penalty: float = 2e-4, steps: int = 300, rate: float
     return w, float(b)
 
 
+def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Log ratio of a bucket's smoothed document frequencies in the toxic and the clean rows."""
+    return np.log((toxic.astype(np.float32) + 1) / np.float32(n_toxic + 2)) - np.log((clean.astype(np.float32) + 1) / np.float32(n_clean + 2))
+
+
+def _training_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """Stored (text, toxic) of at most ``toxic`` and ``clean`` labelled rows outside fold 0."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("toxic")).where("low = toxic").where(fold(F.col("doc_id")) != 0).select("doc_id", "toxic")
+    pick = smallest_hashes(known.where("toxic = 1"), "doc_id", toxic).union(smallest_hashes(known.where("toxic = 0"), "doc_id", clean))
+    # at most toxic + clean rows of two numbers; only the rows found are dealt anew
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    return scratch.keep(found.repartition(TRAINING_FILES), "labelled")
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAINING_TOXIC, clean: int = TRAINING_CLEAN) -> Model:
     """Model from a bounded sample of the labelled rows outside fold 0; ids with conflicting labels are left out.
 
+    The corpus is scanned once, in all its partitions, for the sample; the fit
+    runs in one task over it, and the driver sees counts and weights per bucket.
     Without both classes or a bucket with support the model has no weights and every score is the share of toxic rows (0.5 without rows).
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("toxic")).where("low = toxic").where(fold(F.col("doc_id")) != 0).select("doc_id", "toxic")
-    pick = smallest_hashes(known.where("toxic = 1"), "doc_id", toxic).union(smallest_hashes(known.where("toxic = 0"), "doc_id", clean))
-    # at most toxic + clean rows of three numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", "toxic")
-    counts = sample.coalesce(4).mapInArrow(_bucket_counts, "clean binary, toxic binary, n_clean long, n_toxic long").collect()
-    n = np.array([sum(r.n_clean for r in counts), sum(r.n_toxic for r in counts)])
+    spark = docs.sparkSession
+    sample = _training_rows(docs, labels, toxic, clean)
+    counts = sample.mapInArrow(_bucket_counts, "bucket int, clean int, toxic int").groupBy("bucket").agg(F.sum("clean").cast("int").alias("clean"), F.sum("toxic").cast("int").alias("toxic"))
+    # one row per bucket at most
+    counts = counts.where((F.col("bucket") < 0) | (F.col("clean") + F.col("toxic") >= SUPPORT)).toArrow()
+    bucket, df = counts.column("bucket").to_numpy(), [counts.column(c).to_numpy() for c in ("clean", "toxic")]
+    n = [int(x[bucket < 0].sum()) for x in df]
+    kept = np.argsort(bucket, kind="stable")[(bucket < 0).sum() :] if all(n) else np.zeros(0, np.int64)
     number = np.full(BUCKETS, -1, np.int32)
-    df = [np.sum([np.frombuffer(r[c], np.int32) for r in counts], axis=0, dtype=np.float32) for c in ("clean", "toxic")] if n.all() else []
-    del counts
-    kept = np.flatnonzero(df[0] + df[1] >= SUPPORT) if df else np.zeros(0, np.int64)
     if not len(kept):
-        share = float(n[1] / n.sum()) if n.sum() else 0.5
+        share = n[1] / sum(n) if sum(n) else 0.5
         return Model(number, np.zeros(1), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    ratio = (np.log((df[1] + 1) / np.float32(n[1] + 2)) - np.log((df[0] + 1) / np.float32(n[0] + 2)))[kept]
-    number[kept] = np.arange(len(kept))
+    number[bucket[kept]] = np.arange(len(kept))
+    scale = np.abs(log_count_ratios(df[0][kept], df[1][kept], *n))
+    sent = spark.sparkContext.broadcast((number, scale))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = np.asarray(batch.column(batch.schema.get_field_index("toxic")))
             for i, j, texts in _texts(batch):
-                doc, feature, value = Grams(texts).values(number)
+                doc, feature, value = Grams(texts).values(sent.value[0])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_pydict({"y": pa.array(y[i:j].astype(np.int32)), "f": pa.array([feature[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "v": pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True))
+        with tempfile.TemporaryDirectory() as folder:
+            x = Values(folder, rows, sent.value[1])
+            x.turn()
+            w, b = fit_logistic(x)
+        yield pa.RecordBatch.from_pydict({"weight": pa.array([(w * sent.value[1]).tobytes()], pa.binary()), "bias": pa.array([b])})
+
     found = scratch.keep(sample.mapInArrow(vectors, "y int, f binary, v binary"), "toxicity")
-    scaled = np.abs(ratio)
-    with tempfile.TemporaryDirectory() as folder:
-        x = Values(folder, found.toLocalIterator(), scaled)
-        # before the second copy is written
-        scratch.drop(found)
-        x.turn()
-        w, b = fit_logistic(x)
-    return Model(number, w * scaled, b)
+    model = found.coalesce(1).mapInArrow(fit, "weight binary, bias double").first()
+    scratch.drop(sample, found)
+    sent.destroy()
+    return Model(number, np.frombuffer(model.weight, np.float64), model.bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import decontaminate, packing, quality_rules, tokens, tool_calls, toxicity, warc
+from sluice.llm import decontaminate, packing, quality_rules, scan, tokens, tool_calls, toxicity, warc
 from sluice.llm.html_text import visible_text
 
 
@@ -85,6 +85,38 @@ def test_toxicity_of_rare_words(spark):
     assert (model.score(["вот глупый грубиян", "спокойный хороший день"]) >= 0.5).tolist() == [True, False]
 
 
+def gram_counts(t):
+    """Words and n-gram buckets of a text, one character at a time."""
+    words, now = [], []
+    for c in (t or "").lower() + "\n":
+        if "a" <= c <= "z" or ord(c) >= 0xC0:
+            now.append(ord(c))
+        elif now:
+            words.append([0, *now, 0])
+            now = []
+    out, cut = collections.Counter(), (1 << 64) - 1
+    for w in words:
+        for n in toxicity.SIZES:
+            for i in range(len(w) - n + 1):
+                h = sum((w[i + k] + 1) * int(toxicity._MULT[k]) for k in range(n)) * int(scan.MIX_A) & cut
+                out[((h ^ h >> 31) * int(scan.GOLD) & cut) >> (64 - toxicity.BUCKET_BITS)] += 1
+    return len(words), out
+
+
+def test_grams_against_brute_force(doc_rows):
+    texts = [r[1] for r in doc_rows if len(r[1] or "") < 3000]
+    for window in (toxicity.WINDOW_CHARS, 50):
+        g = toxicity.Grams(texts, window)
+        for i, t in enumerate(texts):
+            at = g.doc == i
+            assert (g.words[i], dict(zip(g.bucket[at].tolist(), g.count[at].tolist(), strict=True))) == gram_counts(t)
+
+
+def test_log_count_ratios():
+    got = toxicity.log_count_ratios(np.array([0, 5, 9]), np.array([7, 5, 0]), 10, 8)
+    assert np.allclose(got, [np.log((7 + 1) / 10 * 12 / 1), np.log((6 / 10) / (6 / 12)), np.log((1 / 10) / (10 / 12))], atol=1e-6)
+
+
 def alnum(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

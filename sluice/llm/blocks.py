@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.llm import scan, scratch
 
@@ -28,15 +29,16 @@ def buckets_for(docs: DataFrame) -> int:
     return max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pack(docs: DataFrame, tag: str, extra: Callable[[pa.Table], dict[str, pa.Array]] | None = None, extra_schema: str = "", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Table (block, doc_id, text, extra columns), bucketed by block.
+def pack(docs: DataFrame, tag: str, extra: Callable[[pa.Table], dict[str, pa.Array]] | None = None, extra_schema: str = "", block_bytes: int = BLOCK_BYTES, rest: Column | None = None) -> DataFrame:
+    """Table (block, row, doc_id, text, extra columns, rest), bucketed by block; ``row`` tells the rows of a block apart.
 
     Null texts become empty; rows without a doc_id keep it null. ``extra`` may
-    compute further columns for a batch of rows in the same pass.
+    compute further columns for a batch of rows in the same pass, and ``rest``,
+    a struct, is carried along.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size = TaskContext.get().partitionId(), 0
+        part, size, seen = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t.set_column(1, "text", pc.fill_null(t.column("text"), ""))
@@ -45,11 +47,16 @@ def pack(docs: DataFrame, tag: str, extra: Callable[[pa.Table], dict[str, pa.Arr
             before = size + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
             local = before // block_bytes
             size = int(before[-1] + lengths[-1]) if len(lengths) else size
-            out = {"block": pa.array((np.int64(part) << 32) + local), "doc_id": t.column("doc_id"), "text": t.column("text"), **more}
+            out = {"block": pa.array((np.int64(part) << 32) + local), "row": pa.array(np.arange(seen, seen + t.num_rows)), "doc_id": t.column("doc_id"), "text": t.column("text"), **more}
+            seen += t.num_rows
+            if rest is not None:
+                out["rest"] = t.column("rest")
             yield from pa.table(out).to_batches()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "block long, doc_id long, text string" + (", " + extra_schema if extra_schema else "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if rest is None else [rest.alias("rest")]))
+    schema = "block long, row long, doc_id long, text string" + (", " + extra_schema if extra_schema else "")
+    if rest is not None:
+        schema = StructType([*StructType.fromDDL(schema), rows.schema["rest"]])
     return scratch.keep_bucketed(rows.mapInArrow(run, schema), "block", buckets_for(docs), tag)
 
 
@@ -63,6 +70,12 @@ def route(values: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return ((values >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+def ranges(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, first, end) of the parts that occur in an ascending array."""
+    s = scan.group_starts(part)
+    return list(zip(part[s].tolist(), s.tolist(), [*s[1:].tolist(), len(part)], strict=True))
+
+
 def answer_by_block(blocked: DataFrame, answers: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``fn(block, documents, answers)`` for every block of documents; the documents stay where they are."""
     names = blocked.schema.names

@@ -13,11 +13,13 @@ distinct five-word shingles. The join never compares all documents:
 4. Inside a cluster an inverted index answers each document's T-occurrence
    query the DivideSkip way: the short lists are merged and counted, the longest
    ones are only probed by binary search for the candidates that can still
-   reach T. Candidates already connected are skipped, so a group of copies does
-   not cost a comparison per pair.
+   reach T. Documents that link to the smallest one of the cluster ask nothing,
+   and candidates already connected are skipped, so a group of copies does not
+   cost a comparison per pair.
 5. Clusters beyond a size are dealt into parts. The cluster's leader joins every
    part, and only documents that did not connect to it are searched against the
-   other parts, a bounded number at a time.
+   other parts, or, where that moves fewer rows, against the documents they share
+   a token with; a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sluice.llm import blocks, scan, scratch
 from sluice.llm.components import components
@@ -36,28 +40,32 @@ from sluice.llm.components import components
 SHINGLE_WORDS = 5
 #: Similarity as a fraction: 75 / 100.
 SIMILARITY = (75, 100)
-BITS = 52
-MASK = np.uint64((1 << BITS) - 1)
+#: Bits of a token that hold the frequency class of its shingle.
+CLASS_BITS = 5
 #: Documents, and bytes of shingles, of one part of a cluster.
 PART_DOCS = 2000
 PART_BYTES = 24 << 20
 
 
-def shingle_keys(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct ``document << 52 | hash`` of a chunk of at most 4,000 documents.
+def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes of the distinct shingles of a chunk of at most 4,000 documents, ordered by both.
 
     A document with fewer words than ``size`` has its whole sequence as one shingle; without words, none.
     """
     w = scan.Words(raw, offsets, scan.FOLDED)
     gram = scan.gram_hash(w.hash, size)
     keep = w.doc[: len(gram)] == w.doc[size - 1 :] if len(gram) else np.zeros(0, bool)
-    keys = [(w.doc[: len(gram)][keep].astype(np.uint64) << np.uint64(BITS)) | (gram[keep] & MASK)]
+    doc, h = [w.doc[: len(gram)][keep].astype(np.uint16)], [gram[keep]]
     for k in range(1, size):
         short = np.flatnonzero(w.count == k)
         if len(short):
-            h = scan.mix(scan.gram_hash(w.hash, k)[w.bounds[short]] + np.uint64(k))
-            keys.append((short.astype(np.uint64) << np.uint64(BITS)) | (h & MASK))
-    return np.unique(np.concatenate(keys))
+            doc.append(short.astype(np.uint16))
+            h.append(scan.mix(scan.gram_hash(w.hash, k)[w.bounds[short]] + np.uint64(k)))
+    doc, h = np.concatenate(doc), np.concatenate(h)
+    o = np.argsort(h)
+    o = o[np.argsort(doc[o], kind="stable")]
+    s = scan.group_starts(doc[o], h[o])
+    return doc[o[s]], h[o[s]]
 
 
 def set_columns(table: pa.Table) -> dict[str, pa.Array]:
@@ -65,9 +73,8 @@ def set_columns(table: pa.Table) -> dict[str, pa.Array]:
     raw, offsets = scan.text_bytes(table.column("text"))
     n, k1, k2 = [], [], []
     for i, j in scan.chunks(offsets):
-        keys = shingle_keys(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        cut = np.searchsorted(keys, np.arange(j - i + 1, dtype=np.uint64) << np.uint64(BITS))
-        h = keys & MASK
+        doc, h = shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        cut = np.searchsorted(doc, np.arange(j - i + 1))
         n.append(np.diff(cut))
         for out, seed in ((k1, 0x5851F42D4C957F2D), (k2, 0x14057B7EF767814F)):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scan.mix(h * scan.GOLD + np.uint64(seed)))])
@@ -96,9 +103,9 @@ def _block_shingles(docs: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]
     raw, offsets = scan.text_bytes(docs.column("text"))
     doc, h = [], []
     for i, j in scan.chunks(offsets):
-        keys = shingle_keys(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        doc.append((keys >> np.uint64(BITS)).astype(np.int64) + i)
-        h.append(keys & MASK)
+        d, x = shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        doc.append(d.astype(np.int64) + i)
+        h.append(x)
     return doc, h
 
 
@@ -108,15 +115,12 @@ def _counting(parts: int):
     def fn(block: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
         h = _block_shingles(_chosen(docs, answers))[1]
         h, count = np.unique(np.concatenate(h) if h else np.zeros(0, np.uint64), return_counts=True)
-        part = blocks.route(h, parts, BITS).astype(np.int64)
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        rows = [r for r in range(parts) if cut[r + 1] > cut[r]]
+        rows = blocks.ranges(blocks.route(h, parts, 64).astype(np.int64))
         more = []
-        for r in rows:
-            c = count[cut[r] : cut[r + 1]]
-            at = np.flatnonzero(c > 1)
-            more.append(np.stack([at, c[at]]).astype("<u4").tobytes())
-        return pa.table({"part": pa.array(rows, pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "hashes": pa.array([scan.pack48(h[cut[r] : cut[r + 1]]) for r in rows], pa.binary()), "more": pa.array(more, pa.binary())})
+        for _, a, b in rows:
+            at = np.flatnonzero(count[a:b] > 1)
+            more.append(np.stack([at, count[a:b][at]]).astype("<u4").tobytes())
+        return pa.table({"part": pa.array([r for r, _, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "hashes": pa.array([scan.pack48(h[a:b]) for _, a, b in rows], pa.binary()), "more": pa.array(more, pa.binary())})
 
     return fn
 
@@ -159,10 +163,11 @@ def _survivors(block: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
     need = least_overlap(n)
     stay = (left >= need) & (n > 0)
     pick = shared & stay[doc]
-    token = ((level[pick] << np.uint64(BITS)) | h[pick]).view(np.int64)
+    # the class above 59 bits of the hash: rarest first
+    token = (level[pick] << np.uint64(64 - CLASS_BITS)) | (h[pick] >> np.uint64(CLASS_BITS))
     owner = doc[pick]
     o = np.lexsort((token, owner))
-    token, owner = token[o], owner[o]
+    token, owner = token[o].view(np.int64), owner[o]
     who = np.flatnonzero(stay)
     cut = np.searchsorted(owner, np.append(who, docs.num_rows))
     prefix = (n - need + 1 - (n - left))[who]
@@ -225,11 +230,13 @@ class Inverted:
         self.start = np.searchsorted(self.keys, np.arange(len(self.terms) + 1, dtype=np.int64) * self.m)
         self.length = np.diff(self.start)
 
-    def merge(self, lists: np.ndarray) -> np.ndarray:
-        """How many of the lists hold each document."""
+    def merge(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that any of the lists holds, ascending, and how many hold each: one merge of the sorted lists."""
         a, k = self.start[lists], self.length[lists]
         at = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        return np.bincount(self.keys[at] - np.repeat(lists, k) * self.m, minlength=self.m)
+        merged = np.sort(self.keys[at] - np.repeat(lists, k) * self.m, kind="stable")
+        s = scan.group_starts(merged)
+        return merged[s], np.diff(np.append(s, len(merged)))
 
     def probe(self, lists: np.ndarray, doc: int) -> int:
         """In how many of the lists a binary search finds the document."""
@@ -250,21 +257,20 @@ def search(sets: list[np.ndarray], n: np.ndarray, forest: Forest, queries: np.nd
         longest = max(2, int(index.length[lists[-1]]))
         set_aside = min(least - 1, int(least / (0.01 * math.log2(longest) + 1)))
         short, long = lists[: len(lists) - set_aside], lists[len(lists) - set_aside :]
-        found = index.merge(short)
-        candidates = np.flatnonzero(found >= least - set_aside)
+        candidates, found = index.merge(short)
         need = pair_overlap(int(n[x]), n[candidates])
-        fits = (found[candidates] + set_aside >= need) & (need <= np.minimum(n[x], n[candidates])) & (candidates != x)
-        candidates, need = candidates[fits], need[fits]
+        fits = (found >= least - set_aside) & (found + set_aside >= need) & (need <= np.minimum(n[x], n[candidates])) & (candidates != x)
+        candidates, found, need = candidates[fits], found[fits], need[fits]
         while True:
             other = forest.roots(candidates) != forest.find(int(x))
-            candidates, need = candidates[other], need[other]
+            candidates, found, need = candidates[other], found[other], need[other]
             if not len(candidates):
                 break
-            best = int(np.argmax(found[candidates]))
+            best = int(np.argmax(found))
             y = int(candidates[best])
-            if found[y] + index.probe(long, y) >= need[best]:
+            if found[best] + index.probe(long, y) >= need[best]:
                 forest.join(int(x), y)
-            candidates, need = np.delete(candidates, best), np.delete(need, best)
+            candidates, found, need = np.delete(candidates, best), np.delete(found, best), np.delete(need, best)
 
 
 def _sets(table: pa.Table) -> list[np.ndarray]:
@@ -280,9 +286,13 @@ def _part(table: pa.Table) -> pa.Table:
     """Links inside one part of a cluster: each document with the smallest it reaches there."""
     table = table.sort_by([("doc_id", "ascending")])
     ids, n = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
-    forest = Forest(len(ids))
+    forest, sets = Forest(len(ids)), _sets(table)
     _same_ids(ids, forest)
-    search(_sets(table), n, forest, np.arange(len(ids)))
+    # most members link to the first; two that do need no comparison with each other
+    for i in range(1, len(ids)):
+        if len(np.intersect1d(sets[0], sets[i], assume_unique=True)) >= pair_overlap(int(n[0]), n[i : i + 1])[0]:
+            forest.join(0, i)
+    search(sets, n, forest, np.flatnonzero(forest.roots(np.arange(len(ids))) > 0))
     root = forest.roots(np.arange(len(ids)))
     return pa.table({"doc_id": table.column("doc_id"), "root": pa.array(ids[root]), "cluster": table.column("cluster"), "parts": table.column("parts")})
 
@@ -299,33 +309,95 @@ def _across(key: tuple, queries: pa.Table, index: pa.Table) -> pa.Table:
 
 
 def _cluster_links(survivors: DataFrame) -> DataFrame:
-    """(doc_id, root) edges whose components are those of the exact links."""
+    """(doc_id, root) edges whose components are those of the exact links; ``scratch_parts`` are the tables they read."""
     postings = survivors.select("doc_id", F.explode("prefix").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
+    leaders = scratch.keep(postings.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last"), "leaders")
     pairs = postings.join(leaders, "token").where("doc_id <> leader").select("doc_id", "leader").distinct()
-    cluster = components(pairs).toDF("doc_id", "cluster")
-    members = survivors.select("doc_id", "n", "tokens").join(cluster, "doc_id")
+    cluster = scratch.keep(components(pairs).toDF("doc_id", "cluster"), "clusters")
+    scratch.drop(leaders)
+    members = survivors.select("doc_id", "n", "tokens", F.col("prefix")).join(cluster, "doc_id")
     sized = survivors.select("doc_id", F.length("tokens").alias("size")).join(cluster, "doc_id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("size") / PART_BYTES)).cast("int").alias("parts"))
     members = scratch.keep(members.join(sized, "cluster"), "members")
+    scratch.drop(cluster)
     mine = F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int")
     leader = F.col("doc_id") == F.col("cluster")
-    dealt = members.withColumn("part", F.explode(F.when(leader, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))))
+    dealt = members.drop("prefix").withColumn("part", F.explode(F.when(leader, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))))
     local = scratch.keep(dealt.groupBy("cluster", "part").applyInArrow(_part, "doc_id long, root long, cluster long, parts int").distinct(), "links")
-    links = local.select("doc_id", "root")
+    links, held = local.select("doc_id", "root"), [members, local]
     if local.where("parts > 1").limit(1).count():
-        many = members.where("parts > 1").withColumn("part", mine)
+        many = members.where("parts > 1")
         alone = local.where("parts > 1 and root <> cluster").select("doc_id").distinct()
-        asking = many.join(alone, "doc_id", "left_semi").drop("part")
-        batches = asking.groupBy("cluster").agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("batches"))
-        asking = asking.join(batches, "cluster").withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("batches").cast("long")).cast("int"))
-        asking = scratch.keep(asking, "asking").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "part", "batch", "doc_id", "n", "tokens")
-        index = many.join(batches, "cluster").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).select("cluster", "part", "batch", "doc_id", "n", "tokens")
-        keys = ["cluster", "part", "batch"]
-        more = asking.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(_across, "doc_id long, root long")
-        links = links.union(more)
+        asking = scratch.keep(many.join(alone, "doc_id", "left_semi"), "asking")
+        held.append(asking)
+        links = links.union(_asked(asking, many))
+    links.scratch_parts = held
     return links
 
 
+def _asked(asking: DataFrame, many: DataFrame) -> DataFrame:
+    """(doc_id, root) links of ``asking`` with all documents of their clusters in ``many`` that they can link to.
+
+    A pair that links shares its cluster, and a token of both prefixes. It meets
+    in the group of the one or the other, whichever moves fewer rows for the
+    cluster: a tight one meets as a whole, a chain of documents with little in
+    common token by token. A group's documents are dealt into parts and those
+    that ask into batches, both of bounded size.
+    """
+    size = lambda x, name: x.groupBy("cluster", "token").agg(F.count("*").alias(name))
+    moved = lambda a, d: F.col(a) * F.ceil(F.col(d) / PART_DOCS) + F.col(d) * F.ceil(F.col(a) / PART_DOCS)
+    token = F.explode("prefix").alias("token")
+    shared = size(asking.select("cluster", token), "a").join(size(many.select("cluster", token), "d"), ["cluster", "token"])
+    by_token = shared.groupBy("cluster").agg(F.sum(moved("a", "d")).alias("by_token"))
+    whole = many.groupBy("cluster").agg(F.count("*").alias("d")).join(asking.groupBy("cluster").agg(F.count("*").alias("a")), "cluster")
+    way = scratch.keep(whole.join(by_token, "cluster").select("cluster", (F.col("by_token") < moved("a", "d")).alias("split")), "ways")
+    meet = F.explode(F.when(F.col("split"), F.col("prefix")).otherwise(F.array(F.lit(0).cast("long")))).alias("token")
+    asks, has = (x.join(way, "cluster").select("cluster", "doc_id", meet) for x in (asking, many))
+    keys = ["cluster", "token"]
+    groups = asks.groupBy(*keys).agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("batches")).join(has.groupBy(*keys).agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("parts")), keys)
+    groups = scratch.keep(groups, "groups")
+    batch, part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("batches").cast("long")).cast("int"), F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asks.join(groups, keys).select("doc_id", *keys, batch.alias("batch"), every("parts").alias("part"))
+    right = has.join(groups, keys).select("doc_id", *keys, every("batches").alias("batch"), part.alias("part"))
+    keys += ["batch", "part"]
+    left, right = (x.join(y.select("doc_id", "n", "tokens"), "doc_id").select(*keys, "doc_id", "n", "tokens") for x, y in ((left, asking), (right, many)))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_across, "doc_id long, root long")
+
+
+class Linked:
+    """``docs`` in blocks, with the component of each distinct shingle set."""
+
+    KEYS = ["n", "k1", "k2"]
+
+    def __init__(self, docs: DataFrame, rest: Column | None = None):
+        spark = docs.sparkSession
+        self.blocked = blocks.pack(docs, "jaccard", set_columns, "n long, k1 long, k2 long", rest=rest)
+        self.sets = self.blocked.select("block", "row", "doc_id", *self.KEYS)
+        self.first = scratch.keep(self.sets.where("n > 0 and doc_id is not null").groupBy(*self.KEYS).agg(F.min(F.struct("doc_id", "block")).alias("first")).select(*self.KEYS, "first.doc_id", "first.block"), "first")
+        chosen = self.first.select("block", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("blob"))
+        text = self.blocked.select("block", "doc_id", "text")
+        parts = 2 * blocks.buckets_for(docs)
+        counted = blocks.answer_by_block(text, chosen, _counting(parts), "part int, block long, hashes binary, more binary")
+        answers = counted.groupBy("part").applyInArrow(_classes, "block long, kind int, part int, id long, blob binary")
+        survivors = scratch.keep(blocks.answer_by_block(text, chosen.union(answers), _survivors, "doc_id long, n long, prefix array<long>, tokens binary"), "survivors")
+        del counted, answers
+        scratch.release(spark)
+        links = _cluster_links(survivors)
+        found = scratch.keep(components(links).toDF("first_id", "component_id"), "found")
+        scratch.drop(survivors, *links.scratch_parts)
+        scratch.release(spark)
+        self.found = found
+
+    def components(self) -> DataFrame:
+        """(block, row, doc_id, n, component_id) of every row."""
+        by_set = self.first.select(*self.KEYS, F.col("doc_id").alias("first_id")).join(self.found, "first_id", "left").select(*self.KEYS, F.coalesce("component_id", "first_id").alias("component_id"))
+        return self.sets.join(by_set, self.KEYS, "left").select("block", "row", "doc_id", "n", F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
+
+    def drop(self) -> None:
+        scratch.drop(self.blocked, self.first, self.found)
+        scratch.release(self.blocked.sparkSession)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -335,23 +407,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets. A row without doc_id gets the component of its set, or null if no
     numbered row has that set. Further columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
-    blocked = blocks.pack(docs, "jaccard", set_columns, "n long, k1 long, k2 long")
-    sets = blocked.select("block", "doc_id", "n", "k1", "k2")
-    keys = ["n", "k1", "k2"]
-    first = scratch.keep(sets.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min(F.struct("doc_id", "block")).alias("first")).select(*keys, "first.doc_id", "first.block"), "first")
-    chosen = first.select("block", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("blob"))
-    text = blocked.select("block", "doc_id", "text")
-    parts = 2 * blocks.buckets_for(docs)
-    counted = blocks.answer_by_block(text, chosen, _counting(parts), "part int, block long, hashes binary, more binary")
-    answers = counted.groupBy("part").applyInArrow(_classes, "block long, kind int, part int, id long, blob binary")
-    survivors = scratch.keep(blocks.answer_by_block(text, chosen.union(answers), _survivors, "doc_id long, n long, prefix array<long>, tokens binary"), "survivors")
-    del counted, answers
-    scratch.release(spark)
-    found = components(_cluster_links(survivors)).toDF("first_id", "component_id")
-    by_set = first.select(*keys, F.col("doc_id").alias("first_id")).join(found, "first_id", "left").select(*keys, F.coalesce("component_id", "first_id").alias("component_id"))
-    out = sets.join(by_set, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
-    out = scratch.keep(out, "jaccard")
-    scratch.drop(blocked, survivors, first)
-    scratch.release(spark)
+    linked = Linked(docs)
+    out = scratch.keep(linked.components().select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "jaccard")
+    linked.drop()
+    return out
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id.
+
+    Texts stay in their blocks, only the numbers of the rows to leave out travel.
+    Rows without doc_id stay, and so do all rows that repeat the smallest
+    doc_id. All columns are kept, text as a string.
+    """
+    schema = StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema])
+    rest = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("columns"))
+    linked = Linked(docs, rest)
+    later = linked.components().where("doc_id <> component_id").select("block", "row")
+
+    def left(block: int, rows: pa.Table, gone: pa.Table) -> pa.Table:
+        rows = rows.filter(pa.array(~np.isin(rows.column("row").to_numpy(), gone.column("row").to_numpy())))
+        found = rows.column("rest").combine_chunks()
+        found = found if isinstance(found, pa.StructArray) else pa.concat_arrays(found.chunks)
+        others = found.field("columns")
+        text = pc.if_else(found.field("no_text"), pa.scalar(None, pa.string()), rows.column("text").combine_chunks())
+        return pa.table([text if f.name == "text" else others.field(f.name) for f in schema], names=schema.names)
+
+    out = scratch.keep(blocks.answer_by_block(linked.blocked.select("block", "row", "text", "rest"), later, left, schema), "representatives")
+    linked.drop()
     return out

@@ -125,7 +125,7 @@ def _send(parts: int):
     def fn(key: tuple, docs: pa.Table) -> pa.Table:
         block = key[0].as_py()
         e = Entries(docs, parts)
-        rows = [r for r in range(parts) if e.cut[r + 1] > e.cut[r]]
+        rows = (np.flatnonzero(np.diff(e.cut))).tolist()
         ids = e.smallest - (e.smallest.min() if len(e.smallest) else 0)
         width = 2 if len(ids) == 0 or ids.max() < 1 << 16 else 4 if ids.max() < 1 << 32 else 8
         ids = ids.astype(f"<u{width}")

@@ -127,6 +127,35 @@ def test_jaccard_join_in_parts(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in out} == components(rows)[1]
 
 
+def test_jaccard_join_of_a_chain(spark, monkeypatch):
+    """A chain in which each document links to the next only: rows moved grow with its length, not with its square."""
+    monkeypatch.setattr(jaccard_join, "PART_DOCS", 5)
+    across, sizes = jaccard_join._across, []
+    for n in (40, 80):
+        rows = [(i, " ".join(f"w{k}" for k in range(12 * i, 12 * i + 100))) for i in range(n)]
+        moved = spark.sparkContext.accumulator(0)
+
+        def counted(moved):
+            def run(key, queries, index):
+                moved.add(queries.num_rows + index.num_rows)
+                return across(key, queries, index)
+
+            return run
+
+        monkeypatch.setattr(jaccard_join, "_across", counted(moved))
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {x.doc_id: x.component_id for x in got} == components(rows)[1] == dict.fromkeys(range(n), 0)
+        sizes.append(moved.value)
+    assert 0 < sizes[1] < 3 * sizes[0]
+
+
+def test_representatives(docs, doc_rows):
+    root = components(doc_rows)[1]
+    got = jaccard_join.representatives(docs)
+    assert got.columns == docs.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter(r for r in doc_rows if r[0] is None or root[r[0]] == r[0])
+
+
 def test_jaccard_join_of_nothing(no_docs, spark):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
     blank = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")

@@ -37,6 +37,8 @@ def pack(docs: DataFrame, tag: str, extra: Callable[[pa.Table], dict[str, pa.Arr
     a struct, is carried along.
     """
 
+    carried = rest is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, size, seen = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
@@ -49,7 +51,7 @@ def pack(docs: DataFrame, tag: str, extra: Callable[[pa.Table], dict[str, pa.Arr
             size = int(before[-1] + lengths[-1]) if len(lengths) else size
             out = {"block": pa.array((np.int64(part) << 32) + local), "row": pa.array(np.arange(seen, seen + t.num_rows)), "doc_id": t.column("doc_id"), "text": t.column("text"), **more}
             seen += t.num_rows
-            if rest is not None:
+            if carried:
                 out["rest"] = t.column("rest")
             yield from pa.table(out).to_batches()
 

@@ -10,9 +10,10 @@ aligned in columns.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,13 +35,22 @@ CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 PARAGRAPH_SCOPE = frozenset("table td th caption button object template".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
+#: End tags that reach out of a table cell, and what holds all others in.
+TABLE_ENDS = frozenset("table tr td th tbody thead tfoot body html".split())
+TABLE_SCOPE = ("td", "th", "table")
+#: A quote opens a value only right after the equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)>?", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 NEEDS_ATTRIBUTES = re.compile(r"hidden|style|span|start|value|type|open", re.I)
 
 
+#: Characters a table column is padded to, and levels of indentation, at most: no page grows by more than a constant factor.
+MOST_WIDTH, MOST_INDENTS = 1000, 40
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -60,17 +70,41 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+class Open:
+    """The open elements, and for each tag the places in the stack where it stands."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The topmost place of any of the tags, 0 if none is open."""
+        return max((x[-1] for t in tags if (x := self.at.get(t))), default=0)
+
+    def first_above(self, tags: Iterable[str], place: int) -> int:
+        """The lowest place above ``place`` of any of the tags, 0 if there is none."""
+        found = (x[bisect.bisect_right(x, place)] for t in tags if (x := self.at.get(t)) and x[-1] > place)
+        return min(found, default=0)
+
+
 def tree(source: str) -> Node:
     """Root of the tree; text children are strings."""
     root = Node("#root", {})
-    stack, at = [root], 0
+    stack, at = Open(root), 0
     n = len(source)
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
             break
         if m.start() > at:
-            _text(stack, html.unescape(source[at : m.start()]))
+            stack.nodes[-1].children.append(html.unescape(source[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
@@ -80,71 +114,46 @@ def tree(source: str) -> Node:
             continue
         _imply(stack, tag)
         node = Node(tag, attributes(m[3]) if m[3] else {})
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
+            end = RAW_END[tag].search(source, at)
             content = source[at : end.start()]
             if content:
                 node.children.append(html.unescape(content) if tag in ("textarea", "title") else content)
             at = end.end()
             continue
-        stack.append(node)
+        stack.push(node)
     if at < n:
-        _text(stack, html.unescape(source[at:]))
+        stack.nodes[-1].children.append(html.unescape(source[at:]))
     return root
 
 
-def _text(stack: list[Node], text: str) -> None:
-    top = stack[-1].children
-    if top and isinstance(top[-1], str):
-        top[-1] += text
-    else:
-        top.append(text)
-
-
-def _pop_to(stack: list[Node], i: int) -> None:
-    del stack[i:]
-
-
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: Open, tag: str) -> None:
     if tag in ENDS_PARAGRAPH:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                _pop_to(stack, i)
-                break
-            if stack[i].tag in PARAGRAPH_SCOPE:
-                break
-    if tag in HEADINGS and stack[-1].tag in HEADINGS:
-        stack.pop()
-    if tag == "body" and any(x.tag == "head" for x in stack):
-        _pop_to(stack, next(i for i, x in enumerate(stack) if x.tag == "head"))
-    rule = CLOSES.get(tag)
-    if rule:
-        ends, scope = rule
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ends:
-                cut = i
-            elif stack[i].tag in scope:
-                break
-        if cut is not None:
-            _pop_to(stack, cut)
-
-
-def _close(stack: list[Node], tag: str) -> None:
+        p = stack.last(("p",))
+        if p > stack.last(PARAGRAPH_SCOPE):
+            stack.cut(p)
+    if tag in HEADINGS and stack.nodes[-1].tag in HEADINGS:
+        stack.cut(len(stack.nodes) - 1)
+    if tag == "body" and (head := stack.first_above(("head",), 0)):
+        stack.cut(head)
+    if tag in CLOSES:
+        ends, scope = CLOSES[tag]
+        if place := stack.first_above(ends, stack.last(scope)):
+            stack.cut(place)
+
+
+def _close(stack: Open, tag: str) -> None:
     if tag == "br":
-        stack[-1].children.append(Node("br", {}))
+        stack.nodes[-1].children.append(Node("br", {}))
         return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag or (tag in HEADINGS and stack[i].tag in HEADINGS):
-            _pop_to(stack, i)
-            return
-        if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
-            break
-    if tag == "p":
-        stack[-1].children.append(Node("p", {}))
+    place = stack.last(HEADINGS if tag in HEADINGS else (tag,))
+    if place and (tag in TABLE_ENDS or place >= stack.last(TABLE_SCOPE)):
+        stack.cut(place)
+    elif tag == "p":
+        stack.nodes[-1].children.append(Node("p", {}))
 
 
 def hidden(node: Node) -> bool:
@@ -190,7 +199,7 @@ class Frame:
         if self.gap > 1 and self.lines:
             self.lines.append("")
         self.gap = 0
-        prefix = "".join(self.indent)
+        prefix = "".join(self.indent[-MOST_INDENTS:])
         if self.marker:
             prefix = prefix[: -len(self.marker)] + self.marker
             self.marker = ""
@@ -221,7 +230,7 @@ def _span(value: str | None) -> int:
 
 
 def layout(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table whose cells are (lines, colspan, rowspan): columns padded to their widest single cell."""
+    """Lines of a table whose cells are (lines, colspan, rowspan): columns padded to their widest single cell, MOST_WIDTH characters at most."""
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}
     for row in rows:
@@ -240,7 +249,7 @@ def layout(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     for row_cells in grid:
         for c, (lines, across) in row_cells.items():
             if across == 1:
-                width[c] = max(width.get(c, 0), max((len(x) for x in lines), default=0))
+                width[c] = max(width.get(c, 0), min(MOST_WIDTH, max((len(x) for x in lines), default=0)))
     text = []
     for row_cells in grid:
         for k in range(max((len(x) for x, _ in row_cells.values()), default=0)):
@@ -326,7 +335,7 @@ def render(root: Node) -> str:
                 f._add(line)
             f.block(2)
         elif tag in BLOCKS:
-            nested = tag in ("ul", "ol", "menu") and any(x[0] in ("ul", "ol") for x in lists[:-1][-2:])
+            nested = tag in ("ul", "ol", "menu") and any(x[0] in ("ul", "ol") for x in lists[-3:-1])
             f.block(2 if tag in PARAGRAPHS and not nested else 1)
             if tag in ("ul", "ol", "menu"):
                 lists.pop()

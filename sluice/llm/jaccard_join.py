@@ -423,7 +423,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     schema = StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema])
     rest = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("columns"))
     linked = Linked(docs, rest)
-    later = linked.components().where("doc_id <> component_id").select("block", "row")
+    later = scratch.keep(linked.components().where("doc_id <> component_id").select("block", "row"), "later")
 
     def left(block: int, rows: pa.Table, gone: pa.Table) -> pa.Table:
         rows = rows.filter(pa.array(~np.isin(rows.column("row").to_numpy(), gone.column("row").to_numpy())))
@@ -434,5 +434,6 @@ def representatives(docs: DataFrame) -> DataFrame:
         return pa.table([text if f.name == "text" else others.field(f.name) for f in schema], names=schema.names)
 
     out = scratch.keep(blocks.answer_by_block(linked.blocked.select("block", "row", "text", "rest"), later, left, schema), "representatives")
+    scratch.drop(later)
     linked.drop()
     return out

@@ -43,8 +43,9 @@ _IS = {
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    total = np.add.reduceat(np.append(flags, False).view(np.int8), offsets[:-1], dtype=np.int64) if len(offsets) > 1 else np.zeros(0, np.int64)
+    total[offsets[1:] == offsets[:-1]] = 0
+    return total
 
 
 def _distinct(doc: np.ndarray, value: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +79,7 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     worded = words_in > 0
     out["n_lines"] = np.bincount(line_doc, minlength=n_docs)
     out["n_short_lines"] = np.bincount(line_doc[worded & (words_in < 4)], minlength=n_docs)
-    prefix = scan.prefix_hash(scan.byte_codes(1)[raw])
-    line_hash = scan.span_hash(prefix, begin[worded], end[worded])
+    line_hash = scan.hash_ranges(raw, begin[worded], end[worded], scan.PLAIN.codes)
     lines = np.bincount(line_doc[worded], minlength=n_docs)
     out["n_dup_lines"] = lines - _distinct(line_doc[worded], line_hash, n_docs)[2]
 

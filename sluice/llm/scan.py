@@ -20,6 +20,8 @@ GOLD = U(0x9E3779B97F4A7C15)
 MIX_A = U(0xBF58476D1CE4E5B9)
 MIX_B = U(0x94D049BB133111EB)
 CHUNK_BYTES = 1 << 19
+#: Bytes of a text that are looked at together.
+SEGMENT_BYTES = 1 << 20
 
 #: Separators of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -67,7 +69,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd constant modulo 2**64, and their inverses."""
     have = _POWERS.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = max(n, SEGMENT_BYTES + (1 << 16))
         base, out = int(GOLD) | 1, []
         for x in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, x, U)
@@ -98,6 +100,24 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U) * MIX_B)
 
 
+def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray, segment: int = 0) -> np.ndarray:
+    """``span_hash`` of ascending ranges that do not overlap, a segment of bytes at a time."""
+    segment = segment or SEGMENT_BYTES
+    total = np.zeros(len(start), U)
+    for a in range(0, len(raw), segment):
+        b = min(a + segment, len(raw))
+        i, j = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, b, side="left"))
+        if i >= j:
+            continue
+        s, e = np.maximum(start[i:j], a), np.minimum(end[i:j], b)
+        prefix = prefix_hash(codes[raw[a:b]])
+        part = (prefix[e - a] - prefix[s - a]) * powers(b - a + 1)[1][s - a]
+        if start[i] < a:  # only the first range can have begun before
+            part[0] = U(int(part[0]) * pow(int(GOLD) | 1, int(a - start[i]), 1 << 64) & ((1 << 64) - 1))
+        total[i:j] += part
+    return mix(total + (end - start).astype(U) * MIX_B)
+
+
 class WordRule:
     """Which bytes make words, and what each byte counts as (A-Z lower-cased or not)."""
 
@@ -120,25 +140,37 @@ ALNUM = WordRule(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x8
 
 
 class Words:
-    """Words of consecutive documents: byte ranges, document number and hash of each."""
+    """Words of consecutive documents: byte ranges, document number and hash of each.
+
+    Bytes are looked at in segments, so that beyond the words themselves only
+    a few bytes per byte of a long text are held.
+    """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, rule: WordRule, hashes: bool = True):
         n_docs = len(offsets) - 1
-        isw = rule.is_word[raw]
-        before = np.empty(len(raw), bool)
-        before[1:] = isw[:-1]
-        inner = offsets[:-1][offsets[:-1] < len(raw)]
-        before[inner] = False
-        self.start = np.flatnonzero(isw & ~before)
-        after = np.empty(len(raw), bool)
-        after[:-1] = isw[1:]
-        after[offsets[1:][offsets[1:] > 0] - 1] = False
-        self.end = np.flatnonzero(isw & ~after) + 1
+        start, end = [], []
+        for a in range(0, len(raw), SEGMENT_BYTES):
+            b = min(a + SEGMENT_BYTES, len(raw))
+            isw = rule.is_word[raw[a : b + 1]]  # one byte of the next segment tells whether a word goes on
+            before = np.empty(b - a, bool)
+            before[1:] = isw[: b - a - 1]
+            before[0] = a > 0 and rule.is_word[raw[a - 1]]
+            low, high = np.searchsorted(offsets, [a, b])
+            at = offsets[low:high]
+            before[at[at < b] - a] = False
+            start.append(np.flatnonzero(isw[: b - a] & ~before) + a)
+            after = np.zeros(b - a, bool)
+            after[: len(isw) - 1] = isw[1:]
+            low, high = np.searchsorted(offsets, [a + 1, b + 1])
+            after[offsets[low:high] - 1 - a] = False
+            end.append(np.flatnonzero(isw[: b - a] & ~after) + a + 1)
+        self.start = np.concatenate(start) if start else np.zeros(0, np.int64)
+        self.end = np.concatenate(end) if end else np.zeros(0, np.int64)
         self.bounds = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(n_docs), self.count)
         if hashes:
-            self.hash = span_hash(prefix_hash(rule.codes[raw]), self.start, self.end)
+            self.hash = hash_ranges(raw, self.start, self.end, rule.codes)
 
 
 _GRAM = [mix(np.array([k + 11], U) * GOLD)[0] | U(1) for k in range(64)]

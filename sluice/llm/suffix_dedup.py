@@ -40,7 +40,8 @@ MOST_WINDOWS = 64
 #: Bytes of pieces laid out for one suffix-array batch, and of one text beyond which pieces are cut again.
 BATCH_BYTES = 1 << 20
 LARGE_TEXT, MOST_TURNS = 1500, 8
-SCAN_BYTES = 1 << 17
+#: Bytes of texts scanned together, and of a text that is scanned in ranges of its windows.
+SCAN_BYTES, LONG_TEXT = 1 << 17, 1 << 20
 
 
 def anchor_hashes(raw: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -65,9 +66,15 @@ class Pieces:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         parts: list[tuple[np.ndarray, ...]] = []
         for i, j in scan.chunks(offsets, SCAN_BYTES):
-            got = self._scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if got is not None:
-                parts.append((got[0] + offsets[i], got[1], got[2] + i, got[3], got[4]))
+            begin, end = int(offsets[i]), int(offsets[j])
+            if end - begin <= LONG_TEXT:
+                spans = [(begin, offsets[i : j + 1] - begin)]
+            else:  # one long text, its windows a range at a time
+                spans = [(a, np.array([0, min(a + LONG_TEXT + WINDOW - 1, end) - a])) for a in range(begin, end - WINDOW + 1, LONG_TEXT)]
+            for a, inner in spans:
+                got = self._scan(raw[a : a + inner[-1]], inner)
+                if got is not None:
+                    parts.append((got[0] + a, got[1], got[2] + i, got[3], got[4]))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         self.start, self.windows, self.doc, self.anchor, self.content = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else empty
 
@@ -125,7 +132,7 @@ def _send(parts: int):
     def fn(key: tuple, docs: pa.Table) -> pa.Table:
         block = key[0].as_py()
         e = Entries(docs, parts)
-        rows = (np.flatnonzero(np.diff(e.cut))).tolist()
+        rows = np.flatnonzero(np.diff(e.cut)).tolist()
         ids = e.smallest - (e.smallest.min() if len(e.smallest) else 0)
         width = 2 if len(ids) == 0 or ids.max() < 1 << 16 else 4 if ids.max() < 1 << 32 else 8
         ids = ids.astype(f"<u{width}")
@@ -384,17 +391,17 @@ def _remove(parts: int, with_text: bool):
             a = (p.start[which] + r["start"])[hit]
             np.add.at(step, a, 1)
             np.add.at(step, a + r["windows"][hit] + WINDOW - 1, -1)
-        removed = np.cumsum(step[:-1]) > 0
+        removed = np.cumsum(step[:-1], dtype=np.int32) > 0
         edge = removed.copy()
         edge[1:] &= ~removed[:-1]
         inner = e.offsets[:-1][e.offsets[:-1] < len(removed)]
         edge[inner] = removed[inner]
-        total, spans = np.concatenate([[0], np.cumsum(removed)]), np.concatenate([[0], np.cumsum(edge)])
+        removed_at, edge_at = np.searchsorted(np.flatnonzero(removed), e.offsets), np.searchsorted(np.flatnonzero(edge), e.offsets)
         keep = ~removed
         kept = [e.raw[a:b][keep[a:b]].tobytes() for a, b in zip(e.offsets[:-1], e.offsets[1:], strict=True)]
         out = {
-            "doc_id": e.docs.column("doc_id"), "n_bytes": pa.array(np.diff(e.offsets)), "n_removed": pa.array(np.diff(total[e.offsets])),
-            "n_spans": pa.array(np.diff(spans[e.offsets])), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+            "doc_id": e.docs.column("doc_id"), "n_bytes": pa.array(np.diff(e.offsets)), "n_removed": pa.array(np.diff(removed_at)),
+            "n_spans": pa.array(np.diff(edge_at)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         }
         if with_text:
             out["kept"] = pa.array(kept, pa.binary())

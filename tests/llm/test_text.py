@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import decontaminate, packing, quality_rules, scan, tokens, tool_calls, toxicity, warc
+from sluice.llm import decontaminate, html_text, packing, quality_rules, scan, tokens, tool_calls, toxicity, warc
 from sluice.llm.html_text import visible_text
 
 
@@ -301,7 +302,7 @@ def test_schema_rules():
         ("<ul><li>a<ul><li>b</ul><li>c</ul>", "- a\n  - b\n- c"), ("<ol start=9><li>a<li>b<p>c</ol>", "9. a\n10. b\n\n    c"), ("<table><tr><td>x<td>long cell<tr><td>wider<td>y</table>", "x      long cell\nwider  y"),
         ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r  1\n   2"), ("<p hidden>a</p><p style='display: none'>b</p><script>c</script><style>d</style>e<!-- f -->", "e"), ("<head><title>t</title></head><body>b", "b"),
         ("<pre>\n a\n  b</pre>c", " a\n  b\n\nc"), ("<details><summary>s</summary>h</details><details open><summary>t</summary>v</details>", "s\nt\nv"), ("&lt;b&gt; &amp;&nbsp;x", "<b> & x"), ("</p>a</div></b>b", "ab"),
-        ("<a href='x>y'>t</a", "t"), ("<", "<"), ("<b>x", "x"), ("<td>a<td>b", "ab"), ("<table><tr><td>a<table><tr><td>in</table><td>b</table>", "a   b\n\nin"),
+        ("<a href='x>y'>t</a", "t"), ("<p title=it's>Hello", "Hello"), ('<div class="x"">Hello', "Hello"), ("<a title = 'x>y'>t", "t"), ("<", "<"), ("<b>x", "x"), ("<td>a<td>b", "ab"), ("<table><tr><td>a<table><tr><td>in</table><td>b</table>", "a   b\n\nin"),
     ],
 )
 def test_visible_text(html, text):
@@ -313,3 +314,25 @@ def test_visible_text_of_deep_markup():
     assert visible_text("<ul><li>" * 300 + "x").endswith("- x")
 
 
+@pytest.mark.parametrize("page", ["<b>{n}</i>{n}", "<i><table><td><b>{n}</i>{n}", "<b>{n}<div>{n}", "a</x>{n}", "<ul><li>x{n}", "<p a='{n}", "<option>{n}"])
+def test_visible_text_takes_linear_time(page):
+    """Ten times the markup takes about ten times as long."""
+
+    def seconds(n):
+        source = "".join(x * n for x in page.split("{n}")[:-1]) + page.split("{n}")[-1]
+        began = time.process_time()
+        visible_text(source)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 30 * max(seconds(4_000), 0.02)
+
+
+def test_extract(spark):
+    rows = [(1, "<p>a<p>b", "clash"), (2, None, "x"), (2, None, "x"), (None, "<ul><li>c", None), (3, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = html_text.extract(pages)
+    assert got.columns == pages.columns
+    assert collections.Counter(tuple(r) for r in got.collect()) == collections.Counter((i, h, visible_text(h)) for i, h, _ in rows)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+

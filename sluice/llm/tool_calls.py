@@ -1,10 +1,11 @@
 """Chat formatting: tool calls linked to their results, ordered, validated and serialised.
 
-Messages are rows, and stay rows: calls and results meet in a hash join on
-(conversation, call id), every message is validated and serialised on its own,
-and only the ordering looks at a conversation as a whole. Conversations up to
-LOCAL_MESSAGES messages are ordered one after the other; larger ones by rounds of
-joins over all of them, one round per level of dependency.
+Messages are rows, and stay rows. Linking and ordering work on narrow rows: the
+ids of calls and results meet in a hash join on (conversation, call id), and so
+do calls and the calls they depend on. Conversations up to LOCAL_MESSAGES
+dependencies get their levels one after the other in one sorted pass; larger
+ones by joins over all of them, in which chains of any length are followed by
+pointer doubling. Texts move once, to meet the place of their message.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sluice.llm import scratch
 
 LOCAL_MESSAGES = 10_000
+#: Levels of nesting beyond which arguments count as unparsable.
+MOST_DEPTH = 200
 CALL, RESULT = "call", "result"
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
@@ -71,19 +74,27 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no white space, and numbers in their shortest form."""
+    """JSON with sorted keys, no white space, and numbers in their shortest form; ValueError beyond MOST_DEPTH levels."""
 
-    def plain(x: object) -> object:
+    def plain(x: object, depth: int) -> object:
+        if depth > MOST_DEPTH:
+            raise ValueError("nested too deeply")
         if isinstance(x, float) and x.is_integer() and abs(x) < 1 << 53:
             return int(x)
         if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
-        return [plain(v) for v in x] if isinstance(x, list) else x
+            return {k: plain(v, depth + 1) for k, v in x.items()}
+        return [plain(v, depth + 1) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return json.dumps(plain(value, 0), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def _loads(text: object) -> tuple[object, bool]:
+def _loads(text: object) -> tuple[object, str | None]:
+    """The value of a JSON text and its canonical form; the form is None where the text is not usable JSON.
+
+    Not usable are broken texts, keys that stand twice, numbers that are not
+    finite, more than MOST_DEPTH levels, and strings with half a surrogate pair.
+    """
+
     def unique(pairs: list[tuple[str, object]]) -> dict:
         if len(dict(pairs)) < len(pairs):
             raise ValueError("a key stands twice")
@@ -92,12 +103,46 @@ def _loads(text: object) -> tuple[object, bool]:
     def refuse(name: str) -> object:
         raise ValueError(name)
 
+    def finite(number: str) -> float:
+        if math.isinf(x := float(number)):
+            raise ValueError(number)
+        return x
+
     if not isinstance(text, str):
-        return None, False
+        return None, None
     try:
-        return json.loads(text, object_pairs_hook=unique, parse_constant=refuse), True
+        value = json.loads(text, object_pairs_hook=unique, parse_constant=refuse, parse_float=finite)
+        form = canonical(value)
+        form.encode()
+        return value, form
     except (ValueError, RecursionError):
-        return None, False
+        return None, None
+
+
+def check_schemas(schemas: dict[str, dict]) -> dict[str, dict]:
+    """``schemas``, or ValueError if one holds a pattern that does not compile."""
+    work = [(name, s) for name, s in schemas.items()]
+    while work:
+        name, s = work.pop()
+        if isinstance(s, dict):
+            if isinstance(s.get("pattern"), str):
+                try:
+                    re.compile(s["pattern"])
+                except re.error as e:
+                    raise ValueError(f"schema of {name}: pattern {s['pattern']!r}: {e}") from e
+            work += [(name, v) for v in s.values()]
+        elif isinstance(s, list):
+            work += [(name, v) for v in s]
+    return dict(schemas)
+
+
+KEYS = ["conv_id", "call_id"]
+
+
+def _ids(messages: DataFrame) -> DataFrame:
+    """(conv_id, call_id, has_call, has_result) of every id that a call or result carries."""
+    one = messages.where(F.col("kind").isin(CALL, RESULT)).dropna(subset=KEYS)
+    return one.groupBy(*KEYS).agg(F.bool_or(F.col("kind") == CALL).alias("has_call"), F.bool_or(F.col("kind") == RESULT).alias("has_result"))
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -106,41 +151,47 @@ def link(messages: DataFrame) -> DataFrame:
     Ids link inside a conversation. Several results of a call all link to it;
     a null id or conversation links to nothing.
     """
-    keys = ["conv_id", "call_id"]
-    calls = messages.where(F.col("kind") == CALL).select(*keys).dropna().distinct().withColumn("has_call", F.lit(True))
-    results = messages.where(F.col("kind") == RESULT).select(*keys).dropna().distinct().withColumn("has_result", F.lit(True))
-    out = messages.join(calls, keys, "left").join(results, keys, "left")
+    out = messages.drop("has_call", "has_result").join(_ids(messages).hint("shuffle_hash"), KEYS, "left")
     linked = F.when(F.col("kind") == CALL, F.coalesce("has_result", F.lit(False))).when(F.col("kind") == RESULT, F.coalesce("has_call", F.lit(False)))
     return out.withColumn("linked", linked).drop("has_call", "has_result")
 
 
 def _needs(messages: DataFrame) -> DataFrame:
-    """(conv_id, message, needs): a result needs its call, a call the results of the calls it depends on."""
-    m = messages.select("conv_id", "message", "kind", "call_id", "depends_on")
-    calls = m.where(F.col("kind") == CALL).select("conv_id", "call_id", F.col("message").alias("needs"))
-    results = m.where(F.col("kind") == RESULT).select("conv_id", F.col("call_id").alias("wanted"), F.col("message").alias("needs"))
-    of_results = m.where(F.col("kind") == RESULT).join(calls, ["conv_id", "call_id"]).select("conv_id", "message", "needs")
-    wants = m.where(F.col("kind") == CALL).select("conv_id", "message", F.explode("depends_on").alias("wanted"))
-    return of_results.union(wants.join(results, ["conv_id", "wanted"]).select("conv_id", "message", "needs"))
-
-
-def levels_of_one(needs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(message, level) inside one conversation, by repeatedly taking what needs nothing more; -1 for what is in or behind a cycle."""
-    waits: dict[int, int] = {}
-    then: dict[int, list[int]] = {}
-    for m, n in needs:
-        waits[m] = waits.get(m, 0) + 1
-        waits.setdefault(n, 0)
-        then.setdefault(n, []).append(m)
-    level = {m: 0 for m, w in waits.items() if w == 0}
-    ready = list(level)
-    for m in ready:
-        for x in then.get(m, ()):
+    """(conv_id, call_id, wanted): calls whose results a call waits for; wanted is null for a result that no call in the conversation has.
+
+    Calls that repeat an id are one call, which waits for what any of them waits for.
+    """
+    wants = messages.where(F.col("kind") == CALL).dropna(subset=KEYS).select(*KEYS, F.explode("depends_on").alias("wanted")).distinct()
+    there = _ids(messages).where("has_result").select("conv_id", F.col("call_id").alias("wanted"), "has_call")
+    return wants.join(there.hint("shuffle_hash"), ["conv_id", "wanted"]).select(*KEYS, F.when(F.col("has_call"), F.col("wanted")).alias("wanted"))
+
+
+def levels_of_one(needs: list[tuple[str, str | None]]) -> list[tuple[str, int]]:
+    """(call, level) inside one conversation, by repeatedly taking what waits for nothing more; -1 for what is in or behind a cycle.
+
+    A call is one level above the last result it waits for, a result one above its call.
+    """
+    waits: dict[str, int] = {}
+    then: dict[str, list[str]] = {}
+    level: dict[str, int] = {}
+    for call, wanted in needs:
+        waits.setdefault(call, 0)
+        if wanted is None:
+            level[call] = 1
+        else:
+            waits[call] += 1
+            waits.setdefault(wanted, 0)
+            then.setdefault(wanted, []).append(call)
+    ready = [c for c, w in waits.items() if w == 0]
+    for c in ready:
+        level.setdefault(c, 0)
+        for x in then.get(c, ()):
+            level[x] = max(level.get(x, 0), level[c] + 2)
             waits[x] -= 1
             if waits[x] == 0:
-                level[x] = 1 + level[m]
                 ready.append(x)
-    return [(m, level.get(m, -1)) for m in waits]
+    done = set(ready)
+    return [(c, level[c] if c in done else -1) for c in waits]
 
 
 def _levels_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,53 +199,120 @@ def _levels_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now, held = None, []
     for pdf in frames:
         out = []
-        for conv, m, n in pdf[["conv_id", "message", "needs"]].itertuples(index=False, name=None):
+        for conv, call, wanted in pdf[["conv_id", *KEYS[1:], "wanted"]].itertuples(index=False, name=None):
             if conv != now and held:
                 out += [(now, *x) for x in levels_of_one(held)]
                 held = []
             now = conv
-            held.append((m, n))
-        yield pd.DataFrame(out, columns=["conv_id", "message", "level"])
+            held.append((call, wanted if isinstance(wanted, str) else None))
+        yield pd.DataFrame(out, columns=[*KEYS, "level"])
     if held:
-        yield pd.DataFrame([(now, *x) for x in levels_of_one(held)], columns=["conv_id", "message", "level"])
-
-
-def _levels_by_rounds(needs: DataFrame) -> DataFrame:
-    """The same levels by joins: each round settles the messages all of whose needs are settled."""
-    keys = ["conv_id", "message"]
-    left = scratch.keep(needs, "needs")
-    done = scratch.keep(left.select("conv_id", F.col("needs").alias("message")).join(left.select(*keys), keys, "left_anti").distinct().withColumn("level", F.lit(0)), "levels")
-    level = 0
-    while True:
-        level += 1
-        settled = left.join(done.select("conv_id", F.col("message").alias("needs"), F.lit(True).alias("ok")), ["conv_id", "needs"], "left")
-        fresh = settled.groupBy(*keys).agg(F.every(F.coalesce("ok", F.lit(False))).alias("all")).where("all").select(*keys).withColumn("level", F.lit(level))
-        fresh = scratch.keep(fresh, "fresh")
-        if not fresh.limit(1).count():
+        yield pd.DataFrame([(now, *x) for x in levels_of_one(held)], columns=[*KEYS, "level"])
+
+
+def _followed(single: DataFrame) -> DataFrame:
+    """Calls (call_id, to, c, d) whose level is max(c, level of ``to`` + d), each followed as far as such calls lead.
+
+    Two steps make one of the same form, so every round doubles the length.
+    Calls that lead into a cycle are left pointing at one of its calls.
+    """
+    now, rounds = scratch.keep(single, "single"), 0
+    most = now.count().bit_length() + 1
+    while rounds < most:
+        on = now.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("c").alias("c2"), F.col("d").alias("d2"))
+        more = F.col("to2").isNotNull()
+        after = now.join(on, ["conv_id", "to"], "left").select(
+            *KEYS, F.coalesce("to2", "to").alias("to"), F.when(more, F.greatest(F.col("c"), F.col("c2") + F.col("d"))).otherwise(F.col("c")).alias("c"),
+            F.when(more, F.col("d") + F.col("d2")).otherwise(F.col("d")).alias("d"), more.alias("moved"),
+        )
+        after = scratch.keep(after, "single")
+        scratch.drop(now)
+        now, rounds = after.drop("moved"), rounds + 1
+        now.scratch_path = after.scratch_path
+        if not after.where("moved").limit(1).count():
             break
-        left = scratch.keep(left.join(fresh.select(*keys), keys, "left_anti"), "needs")
-        done = scratch.keep(done.union(fresh), "levels")
-    return done.union(left.select(*keys).distinct().withColumn("level", F.lit(-1)))
+    return now
+
+
+def _levels_by_doubling(needs: DataFrame) -> DataFrame:
+    """The same levels by joins over all conversations at once.
+
+    An edge of call to ``wanted`` says: at least c, and at least the level of
+    ``wanted`` plus d; wanted is null once that level is known. A round takes in
+    what is known, settles calls without open edges, follows calls with a single
+    one by doubling, and leads all edges to where those end. Only calls with
+    several open edges each wait for a further round.
+    """
+    known = F.col("wanted").isNull()
+    edges = needs.select(*KEYS, "wanted", F.when(known, 1).otherwise(0).alias("c"), F.lit(2).alias("d"))
+    leaves = needs.where(~known).select("conv_id", F.col("wanted").alias("call_id")).distinct().join(needs.select(*KEYS).distinct(), KEYS, "left_anti")
+    edges, done, idle = scratch.keep(edges, "edges"), scratch.keep(leaves.withColumn("level", F.lit(0)), "levels"), 0
+    while idle < 2:
+        told = done.select("conv_id", F.col("call_id").alias("wanted"), "level")
+        taken = edges.join(told, ["conv_id", "wanted"], "left")
+        now = F.when(F.col("level").isNotNull(), F.greatest(F.col("c"), F.col("level") + F.col("d"))).otherwise(F.col("c"))
+        taken = taken.select(*KEYS, F.when(F.col("level").isNull(), F.col("wanted")).alias("wanted"), now.alias("c"), "d")
+        taken = scratch.keep(taken.groupBy(*KEYS, "wanted").agg(F.max("c").alias("c"), F.max("d").alias("d")), "taken")
+        node = scratch.keep(taken.groupBy(*KEYS).agg(F.max("c").alias("c"), F.count("wanted").alias("open"), F.max("wanted").alias("to"), F.max(F.when(F.col("wanted").isNotNull(), F.col("d"))).alias("d")), "calls")
+        fresh = node.where("open = 0").select(*KEYS, F.col("c").alias("level"))
+        single = _followed(node.where("open = 1").select(*KEYS, "to", "c", "d"))
+        several = taken.join(node.where("open > 1").select(*KEYS), KEYS, "left_semi")
+        ends = single.select("conv_id", F.col("call_id").alias("wanted"), F.col("to").alias("end"), F.col("c").alias("c2"), F.col("d").alias("d2"))
+        led = several.join(ends, ["conv_id", "wanted"], "left").select(*KEYS, F.coalesce("end", "wanted").alias("wanted"), F.greatest(F.col("c"), F.coalesce(F.col("c2") + F.col("d"), F.lit(0))).alias("c"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
+        after = scratch.keep(led.union(single.select(*KEYS, F.col("to").alias("wanted"), "c", "d")), "edges")
+        both = scratch.keep(done.union(fresh), "levels")
+        idle = 0 if fresh.limit(1).count() else idle + 1
+        scratch.drop(edges, done, taken, node, single)
+        edges, done = after, both
+    out = scratch.keep(done.union(edges.select(*KEYS).distinct().withColumn("level", F.lit(-1))), "levels")
+    scratch.drop(edges, done)
+    return out
+
+
+def _numbered(messages: DataFrame, conversations: DataFrame, by: list[Column]) -> DataFrame:
+    """(message, ordinal) of the messages of large conversations: their place in an order that is dealt by ranges."""
+    order = ["conv_id", *by]
+    rows = messages.join(conversations, "conv_id", "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    rows = scratch.keep(rows.select("conv_id", "message", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("row")), "ordered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    base = rows.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    rows = rows.join(F.broadcast(base), "part").select("conv_id", "message", (F.col("base") + F.col("row")).alias("place"))
+    first = rows.groupBy("conv_id").agg(F.min("place").alias("first"))
+    return rows.join(first, "conv_id").select("message", (F.col("place") - F.col("first")).alias("ordinal"))
 
 
 def order(messages: DataFrame) -> DataFrame:
     """``messages`` with level and ordinal: a topological order of each conversation, ties by position.
 
-    level is 0 for a message that needs nothing, else one more than the last of
-    its needs to be settled; -1 for messages in or behind a cycle, which come last.
+    ``messages`` has conv_id, position, kind, call_id, depends_on and a unique
+    message. level is 0 for a message that waits for nothing, else one more
+    than the last message it waits for; -1 for messages in or behind a cycle,
+    which come last. A call without call_id waits for nothing.
     """
-    needs = _needs(messages).where("conv_id is not null")
-    large = messages.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_MESSAGES).select("conv_id")
     kind = dict(messages.dtypes)["conv_id"]
-    schema = f"conv_id {kind}, message long, level int"
-    local = needs.join(large, "conv_id", "left_anti").repartition("conv_id").sortWithinPartitions("conv_id")
-    levels = local.mapInPandas(_levels_in_order, schema)
-    if large.limit(1).count():
-        levels = levels.union(_levels_by_rounds(needs.join(large, "conv_id", "left_semi")))
-    out = messages.join(levels, ["conv_id", "message"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    count = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.size(F.coalesce("depends_on", F.array().cast("array<string>")))).alias("edges"))
+    large = scratch.keep(count.where((F.col("n") > LOCAL_MESSAGES) | (F.col("edges") > LOCAL_MESSAGES)).select("conv_id"), "large")
+    some = bool(large.limit(1).count())
+    needs = _needs(messages)
+    local = needs.join(large, "conv_id", "left_anti") if some else needs
+    levels = local.repartition("conv_id").sortWithinPartitions("conv_id").mapInPandas(_levels_in_order, f"conv_id {kind}, call_id string, level int")
+    if some:
+        levels = levels.union(_levels_by_doubling(needs.join(large, "conv_id", "left_semi")))
+    waits = _ids(messages).join(levels, KEYS, "left")
+    own = F.coalesce("own_level", F.lit(0))
+    level = F.when(F.col("kind") == CALL, own).when((F.col("kind") == RESULT) & F.col("has_call"), F.when(own < 0, -1).otherwise(own + 1)).otherwise(0)
+    out = messages.drop("has_call", "own_level").join(waits.select(*KEYS, "has_call", F.col("level").alias("own_level")).hint("shuffle_hash"), KEYS, "left").withColumn("level", level.cast("int")).drop("has_call", "own_level")
     last = F.when(F.col("level") < 0, 1).otherwise(0)
-    at = Window.partitionBy("conv_id").orderBy(last, "level", F.col("position").asc_nulls_last(), "message")
-    return out.withColumn("ordinal", (F.row_number().over(at) - 1).cast("long"))
+    by = [last, F.col("level"), F.col("position").asc_nulls_last(), F.col("message")]
+    at = Window.partitionBy("conv_id").orderBy(*by)
+    if not some:
+        return out.withColumn("ordinal", (F.row_number().over(at) - 1).cast("long"))
+    out = scratch.keep(out, "levelled")
+    small = out.where("conv_id is null").unionByName(out.where("conv_id is not null").join(large, "conv_id", "left_anti"))
+    numbers = small.select("message", (F.row_number().over(at) - 1).cast("long").alias("ordinal")).union(_numbered(out, large, by))
+    return out.join(numbers, "message")
 
 
 def format_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -209,7 +327,7 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """
     names = ["conv_id", "position", "kind", "call_id", "name", "arguments", "content", "depends_on"]
     rows = scratch.keep(messages.select(*names).withColumn("message", F.monotonically_increasing_id()), "messages")
-    known = dict(schemas)
+    known = check_schemas(schemas)
 
     @F.pandas_udf("errors array<string>, json string")
     def judged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -217,16 +335,20 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             out = []
             for k, c, n, a, t in zip(kind, call_id, name, arguments, content, strict=True):
                 n = n if isinstance(n, str) else None
-                value, ok = _loads(a)
+                value, form = _loads(a)
                 errors = None
                 if k == CALL:
-                    errors = ["unparsable"] if not ok else ["unknown name"] if n not in known else violations(value, known[n])
-                fields = {"arguments": value if ok else a, "call_id": c, "content": t, "kind": k, "name": n}
-                out.append((errors, canonical({x: v for x, v in fields.items() if v is not None and v == v})))
+                    errors = ["unparsable"] if form is None else ["unknown name"] if n not in known else violations(value, known[n])
+                fields = {"arguments": a, "call_id": c, "content": t, "kind": k, "name": n}
+                parts = {x: json.dumps(v, ensure_ascii=False) for x, v in fields.items() if isinstance(v, str)}
+                if form is not None:
+                    parts["arguments"] = form
+                out.append((errors, "{" + ",".join(f'"{x}":{v}' for x, v in parts.items()) + "}"))
             yield pd.DataFrame(out, columns=["errors", "json"])
 
     text = [F.col(c).cast(StringType()) for c in ("kind", "call_id", "name", "arguments", "content")]
-    out = order(link(rows)).withColumn("judged", judged(*text))
+    places = order(link(rows.select("message", "conv_id", "position", "kind", "call_id", "depends_on"))).select("message", "linked", "level", "ordinal")
+    out = rows.join(places, "message").withColumn("judged", judged(*text))
     errors = F.col("judged.errors")
     return out.select(*names, "linked", "level", "ordinal", F.when(F.col("kind") == CALL, F.size(errors) == 0).alias("valid"), errors.alias("errors"), F.col("judged.json").alias("json"))
 

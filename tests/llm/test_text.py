@@ -288,6 +288,37 @@ def test_tool_calls(spark, monkeypatch, local):
     assert tool_calls.format_messages(messages(spark).limit(0), ADD).count() == 0
 
 
+def test_tool_calls_of_odd_arguments(spark):
+    """Overflowing numbers, deep nesting, half surrogate pairs and doubled keys are unparsable, and crash nothing."""
+    odd = ['{"x": 1e999}', "[" * 5000 + "]" * 5000, '{"x": "\\ud800"}', '{"x": 1, "x": 2}', "NaN", "9" * 5000, ""]
+    rows = [(1, i, "call", f"c{i}", "add", a, None, None) for i, a in enumerate(odd)] + [(1, 99, "result", "c0", None, None, "x" * 300_000, None)]
+    out = tool_calls.format_messages(spark.createDataFrame(rows, MESSAGE), ADD).collect()
+    assert [r.errors for r in sorted(out, key=lambda r: r.position)] == [["unparsable"]] * len(odd) + [None]
+    assert all(json.loads(r.json)["arguments"] == odd[r.position] for r in out if r.kind == "call")
+    with pytest.raises(ValueError, match="pattern"):
+        tool_calls.format_messages(spark.createDataFrame(rows, MESSAGE), {"add": {"properties": {"x": {"pattern": "("}}}})
+
+
+def test_levels_of_long_chains_and_meshes(spark, monkeypatch):
+    """Chains, ladders, repeated ids, cycles and what waits behind them: doubling gives the levels of the local pass."""
+    r = np.random.default_rng(4)
+    rows = [(1, i, "call", f"c{i}", "add", "{}", None, [f"c{i - 1}"]) for i in range(300)] + [(1, 1000 + i, "result", f"c{i}", None, None, "", None) for i in range(299)]
+    for i in range(60):
+        rows += [(2, i, "call", f"m{i}", "add", "{}", None, [f"m{k}" for k in r.integers(0, max(i, 1), 3).tolist()] * bool(i) + ["only"]), (2, 500 + i, "result", f"m{i}", None, None, "", None)]
+    rows += [(2, 700, "result", "only", None, None, "", None), (2, 701, "call", "m5", "add", "{}", None, ["m3"]), (2, 702, "call", None, "add", "{}", None, ["m3"])]
+    for a, b in (("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("v", "v"), ("u", "c1"), ("t", "u")):
+        rows += [(3, len(rows), "call", a, "add", "{}", None, [b, "u"] if a == "w" else [b]), (3, 2000 + len(rows), "result", a, None, None, "", None)]
+    frame = spark.createDataFrame(rows, MESSAGE).coalesce(2).withColumn("message", F.monotonically_increasing_id()).persist()
+    found = {}
+    for local in (10_000, 50):
+        monkeypatch.setattr(tool_calls, "LOCAL_MESSAGES", local)
+        found[local] = sorted((x.conv_id, x.position, x.level, x.ordinal) for x in tool_calls.order(frame).collect())
+    assert found[50] == found[10_000]
+    level = {(c, p): k for c, p, k, _ in found[50]}
+    assert [level[1, i] for i in range(300)] == [2 * i for i in range(300)] and level[2, 0] == 1 and level[2, 1] == 3 and level[2, 702] == 0
+    assert sorted(o for c, _, _, o in found[50] if c == 1) == list(range(599))
+
+
 def test_schema_rules():
     v = tool_calls.violations
     assert v([1, "a"], {"type": "array", "items": {"type": "integer"}, "maxItems": 1}) == ["$: items", "$[1]: type"]

@@ -26,8 +26,8 @@ from sluice.llm import scan, scratch
 from sluice.llm.gsaca import spread
 
 SHARD_BYTES = 4 << 20
-#: Benchmark text of one query block; a larger benchmark is answered in several.
-QUERY_BYTES = 8 << 20
+#: Benchmark words of one query block; a larger benchmark is answered in several.
+QUERY_WORDS = 1 << 20
 WINDOW_WORDS = 10
 INDEX = "shard long, terms binary, starts binary, positions binary, doc_ids array<long>, counts array<int>"
 
@@ -67,23 +67,38 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 
 class Phrases:
-    """A bounded block of phrases: hashed words, and the items each phrase stands for."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW_WORDS):
-        found: dict[bytes, set[str]] = {}
-        for item, text in items:
-            if item is None or not text:
-                continue
-            raw = np.frombuffer(text.encode(), np.uint8)
-            h = scan.Words(raw, np.array([0, len(raw)]), scan.ALNUM).hash
+    """A bounded block of phrases: each a range of one run of hashed words, and the items it stands for."""
+
+    def __init__(self, runs: list[tuple[str, np.ndarray]], window: int = WINDOW_WORDS):
+        """``runs`` are items with their hashed words; a run is cut into all its windows, a shorter one is a phrase as a whole."""
+        self.names = sorted({name for name, h in runs if len(h)})
+        number = {name: k for k, name in enumerate(self.names)}
+        word, start, length, key, item = [], [], [], [], []
+        begin = 0
+        for name, h in runs:
             size = min(window, len(h))
-            for k in range(len(h) - size + 1 if size else 0):
-                found.setdefault(h[k : k + size].tobytes(), set()).add(str(item))
-        self.items = [sorted(x) for x in found.values()]
-        self.words = [np.frombuffer(x, np.uint64) for x in found]
-        self.length = np.array([len(x) for x in self.words], np.int64)
-        self.terms, self.at = np.unique(np.concatenate(self.words), return_inverse=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.start = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
+            if not size:
+                continue
+            word.append(h)
+            start.append(begin + np.arange(len(h) - size + 1))
+            length.append(np.full(len(h) - size + 1, size, np.uint8))
+            key.append(scan.mix(scan.gram_hash(h, size) + np.uint64(size)))
+            item.append(np.full(len(h) - size + 1, number[name], np.int32))
+            begin += len(h)
+        self.terms, self.at = np.unique(np.concatenate(word), return_inverse=True) if word else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.at = self.at.astype(np.int32)
+        key, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, item))
+        o = np.lexsort((item, key))
+        s = scan.group_starts(key[o])
+        self.start = (np.concatenate(start)[o[s]] if start else np.zeros(0)).astype(np.int32)
+        self.length = np.concatenate(length)[o[s]].astype(np.int64) if length else np.zeros(0, np.int64)
+        pair = scan.group_starts(key[o], item[o])
+        self.item, self.item_start = item[o[pair]], np.append(np.searchsorted(pair, s), len(pair))
+
+    def items_of(self, phrases: np.ndarray) -> list[str]:
+        """Names of the items of any of the phrases, in order."""
+        k, _ = spread(self.item_start[phrases], self.item_start[phrases + 1] - self.item_start[phrases])
+        return [self.names[x] for x in np.unique(self.item[k]).tolist()]
 
 
 class Shard:
@@ -115,72 +130,92 @@ class Shard:
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_start, position, side="right") - 1
 
+    def _candidates(self, q: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases all of whose terms the shard has; and their terms, rarest first: offset in the phrase, list, and where each phrase's begin."""
+        number, length = self.lists(q.terms)
+        absent = np.concatenate([[0], np.cumsum(length[q.at] == 0, dtype=np.int32)])
+        full = np.flatnonzero(absent[q.start + q.length] == absent[q.start])
+        place, which = spread(q.start[full].astype(np.int64), q.length[full])
+        term = q.at[place]
+        o = np.lexsort((length[term], which))
+        return full, (place - q.start[full][which])[o], number[term[o]], np.concatenate([[0], np.cumsum(q.length[full])]).astype(np.int64)
+
     def phrase(self, q: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, first token position) of every exact match that stays inside one document."""
-        number, length = self.lists(q.terms)
-        number, length = number[q.at], length[q.at]
         if not len(q.length) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        full = np.flatnonzero(np.minimum.reduceat(length, q.start[:-1]) > 0)
-        phrase = np.repeat(np.arange(len(q.length)), q.length)
-        order = np.lexsort((length, phrase))  # terms of each phrase, rarest first
-        rarest = order[q.start[full]]
-        k, which = spread(self.starts[number[rarest]], length[rarest])
-        of = full[which]
-        at = self.positions[k] - (rarest - q.start[full])[which]
-        for rank in range(1, int(q.length.max(initial=1))):
-            more = q.length[of] > rank
-            term = order[q.start[of[more]] + rank]
+        full, offset, number, begin = self._candidates(q)
+        rarest = begin[:-1]
+        k, of = spread(self.starts[number[rarest]], self.starts[number[rarest] + 1] - self.starts[number[rarest]])
+        at = self.positions[k] - offset[rarest][of]
+        size = q.length[full]
+        for rank in range(1, int(size.max(initial=1))):
+            more = size[of] > rank
+            term = begin[of[more]] + rank
             ok = np.ones(len(of), bool)
-            ok[more] = self.holds(number[term], at[more] + term - q.start[of[more]])
+            ok[more] = self.holds(number[term], at[more] + offset[term])
             of, at = of[ok], at[ok]
-        inside = (at >= 0) & (at + q.length[of] <= self.n)
+        inside = (at >= 0) & (at + size[of] <= self.n)
         of, at = of[inside], at[inside]
-        one = self.doc_of(at) == self.doc_of(at + q.length[of] - 1)
-        return of[one], at[one]
+        one = self.doc_of(at) == self.doc_of(at + size[of] - 1)
+        return full[of[one]], at[one]
 
     def near(self, q: Phrases, within: int) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, position) of each occurrence of a phrase's rarest term with all its other terms at most ``within`` tokens away in the same document."""
-        number, length = self.lists(q.terms)
-        number, length = number[q.at], length[q.at]
         if not len(q.length) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        full = np.flatnonzero(np.minimum.reduceat(length, q.start[:-1]) > 0)
-        phrase = np.repeat(np.arange(len(q.length)), q.length)
-        order = np.lexsort((length, phrase))
-        rarest = order[q.start[full]]
-        k, which = spread(self.starts[number[rarest]], length[rarest])
-        of, at = full[which], self.positions[k]
+        full, _, number, begin = self._candidates(q)
+        rarest, size = begin[:-1], q.length[full]
+        k, of = spread(self.starts[number[rarest]], self.starts[number[rarest] + 1] - self.starts[number[rarest]])
+        at = self.positions[k]
         self.holds(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for rank in range(1, int(q.length.max(initial=1))):
-            more = np.flatnonzero(q.length[of] > rank)
-            term = number[order[q.start[of[more]] + rank]]
+        for rank in range(1, int(size.max(initial=1))):
+            more = np.flatnonzero(size[of] > rank)
+            term = number[begin[of[more]] + rank]
             doc = self.doc_of(at[more])
             low = np.maximum(at[more] - within, self.doc_start[doc])
             high = np.minimum(at[more] + within, self.doc_start[doc + 1] - 1)
             ok = np.ones(len(of), bool)
             ok[more] = np.searchsorted(self._keys, term * self.n + low, "left") < np.searchsorted(self._keys, term * self.n + high, "right")
             of, at = of[ok], at[ok]
-        return of, at
+        return full[of], at
 
 
-def query_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = QUERY_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark in blocks of at most ``most`` bytes of text, one at a time."""
-    block: list[tuple[object, str | None]] = []
+def _words(text: str | None) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return scan.Words(raw, np.array([0, len(raw)]), scan.ALNUM).hash
+
+
+def query_blocks(benchmark: DataFrame, window: int = WINDOW_WORDS, most: int = QUERY_WORDS, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[str, np.ndarray]]]:
+    """The benchmark as items and their hashed words, in blocks of at most ``most`` words, one at a time.
+
+    An item that does not fit is continued in the next block, over the words
+    that windows across the border need. Items without id or words are left out.
+    """
+    block: list[tuple[str, np.ndarray]] = []
     size = 0
-    for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        if block and size + len(row.t or "") > most:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += len(row.t or "")
+    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null").toLocalIterator():
+        h, at = _words(row.t), 0
+        while at < len(h):
+            if block and most - size < min(window, len(h) - at):
+                yield block
+                block, size = [], 0
+            part = h[at : at + max(window, most - size)]
+            block.append((row.i, part))
+            size += len(part)
+            at = len(h) if at + len(part) >= len(h) else at + len(part) - window + 1
     yield block
 
 
 def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """(shard, ordinal, spans, items): the matched token spans of each document with any, and the items matched."""
-    spark, out = index.sparkSession, None
-    for block in query_blocks(benchmark):
+    """Stored (shard, ordinal, spans, items): the matched token spans of each document with any, and the items matched.
+
+    Each block of the benchmark is sent out, answered in one pass over the
+    index, and withdrawn before the next one.
+    """
+    spark, schema = index.sparkSession, "shard long, ordinal int, spans binary, items array<string>"
+    path = scratch.fresh(spark, "matches")
+    for block in query_blocks(benchmark, window):
         sent = spark.sparkContext.broadcast(Phrases(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -197,12 +232,12 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW_
                     yield pa.RecordBatch.from_pydict({
                         "shard": pa.array([row["shard"]] * len(rows), pa.int64()), "ordinal": pa.array(doc[cut], pa.int32()),
                         "spans": pa.array([np.stack([at[a:b], at[a:b] + q.length[of[a:b]]]).astype("<u4").tobytes() for a, b in rows], pa.binary()),
-                        "items": pa.array([sorted({x for k in set(of[a:b].tolist()) for x in q.items[k]}) for a, b in rows], pa.list_(pa.string())),
+                        "items": pa.array([q.items_of(np.unique(of[a:b])) for a, b in rows], pa.list_(pa.string())),
                     })
 
-        part = index.select("shard", "terms", "starts", "positions", "counts").mapInArrow(run, "shard long, ordinal int, spans binary, items array<string>")
-        out = part if out is None else out.union(part)
-    return out
+        scratch.add(index.select("shard", "terms", "starts", "positions", "counts").mapInArrow(run, schema), path)
+        sent.destroy()
+    return scratch.stored(spark, path, schema)
 
 
 def proximity_matches(index: DataFrame, phrases: list[tuple[object, str]], within: int) -> DataFrame:
@@ -210,7 +245,7 @@ def proximity_matches(index: DataFrame, phrases: list[tuple[object, str]], withi
 
     ``phrases`` is a bounded query list; a phrase of more than ten words is cut into windows of ten.
     """
-    sent = index.sparkSession.sparkContext.broadcast(Phrases(phrases))
+    sent = index.sparkSession.sparkContext.broadcast(Phrases([(str(i), _words(t)) for i, t in phrases if i is not None]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -219,7 +254,7 @@ def proximity_matches(index: DataFrame, phrases: list[tuple[object, str]], withi
                 shard = Shard(row["terms"], row["starts"], row["positions"], row["counts"])
                 of, at = shard.near(q, within)
                 doc = shard.doc_of(at)
-                hits = [(x, row["doc_ids"][d], int(a - shard.doc_start[d])) for k, a, d in zip(of.tolist(), at, doc, strict=True) for x in q.items[k]]
+                hits = [(x, row["doc_ids"][d], int(a - shard.doc_start[d])) for k, a, d in zip(of, at, doc, strict=True) for x in q.items_of(np.array([k]))]
                 i, d, p = zip(*hits, strict=True) if hits else ((), (), ())
                 yield pa.RecordBatch.from_pydict({"item": pa.array(i, pa.string()), "doc_id": pa.array(d, pa.int64()), "position": pa.array(p, pa.int32())})
 
@@ -252,14 +287,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     match nothing; repeated items count once. Further columns are ignored.
     """
     index = build_index(docs)
-    matches = phrase_matches(index, benchmark, window).groupBy("shard", "ordinal").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = phrase_matches(index, benchmark, window)
+    matches = found.groupBy("shard", "ordinal").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     matches = matches.select("shard", "ordinal", _covered("spans").alias("n_hit"), "items")
     rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "counts")).alias("ordinal", "d")).select("shard", "ordinal", F.col("d.doc_ids").alias("doc_id"), F.col("d.counts").cast("long").alias("n_words"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     out = rows.join(matches, ["shard", "ordinal"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), items_digest(items).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
     out = scratch.keep(out, "contamination")
-    scratch.drop(index)
+    scratch.drop(index, found)
     return out
 
 

@@ -16,10 +16,12 @@ _OWN: dict[str, str] = {}
 
 
 def base(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and driver and executors are one process."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="sluice-")
     return _OWN["dir"]
@@ -38,6 +40,18 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def add(df: DataFrame, path: str) -> None:
+    """Write the rows of ``df`` beside those that ``path`` has."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``."""
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
 def keep_bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key``: grouping by it later moves no rows."""
     spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"

@@ -158,8 +158,37 @@ def test_proximity(spark):
 
 
 def test_query_blocks(spark):
-    bench = spark.createDataFrame([(i, "x" * 10) for i in range(5)], "item_id long, text string").coalesce(1)
-    assert [len(b) for b in decontaminate.query_blocks(bench, most=25)] == [2, 2, 1]
+    """Every window of an item stands in some block, however the words are cut."""
+    texts = {"a": "a b c d e", "b": " ".join(f"w{i}" for i in range(23)), "c": "one", "d": "", "e": None}
+    bench = spark.createDataFrame([*texts.items(), (None, "x y")], "item_id string, text string").coalesce(1)
+    want = {}
+    for i, t in texts.items():
+        h = decontaminate._words(t)
+        n = min(4, len(h))
+        want[i] = {h[k : k + n].tobytes() for k in range(len(h) - n + 1 if n else 0)}
+    for most in (4, 7, 1000):
+        got = {i: set() for i in texts}
+        for block in decontaminate.query_blocks(bench, window=4, most=most):
+            assert sum(len(h) for _, h in block) <= most
+            for i, h in block:
+                n = min(4, len(h))
+                got[i] |= {h[k : k + n].tobytes() for k in range(len(h) - n + 1)}
+        assert got == want
+
+
+def test_contamination_in_many_blocks(spark, docs, doc_rows, monkeypatch):
+    words = alnum(doc_rows[7][1])
+    bench = spark.createDataFrame([(1, " ".join(words[:40])), (2, " ".join(words[20:60]).upper()), (3, "hello there")], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contamination(docs, bench).drop("items").collect()), key=repr)
+    monkeypatch.setattr(decontaminate.query_blocks, "__defaults__", (10, 12, "item_id", "text"))
+    assert sorted(map(tuple, decontaminate.contamination(docs, bench).drop("items").collect()), key=repr) == whole
+
+
+def test_phrases_stay_small():
+    """Two million benchmark words: a few dozen bytes a word."""
+    h = np.random.default_rng(1).integers(0, 1 << 62, 1 << 17).astype(np.uint64)
+    q = decontaminate.Phrases([("x", h)])
+    assert sum(x.nbytes for x in vars(q).values() if isinstance(x, np.ndarray)) < 48 * len(h)
 
 
 VOCABULARY = public_tokenizers.path(packing.VOCABULARY)

@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 from sluice.llm import scan, scratch
 
 BLOCK_BYTES = 4 << 20
+#: What a row counts besides its text, so that blocks of empty texts end too.
+ROW_BYTES = 64
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -45,7 +47,7 @@ def pack(docs: DataFrame, tag: str, extra: Callable[[pa.Table], dict[str, pa.Arr
             t = pa.Table.from_batches([batch])
             t = t.set_column(1, "text", pc.fill_null(t.column("text"), ""))
             more = extra(t) if extra else {}
-            lengths = pc.binary_length(t.column("text")).to_numpy()
+            lengths = pc.binary_length(t.column("text")).to_numpy() + ROW_BYTES
             before = size + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
             local = before // block_bytes
             size = int(before[-1] + lengths[-1]) if len(lengths) else size

@@ -68,9 +68,14 @@ def drop(*tables: DataFrame) -> None:
         if name := getattr(t, "scratch_table", None):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         elif path := getattr(t, "scratch_path", None):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders with all they hold."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,20 +1,23 @@
 """WARC archives with payload de-duplication, and a two-level capture index over them.
 
-Archives are sequences of gzip members, one record each, and are kept as table
-rows of bounded size (``export_files`` writes them out as .warc.gz files). The
-index sorts captures by reversed-host URL key into compressed blocks of lines;
-a sparse directory holds the first key of each block. A lookup finds its block
-in the directory, searches the block's lines by bisection and reads only the
-byte range of the record.
+Archives are .warc.gz files of bounded size in a folder that the cluster shares,
+sequences of gzip members with one record each. The index sorts captures by
+reversed-host URL key into compressed blocks of lines, in one file per range of
+keys; a sparse directory holds the first capture and the byte range of each
+block. A lookup finds its block by bisection in the directory, reads and
+bisects that block alone, and reads only the byte range of the record.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import contextlib
+import dataclasses
 import gzip
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -22,10 +25,10 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import scratch
+from sluice.llm import blocks, scan, scratch
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 300
@@ -107,69 +110,89 @@ def members(archive: bytes, step: int = 1 << 15) -> Iterator[tuple[int, int, byt
         at = end
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """(page_id, sha, first): for each page the smallest page_id with the same payload."""
-    small = pages.select(F.col("page_id").cast("long").alias("page_id"), _sha("html").alias("sha"))
-    first = small.groupBy("sha").agg(F.min("page_id").alias("first"))
-    return small.distinct().join(first, "sha")
+def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a URI that the executors share and pyarrow knows."""
+    return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def _payload(html: str) -> Column:
-    return F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
+@contextlib.contextmanager
+def _written(uri: str) -> Iterator[pa.NativeFile]:
+    """A new file that appears under its name when it is complete, so that a repeated task does no harm."""
+    fs, path = _file_system(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part, compression=None) as f:
+        yield f
+    fs.move(part, path)
 
 
 def _sha(html: str) -> Column:
-    return F.sha1(_payload(html))
+    return F.sha1(F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8"))
 
 
-def write_archives(pages: DataFrame) -> DataFrame:
-    """Stored archives (archive, content) holding one record per row of ``pages``.
+def _archive(folder: str, name: str) -> str:
+    return f"{folder}/{name}.warc.gz"
+
+
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Write ``folder``/*.warc.gz with one record per row of ``pages``; returns the stored index entries of the records.
 
     A null html is an empty payload, a null url an empty target. Of the rows
     with equal payloads the one with the smallest page_id is the response and
     the others are revisits of it; rows without page_id are revisits wherever a
-    numbered row has their payload. Other columns are ignored.
+    numbered row has their payload. Other columns are ignored. Only digests are
+    shuffled, payloads stay in the block that becomes their archive.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"archive": pa.array([f"{part:06d}-{serial:06d}"]), "content": pa.array([b"".join(held)], pa.binary())})
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                other = row["first"] is not None and row["first"] != row["page_id"]
-                held.append(record(row["page_id"], row["url"], row["payload"], row["first"] if other else None))
-                size += len(held[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield flush()
-                    serial, held, size = serial + 1, [], 0
-        if held:
-            yield flush()
-
-    role = roles(pages).toDF("role_sha", "role_page", "first")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload("html").alias("payload"), _sha("html").alias("sha"))
-    rows = rows.join(role, F.col("page_id").eqNullSafe(F.col("role_page")) & (F.col("sha") == F.col("role_sha"))).select("page_id", "url", "payload", "first")
-    return scratch.keep(rows.mapInArrow(run, "archive string, content binary"), "archives")
-
-
-def captures(archives: DataFrame) -> DataFrame:
-    """One index entry per record, from reading the archives forward."""
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").cast("string").alias("url"), _sha("html").alias("sha"))
+    blocked = blocks.pack(rows, "pages", rest=F.struct("url", "sha"), block_bytes=ARCHIVE_BYTES)
+    small = blocked.select("block", "row", F.col("doc_id").alias("page_id"), "rest.sha")
+    first = scratch.keep(small.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1 and first is not null").drop("times"), "first")
+    revisits = scratch.keep(small.join(first, "sha").where("page_id is null or page_id <> first").select("block", "row", "first"), "revisits")
+
+    def write(block: int, rows: pa.Table, told: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        first = dict(zip(told.column("row").to_pylist(), told.column("first").to_pylist(), strict=True))
+        name, at, out = f"{block >> 32:06d}-{block & 0xFFFFFFFF:06d}", 0, []
+        with _written(_archive(folder, name)) as f:
+            for row, page_id, text, url in zip(rows.column("row").to_pylist(), rows.column("doc_id").to_pylist(), rows.column("text"), rows.column("rest").combine_chunks().field("url").to_pylist(), strict=True):
+                payload = text.as_py().encode()
+                data = record(page_id, url, payload, first.get(row))
+                f.write(data)
+                out.append({"key": surt(_header(url)), "stamp": STAMP, "archive": name, "offset": at, "length": len(data), "digest": digest(payload), "type": "revisit" if row in first else "response", "page_id": page_id})
+                at += len(data)
+        return pa.Table.from_pylist(out, schema=_ENTRY)
+
+    entries = scratch.keep(blocks.answer_by_block(blocked, revisits, write, ENTRY), "entries")
+    scratch.drop(blocked, first, revisits)
+    return entries
+
+
+def captures(spark: SparkSession, folder: str) -> DataFrame:
+    """One index entry per record of the archives of a folder, from reading them forward."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, rows = path.rsplit("/", 1)[1].removesuffix(".warc.gz"), []
                 for offset, length, data in members(content):
                     r = parse(data)
-                    rows.append({"key": surt(r["url"]), "stamp": "".join(c for c in CAPTURED if c.isdigit()), "archive": name, "offset": offset, "length": length, "digest": r["digest"], "type": r["type"], "page_id": r["page_id"]})
+                    rows.append({"key": surt(r["url"]), "stamp": STAMP, "archive": name, "offset": offset, "length": length, "digest": r["digest"], "type": r["type"], "page_id": r["page_id"]})
                 yield from pa.Table.from_pylist(rows, schema=_ENTRY).to_batches()
 
-    return archives.select("archive", "content").mapInArrow(run, ENTRY)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return files.select("path", "content").mapInArrow(run, ENTRY)
 
 
+STAMP = "".join(c for c in CAPTURED if c.isdigit())
 _ENTRY = pa.schema([("key", pa.string()), ("stamp", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("page_id", pa.int64())])
+DIRECTORY = "shard int, block int, key string, stamp string, page_id long, last_key string, last_stamp string, last_page_id long, offset long, length long, lines int"
+
+#: Order of captures: key, stamp, page; a capture without page comes first.
+Place = tuple[str, str, bool, int]
+
+
+def _place(key: str, stamp: str, page_id: int | None) -> Place:
+    return key, stamp, page_id is not None, page_id or 0
 
 
 def line(entry: dict) -> str:
@@ -182,100 +205,181 @@ def entry_of(text: str) -> dict:
     return {"key": key, "stamp": stamp} | json.loads(rest)
 
 
-def build_index(entries: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Stored index blocks (first_key, last_key, lines, content): sorted capture lines, compressed."""
+def _line_place(text: str) -> Place:
+    e = entry_of(text)
+    return _place(e["key"], e["stamp"], e["page_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, str]] = []
 
-        def flush(rows: list[tuple[str, str]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"first_key": pa.array([rows[0][0]]), "last_key": pa.array([rows[-1][0]]), "lines": pa.array([len(rows)], pa.int32()), "content": pa.array([gzip.compress("\n".join(x for _, x in rows).encode(), 6, mtime=0)], pa.binary())})
+@dataclasses.dataclass
+class Index:
+    """Files of index blocks in ``folder``, and the directory: a stored table with one row per block."""
 
-        for batch in batches:
-            for e in batch.to_pylist():
-                held.append((e["key"], line(e)))
+    folder: str
+    directory: DataFrame
+
+
+def _shard(folder: str, number: int) -> str:
+    return f"{folder}/index-{number:06d}.gz"
+
+
+def build_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> Index:
+    """Write the capture index of ``entries``: sorted lines in compressed blocks, one file per range of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, at, found = TaskContext.get().partitionId(), [], 0, []
+
+        def flush(f: pa.NativeFile) -> int:
+            data = gzip.compress("\n".join(map(line, held)).encode(), 6, mtime=0)
+            f.write(data)
+            a, b = held[0], held[-1]
+            found.append({
+                "shard": part, "block": len(found), "key": a["key"], "stamp": a["stamp"], "page_id": a["page_id"], "last_key": b["key"], "last_stamp": b["stamp"], "last_page_id": b["page_id"],
+                "offset": at, "length": len(data), "lines": len(held),
+            })
+            held.clear()
+            return len(data)
+
+        rows = (e for batch in batches for e in batch.to_pylist())
+        first = next(rows, None)
+        if first is None:
+            return
+        held.append(first)
+        with _written(_shard(folder, part)) as f:
+            for e in rows:
                 if len(held) == block_lines:
-                    yield flush(held)
-                    held = []
-        if held:
-            yield flush(held)
+                    at += flush(f)
+                held.append(e)
+            flush(f)
+        yield pa.RecordBatch.from_pylist(found, schema=_DIRECTORY)
 
-    order = ["key", "archive", "offset"]
+    order = ["key", "stamp", "page_id", "archive", "offset"]
     ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order)
-    return scratch.keep(ranged.mapInArrow(run, "first_key string, last_key string, lines int, content binary"), "captures")
+    return Index(folder, scratch.keep(ranged.mapInArrow(run, DIRECTORY), "directory"))
 
 
-def index_entries(index: DataFrame) -> DataFrame:
-    """Entries back from the index blocks."""
+_DIRECTORY = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("key", pa.string()), ("stamp", pa.string()), ("page_id", pa.int64()), ("last_key", pa.string()), ("last_stamp", pa.string()), ("last_page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                yield from pa.Table.from_pylist([entry_of(x) for x in gzip.decompress(content).decode().split("\n")], schema=_ENTRY).to_batches()
 
-    return index.select("content").mapInArrow(run, ENTRY)
+class Blocks:
+    """Blocks of one index file, found by bisection in its part of the directory and read by byte range, the last one kept."""
 
+    def __init__(self, file: pa.NativeFile, directory: list[dict]):
+        self.file, self.rows = file, directory
+        self.first = [_place(r["key"], r["stamp"], r["page_id"]) for r in directory]
+        self.now, self.lines = -1, []
 
-def lookup(index: DataFrame, archives: DataFrame, url: str) -> list[dict]:
-    """Records captured for one URL, by directory, block and byte range.
+    def read(self, k: int) -> list[str]:
+        if k != self.now:
+            self.file.seek(self.rows[k]["offset"])
+            self.now, self.lines = k, gzip.decompress(self.file.read(self.rows[k]["length"])).decode().split("\n")
+        return self.lines
 
-    The directory is the two key columns of the index table, which Parquet reads
-    without the blocks; the filter on them skips row groups by their statistics.
+    def between(self, low: tuple, high: tuple) -> Iterator[dict]:
+        """Entries from ``low`` to ``high``, both included; they may be beginnings of a place."""
+        k = max(bisect.bisect_left(self.first, low) - 1, 0)
+        while k < len(self.rows) and self.first[k][: len(high)] <= high:
+            lines = self.read(k)
+            for i in range(bisect.bisect_left(lines, low, key=_line_place), len(lines)):
+                if _line_place(lines[i])[: len(high)] > high:
+                    return
+                yield entry_of(lines[i])
+            k += 1
+
+
+def resolve(index: Index, wanted: DataFrame) -> DataFrame:
+    """(archive, offset, length) of the captures of ``wanted`` (key, stamp, page_id), each wanted capture given once.
+
+    The files that can hold a capture are found by bisection in their first and
+    last captures, of which there is one row per file; then each file's part of
+    the directory meets its wanted captures, which are bisected in order.
     """
-    key = surt(url)
-    blocks = index.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("content")
-    found = []
-    for row in blocks.toLocalIterator():  # the blocks that can hold one key
-        lines = gzip.decompress(row.content).decode().split("\n")
-        at = bisect.bisect_left(lines, f"{key} ")
-        while at < len(lines) and lines[at].startswith(f"{key} "):
-            found.append(entry_of(lines[at]))
-            at += 1
-    out = []
-    for e in found:
-        part = archives.where(F.col("archive") == e["archive"]).select(F.substring("content", e["offset"] + 1, e["length"]).alias("member")).first().member
-        out.append(parse(gzip.decompress(part)))
+    bound = lambda prefix: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("key", "stamp", "page_id")])
+    files = index.directory.groupBy("shard").agg(F.min_by(bound(""), "block").alias("first"), F.max_by(bound("last_"), "block").alias("last")).orderBy("shard").collect()
+    shards, first, last = [r.shard for r in files], [_place(*r.first) for r in files], [_place(*r.last) for r in files]
+    folder = index.folder
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, stamp, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = _place(key, stamp, page_id)
+                rows += [(shards[k], key, stamp, page_id) for k in range(bisect.bisect_left(last, p), bisect.bisect_right(first, p))]
+            s, k, t, i = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(s, pa.int32()), "key": pa.array(k, pa.string()), "stamp": pa.array(t, pa.string()), "page_id": pa.array(i, pa.int64())})
+
+    def find(key: tuple, asked: pa.Table, directory: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and directory.num_rows:
+            fs, path = _file_system(_shard(folder, key[0].as_py()))
+            with fs.open_input_file(path) as f:
+                held = Blocks(f, directory.sort_by("block").to_pylist())
+                for p in sorted(_place(*row) for row in zip(*(asked.column(c).to_pylist() for c in ("key", "stamp", "page_id")), strict=True)):
+                    found += held.between(p, p)
+        return pa.table({"archive": pa.array([e["archive"] for e in found], pa.string()), "offset": pa.array([e["offset"] for e in found], pa.int64()), "length": pa.array([e["length"] for e in found], pa.int64())})
+
+    routed = wanted.select("key", "stamp", "page_id").mapInArrow(route, "shard int, key string, stamp string, page_id long")
+    return routed.groupBy("shard").cogroup(index.directory.groupBy("shard")).applyInArrow(find, "archive string, offset long, length long")
+
+
+def lookup(index: Index, archives: str, url: str) -> list[dict]:
+    """Records captured for one URL, by directory, block and byte range."""
+    key, out = surt(url), []
+    rows = index.directory.where((F.col("key") <= key) & (F.col("last_key") >= key)).orderBy("shard", "block")
+    for row in rows.toLocalIterator():  # the blocks that can hold one key
+        fs, path = _file_system(_shard(index.folder, row.shard))
+        with fs.open_input_file(path) as f:
+            found = list(Blocks(f, [row.asDict()]).between((key,), (key,)))
+        for e in found:
+            fs, path = _file_system(_archive(archives, e["archive"]))
+            with fs.open_input_file(path) as f:
+                f.seek(e["offset"])
+                out.append(parse(gzip.decompress(f.read(e["length"]))))
     return out
 
 
-def read_back(archives: DataFrame, entries: DataFrame) -> DataFrame:
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+_RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
+
+
+def read_back(archives: str, entries: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every entry, from its byte range."""
 
-    def run(key: tuple, stored: pa.Table, wanted: pa.Table) -> pa.Table:
-        content = stored.column("content")[0].as_py() if stored.num_rows else b""
+    @scan.frugal
+    def run(key: tuple, wanted: pa.Table) -> pa.Table:
+        fs, path = _file_system(_archive(archives, key[0].as_py()))
         out = []
-        for offset, length in zip(wanted.column("offset").to_pylist(), wanted.column("length").to_pylist(), strict=True):
-            r = parse(gzip.decompress(content[offset : offset + length]))
-            if r["payload"] is not None and digest(r["payload"]) != r["digest"]:
-                raise ValueError(f"{key[0]} at {offset}: the payload does not have its digest")
-            out.append({"page_id": r["page_id"], "payload_bytes": r["payload_bytes"], "payload_digest": r["digest"], "record_type": r["type"], "refers_to": r["refers_to"], "url": r["url"]})
-        return pa.Table.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]))
-
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return archives.select("archive", "content").groupBy("archive").cogroup(entries.select("archive", "offset", "length").groupBy("archive")).applyInArrow(run, schema)
+        with fs.open_input_file(path) as f:
+            for offset, length in sorted(zip(wanted.column("offset").to_pylist(), wanted.column("length").to_pylist(), strict=True)):
+                f.seek(offset)
+                r = parse(gzip.decompress(f.read(length)))
+                if r["payload"] is not None and digest(r["payload"]) != r["digest"]:
+                    raise ValueError(f"{path} at {offset}: the payload does not have its digest")
+                out.append({"page_id": r["page_id"], "payload_bytes": r["payload_bytes"], "payload_digest": r["digest"], "record_type": r["type"], "refers_to": r["refers_to"], "url": r["url"]})
+        return pa.Table.from_pylist(out, schema=_RECORD)
 
+    return entries.groupBy("archive").applyInArrow(run, RECORD)
 
-def export_files(archives: DataFrame, folder: str) -> DataFrame:
-    """Write every archive as ``folder/<archive>.warc.gz`` from the executors; returns (path, bytes).
 
-    ``folder`` is a URI of a file system that the executors share and pyarrow knows.
-    """
+def _places(pages: DataFrame) -> DataFrame:
+    """(key, stamp, page_id) under which each page is captured, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
         for batch in batches:
-            paths = [f"{root}/{name}.warc.gz" for name in batch.column(0).to_pylist()]
-            for path, content in zip(paths, batch.column(1).to_pylist(), strict=True):
-                with fs.open_output_stream(path, compression=None) as f:
-                    f.write(content)
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "bytes": pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([surt(_header(u)) for u in batch.column(0).to_pylist()], pa.string()), "stamp": pa.array([STAMP] * batch.num_rows, pa.string()), "page_id": batch.column(1)})
 
-    return archives.select("archive", "content").mapInArrow(run, "path string, bytes long")
+    return pages.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")).mapInArrow(run, "key string, stamp string, page_id long").distinct()
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` as archives, index them, and read every record back through the index."""
-    archives = write_archives(pages)
-    index = build_index(captures(archives))
-    return read_back(archives, index_entries(index))
+    """Write ``pages`` as archives, index them, and read every page's records back through the index; the files are deleted at the end.
+
+    One row per row of ``pages``: (page_id, payload_bytes, payload_digest, record_type, refers_to, url).
+    """
+    spark = pages.sparkSession
+    folder, index_folder = scratch.fresh(spark, "warc"), scratch.fresh(spark, "captures")
+    entries = write_archives(pages, folder)
+    index = build_index(entries, index_folder)
+    out = scratch.keep(read_back(folder, resolve(index, _places(pages))), "records")
+    scratch.drop(entries, index.directory)
+    scratch.delete(spark, folder, index_folder)
+    return out

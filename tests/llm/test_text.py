@@ -257,6 +257,50 @@ def test_mixture_of_many_queues():
         assert at == 64 or (x >= m.full and at in m.tail)
 
 
+@pytest.mark.parametrize("queues", [3, 50, 1000])
+def test_mixture_holds_shares_in_every_window(queues):
+    """What a queue is owed stays within a few tokens in a cycle's windows of one sequence, however many queues there are; from cycle to cycle only the rounding of its share adds up."""
+    r = np.random.default_rng(queues)
+    sizes = (r.integers(1, 1000, queues) * 20_000).tolist()
+    m = packing.Mixture(sizes, 64)
+    phase = m.phases[0]
+    w = np.append(np.arange(1, phase.cycle), m.starts[1])
+    owed = phase.given(slice(None), w) - w[:, None] * 64 * np.array(sizes) / m.total
+    assert m.starts[1] > 0.9 * m.total / 64 and np.abs(owed[:-1]).max() < 2.5 and np.abs(owed[-1]).max() < 1e-4 * m.total
+    assert (np.diff(phase.given(slice(None), np.arange(2000)), axis=0).sum(axis=1) == 64).all()
+
+
+def test_mixture_with_targets():
+    sizes = [6400, 6400, 6400, 640]
+    m = packing.Mixture(sizes, 64, [1, 1, 2, 0])
+    got = np.zeros((len(sizes), m.full + len(m.tail)), np.int64)
+    for q, n in enumerate(sizes):
+        _, _, k, s, _ = m.pieces(q, np.array([0]), np.array([n]))
+        np.add.at(got[q], s, k)
+    assert (got[:, :199] == [[16]] * 2 + [[32]] + [[0]]).all()
+    # the third is dry, then the first two share, and the one without a weight comes last
+    assert (np.abs(got[:2, 201:298] - 32) <= 1).all() and not got[3, :298].any()
+    assert (got.sum(axis=1) == sizes).all()
+
+
+def test_thin_queues_are_looked_up_by_token():
+    m = packing.Mixture([4000, 64_000_000], 64)
+    began = time.process_time()
+    _, a, k, s, _ = m.pieces(0, np.array([0]), np.array([4000]))
+    assert k.sum() == 4000 and s[-1] - s[0] > 900_000 and time.process_time() - began < 2
+
+
+def test_packing_with_targets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_QUEUES", 3)
+    docs = spark.createDataFrame([(i, "word " * 100, f"s{i % 6}") for i in range(120)], "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(docs, sequence=64, targets={"s4": 3.0, "s5": 1.0}).collect()
+    have = collections.Counter()
+    for r in out:
+        if r.sequence_id < 30:
+            have[r.source] += r.length
+    assert have == {"s4": 30 * 48, "s5": 30 * 16} and sum(r.length for r in out) == 120 * 101
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://b.com/x", "<p>one"), (2, "http://a.b.com/y?q=1", "<p>two é"), (3, None, "<p>one"), (4, "http://[bad", None), (5, "http://b.com/x", ""), (5, "http://b.com/x", ""), (None, "http://c.com", "<p>one"), (7, "http://b.com/x\r\nEvil: 1", "<p>three")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit("clash"))
@@ -269,16 +313,29 @@ def test_warc_round_trip(spark, tmp_path):
         b, f = (h or "").encode(), first[h or ""]
         want[(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if f != i else "response", f if f != i else None)] += 1
     assert collections.Counter(tuple(r) for r in out.drop("url").collect()) == want
-    archives = warc.write_archives(pages)
-    index = warc.build_index(warc.captures(archives), block_lines=2)
-    found = warc.lookup(index, archives, "http://b.com/x")
+    folder = f"file://{tmp_path}/out"
+    entries = warc.write_archives(pages, folder)
+    forward = lambda df: sorted((r.asDict() for r in df.collect()), key=repr)
+    assert forward(entries) == forward(warc.captures(spark, folder))
+    index = warc.build_index(entries, f"file://{tmp_path}/index", block_lines=2)
+    assert index.directory.count() >= 4
+    found = warc.lookup(index, folder, "http://b.com/x")
     assert sorted(r["page_id"] for r in found) == [1, 5, 5]
-    assert warc.lookup(index, archives, "http://nowhere.org/") == []
-    paths = warc.export_files(archives, f"file://{tmp_path}/out").collect()
-    assert gzip.open(paths[0].path).read().startswith(b"WARC/1.1\r\n")
+    assert warc.lookup(index, folder, "http://nowhere.org/") == []
+    some = spark.createDataFrame([("com,b)/x", warc.STAMP, 5), ("com,c)/", warc.STAMP, None), ("com,c)/", warc.STAMP, 9)], "key string, stamp string, page_id long")
+    assert sorted((r.page_id or 0, r.url) for r in warc.read_back(folder, warc.resolve(index, some)).collect()) == [(0, "http://c.com"), (5, "http://b.com/x"), (5, "http://b.com/x")]
+    assert gzip.open(sorted(tmp_path.glob("out/*.warc.gz"))[0]).read().startswith(b"WARC/1.1\r\n")
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_hot_key_over_many_blocks(spark):
+    """Pages of one URL, with and without an id, fill many blocks; each comes back once."""
+    rows = [(i % 7 if i % 3 else None, None, f"<p>{i % 50}") for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    out = warc.round_trip(pages)
+    assert collections.Counter((r.page_id, r.payload_digest) for r in out.collect()) == collections.Counter((i, warc.digest(h.encode())) for i, _, h in rows)
+
+
 def test_surt():
     assert warc.surt("HTTPS://Www.Example.com:443/a?b=1#c") == "com,example,www)/a?b=1"
     assert warc.surt("http://h.org:81") == "org,h:81)/" and warc.surt(None) == warc.surt("nothing") == "-"

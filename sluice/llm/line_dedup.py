@@ -1,18 +1,20 @@
 r"""Removal of repeated runs of lines, by a suffix array over line ids.
 
 A document is the sequence of its lines that hold a word, each with an id from
-its content. All sequences together are sorted as suffixes by distributed
-prefix doubling: ranks by the first 2^k lines, joined with the ranks 2^k lines
-on, give ranks by the first 2^(k+1). Lines that occur once in the corpus never
-enter, and the doubling stops at the longest run that has to be told apart.
-
-A run of lines is worth deleting from LEAST_WORDS words on. Two suffixes share
-such a run exactly if they share its shortest form, the fewest lines from its
-start (or up to its end) that reach the limit, so each line asks for two
-intervals of the suffix array: the suffixes whose common prefix with its own
-covers that shortest form. The interval's first member in document order is the
-copy that stays; every other member's lines are deleted. The union of these
-runs is what the maximal repeated runs of LEAST_WORDS words or more cover.
+its content. Lines that occur once in the corpus never enter. All sequences
+together are sorted as suffixes by distributed prefix doubling: ranks by the
+first 2^k lines, joined with the ranks 2^k lines on, give the order by the
+first 2^(k+1).
+
+A run of lines is worth deleting from LEAST_WORDS words on. Each suffix asks at
+the depths of the shortest runs of so many words that begin with it (from its
+first line on, or up to a later line's end), and only suffixes that ask stand in
+the array; no depth exceeds LEAST_WORDS lines. Common prefixes of neighbours in
+the array cut it into intervals: at depth d a new one begins wherever fewer than
+d lines are shared. The first member of an interval in document order is the
+copy that stays, of every other one the first d lines are deleted. What is
+deleted is exactly what the maximal repeated runs of LEAST_WORDS words or more
+cover, except their first copy.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    r"""(doc_id, digest, line, id1, id2, words) of every \n-split line with a word, of every whole text."""
-    lines = _keyed(docs).select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    words = F.regexp_count("content", F.lit(WORDS)).cast("long")
-    return lines.select(*KEY, "line", F.xxhash64("content").alias("id1"), F.xxhash64(F.lit(1), "content").alias("id2"), words.alias("words")).where("words > 0")
+    r"""(doc_id, digest, seq, line, id1, id2, words) of every \n-split line with a word, of every whole text; seq counts those lines."""
+    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("content")))
+    lines = _keyed(docs).select(*KEY, F.posexplode(F.filter(parts, lambda x: x["content"].rlike(WORDS))).alias("seq", "at"))
+    words = F.regexp_count("at.content", F.lit(WORDS))
+    return lines.select(*KEY, "seq", "at.line", F.xxhash64("at.content").alias("id1"), F.xxhash64(F.lit(1), "at.content").alias("id2"), words.cast("int").alias("words"))
 
 
 def rank_pairs(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -53,60 +56,103 @@ def rank_pairs(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     base = dealt.groupBy("part").agg(F.sum("times").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("pa", "pb").rowsBetween(Window.unboundedPreceding, -1)
     ranks = dealt.withColumn("inner", F.coalesce(F.sum("times").over(inside), F.lit(0))).join(base, "part")
-    ranks = ranks.select(F.col("pa").alias(a), F.col("pb").alias(b), (F.col("base") + F.col("inner")).alias(name))
-    return rows.join(ranks, [a, b])
+    # stored, so that the join below can split the pairs of a hot line
+    ranks = scratch.keep(ranks.select(F.col("pa").alias(a), F.col("pb").alias(b), (F.col("base") + F.col("inner")).alias(name)), "pairs")
+    out = scratch.keep(rows.join(ranks, [a, b]).drop(a, b), "ranks")
+    scratch.drop(dealt, ranks)
+    return out
 
 
-def _shortest(lines: DataFrame, least: int) -> DataFrame:
-    """(key, seq, length) of the shortest runs of repeated lines with ``least`` words that start or end at each line."""
+def _asking(lines: DataFrame, least: int) -> DataFrame:
+    """(key, seq, depths, prefix, numbers) of the suffixes at which a shortest run of ``least`` words begins.
+
+    ``depths`` are the lengths of such runs, ``prefix`` and ``numbers`` the ranks
+    and the line numbers of the suffix's lines down to the deepest.
+    """
     at = Window.partitionBy(*KEY).orderBy("seq")
-    ahead = F.collect_list(F.struct("words", "again")).over(at.rowsBetween(0, least - 1))
-    behind = F.reverse(F.collect_list(F.struct("words", "again")).over(at.rowsBetween(-(least - 1), 0)))
+    ahead = at.rowsBetween(0, least - 1)
+    line = F.struct("seq", "words", "r0", "line")
 
-    def length(run: Column) -> Column:
-        """Lines of ``run`` until the words reach the limit, or null if they do not or a line occurs only once."""
+    def length(run: Column, step: int) -> Column:
+        """Lines of ``run`` until the words reach the limit, or 0 if they do not before a line is missing."""
         start = F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("n"), F.lit(True).alias("ok"))
-        end = F.aggregate(run, start, lambda s, x: F.when(s["w"] >= least, s).otherwise(F.struct((s["w"] + x["words"]).alias("w"), (s["n"] + 1).alias("n"), (s["ok"] & x["again"]).alias("ok"))))
-        return F.when((end["w"] >= least) & end["ok"], end["n"])
-
-    runs = lines.select(*KEY, "seq", length(ahead).alias("on"), length(behind).alias("back"))
-    forward = runs.where("`on` is not null").select(*KEY, "seq", F.col("on").alias("length"))
-    backward = runs.where("back is not null").select(*KEY, (F.col("seq") - F.col("back") + 1).alias("seq"), F.col("back").alias("length"))
-    return forward.union(backward).distinct()
+        grow = lambda s, x: F.struct((s["w"] + x["words"]).alias("w"), (s["n"] + 1).alias("n"), (s["ok"] & (x["seq"] == F.col("seq") + step * s["n"])).alias("ok"))
+        end = F.aggregate(run, start, lambda s, x: F.when((s["w"] >= least) | ~s["ok"], s).otherwise(grow(s, x)))
+        return F.when((end["w"] >= least) & end["ok"], end["n"]).otherwise(0)
+
+    rows = lines.withColumn("ahead", F.collect_list(line).over(ahead)).withColumn("behind", F.reverse(F.collect_list(F.struct("seq", "words")).over(at.rowsBetween(-(least - 1), 0))))
+    rows = rows.select(*KEY, "seq", "ahead", length(F.col("ahead"), 1).alias("on"), length(F.col("behind"), -1).alias("back"))
+    # a run that ends n lines on and is n + 1 lines long begins here
+    ends = F.transform(F.collect_list("back").over(ahead), lambda b, i: F.when(b == i + 1, b).otherwise(0))
+    rows = rows.withColumn("depths", F.array_sort(F.array_distinct(F.filter(F.concat(F.array("on"), ends), lambda d: d > 0)))).where(F.size("depths") > 0)
+    deepest = F.slice("ahead", 1, F.element_at("depths", -1))
+    return rows.select(*KEY, "seq", "depths", deepest["r0"].alias("prefix"), deepest["line"].alias("numbers"))
+
+
+def suffix_order(lines: DataFrame, deepest: int) -> DataFrame:
+    """(key, seq, head, next): the order by (head, next) is that of the suffixes by their first ``deepest`` lines, by prefix doubling."""
+    now, step, held = lines.select(*KEY, "seq", F.col("r0").alias("head")), 1, None
+    while True:
+        on = now.select(*KEY, (F.col("seq") - step).alias("seq"), F.col("head").alias("next"))
+        pairs = now.join(on, [*KEY, "seq"], "left").withColumn("next", F.coalesce("next", F.lit(-1).cast("long")))
+        if 2 * step >= deepest:
+            out = scratch.keep(pairs, "suffixes")
+            scratch.drop(*filter(None, [held]))
+            return out
+        now = rank_pairs(pairs, "head", "next", "rank").withColumnRenamed("rank", "head")
+        now, before = now.select(*KEY, "seq", "head"), held
+        held, step = now, 2 * step
+        scratch.drop(*filter(None, [before]))
+
+
+def intervals(asking: DataFrame, order: DataFrame, deepest: int) -> DataFrame:
+    """(depth, interval, key, seq, numbers): the interval of the suffix array that each suffix is in, at each depth it asks.
+
+    The array is dealt by ranges and sorted inside them. What a range needs to
+    know of the ranges before it is one row each: its last suffix, and at how
+    many places fewer than 1, 2, ... lines are shared.
+    """
+    by = ["head", "next", *KEY, "seq"]
+    array = asking.join(order, [*KEY, "seq"]).repartitionByRange(*by).withColumn("part", F.spark_partition_id())
+    array = scratch.keep(array, "array")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = array.groupBy("part").agg(F.max_by("prefix", F.struct(*by)).alias("prefix")).withColumn("last", F.lag("prefix").over(Window.orderBy("part"))).select("part", "last")
+    inside = Window.partitionBy("part").orderBy(*by)
+    rows = array.join(F.broadcast(ends), "part").withColumn("left", F.coalesce(F.lag("prefix").over(inside), "last"))
+    same = F.zip_with("left", "prefix", lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, False).cast("int")
+    rows = rows.withColumn("lcp", F.when(F.col("left").isNull(), 0).when(first > 0, first - 1).otherwise(F.size("prefix"))).drop("left", "last", "prefix")
+    depths = range(1, deepest + 1)
+    rows = rows.select("part", *by, "depths", "numbers", "lcp", *[F.sum((F.col("lcp") < d).cast("long")).over(inside).alias(f"n{d}") for d in depths])
+    rows = scratch.keep(rows, "lcp")
+    sizes = rows.groupBy("part").agg(*[F.max(f"n{d}").alias(f"n{d}") for d in depths])
+    base = sizes.select("part", F.array(*[F.coalesce(F.sum(f"n{d}").over(before), F.lit(0)) for d in depths]).alias("base"))
+    rows = rows.join(F.broadcast(base), "part").withColumn("depth", F.explode("depths"))
+    number = F.get("base", F.col("depth") - 1) + F.get(F.array(*[f"n{d}" for d in depths]), F.col("depth") - 1)
+    out = scratch.keep(rows.select("depth", number.alias("interval"), *KEY, "seq", F.slice("numbers", 1, F.col("depth")).alias("numbers")), "intervals")
+    scratch.drop(array, rows)
+    return out
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, digest, lines): numbers of the lines to delete in each document that has any."""
+    """Stored (doc_id, digest, lines): ascending numbers of the lines to delete in each document that has any."""
     every = line_table(docs)
-    times = every.groupBy("id1", "id2").agg(F.count("*").alias("times")).where("times > 1")
-    lines = every.join(times.select("id1", "id2", F.lit(True).alias("again")), ["id1", "id2"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
-    lines = scratch.keep(lines.withColumn("seq", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("line"))).distinct(), "lines")
-    runs = scratch.keep(_shortest(lines, least), "runs")
-    longest = runs.agg(F.max("length")).first()[0] or 0
-
-    ranked = rank_pairs(lines.where("again").select(*KEY, "seq", "id1", "id2"), "id1", "id2", "r0").drop("id1", "id2")
-    levels = 1
-    while 1 << levels <= longest:
-        now = scratch.keep(ranked, "ranks")
-        step = 1 << (levels - 1)
-        on = now.select(*KEY, (F.col("seq") - step).alias("seq"), F.col(f"r{levels - 1}").alias("next"))
-        pairs = now.join(on, [*KEY, "seq"], "left").withColumn("next", F.coalesce("next", F.lit(-1).cast("long")))
-        ranked = rank_pairs(pairs, f"r{levels - 1}", "next", f"r{levels}").drop("next")
-        levels += 1
-    ranked = scratch.keep(ranked, "ranks").select(*KEY, "seq", F.array(*[f"r{k}" for k in range(levels)]).alias("ranks"))
-
-    # the interval of a run: suffixes that agree on its first and on its last 2^k lines, which overlap
-    k = F.floor(F.log2("length")).cast("int")
-    asked = runs.withColumn("k", k).withColumn("tail", F.col("seq") + F.col("length") - F.pow(F.lit(2), F.col("k")).cast("int"))
-    heads = ranked.select(*KEY, "seq", F.col("ranks").alias("head_ranks"))
-    tails = ranked.select(*KEY, F.col("seq").alias("tail"), F.col("ranks").alias("tail_ranks"))
-    asked = asked.join(heads, [*KEY, "seq"]).join(tails, [*KEY, "tail"])
-    asked = scratch.keep(asked.select(*KEY, "seq", "length", F.element_at("head_ranks", F.col("k") + 1).alias("head"), F.element_at("tail_ranks", F.col("k") + 1).alias("end")), "asked")
-    interval = ["length", "head", "end"]
-    first = asked.groupBy(*interval).agg(F.min(F.struct(*KEY, "seq")).alias("first"))
-    later = asked.join(first, interval).where(F.struct(*KEY, "seq") > F.col("first"))
-    gone = later.select(*KEY, F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("length") - 1)).alias("seq")).distinct()
-    return gone.join(lines.select(*KEY, "seq", "line"), [*KEY, "seq"]).groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
+    times = scratch.keep(every.groupBy("id1", "id2").agg(F.count("*").alias("times")).where("times > 1").select("id1", "id2"), "times")
+    # rows that repeat id and text are one document
+    lines = scratch.keep(every.join(times, ["id1", "id2"]).repartition(*KEY).dropDuplicates([*KEY, "seq"]), "lines")
+    ranked = rank_pairs(lines, "id1", "id2", "r0")
+    asking = scratch.keep(_asking(ranked, least), "asking")
+    deepest = asking.agg(F.max(F.element_at("depths", -1))).first()[0] or 0
+    order = suffix_order(ranked, max(deepest, 1))
+    found = intervals(asking, order, max(deepest, 1))
+    scratch.drop(times, lines, ranked, asking, order)
+    spot = F.struct(*KEY, "seq")
+    first = scratch.keep(found.groupBy("depth", "interval").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first < last").drop("last"), "first")
+    later = found.join(first, ["depth", "interval"]).where(spot > F.col("first"))
+    gone = later.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("lines"))
+    gone = scratch.keep(gone, "gone")
+    scratch.drop(found, first)
+    return gone
 
 
 def remove_repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -120,12 +166,15 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFram
     Other columns are carried along; of columns named n_lines or n_deleted the new ones stay.
     """
     gone = repeated_lines(docs, least).toDF("gone_id", "gone_digest", "gone_lines")
-    docs = docs.drop("n_lines", "n_deleted", *gone.columns)
+    docs = docs.drop("n_lines", "n_deleted", "gone_flags", *gone.columns)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_digest"))
     out = docs.join(gone, same, "left")
     parts = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
+    # one flag per line up to the last one that goes
+    runs = F.transform("gone_lines", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.when(i > 0, F.get("gone_lines", i - 1)).otherwise(-1) - 1), F.array(F.lit(True))))
+    out = out.withColumn("gone_flags", F.flatten(runs))
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.get("gone_flags", i), F.lit(False))), "\n")
     text_now = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     return out.select(*[text_now.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_deleted"))

@@ -25,7 +25,6 @@ distinct five-word shingles. The join never compares all documents:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -7,8 +7,10 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions import fixed
 from sluice.functions.score import Criteria
 from sluice.operators import export, health, listing
+from sluice.plans import search_run as search_run_
 from sluice.sources.warehouse import Warehouse
 
 COUNTERS = ["queries_generated", "sources_searched", "urls_discovered", "pages_fetched", "fetch_failures", "extraction_failures", "duplicates", "jobs_stored"]
@@ -22,6 +24,11 @@ def status() -> dict[str, str]:
     return {"status": "ok", "service": "sluice", "version": "1"}
 
 
+def ping(w: Warehouse) -> dict[str, str]:
+    """``ok`` if the session answers."""
+    return {"status": "ok" if w.spark.range(1).count() == 1 else "down"}
+
+
 def flat(jobs: DataFrame) -> DataFrame:
     """Nested job records as the flat columns that the listing operators use."""
     d = F.col("details")
@@ -78,6 +85,17 @@ def sources_health(observed: DataFrame, source: str, statuses: dict[str, Column]
     return health.response(health.source_health(observed, source, statuses), source, list(statuses))
 
 
+def stored_sources_health(w: Warehouse) -> DataFrame:
+    """``sources_health`` of what the runs have observed."""
+    return sources_health(w.read("field_health"), "source_name", {f: F.col("statuses")[f] for f in fixed.HEALTH_FIELDS})
+
+
+def search(run: search_run_.Run, criteria: Criteria, now: datetime.datetime, scratch: search_run_.Scratch) -> DataFrame:
+    """Start a run and carry it out; returns (run_id, status)."""
+    run_id = start_run(run.warehouse, criteria, now)
+    return search_run_.execute(run, run_id, criteria, F.lit(now).cast("timestamp"), scratch).select("run_id", "status")
+
+
 def export_jobs(w: Warehouse, path: str, overwrite: bool = False, run_id: str | None = None, now: datetime.datetime | None = None, **filters) -> tuple[str, int]:
     """Write the matching jobs as a sheet; returns its path and the number of exportable jobs."""
     jobs = flat(w.read("jobs"))

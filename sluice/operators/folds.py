@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
@@ -45,6 +46,7 @@ class Breaker:
     failures: int = 0
     successes: int = 0
     opened_at: float = 0.0
+    begun: bool = False
 
     def look(self, now: float) -> str:
         """State when asked: an open circuit turns half open once the recovery time is over."""
@@ -79,6 +81,24 @@ def circuit_states(df: DataFrame, key: str, at: str, ok: str, *order: str, thres
     return ordered_fold(df, key, [at, *order], lambda: Breaker(threshold, recovery), step, "circuit_state string, failure_count int", ["circuit_state", "failure_count"])
 
 
+def circuits_from(df: DataFrame, key: str, at: str, ok: str, stored: DataFrame, *order: str, threshold: int = 5, recovery: float = 60.0) -> DataFrame:
+    """``circuit_states`` that go on from ``stored`` (key, circuit_state, consecutive_failures, opened_at in seconds); adds opened_at too."""
+    known = stored.select(key, F.col("circuit_state").alias("_state"), F.col("consecutive_failures").alias("_failures"), F.col("opened_at").alias("_opened"))
+    both = df.join(known, key, "left")
+    t, o, s, n, w = (both.columns.index(c) for c in (at, ok, "_state", "_failures", "_opened"))
+
+    def step(b: Breaker, row: tuple) -> tuple:
+        if not b.begun:
+            b.begun = True
+            if isinstance(row[s], str):
+                b.state, b.failures, b.opened_at = row[s], int(row[n] or 0), float(row[w] if row[w] == row[w] and row[w] is not None else 0.0)
+        b.record(bool(row[o]), float(row[t]))
+        return b.state, b.failures, b.opened_at
+
+    names = ["circuit_state", "failure_count", "opened_at"]
+    return ordered_fold(both, key, [at, *order], lambda: Breaker(threshold, recovery), step, "circuit_state string, failure_count int, opened_at double", names).drop("_state", "_failures", "_opened")
+
+
 def cooldown(df: DataFrame, key: str, at: str, succeeded: str, seconds: float, *order: str) -> DataFrame:
     """``df`` with accepted: never run before, or at least ``seconds`` since the last successful accepted run."""
     t, o = df.columns.index(at), df.columns.index(succeeded)

@@ -13,17 +13,21 @@ def last_update(updates: DataFrame, key: str, *order: str) -> DataFrame:
     return updates.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols])
 
 
-def upsert(stored: DataFrame, updates: DataFrame, key: str, first: tuple[str, ...] = ("first_seen_at",), now: Column | None = None) -> DataFrame:
+def upsert(stored: DataFrame, updates: DataFrame, key: str | list[str], first: tuple[str, ...] = ("first_seen_at",), now: Column | None = None) -> DataFrame:
     """Full-outer merge: a new value wins unless it is null; the ``first`` columns keep the earlier value; updated_at is ``now`` where touched.
 
     ``updates`` has one row per key. Struct columns are replaced whole.
     """
-    new = updates.select(*[F.col(c).alias(f"new_{c}") for c in updates.columns])
-    both = stored.join(new, stored[key] == new[f"new_{key}"], "full_outer")
+    keys = [key] if isinstance(key, str) else list(key)
+    new = updates.select(*[F.col(c).alias(f"new_{c}") for c in updates.columns], F.lit(True).alias("_new"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (stored[k] == new[f"new_{k}"])
+    both = stored.join(new, same, "full_outer")
     out = []
     for c in stored.columns:
         if c == "updated_at" and now is not None:
-            out.append(F.when(F.col(f"new_{key}").isNotNull(), now).otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.col("_new"), now).otherwise(F.col(c)).alias(c))
         elif c not in updates.columns:
             out.append(F.col(c))
         elif c in first:

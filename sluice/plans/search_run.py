@@ -1,25 +1,34 @@
-"""One search run over DataFrames: discover, identify, decide, fetch, extract, validate, version, store."""
+"""One search run over DataFrames: discover, identify, decide, fetch, extract, validate, version, store.
+
+A run is a row of ``search_runs`` and can be resumed: queries that were issued
+are not asked again, URLs that reached a final state are not fetched again, and
+every table is written by key, so that a stage that runs twice leaves what it
+left the first time.
+"""
 
 from __future__ import annotations
 
 import dataclasses
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice import schemas
-from sluice.functions import fixed, normalize, text, validate
+from sluice.functions import fixed, normalize, text, urls, validate
 from sluice.functions.score import Criteria
-from sluice.operators import dedup, health, history, pages, policy, search
-from sluice.operators.upsert import upsert
-from sluice.sources import remote
+from sluice.operators import dedup, folds, history, pages, policy, runs, search
+from sluice.operators.upsert import cache_entries, live_entries
+from sluice.settings import Settings
+from sluice.sources import raw_store, remote
 from sluice.sources.warehouse import Warehouse
 
+Scratch = Callable[[DataFrame, str], DataFrame]
+
 
 @dataclasses.dataclass
 class Run:
-    """What a run needs from outside: a provider of results, a transport, and perhaps a model."""
+    """What a run needs from outside: a provider of results, a transport, and perhaps a model and robots rules."""
 
     warehouse: Warehouse
     provider: Callable[[DataFrame, int], DataFrame]
@@ -27,49 +36,173 @@ class Run:
     complete: Callable[[str], str] | None = None
     budget: int = 50
     most_results: int = 100
+    #: Reads a robots.txt; without it every path is allowed.
+    robots: Callable[[str], tuple[int, bytes]] | None = None
+    agent: str = "*"
+    model: str = "model"
+    cooldown_s: float = 3600
+    schema_version: str = "1.0"
+    attempts: int = remote.ATTEMPTS
+    clock: Callable[[], datetime.datetime] = lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+
+    @classmethod
+    def with_settings(cls, s: Settings, warehouse: Warehouse, provider: Callable, get: Callable, **more: object) -> Run:
+        return cls(warehouse, provider, get, budget=s.max_fetches, most_results=s.max_search_results, cooldown_s=s.cooldown_s, schema_version=s.extraction_schema_version, attempts=max(1, s.max_retries), **more)
+
+    @property
+    def raw_root(self) -> str:
+        return f"{self.warehouse.root.rstrip('/')}/raw"
+
+
+def begin(run: Run, run_id: str, now: Column) -> list[str]:
+    """Insert or resume the run's row; returns the queries that it has issued."""
+    row = run.warehouse.find("search_runs", F.col("run_id") == run_id).first()
+    if row is not None and row.status in runs.RESUMABLE:
+        return list(row.queries_issued or [])
+    start = run.warehouse.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit("running").alias("status"), now.alias("started_at"))
+    run.warehouse.merge("search_runs", start, first=())
+    return []
+
+
+def flush(run: Run, run_id: str, status: str, values: dict[str, Column]) -> None:
+    """Write status and values into the run's row."""
+    row = run.warehouse.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), *[v.alias(k) for k, v in values.items()])
+    run.warehouse.merge("search_runs", row, first=())
+
+
+def queries_of(run: Run, criteria: Criteria, issued: list[str]) -> list[str]:
+    return [q for q in search.expand_queries(search.build_queries(criteria), run.complete) if q not in set(issued)]
 
 
 def discover(run: Run, criteria: Criteria, issued: list[str]) -> DataFrame:
     """Results of the queries not issued yet, for every target source."""
-    queries = [q for q in search.expand_queries(search.build_queries(criteria), run.complete) if q not in set(issued)]
+    queries = queries_of(run, criteria, issued)
     return run.provider(search.fan_out(run.warehouse.spark, queries, search.target_sources(criteria)), run.most_results)
 
 
+def collect(run: Run, criteria: Criteria, issued: list[str], now: Column, scratch: Scratch) -> DataFrame:
+    """Results as ``discover`` gives them, from the query cache where a query was answered within its cooldown, else from the provider.
+
+    What the provider answers is cached, and each answer taken from the cache counts as a hit.
+    """
+    w = run.warehouse
+    asked = search.fan_out(w.spark, queries_of(run, criteria, issued), search.target_sources(criteria))
+    asked = scratch(asked.withColumn("query_hash", text.query_hash(F.col("scoped_query"))), "asked")
+    live = live_entries(w.read("query_cache"), now)
+    again = asked.join(live.select("query_hash", "results"), "query_hash")
+    fresh = asked.join(live.select("query_hash"), "query_hash", "left_anti")
+    found = scratch(run.provider(fresh, run.most_results), "answers")
+    for name, kind in (("title", "string"), ("snippet", "string"), ("rank", "int")):
+        found = found if name in found.columns else found.withColumn(name, F.lit(None).cast(kind))
+    if "classification" in found.columns:
+        found = search.before_rate_limit(found, "query_no")
+    plain = ["query_no", "query", "source_no", "source_name", "query_hash", "scoped_query", "title", "url", "snippet", "rank"]
+    found = scratch(found.where("url is not null").select(*plain), "results")
+    kept = again.withColumn("r", F.explode("results")).select("query_no", "query", "source_no", "source_name", "query_hash", "scoped_query", "r.title", "r.url", "r.snippet", "r.rank")
+    result = F.struct("title", "url", "snippet", "source_name", "query", "query_hash", F.col("rank").cast("int").alias("rank"), now.alias("discovered_at"))
+    entries = found.groupBy("query_hash").agg(F.first("scoped_query").alias("query_text"), F.first("source_name").alias("source_name"), F.count("*").cast("int").alias("result_count"), F.array_sort(F.collect_list(result)).alias("results"))
+    out = scratch(found.unionByName(kept), "collected")
+    hits = w.read("query_cache").join(again.select("query_hash").distinct(), "query_hash").select("query_hash", (F.coalesce("hit_count", F.lit(0)) + 1).alias("hit_count"))
+    w.merge("query_cache", scratch(hits, "hits"), first=())
+    w.merge("query_cache", scratch(cache_entries(entries.withColumn("cached_at", now).withColumn("hit_count", F.lit(0)), "cached_at", run.cooldown_s), "entries"), first=())
+    return out
+
+
 def identify(run: Run, run_id: str, results: DataFrame) -> DataFrame:
     """New canonical URLs of this run: valid, first of their kind, not settled by an earlier attempt."""
     states = run.warehouse.find("url_states", (F.col("run_id") == run_id) & F.col("status").isin(fixed.PROCESSED))
     return dedup.new_urls(results, "url", states, "query_no", "source_no", "rank")
 
 
-def fetch(run: Run, found: DataFrame) -> DataFrame:
-    """Allowed URLs with the outcome of their fetch and the slot their page belongs to."""
-    circuits = run.warehouse.find("source_health").select("source_name", (F.col("circuit_state") == "open").alias("_open"))
-    decided = policy.decide(found.join(circuits, "source_name", "left").withColumn("run", F.lit(1)), "run", F.coalesce("_open", F.lit(False)), F.lit(True), F.lit(True), run.budget, "query_no", "source_no", "rank")
-    got = remote.fetch(decided.where("decision = 'allow'").select("url", "canonical_url", "source_name"), "canonical_url", run.get)
-    return got.withColumn("html", F.decode("body", "UTF-8")).withColumn("content_hash", text.content_hash(F.col("html"))).withColumn("job_key", text.job_key(F.col("content_hash")))
+def decide(run: Run, found: DataFrame, now: Column) -> DataFrame:
+    """``found`` with decision before the budget counts: an open circuit or robots rules block, else allow."""
+    open_ = (F.col("circuit_state") == "open") & (F.col("opened_at") > now - F.make_dt_interval(secs=F.lit(float(folds.Breaker.recovery))))
+    circuits = run.warehouse.read("source_health").where(open_).select("source_name", F.lit(True).alias("_open"))
+    out = found.join(F.broadcast(circuits), "source_name", "left")  # one row per source
+    if run.robots is None:
+        out = out.withColumn("robots_allowed", F.lit(True))
+    else:
+        sites = out.select(policy.origin(F.col("canonical_url")).alias("origin")).distinct().withColumn("robots_url", F.concat("origin", F.lit("/robots.txt")))
+        read = remote.fetch(sites, "robots_url", run.robots, 1).select("origin", F.when((F.col("result") == "success") & (F.col("http_status") == 200), F.decode("body", "UTF-8")).alias("robots_text"))
+        out = policy.robots_by_path(out, "canonical_url", read, run.agent)
+    decision = F.when(F.col("_open"), "block_circuit_open").when(~F.col("robots_allowed"), "block_robots").otherwise("allow")
+    return out.withColumn("decision", decision).drop("_open")
+
+
+def fetch(run: Run, found: DataFrame, now: Column, scratch: Scratch) -> DataFrame:
+    """Every URL of ``found`` with its decision, the outcome of its fetch where it was allowed, and the slot its page belongs to.
+
+    The budget counts successful fetches: URLs are fetched in order, as many at
+    a time as are left to succeed, until it is spent.
+    """
+    decided = scratch(decide(run, found, now), "decided")
+    order = ["query_no", "source_no", "rank", "canonical_url"]
+    left = decided.where("decision = 'allow'").select(*order, "source_name")
+    rounds: list[DataFrame] = []
+    need = run.budget
+    while True:
+        take = left if run.budget == 0 else left.orderBy(*order).limit(need)
+        got = scratch(remote.fetch(take, "canonical_url", run.get, run.attempts), f"fetched-{len(rounds)}")
+        rounds.append(got)
+        if run.budget == 0:
+            break
+        n, done = got.count(), got.where("result = 'success'").count()
+        need -= done
+        if need == 0 or n == 0:
+            break
+        left = left.join(got.select("canonical_url"), "canonical_url", "left_anti")
+    got = rounds[0]
+    for more in rounds[1:]:
+        got = got.unionByName(more)
+    fetched = got.select("canonical_url", "http_status", "body", "error", "retry_count", "result").withColumn("html", F.decode("body", "UTF-8")).withColumn("content_hash", text.content_hash(F.col("html"))).withColumn("job_key", text.job_key(F.col("content_hash")))
+    out = decided.join(fetched, "canonical_url", "left")
+    spent = (F.col("decision") == "allow") & F.col("result").isNull()
+    out = out.withColumn("decision", F.when(spent, "block_budget").otherwise(F.col("decision")))
+    return out.withColumn("reason", policy.reason(F.col("decision"), F.col("source_name"), F.col("canonical_url"), run.budget))
+
+
+def interpret(run: Run, extracted: DataFrame, now: Column, scratch: Scratch) -> DataFrame:
+    """``extracted`` with llm and the outcome columns of the model; answers are cached by content, schema version and model."""
+    empty = F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':', 1) for c in normalize.LLM_SCHEMA.split(', '))}>")
+    if run.complete is None:
+        return extracted.withColumn("llm", empty).withColumn("llm_status", F.lit(None).cast("string")).withColumn("llm_retries", F.lit(0)).withColumn("llm_errors", F.lit(None).cast("string")).withColumn("cache_hit", F.lit(False))
+    w = run.warehouse
+    keyed = extracted.withColumn("cache_key", text.llm_cache_key(F.col("content_hash"), run.schema_version, run.model))
+    cache = w.read("llm_cache").select("cache_key", F.col("status").alias("llm_status"), F.col("output").alias("llm_output"), F.col("errors").alias("llm_errors"), F.col("retry_count").alias("llm_retries"))
+    hits, misses = remote.from_cache(keyed.select("canonical_url", "content_hash", "cache_key", "page_text"), cache, "cache_key")
+    asked = misses.where(F.length("page_text") > 0).groupBy("cache_key", "content_hash").agg(F.min("page_text").alias("page_text"))
+    told = scratch(remote.interpret(asked, "page_text", run.complete), "interpreted")
+    cols = ["cache_key", "llm_status", "llm_output", "llm_errors", "llm_retries"]
+    both = scratch(hits.select(*cols, F.lit(True).alias("cache_hit")).distinct().unionByName(told.select(*cols, F.lit(False).alias("cache_hit"))), "model")
+    w.merge("llm_cache", scratch(told.where("cacheable").select(
+        "cache_key", "content_hash", F.lit(run.model).alias("model"), F.lit(run.schema_version).alias("schema_version"), F.col("llm_status").alias("status"), F.col("llm_output").alias("output"),
+        F.col("llm_raw").alias("raw_response"), F.col("llm_errors").alias("errors"), F.col("llm_retries").alias("retry_count"), now.alias("cached_at"),
+    ), "cacheable"), first=())
+    return keyed.join(both, "cache_key", "left").withColumn("llm", F.when(F.col("llm_status") == "success", normalize.llm_output(F.col("llm_output")))).withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))).drop("cache_key", "llm_output")
 
 
 def evidence(name: str) -> Column:
     return F.col(f"{name}.value")
 
 
-def records(fetched: DataFrame, now: Column, complete: Callable[[str], str] | None = None) -> DataFrame:
-    """Job records of the fetched pages: a model's value where it gives one, else the extracted one, then validated."""
+def records(run: Run, fetched: DataFrame, now: Column, scratch: Scratch) -> DataFrame:
+    """Job records of the fetched pages: a model's value where it gives one, else the extracted one, then validated; responsibilities the other way round."""
     ok = fetched.where("result = 'success'")
-    found = pages.extract(ok, "canonical_url", "html")
-    if complete is not None:
-        found = remote.interpret(found.select("canonical_url", "page_text"), "page_text", complete).select("canonical_url", normalize.llm_output(F.col("llm_output")).alias("llm")).join(found, "canonical_url")
-    else:
-        found = found.withColumn("llm", F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':', 1) for c in normalize.LLM_SCHEMA.split(', '))}>"))
+    found = pages.extract(ok.select("canonical_url", "html"), "canonical_url", "html").join(ok.select("canonical_url", "content_hash"), "canonical_url")
+    found = interpret(run, scratch(found, "extracted"), now, scratch).drop("content_hash")
     pick = lambda model, own: F.coalesce(text.blank_to_null(F.col(f"llm.{model}")), own)
     pay = normalize.salary(pick("salary_raw", evidence("salary_raw")))
+    duties = F.when(F.size("responsibilities") > 0, F.col("responsibilities")).otherwise(F.col("llm.responsibilities"))
     details = F.struct(
         pick("title", evidence("title")).alias("title"), pick("location", evidence("location")).alias("location"), normalize.employment_type(pick("employment_type", evidence("employment_type"))).alias("employment_type"),
         normalize.work_mode(pick("work_mode", evidence("work_mode"))).alias("work_mode"), F.lit(None).cast("timestamp").alias("posted_at"), F.struct(pick("company", evidence("company_name")).alias("name")).alias("company"),
-        F.struct(F.coalesce("description_text", "page_text").alias("raw_text")).alias("description"),
-        F.struct(F.col("llm.required_skills").alias("required_skills"), F.col("llm.preferred_skills").alias("preferred_skills"), F.col("llm.experience_min").alias("experience_years_min"), F.col("llm.experience_max").alias("experience_years_max")).alias("requirements"),
+        F.struct(F.coalesce("description_text", "page_text").alias("raw_text"), duties.alias("responsibilities")).alias("description"),
+        F.struct(
+            F.col("llm.required_skills").alias("required_skills"), F.col("llm.preferred_skills").alias("preferred_skills"), F.col("llm.experience_min").alias("experience_years_min"),
+            F.col("llm.experience_max").alias("experience_years_max"), pick("experience_raw", evidence("experience_raw")).alias("experience_raw"), F.col("requirements_text").alias("raw_text"),
+        ).alias("requirements"),
         F.struct(pay["min_amount"].alias("min_amount"), pay["max_amount"].alias("max_amount"), pay["currency"].alias("currency"), pay["period"].alias("period"), pay["original_text"].alias("raw_text")).alias("compensation"),
-        F.struct(pick("apply_url", evidence("apply_url")).alias("apply_url"), pick("apply_email", evidence("apply_email")).alias("apply_email")).alias("application"),
+        F.struct(pick("apply_url", evidence("apply_url")).alias("apply_url"), pick("apply_email", evidence("apply_email")).alias("apply_email")).alias("application"), text.blank_to_null(F.col("llm.seniority")).alias("seniority"),
     )
     both = ok.select("canonical_url", "source_name", "content_hash", "job_key").join(found, "canonical_url").withColumn("details", details)
     d = F.col("details")
@@ -84,44 +217,125 @@ def records(fetched: DataFrame, now: Column, complete: Callable[[str], str] | No
         "experience_years_min": d["requirements"]["experience_years_min"], "experience_years_max": d["requirements"]["experience_years_max"], "min_amount": d["compensation"]["min_amount"], "max_amount": d["compensation"]["max_amount"],
     })
     out = both.withColumn("missing", complete_["missing"]).withColumn("_status", complete_["status"]).withColumn("_score", complete_["score"]).withColumn("_errors", errors)
+    warnings = F.transform("missing", lambda f: F.concat(F.lit("missing field: "), f))
     return out.select(
-        "canonical_url", "content_hash", F.lit("active").alias("lifecycle_status"), F.struct("source_name", F.lit(None).cast("string").alias("external_job_id")).alias("source"), "details",
+        "canonical_url", "content_hash", F.lit("active").alias("lifecycle_status"), F.struct("source_name", urls.external_id(F.col("canonical_url")).alias("external_job_id")).alias("source"), "details",
         F.struct("content_hash", now.alias("retrieved_at"), F.concat_ws("/", "source_name", "job_key").alias("raw_content_path")).alias("retrieval"), now.alias("first_seen_at"), now.alias("last_seen_at"), now.alias("last_verified_at"),
-        F.struct(validate.quality(F.col("_status"), F.col("_errors")).alias("status"), F.col("_score").alias("score"), F.col("_errors").alias("errors")).alias("validation"), "missing", F.col("source_name"),
+        F.struct(validate.quality(F.col("_status"), F.col("_errors")).alias("status"), F.col("_score").alias("score"), F.col("_errors").alias("errors"), F.col("missing").alias("missing_fields"), warnings.alias("warnings")).alias("validation"),
+        F.lit(0).alias("fetch_failures"), now.alias("created_at"), "missing", F.col("source_name"), "llm_status", "llm_retries", "llm_errors", "cache_hit",
     )
 
 
+#: Where a job's details hold each field that versions are compared by.
+PLACES = {
+    "title": "title", "location": "location", "salary_raw": "compensation.raw_text", "experience_raw": "requirements.experience_raw", "employment_type": "employment_type", "work_mode": "work_mode", "description_text": "description.raw_text",
+    "responsibilities": "description.responsibilities", "requirements_text": "requirements.raw_text", "required_skills": "requirements.required_skills", "preferred_skills": "requirements.preferred_skills",
+}
+LISTS = {"responsibilities", "required_skills", "preferred_skills"}
+
+
 def version_rows(run: Run, jobs: DataFrame, now: Column) -> DataFrame:
-    """Snapshots of the jobs whose content differs from their latest version, with what changed."""
+    """Snapshots of the jobs whose content differs from their latest version, with what changed; lists are compared sorted."""
     last = history.latest(run.warehouse.read("job_versions"), "canonical_url", "version_number").select("canonical_url", F.col("version_number").alias("_last"), F.col("content_hash").alias("_hash"))
     stored = run.warehouse.read("jobs").select("canonical_url", F.col("details").alias("_details"))
     both = jobs.join(last, "canonical_url", "left").join(stored, "canonical_url", "left").where(~F.col("content_hash").eqNullSafe(F.col("_hash")))
-    flat = {"title": "title", "location": "location", "salary_raw": "compensation.raw_text", "employment_type": "employment_type", "work_mode": "work_mode", "description_text": "description.raw_text"}
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_details.{p}").alias("before"), F.col(f"details.{p}").alias("after")) for f, p in flat.items()])
+    value = lambda side, f: text.flatten(F.col(f"{side}.{PLACES[f]}")) if f in LISTS else F.col(f"{side}.{PLACES[f]}")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), value("_details", f).alias("before"), value("details", f).alias("after")) for f in fixed.CHANGE_FIELDS])
     changed = F.filter(pairs, lambda x: ~x["before"].eqNullSafe(x["after"]))
     return both.select("canonical_url", (F.coalesce("_last", F.lit(0)) + 1).alias("version_number"), "content_hash", now.alias("retrieved_at"), now.alias("versioned_at"), F.col("retrieval.raw_content_path").alias("raw_content_path"), F.when(F.col("_last").isNotNull(), changed).alias("changes"))
 
 
-def states(run_id: str, found: DataFrame, fetched: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
-    """The URL states of the run: stored, fetch_failed or fetch_skipped."""
-    got = fetched.select("canonical_url", F.col("content_hash").alias("_hash"), "result", "error")
+def failed_jobs(run: Run, fetched: DataFrame, now: Column) -> DataFrame:
+    """Stored jobs whose page could not be fetched: expired after a permanent failure, else unavailable, or removed from the third failure in a row on."""
+    bad = fetched.where("result in ('permanent_failure', 'transient_failure')").select("canonical_url", "result").distinct()
+    jobs = run.warehouse.read("jobs").select("canonical_url", F.coalesce("fetch_failures", F.lit(0)).alias("_failures")).join(bad, "canonical_url")
+    n = F.col("_failures") + F.when(F.col("result") == "transient_failure", 1).otherwise(0)
+    status = F.when(F.col("result") == "permanent_failure", "expired").when(n >= history.REMOVAL_THRESHOLD, "removed").otherwise("unavailable")
+    return jobs.select("canonical_url", status.alias("lifecycle_status"), n.cast("int").alias("fetch_failures"))
+
+
+def states(run_id: str, results: DataFrame, fetched: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """The state that each URL of the run ends in: stored, fetch_failed, fetch_skipped, extraction_failed or duplicate."""
     done = jobs.select("canonical_url", F.lit(True).alias("_stored"))
-    both = found.select("url", "canonical_url", "source_name").join(got, "canonical_url", "left").join(done, "canonical_url", "left")
-    status = F.when(F.col("_stored"), "stored").when(F.col("result").isNull(), "fetch_skipped").otherwise("fetch_failed")
-    return both.select(F.lit(run_id).alias("run_id"), "url", "canonical_url", "source_name", status.alias("status"), F.col("_hash").alias("content_hash"), F.col("error").alias("error_message"), now.alias("discovered_at"), now.alias("updated_at"))
+    both = fetched.join(done, "canonical_url", "left")
+    status = F.when(F.col("_stored"), "stored").when(F.col("result").isNull(), "fetch_skipped").when(F.col("result") == "success", "extraction_failed").otherwise("fetch_failed")
+    why = F.coalesce(F.col("error"), text.blank_to_null(F.col("reason")), F.when(F.col("result") != "success", F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))))
+    first = both.select("url", "canonical_url", "source_name", status.alias("status"), "content_hash", why.alias("error_message"))
+    known = results.where(urls.valid(F.col("url"))).select("url", urls.canonical(F.col("url")).alias("canonical_url"), urls.source_of(F.col("url")).alias("source_name")).distinct()
+    again = known.join(first.select("url"), "url", "left_anti").join(first.select("canonical_url"), "canonical_url", "left_semi").select("url", "canonical_url", "source_name", F.lit("duplicate").alias("status"))
+    out = first.unionByName(again, allowMissingColumns=True).dropDuplicates(["url"])
+    return out.select(F.lit(run_id).alias("run_id"), "url", "canonical_url", "source_name", "status", "content_hash", "error_message", now.alias("discovered_at"), now.alias("updated_at"))
+
 
+def source_outcomes(run: Run, fetched: DataFrame, now: Column) -> DataFrame:
+    """New ``source_health`` rows: circuits go on from where they stood, one outcome after the other, and totals add up."""
+    tried = fetched.where("result is not null").select("source_name", (F.col("result") == "success").alias("ok"), F.unix_micros(now).alias("_at"), "query_no", "source_no", "rank", "canonical_url")
+    tried = tried.withColumn("at", F.col("_at") / F.lit(1e6)).drop("_at")
+    stored = run.warehouse.read("source_health")
+    before = stored.select("source_name", "circuit_state", "consecutive_failures", (F.unix_micros("opened_at") / F.lit(1e6)).alias("opened_at"))
+    order = ["query_no", "source_no", "rank", "canonical_url"]
+    folded = folds.circuits_from(tried, "source_name", "at", "ok", before, *order)
+    last = folded.groupBy("source_name").agg(F.max_by(F.struct("circuit_state", "failure_count", "opened_at"), F.struct(*order)).alias("s"), F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"))
+    both = last.join(stored.select("source_name", "total_requests", "total_failures"), "source_name", "left")
+    total, bad = F.coalesce("total_requests", F.lit(0)) + F.col("n"), F.coalesce("total_failures", F.lit(0)) + F.col("bad")
+    opened = F.when(F.col("s.opened_at") > 0, F.timestamp_micros((F.col("s.opened_at") * 1e6).cast("long")))
+    return both.select("source_name", F.col("s.circuit_state").alias("circuit_state"), F.col("s.failure_count").alias("consecutive_failures"), opened.alias("opened_at"), total.alias("total_requests"), bad.alias("total_failures"), ((total - bad) / total).alias("success_rate"), now.alias("updated_at"))
 
-def execute(run: Run, run_id: str, criteria: Criteria, now: Column, scratch: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """All stages of a run; returns its counters. ``scratch(df, name)`` writes a stage and returns the written table."""
+
+def field_statuses(run_id: str, jobs: DataFrame, now: Column) -> DataFrame:
+    """``field_health`` rows: of each stored job, which of the watched fields are present and which are not available."""
+    pairs = [x for f in fixed.HEALTH_FIELDS for x in (F.lit(f), F.when(F.array_contains("missing", f), "not_available").otherwise("present"))]
+    return jobs.select(F.lit(run_id).alias("run_id"), "source_name", F.create_map(*pairs).alias("statuses"), now.alias("observed_at"))
+
+
+def _stages(run: Run, run_id: str, criteria: Criteria, issued: list[str], now: Column, scratch: Scratch) -> dict[str, Column]:
     w = run.warehouse
-    found = scratch(identify(run, run_id, discover(run, criteria, [])), "found")
-    fetched = scratch(fetch(run, found), "fetched")
-    jobs = scratch(records(fetched, now, run.complete), "records")
-    w.append("job_versions", scratch(version_rows(run, jobs, now), "versions"))
-    empty = w.spark.createDataFrame([], schemas.TABLES["jobs"])
-    stored = w.read("jobs") if w.exists("jobs") else empty
+    queries = queries_of(run, criteria, issued)
+    results = collect(run, criteria, issued, now, scratch)
+    flush(run, run_id, "running", {"queries_generated": F.lit(len(queries) + len(issued)).cast("long"), "queries_issued": F.array(*map(F.lit, issued + queries)).cast("array<string>")})
+    found = scratch(identify(run, run_id, results), "found")
+    fetched = scratch(fetch(run, found, now, scratch), "pages")
+    ok = fetched.where("result = 'success'")
+    slots = ok.select(F.col("source_name").alias("source"), "job_key", F.col("html").alias("raw_html"), F.to_json(F.struct("canonical_url", "content_hash")).alias("metadata"), F.to_json(F.struct("http_status", "retry_count", now.alias("retrieved_at"))).alias("retrieval"))
+    raw_store.save(slots, run.raw_root)
+    jobs = scratch(records(run, fetched, now, scratch), "records")
+    changed = scratch(version_rows(run, jobs, now), "versions")
+    w.append("job_versions", changed)
     counts = w.read("job_versions").groupBy("canonical_url").agg(F.count("*").cast("int").alias("version_count"))
-    new = jobs.drop("missing", "source_name").join(counts, "canonical_url")
-    w.replace("jobs", scratch(upsert(stored, new, "canonical_url", now=now).select(*empty.columns), "jobs"))
-    w.append("url_states", scratch(states(run_id, found, fetched, jobs, now), "states"))
-    return health.run_counters(w.find("url_states", F.col("run_id") == run_id), "run_id", "status", "source_name", "updated_at")
+    w.merge("jobs", scratch(jobs.join(counts, "canonical_url").select(*[c for c in w.read("jobs").columns if c in (*jobs.columns, "version_count")]), "jobs"), now=now)
+    w.merge("jobs", scratch(failed_jobs(run, fetched, now), "failed"), now=now)
+    w.merge("source_health", scratch(source_outcomes(run, fetched, now), "outcomes"), first=())
+    w.append("field_health", field_statuses(run_id, jobs, now))
+    w.append("search_results", results.join(ok.select("url", F.lit(True).alias("_ok")).distinct(), "url", "left").select(F.lit(run_id).alias("run_id"), "title", "url", "snippet", "source_name", "query", "query_hash", F.col("rank").cast("int").alias("rank"), F.coalesce("_ok", F.lit(False)).alias("fetched"), now.alias("discovered_at")))
+    w.append("source_fetches", fetched.where("result is not null").select(F.lit(run_id).alias("run_id"), F.col("canonical_url").alias("url"), "source_name", "result", "http_status", "retry_count", now.alias("fetched_at")))
+    status = F.coalesce("llm_status", F.lit("success"))
+    w.append("extraction_events", jobs.select(F.lit(run_id).alias("run_id"), F.col("canonical_url").alias("url"), status.alias("status"), F.when(F.col("llm_status").isNotNull(), F.lit(run.model)).alias("model"), F.lit(run.schema_version).alias("schema_version"), F.col("llm_retries").alias("retry_count"), F.col("llm_errors").alias("errors"), now.alias("extracted_at")))
+    ended = scratch(states(run_id, results, fetched, jobs, now), "states")
+    w.merge("url_states", ended, first=("discovered_at",))
+    every = w.find("url_states", F.col("run_id") == run_id).groupBy("status").count()
+    n = {r.status: r["count"] for r in every.collect()}  # one row per status
+    versions, stored = changed.count(), n.get("stored", 0)
+    return {k: F.lit(v).cast("long") for k, v in {
+        "sources_searched": results.select("source_name").distinct().count(), "urls_discovered": sum(n.values()) - n.get("duplicate", 0), "pages_fetched": stored + n.get("extraction_failed", 0), "fetch_failures": n.get("fetch_failed", 0) + n.get("fetch_skipped", 0),
+        "extraction_failures": n.get("extraction_failed", 0), "duplicates": n.get("duplicate", 0), "jobs_stored": versions, "jobs_updated": jobs.count() - versions,
+    }.items()}
+
+
+def execute(run: Run, run_id: str, criteria: Criteria, now: Column, scratch: Scratch) -> DataFrame:
+    """All stages of a run, new or resumed; returns its row of ``search_runs``.
+
+    ``scratch(df, name)`` writes a stage and returns the written table. A run
+    that fails is marked so, with the error, and can be started again.
+    """
+    issued = begin(run, run_id, now)
+    ends = lambda: {"completed_at": (t := F.lit(run.clock()).cast("timestamp")), "execution_duration_s": (F.unix_micros(t) - F.unix_micros(_started(run, run_id))) / F.lit(1e6)}
+    try:
+        counters = _stages(run, run_id, criteria, issued, now, scratch)
+        flush(run, run_id, "completed", counters | ends())
+    except Exception as e:  # whatever stopped the run is recorded in its row
+        flush(run, run_id, "failed", {"errors": F.array(F.lit(f"{type(e).__name__}: {e}"[:2000]))} | ends())
+    return run.warehouse.find("search_runs", F.col("run_id") == run_id)
+
+
+def _started(run: Run, run_id: str) -> Column:
+    return F.lit(run.warehouse.find("search_runs", F.col("run_id") == run_id).first().started_at).cast("timestamp")

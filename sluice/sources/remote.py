@@ -54,6 +54,7 @@ def fetch(urls: DataFrame, url: str, get: Callable[[str], tuple[int, bytes]], at
 
 
 TEXT_CHARS, PREVIOUS_CHARS, RE_PROMPTS = 6000, 1000, 3
+INTERPRETED = "llm_status string, llm_output string, llm_raw string, llm_errors string, llm_retries int, cacheable boolean"
 
 
 def interpret_one(text: str, complete: Callable[[str], str], valid: Callable[[object], str | None]) -> tuple:
@@ -85,15 +86,15 @@ def interpret_one(text: str, complete: Callable[[str], str], valid: Callable[[ob
 
 
 def interpret(pages: DataFrame, text: str, complete: Callable[[str], str], valid: Callable[[object], str | None] = lambda v: None if isinstance(v, dict) else "not an object") -> DataFrame:
-    """``pages`` with llm_status, llm_output, llm_errors, llm_retries and cacheable. Pages found in a cache are anti-joined first."""
+    """``pages`` with llm_status, llm_output, llm_raw, llm_errors, llm_retries and cacheable. Pages found in a cache are anti-joined first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = [interpret_one(t or "", complete, valid) for t in pdf[text]]
-            more = pd.DataFrame([(s, o, e, r, c) for s, o, _, e, r, c in out], columns=["llm_status", "llm_output", "llm_errors", "llm_retries", "cacheable"], index=pdf.index)
+            more = pd.DataFrame(out, columns=["llm_status", "llm_output", "llm_raw", "llm_errors", "llm_retries", "cacheable"], index=pdf.index)
             yield pd.concat([pdf, more], axis=1)
 
-    return pages.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in pages.dtypes) + ", llm_status string, llm_output string, llm_errors string, llm_retries int, cacheable boolean")
+    return pages.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in pages.dtypes) + ", " + INTERPRETED)
 
 
 def from_cache(pages: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -1,20 +1,31 @@
-"""Tables of the engine as Parquet under one root: scans, appends, keyed rewrites and lookups."""
+"""Tables of the engine as Parquet under one root: scans, appends, keyed merges and lookups.
+
+A table that is only appended to is a folder of files. A table with keyed
+updates is dealt into buckets by its key; a merge reads and rewrites the
+buckets its keys fall into, and a new manifest then names the folder of each
+bucket. A manifest appears whole or not at all, so a crash leaves the table as
+it was.
+"""
 
 from __future__ import annotations
 
 import dataclasses
+import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import schemas
+from sluice.operators.upsert import upsert
 
 #: Table: key columns, column that its latest rows are found by.
 TABLES = {
     "jobs": (["canonical_url"], "last_seen_at"), "job_versions": (["canonical_url", "version_number"], "versioned_at"), "search_runs": (["run_id"], "started_at"),
     "url_states": (["run_id", "url"], "updated_at"), "search_results": (["run_id", "url"], "discovered_at"), "source_fetches": ([], "fetched_at"), "extraction_events": ([], "extracted_at"),
-    "query_cache": (["query_hash"], "cached_at"), "source_health": (["source_name"], "updated_at"),
+    "query_cache": (["query_hash"], "cached_at"), "source_health": (["source_name"], "updated_at"), "llm_cache": (["cache_key"], "cached_at"), "field_health": ([], "observed_at"),
 }
+BUCKETS = 16
 #: Rows that the latest-first lookups return by default.
 LATEST = {"jobs": 100, "job_versions": 20, "search_runs": 20, "source_fetches": 10}
 
@@ -29,35 +40,109 @@ class Warehouse:
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    def _hadoop(self, path: str) -> tuple:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._hadoop(path)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
     def exists(self, table: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = self._hadoop(self.path(table))
+        return fs.exists(p)
+
+    def _manifest(self, table: str) -> tuple[int, dict[str, str] | None]:
+        """Number of the newest manifest, and the folder of each bucket; (0, None) for a table without."""
+        numbers = [int(n.split(".")[0]) for n in self._names(f"{self.path(table)}/_manifest") if n.endswith(".json")]
+        if not numbers:
+            return 0, None
+        text = self.spark.read.text(f"{self.path(table)}/_manifest/{max(numbers):08d}.json", wholetext=True).first().value
+        return max(numbers), json.loads(text)
+
+    def _publish(self, table: str, number: int, folders: dict[str, str]) -> None:
+        """Write manifest ``number``; ValueError if another writer was first."""
+        fs, part = self._hadoop(f"{self.path(table)}/_manifest/.{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.writeBytes(json.dumps(folders))
+        out.close()
+        final = self._hadoop(f"{self.path(table)}/_manifest/{number:08d}.json")[1]
+        if fs.exists(final) or not fs.rename(part, final):
+            raise ValueError(f"{table}: changed by another writer")
+
+    def _bucket(self, table: str) -> Column:
+        return F.pmod(F.xxhash64(*TABLES[table][0]), F.lit(BUCKETS)).cast("int")
+
+    def _write(self, table: str, rows: DataFrame) -> dict[str, str]:
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self._bucket(table)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path(table)}/{folder}")
+        return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(f"{self.path(table)}/{folder}") if n.startswith("_bucket=")}
+
+    def _read(self, table: str, folders: list[str]) -> DataFrame:
+        schema = schemas.TABLES[table]
+        return self.spark.read.schema(schema).parquet(*[f"{self.path(table)}/{x}" for x in folders]) if folders else self.spark.createDataFrame([], schema)
 
     def read(self, table: str) -> DataFrame:
-        schema = schemas.TABLES[table]
-        return self.spark.read.schema(schema).parquet(self.path(table)) if self.exists(table) else self.spark.createDataFrame([], schema)
+        folders = self._manifest(table)[1]
+        if folders is not None:
+            return self._read(table, list(folders.values()))
+        return self._read(table, [""] if self.exists(table) else [])
 
     def append(self, table: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path(table))
+        """Add rows to a table without manifests; columns that they lack are null."""
+        if self._manifest(table)[1] is not None:
+            raise ValueError(f"{table} has keyed rows: use merge or insert")
+        self._full(table, rows).write.mode("append").parquet(self.path(table))
+
+    def _full(self, table: str, rows: DataFrame) -> DataFrame:
+        return self.spark.createDataFrame([], schemas.TABLES[table]).unionByName(rows, allowMissingColumns=True)
 
     def insert(self, table: str, rows: DataFrame) -> None:
-        """Append rows whose keys are new; a clash is an error."""
+        """Add rows whose keys are new, created_at and updated_at set where the table has them; a clash is an error."""
         keys = TABLES[table][0]
-        if keys:
-            both = rows.select(*keys)
-            if both.count() != both.distinct().count() or both.join(self.read(table).select(*keys), keys, "left_semi").limit(1).count():
-                raise ValueError(f"{table}: a row with this key exists")
-        self.append(table, rows)
+        both = rows.select(*keys)
+        if both.count() != both.distinct().count() or both.join(self.read(table).select(*keys), keys, "left_semi").limit(1).count():
+            raise ValueError(f"{table}: a row with this key exists")
+        rows = self._full(table, rows)
+        self.merge(table, rows.withColumns({c: F.coalesce(c, F.current_timestamp()) for c in ("created_at", "updated_at") if c in rows.columns}))
+
+    def merge(self, table: str, updates: DataFrame, first: tuple[str, ...] = ("first_seen_at", "created_at"), now: Column | None = None) -> None:
+        """Upsert ``updates``, one row per key: their values win unless null, the ``first`` columns keep the earlier one.
+
+        ``updates`` must not depend on the table's own files in a way that another run changes; only buckets with updates are rewritten.
+        """
+        number, folders = self._manifest(table)
+        touched = [str(r[0]) for r in updates.select(self._bucket(table)).distinct().collect()]  # BUCKETS at most
+        if not touched and folders is not None:
+            return
+        held = folders or {}
+        stored = self._read(table, [held[b] for b in touched if b in held])
+        rows = upsert(stored, updates.select(*[c for c in stored.columns if c in updates.columns]), TABLES[table][0], first, now).select(*stored.columns)
+        self._publish(table, number + 1, held | self._write(table, rows))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Swap a table for ``rows``, which may be derived from it: written beside it, then moved over."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        new, old = jvm.org.apache.hadoop.fs.Path(self.path(table) + ".new"), jvm.org.apache.hadoop.fs.Path(self.path(table))
-        rows.write.mode("overwrite").parquet(new.toString())
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"{new} could not be moved to {old}")
+        """Swap a table for ``rows``, which may be derived from it."""
+        number = self._manifest(table)[0]
+        self._publish(table, number + 1, self._write(table, self._full(table, rows)))
+
+    def delete(self, table: str, condition: Column) -> int:
+        """Remove the matching rows of a keyed table; returns how many."""
+        gone = self.count(table, condition)
+        if gone:
+            self.replace(table, self.read(table).where(~F.coalesce(condition, F.lit(False))))
+        return gone
+
+    def vacuum(self, table: str) -> int:
+        """Delete folders and manifests that the newest manifest does not need; returns how many folders went."""
+        number, folders = self._manifest(table)
+        if folders is None:
+            return 0
+        live = {x.split("/")[0] for x in folders.values()}
+        old = [n for n in self._names(self.path(table)) if n.startswith("data-") and n not in live]
+        for path in [*(f"{self.path(table)}/{n}" for n in old), *(f"{self.path(table)}/_manifest/{k:08d}.json" for k in range(1, number))]:
+            fs, p = self._hadoop(path)
+            fs.delete(p, True)
+        return len(old)
 
     def find(self, table: str, condition: Column | None = None) -> DataFrame:
         df = self.read(table)
@@ -71,3 +156,8 @@ class Warehouse:
         out = self.find(table, condition).orderBy(F.col(TABLES[table][1]).desc_nulls_last(), *TABLES[table][0])
         n = LATEST.get(table) if limit is None else limit
         return out if n is None else out.limit(n)
+
+    def by_external_id(self, external_job_id: str, source_name: str | None = None) -> DataFrame:
+        """The job that a source knows by this id, at most one row."""
+        same = F.col("source.external_job_id") == external_job_id
+        return self.find("jobs", same if source_name is None else same & (F.col("source.source_name") == source_name)).limit(1)

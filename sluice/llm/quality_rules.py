@@ -262,4 +262,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = scratch.keep(statistics(docs), "stats")
     rules = train(stats, labels)
     failed = base_failed()
-    return stats.select("doc_id", *STATS, failed.alias("base_failed"), (~failed & decision(rules)).alias("kept"))
+    out = scratch.keep(stats.select("doc_id", *STATS, failed.alias("base_failed"), (~failed & decision(rules)).alias("kept")), "verdicts")
+    scratch.drop(stats)
+    return out

@@ -350,7 +350,10 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     places = order(link(rows.select("message", "conv_id", "position", "kind", "call_id", "depends_on"))).select("message", "linked", "level", "ordinal")
     out = rows.join(places, "message").withColumn("judged", judged(*text))
     errors = F.col("judged.errors")
-    return out.select(*names, "linked", "level", "ordinal", F.when(F.col("kind") == CALL, F.size(errors) == 0).alias("valid"), errors.alias("errors"), F.col("judged.json").alias("json"))
+    out = out.select(*names, "linked", "level", "ordinal", F.when(F.col("kind") == CALL, F.size(errors) == 0).alias("valid"), errors.alias("errors"), F.col("judged.json").alias("json"))
+    out = scratch.keep(out, "formatted")
+    scratch.drop(rows)
+    return out
 
 
 #: The one tool that plain conversations use: a user's turn asks it, the assistant's next turn answers.

@@ -19,10 +19,14 @@ cover, except their first copy.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sluice.llm import scratch
+from sluice.llm import blocks, scratch
 
 #: A repeated run is deleted only if it has at least so many words.
 LEAST_WORDS = 20
@@ -31,9 +35,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 KEY = ["doc_id", "digest"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -163,18 +167,36 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFram
     document with a smaller id, or further up. Lines without a word neither
     count in a run nor go. A null text stays null and has no lines; rows without
     doc_id come after all others; rows that repeat id and text are one document.
-    Other columns are carried along; of columns named n_lines or n_deleted the new ones stay.
+    Other columns are carried along; of columns named n_lines or n_deleted the
+    new ones stay. Texts stay in their blocks, only line numbers travel.
     """
-    gone = repeated_lines(docs, least).toDF("gone_id", "gone_digest", "gone_lines")
-    docs = docs.drop("n_lines", "n_deleted", "gone_flags", *gone.columns)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_digest"))
-    out = docs.join(gone, same, "left")
-    parts = F.split(text, "\n", -1)
-    # one flag per line up to the last one that goes
-    runs = F.transform("gone_lines", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.when(i > 0, F.get("gone_lines", i - 1)).otherwise(-1) - 1), F.array(F.lit(True))))
-    out = out.withColumn("gone_flags", F.flatten(runs))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.get("gone_flags", i), F.lit(False))), "\n")
-    text_now = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    return out.select(*[text_now.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_deleted"))
+    spark, docs = docs.sparkSession, docs.drop("n_lines", "n_deleted")
+    schema = StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema] + [StructField("n_lines", LongType()), StructField("n_deleted", LongType())])
+    rest = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("columns"))
+    blocked = blocks.pack(docs, "texts", rest=rest)
+    gone = repeated_lines(blocked, least)
+    rows = _keyed(blocked, "block", "row").drop("text")
+    told = scratch.keep(rows.join(gone, KEY).select("block", "row", "lines"), "told")
+
+    def without(block: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        lines = dict(zip(answers.column("row").to_pylist(), answers.column("lines").to_pylist(), strict=True))
+        number = rows.column("row").to_pylist()
+        text, found = rows.column("text").combine_chunks(), rows.column("rest").combine_chunks()
+        n_lines = pc.add(pc.count_substring(text, "\n"), 1).cast(pa.int64())
+        hit = [k for k, r in enumerate(number) if r in lines]
+        kept = []
+        for k in hit:
+            away = set(lines[number[k]])
+            kept.append("\n".join(x for i, x in enumerate(text[k].as_py().split("\n")) if i not in away))
+        mask = np.zeros(len(number), bool)
+        mask[hit] = True
+        text = pc.replace_with_mask(text, pa.array(mask), pa.array(kept, pa.string()))
+        none, others = found.field("no_text"), found.field("columns")
+        out = [pc.if_else(none, pa.scalar(None, pa.string()), text) if c == "text" else others.field(c) for c in schema.names[:-2]]
+        out += [pc.if_else(none, pa.scalar(0, pa.int64()), n_lines), pa.array([len(lines.get(r, ())) for r in number], pa.int64())]
+        return pa.table(out, names=schema.names)
+
+    out = scratch.keep(blocks.answer_by_block(blocked.select("block", "row", "text", "rest"), told, without, schema), "deduplicated")
+    scratch.drop(blocked, gone, told)
+    scratch.release(spark)
+    return out

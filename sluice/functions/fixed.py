@@ -23,6 +23,12 @@ SOURCES = list(SOURCE_SCOPES)
 LINKEDIN_STRIPPED = ["refId", "trackingId", "trk", "position", "pageNum", "utm_source", "utm_medium", "utm_campaign", "original_referer"]
 LINKEDIN_PATHS = [r"linkedin\.com/jobs/view/(\d+)", r"linkedin\.com/jobs/collections/[^/]+/\?.*currentJobId=(\d+)", r"linkedin\.com/job/[^/]+-(\d+)"]
 INDEED_KEY = r"\bjk=([a-f0-9]+)"
+NAUKRI_IDS = [r"[?&]jid=(\d+)", r"-(\d{6,})(?:\?|$|/)"]
+CUTSHORT_ID = r"/(?:job|jobs)/[^/]*?-?(\w{8,})"
+INSTAHYRE_ID = r"/job-(\d+)"
+HIRIST_ID = r"/j/[^/]*?-(\d+)"
+WELLFOUND_IDS = [r"/l/[^/]+/(\d+)", r"/jobs/(\d+)"]
+HIRECT_ID = r"/job(?:s)?/([\w-]+)"
 
 # --- Locations (fixed values) ---
 STATES = {

@@ -130,12 +130,12 @@ def _path(url: Column) -> Column:
 ADAPTERS: dict[str, tuple[list[str], Callable[[Column], Column], Callable[[Column], Column]]] = {
     "linkedin": (["linkedin.com"], _linkedin_id, lambda u: F.coalesce(F.concat(F.lit("https://www.linkedin.com/jobs/view/"), _linkedin_id(u), F.lit("/")), _moved(u, "www.linkedin.com", fixed.LINKEDIN_STRIPPED))),
     "indeed": (["indeed.com"], _indeed_id, lambda u: F.coalesce(F.concat(F.lit("https://www.indeed.com/viewjob?jk="), _indeed_id(u)), _moved(u, "www.indeed.com", fixed.TRACKING_PARAMS))),
-    "naukri": (["naukri.com"], lambda u: F.coalesce(_group(u, r"[?&]jid=(\d+)"), _group(u, r"-(\d{6,})(?:\?|$|/)")), lambda u: _moved(u, "www.naukri.com")),
-    "cutshort": (["cutshort.io"], lambda u: _group(_path(u), r"/(?:job|jobs)/[^/]*?-?(\w{8,})"), lambda u: _moved(u, "cutshort.io")),
-    "instahyre": (["instahyre.com"], lambda u: _group(_path(u), r"/job-(\d+)"), lambda u: _moved(u, "www.instahyre.com")),
-    "hirist": (["hirist.tech", "hirist.com"], lambda u: _group(_path(u), r"/j/[^/]*?-(\d+)"), lambda u: _moved(u, "www.hirist.tech")),
-    "wellfound": (["wellfound.com", "angel.co"], lambda u: F.coalesce(_group(_path(u), r"/l/[^/]+/(\d+)"), _group(_path(u), r"/jobs/(\d+)")), lambda u: _moved(u, "wellfound.com")),
-    "hirect": (["hirect.in"], lambda u: _group(_path(u), r"/job(?:s)?/([\w-]+)"), lambda u: _moved(u, "hirect.in")),
+    "naukri": (["naukri.com"], lambda u: F.coalesce(*[_group(u, p) for p in fixed.NAUKRI_IDS]), lambda u: _moved(u, "www.naukri.com")),
+    "cutshort": (["cutshort.io"], lambda u: _group(_path(u), fixed.CUTSHORT_ID), lambda u: _moved(u, "cutshort.io")),
+    "instahyre": (["instahyre.com"], lambda u: _group(_path(u), fixed.INSTAHYRE_ID), lambda u: _moved(u, "www.instahyre.com")),
+    "hirist": (["hirist.tech", "hirist.com"], lambda u: _group(_path(u), fixed.HIRIST_ID), lambda u: _moved(u, "www.hirist.tech")),
+    "wellfound": (["wellfound.com", "angel.co"], lambda u: F.coalesce(*[_group(_path(u), p) for p in fixed.WELLFOUND_IDS]), lambda u: _moved(u, "wellfound.com")),
+    "hirect": (["hirect.in"], lambda u: _group(_path(u), fixed.HIRECT_ID), lambda u: _moved(u, "hirect.in")),
     "generic": ([], lambda u: blank_to_null(F.regexp_replace(_path(u), "^/+|/+$", "")), lambda u: join(F.lit("https"), F.lower(part(u, 2)), part(u, 3), F.lit(""))),
 }
 

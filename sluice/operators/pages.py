@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sluice.functions import fixed
-from sluice.functions.text import blank_to_null, first_match, strip
+from sluice.functions.text import blank_to_null, first_match, let, strip
 
 _VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 
@@ -68,20 +68,37 @@ def heading(line: Column) -> Column:
     return F.coalesce(*tests)
 
 
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def blocks(text: Column) -> Column:
+    """array(struct(block, label, text)) of a text's sections with text, in order; lines before the first heading are 'body'."""
+
+    def cut(lines: Column) -> Column:
+        found = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), heading(strip(x)).alias("label"))), lambda x: x["label"].isNotNull())
+
+        def between(starts: Column) -> Column:
+            def one(s: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1)["at"], F.size(lines))
+                own = strip(F.array_join(F.slice(lines, s["at"] + 2, end - s["at"] - 1), "\n"))
+                return F.struct(k.cast("long").alias("block"), s["label"].alias("label"), own.alias("text"))
+
+            return F.filter(F.transform(starts, one), lambda b: b["text"] != "")
+
+        return let(F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit("body").alias("label"))), found), between)
+
+    return let(F.split(text, LINE_ENDS, -1), cut)
+
+
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, block, label, text) of every section with text, in order; lines before the first heading are 'body'."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)).alias("line", "content"))
-    at = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    label = heading(strip(F.col("content")))
-    marked = lines.withColumn("heading", label).withColumn("block", F.sum(F.col("heading").isNotNull().cast("int")).over(at)).withColumn("label", F.coalesce(F.last("heading", ignorenulls=True).over(at), F.lit("body")))
-    body = marked.where("heading is null").groupBy(key, "block", "label").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("lines"))
-    joined = strip(F.array_join(F.transform("lines", lambda x: x["content"]), "\n"))
-    return body.select(key, "block", "label", joined.alias("text")).where("text <> ''")
+    return df.select(key, F.explode(blocks(F.col(text))).alias("b")).select(key, "b.block", "b.label", "b.text")
 
 
-def first_sections(blocks: DataFrame, key: str) -> DataFrame:
-    """The first section of each label: (key, label, text)."""
-    return blocks.groupBy(key, "label").agg(F.min_by("text", "block").alias("text"))
+def first_sections(found: Column) -> Column:
+    """struct with the text of the first section of each label, from ``blocks``."""
+    first = lambda k: F.get(F.filter(found, lambda b: b["label"] == k), F.lit(0))["text"]
+    return F.struct(*[first(k).alias(k) for k in [*fixed.HEADINGS, "body"]])
 
 
 def list_items(text: Column) -> Column:
@@ -131,12 +148,6 @@ def fields(page: Column, sec: Column) -> dict[str, Column]:
 
 
 def extract(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, page_text, and one column per field) of every page."""
-    pages = df.select(key, clean_html(F.col(html)).alias("page_text"))
-    found = first_sections(sections(pages, key, "page_text"), key)
-    maps = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "text"))).alias("sections"))
-    both = pages.join(maps, key, "left").withColumn("sections", F.coalesce("sections", F.create_map().cast("map<string,string>")))
-    sec = F.col("sections")
-    labels = [*fixed.HEADINGS, "body"]
-    lookup = F.struct(*[F.try_element_at(sec, F.lit(k)).alias(k) for k in labels])
-    return both.withColumn("_s", lookup).select(key, "page_text", *[v.alias(k) for k, v in fields(F.col("page_text"), F.col("_s")).items()])
+    """(key, page_text, and one column per field) of every page; each page is parsed once, and nothing is shuffled."""
+    rows = df.select(key, clean_html(F.col(html)).alias("page_text")).withColumn("_b", blocks(F.col("page_text"))).withColumn("_s", first_sections(F.col("_b")))
+    return rows.select(key, "page_text", *[v.alias(k) for k, v in fields(F.col("page_text"), F.col("_s")).items()])

@@ -86,25 +86,30 @@ def source_detect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", url.alias("url")).select("page_id", urls.source_of(F.col("url")).alias("source_name"))
 
 
-_JOB_URLS = [
-    ("https://www.linkedin.com/jobs/view/123456/?refId=a&trk=b", "linkedin", "123456", "https://www.linkedin.com/jobs/view/123456/"),
-    ("https://linkedin.com/jobs/search?currentJobId=77", "linkedin", "77", "https://www.linkedin.com/jobs/view/77/"),
-    ("https://in.indeed.com/viewjob?jk=abc123&from=serp", "indeed", "abc123", "https://www.indeed.com/viewjob?jk=abc123"),
-    ("https://www.naukri.com/job-listings-dev-pune-250726001234?src=x", "naukri", "250726001234", "https://www.naukri.com/job-listings-dev-pune-250726001234"),
-    ("https://cutshort.io/job/developer-abcd1234", "cutshort", "developer", "https://cutshort.io/job/developer-abcd1234"),
-    ("https://instahyre.com/job-4455-engineer/", "instahyre", "4455", "https://www.instahyre.com/job-4455-engineer/"),
-    ("https://www.hirist.com/j/python-dev-998877.html", "hirist", "998877", "https://www.hirist.tech/j/python-dev-998877.html"),
-    ("https://angel.co/l/acme/31", "wellfound", "31", "https://wellfound.com/l/acme/31"),
-    ("https://hirect.in/jobs/senior-dev_1", "hirect", "senior-dev_1", "https://hirect.in/jobs/senior-dev_1"),
-    ("http://Example.com/a/b/?q=1#f", "generic", "a/b", "https://example.com/a/b/"),
-    ("https://example.com/", "generic", None, "https://example.com/"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else "'" + x + "'" for x in r) + ")" for r in _JOB_URLS) + ") AS t(url, adapter, external_id, adapter_url)")
+#: URL of a page on each adapter's host, around its id; the adapter, the id and the canonical URL to expect.
+_ROUTES = [
+    ("https://www.linkedin.com/jobs/view/{i}/?refId=a&trk=b", "linkedin", "{i}", "https://www.linkedin.com/jobs/view/{i}/"), ("https://linkedin.com/jobs/search?currentJobId={i}", "linkedin", "{i}", "https://www.linkedin.com/jobs/view/{i}/"),
+    ("https://in.indeed.com/viewjob?jk=ab{i}&from=serp", "indeed", "ab{i}", "https://www.indeed.com/viewjob?jk=ab{i}"), ("https://www.naukri.com/job-listings-dev-pune-777000{i}?src=x", "naukri", "777000{i}", "https://www.naukri.com/job-listings-dev-pune-777000{i}"),
+    ("https://instahyre.com/job-{i}-engineer/", "instahyre", "{i}", "https://www.instahyre.com/job-{i}-engineer/"), ("https://www.hirist.com/j/python-dev-{i}.html", "hirist", "{i}", "https://www.hirist.tech/j/python-dev-{i}.html"),
+    ("https://angel.co/l/acme/{i}", "wellfound", "{i}", "https://wellfound.com/l/acme/{i}"), ("https://hirect.in/jobs/senior-dev_{i}", "hirect", "senior-dev_{i}", "https://hirect.in/jobs/senior-dev_{i}"),
+    ("http://Example.com/a/b{i}/?q=1#f", "generic", "a/b{i}", "https://example.com/a/b{i}/"),
+]
+
+
+def _by_route(at: int, own: str) -> str:
+    return f"CASE page_id % {len(_ROUTES) + 1} " + " ".join(f"WHEN {k} THEN replace('{r[at]}', '{{i}}', page_id::VARCHAR)" for k, r in enumerate(_ROUTES)) + f" ELSE {own} END"
+
+
+_URL_PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""SELECT page_id, {_by_route(1, "'generic'")} AS adapter, {_by_route(2, f"nullif(regexp_replace({_URL_PATH}, '^/+|/+$', '', 'g'), '')")} AS external_id,
+{_by_route(3, f"'https://' || lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) || {_URL_PATH}")} AS adapter_url FROM pages""")
 def adapter_route_id(spark: SparkSession, d: str) -> DataFrame:
-    u = F.col("url")
-    return spark.createDataFrame([(r[0],) for r in _JOB_URLS], "url string").select("url", urls.adapter_of(u).alias("adapter"), urls.external_id(u).alias("external_id"), urls.adapter_canonical(u).alias("adapter_url"))
+    k, i = F.col("page_id") % (len(_ROUTES) + 1), F.col("page_id").cast("string")
+    made = F.coalesce(*[F.when(k == n, F.replace(F.lit(r[0]), F.lit("{i}"), i)) for n, r in enumerate(_ROUTES)], F.col("url"))
+    u = F.col("u")
+    return table(spark, d, "pages").select("page_id", made.alias("u")).select("page_id", urls.adapter_of(u).alias("adapter"), urls.external_id(u).alias("external_id"), urls.adapter_canonical(u).alias("adapter_url"))
 
 
 @query("SELECT page_id, sha256(regexp_replace(regexp_replace(html, '^\\s+|\\s+$', '', 'g'), '\\r\\n?', chr(10), 'g')) AS content_hash FROM pages")
@@ -133,10 +138,15 @@ def clean_html_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", t.alias("t")).select("page_id", F.length("t").alias("n_chars"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
 
 
+EVIDENCE = ["title", "company_name", "location", "employment_type", "work_mode", "salary_raw", "experience_raw", "posted_date", "apply_url", "apply_email"]
+TEXTS = ["description_text", "requirements_text", "preferred_text", "benefits_text"]
+
+
 @query()
 def extracted_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of a page; long texts by their hash."""
     out = pages.extract(table(spark, d, "pages"), "page_id", "html")
-    return out.select("page_id", F.col("title.value").alias("title"), F.col("apply_email.value").alias("apply_email"), F.length("description_text").alias("description_chars"))
+    return out.select("page_id", *[F.col(f"{f}.value").alias(f) for f in EVIDENCE], *[F.sha2(F.col(f).cast("binary"), 256).alias(f) for f in TEXTS], "responsibilities")
 
 
 @query(f"SELECT doc_id, nullif(regexp_extract(text, '{fixed.EMAIL_TEXT}', 0), '') AS email, nullif(regexp_extract(text, '(?i)(\\d+\\+?\\s*(?:years?|yrs?))', 0), '') AS years FROM documents")
@@ -152,62 +162,62 @@ def list_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(f"""WITH l AS (SELECT item_id, unnest(string_split(t, chr(10))) AS content, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM (SELECT item_id, 'Overview' || chr(10) || replace(text, '. ', chr(10) || 'Requirements' || chr(10)) AS t FROM benchmark)),
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS content, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM (SELECT doc_id, 'Overview' || chr(10) || replace(text, '. ', chr(10) || 'Requirements' || chr(10)) AS t FROM documents)),
 m AS (SELECT *, CASE trim(content) WHEN 'Overview' THEN 'description' WHEN 'Requirements' THEN 'requirements' END AS heading FROM l),
-b AS (SELECT *, sum((heading IS NOT NULL)::INT) OVER w AS block, last_value(heading IGNORE NULLS) OVER w AS label FROM m WINDOW w AS (PARTITION BY item_id ORDER BY line ROWS UNBOUNDED PRECEDING))
-SELECT item_id, block::BIGINT AS block, coalesce(label, 'body') AS label, regexp_replace(string_agg(content, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g') AS text FROM b WHERE heading IS NULL GROUP BY ALL HAVING length(regexp_replace(string_agg(content, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g')) > 0""")
+b AS (SELECT *, sum((heading IS NOT NULL)::INT) OVER w AS block, last_value(heading IGNORE NULLS) OVER w AS label FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, block::BIGINT AS block, coalesce(label, 'body') AS label, sha256(regexp_replace(string_agg(content, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g')) AS text_sha256 FROM b WHERE heading IS NULL GROUP BY ALL HAVING length(regexp_replace(string_agg(content, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g')) > 0""")
 def section_blocks(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("Overview\n"), F.replace("text", F.lit(". "), F.lit("\nRequirements\n")))
-    return pages.sections(table(spark, d, "benchmark").select("item_id", t.alias("t")), "item_id", "t")
+    out = pages.sections(table(spark, d, "documents").select("doc_id", t.alias("t")), "doc_id", "t")
+    return out.select("doc_id", "block", "label", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 # --- normalisers ---
 
-_PLACES = [
-    ("Bangalore, KA", "Bangalore", "Karnataka", "India", False), ("Pune", "Pune", "Maharashtra", "India", False), ("Remote", "Remote", None, None, True), ("Berlin, BE, Germany", "Berlin", "BE", "Germany", False),
-    ("chennai, tn", "chennai", "Tamil Nadu", "India", False), ("Work  from home, Kochi", "Work  from home", "Kochi", None, True), (" Oslo ", "Oslo", None, None, False),
-]
-_PAY = [
-    ("₹4-8 LPA", "annual", 400000.0, 800000.0, 400000.0), ("50k per month", "monthly", 50000.0, None, 600000.0), ("INR 5,00,000 to 7,00,000 per annum", "annual", 500000.0, 700000.0, 500000.0),
-    ("1.5 crore", None, 15000000.0, None, None), ("negotiable", None, None, None, None), ("Rs. 300 per hour", "hourly", 300.0, None, None),
-]
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    def one(x: object) -> str:
-        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
-
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({names})"
+_CITY, _STATE = list(fixed.CITIES), list(fixed.STATES)
+_NTH = lambda values, k: "[" + ", ".join(f"'{v}'" for v in values) + f"][({k} % {len(values)})::INT + 1]"
+_PLACE = f"""CASE c_custkey % 6 WHEN 0 THEN {_NTH(_CITY, 'c_custkey')} || ', ' || {_NTH(_STATE, 'c_custkey // 7')} WHEN 1 THEN upper({_NTH(_CITY, 'c_custkey')}) WHEN 2 THEN 'Remote' WHEN 3 THEN n_name || ', ' || c_custkey || ', ' || n_name
+WHEN 4 THEN ' Work  from home,  ' || {_NTH(_CITY, 'c_custkey')} || ' ' ELSE ' ' || n_name END"""
 
 
-@query(_values(_PLACES, "raw, city, state, country, is_remote"))
+@query(f"""WITH r AS (SELECT c_custkey, {_PLACE} AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey),
+p AS (SELECT c_custkey, raw, list_transform(string_split(trim(raw), ','), lambda x: nullif(trim(x), '')) AS p FROM r),
+h AS (SELECT *, {sql.mapping(fixed.CITIES)}[lower(p[1])] AS home FROM p)
+SELECT c_custkey, p[1] AS city, coalesce({sql.mapping(fixed.STATES)}[upper(p[2])], p[2], home) AS state, coalesce(p[3], CASE WHEN home IS NOT NULL THEN '{fixed.COUNTRY}' END) AS country, regexp_matches(raw, '(?i){fixed.REMOTE}') AS is_remote FROM h""")
 def location_norm(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.createDataFrame([(r[0],) for r in _PLACES], "raw string").withColumn("n", normalize.location(F.col("raw")))
-    return n.select("raw", "n.city", "n.state", "n.country", "n.is_remote")
+    k = F.col("c_custkey")
+    nth = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    city, nation = nth(_CITY, k), F.col("n_name")
+    made = (
+        F.when(k % 6 == 0, F.concat(city, F.lit(", "), nth(_STATE, F.floor(k / 7)))).when(k % 6 == 1, F.upper(city)).when(k % 6 == 2, "Remote").when(k % 6 == 3, F.concat(nation, F.lit(", "), k.cast("string"), F.lit(", "), nation))
+        .when(k % 6 == 4, F.concat(F.lit(" Work  from home,  "), city, F.lit(" "))).otherwise(F.concat(F.lit(" "), nation))
+    )
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(k, made.alias("raw")).select("c_custkey", normalize.location(F.col("raw")).alias("n")).select("c_custkey", "n.city", "n.state", "n.country", "n.is_remote")
 
 
-@query(_values(_PAY, "raw, period, min_amount, max_amount, annual_inr"))
-def salary_norm(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.createDataFrame([(r[0],) for r in _PAY], "raw string").withColumn("n", normalize.salary(F.col("raw")))
-    return n.select("raw", "n.period", "n.min_amount", "n.max_amount", "n.annual_inr")
+_PAY = "(o_orderkey % 90 + 1)"
 
 
-@query(f"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[\\n|]', ' ', 'g'), ' ')[1:30], lambda x: length(x) > 0) AS raw FROM documents),
-e AS (SELECT doc_id, unnest(raw) AS original, generate_subscripts(raw, 1) AS pos FROM s),
-n AS (SELECT doc_id, pos, coalesce({sql.mapping(fixed.SKILLS)}[trim(regexp_replace(regexp_replace(lower(original), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s.#+\\-/]', ' ', 'g'), '\\s+', ' ', 'g'))], original) AS canonical FROM e)
-SELECT doc_id, count(DISTINCT lower(canonical))::INT AS n_skills, min_by(canonical, pos) AS first_skill FROM n GROUP BY doc_id""")
-def skills_norm(spark: SparkSession, d: str) -> DataFrame:
-    words = F.filter(F.slice(F.split(F.regexp_replace("text", r"[\n|]", " "), " "), 1, 30), lambda x: F.length(x) > 0)
-    n = table(spark, d, "documents").select("doc_id", normalize.skills(words).alias("s"))
-    return n.where(F.size("s") > 0).select("doc_id", F.size("s").alias("n_skills"), F.get("s", F.lit(0))["canonical"].alias("first_skill"))
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'annual' WHEN 1 THEN 'monthly' WHEN 2 THEN 'annual' WHEN 5 THEN 'hourly' END AS period,
+CASE o_orderkey % 6 WHEN 0 THEN {_PAY} * 100000.0 WHEN 1 THEN {_PAY} * 1000.0 WHEN 2 THEN {_PAY} * 100000.0 WHEN 3 THEN {_PAY} * 10000000.0 WHEN 5 THEN {_PAY} END::DOUBLE AS min_amount,
+CASE o_orderkey % 6 WHEN 0 THEN ({_PAY} + 4) * 100000.0 WHEN 2 THEN ({_PAY} + 2) * 100000.0 END::DOUBLE AS max_amount,
+CASE o_orderkey % 6 WHEN 0 THEN {_PAY} * 100000.0 WHEN 1 THEN {_PAY} * 12000.0 WHEN 2 THEN {_PAY} * 100000.0 END::DOUBLE AS annual_inr FROM orders""")
+def salary_norm(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    n = lambda more=0: (k % 90 + 1 + more).cast("string")
+    made = (
+        F.when(k % 6 == 0, F.concat(F.lit("₹"), n(), F.lit("-"), n(4), F.lit(" LPA"))).when(k % 6 == 1, F.concat(n(), F.lit("k per month"))).when(k % 6 == 2, F.concat(F.lit("INR "), n(), F.lit(",00,000 to "), n(2), F.lit(",00,000 per annum")))
+        .when(k % 6 == 3, F.concat(n(), F.lit(" crore"))).when(k % 6 == 4, "negotiable").otherwise(F.concat(F.lit("Rs. "), n(), F.lit(" per hour")))
+    )
+    return table(spark, d, "orders").select(k, made.alias("raw")).select("o_orderkey", normalize.salary(F.col("raw")).alias("n")).select("o_orderkey", "n.period", "n.min_amount", "n.max_amount", "n.annual_inr")
 
 
 @query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[\\n|]', ' ', 'g'), ' '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS raw FROM documents),
 e AS (SELECT doc_id, unnest(raw) AS original, generate_subscripts(raw, 1) AS pos FROM s),
 n AS (SELECT doc_id, pos, coalesce({sql.mapping(fixed.SKILLS)}[trim(regexp_replace(regexp_replace(lower(original), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s.#+\\-/]', ' ', 'g'), '\\s+', ' ', 'g'))], original) AS canonical FROM e)
 SELECT doc_id, count(DISTINCT lower(canonical)) AS n_skills, min_by(canonical, pos) AS first_skill FROM n GROUP BY doc_id""")
-def skills_norm_texts(spark: SparkSession, d: str) -> DataFrame:
-    """As skills_norm, over whole texts."""
+def skills_norm(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(F.regexp_replace("text", r"[\n|]", " "), " ")
     n = normalize.distinct_skills(table(spark, d, "documents"), "doc_id", words)
     return n.groupBy("doc_id").agg(F.count("*").alias("n_skills"), F.min_by("canonical", "pos").alias("first_skill"))
@@ -262,16 +272,9 @@ def experience_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", score.experience(low, high, c).alias("experience"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text[1:200]), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS w FROM documents)
-SELECT doc_id, least(1.0, len(list_intersect(w, ['that', 'this', 'que', 'die'])) / 4.0)::DOUBLE AS title_score FROM t""")
-def title_score(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", score.title(F.substring("text", 1, 200), F.lit("that this of que die")).alias("title_score"))
-
-
 @query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS w FROM documents)
 SELECT doc_id, least(1.0, len(list_intersect(w, ['that', 'this', 'que', 'die'])) / 4.0)::DOUBLE AS title_score FROM t""")
-def title_score_texts(spark: SparkSession, d: str) -> DataFrame:
-    """As title_score, over whole texts."""
+def title_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", score.title(F.col("text"), F.lit("that this of que die")).alias("title_score"))
 
 

@@ -45,12 +45,12 @@ def test_skills_of_whole_texts(spark, tmp_path):
     """Pieces after the 30th count, and a text that begins with 30 empty ones stays."""
     rows = [(1, " ".join(f"w{i}" for i in range(40)) + " W3 js javascript"), (2, " " * 35 + "k8s")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in catalogue.QUERIES["skills_norm_texts"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["skills_norm"](spark, str(tmp_path)).collect()}
     assert got == {(1, 41, "w0"), (2, 1, "Kubernetes")}
 
 
 def test_title_score_of_whole_texts(spark, tmp_path):
     """Words after the 200th character count."""
     spark.createDataFrame([(1, "x " * 150 + "that que"), (2, "this")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in catalogue.QUERIES["title_score_texts"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["title_score"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0.5), (2, 0.25)}

@@ -51,6 +51,29 @@ def test_hashes_ignore_layout(spark):
     assert one(spark, "a/b c?é", text.safe_name(F.col("v")).alias("k")).k == "a_b_c_é"
 
 
+JOB_URLS = [
+    ("https://www.linkedin.com/jobs/view/123456/?refId=a&trk=b", "linkedin", "123456", "https://www.linkedin.com/jobs/view/123456/"), ("https://linkedin.com/jobs/search?currentJobId=77", "linkedin", "77", "https://www.linkedin.com/jobs/view/77/"),
+    ("https://cutshort.io/job/developer-abcd1234", "cutshort", "developer", "https://cutshort.io/job/developer-abcd1234"), ("https://example.com/", "generic", None, "https://example.com/"), ("", None, None, None),
+]
+PLACES = [
+    ("Bangalore, KA", "Bangalore", "Karnataka", "India", False), ("Berlin, BE, Germany", "Berlin", "BE", "Germany", False), ("Work  from home, Kochi", "Work  from home", "Kochi", None, True), (" Oslo ", "Oslo", None, None, False), (None, None, None, None, False),
+]
+PAY = [("₹4-8 LPA", "annual", 400000.0, 800000.0, 400000.0), ("50k per month", "monthly", 50000.0, None, 600000.0), ("1.5 crore", None, 15000000.0, None, None), ("negotiable", None, None, None, None), (None, None, None, None, None)]
+
+
+def test_adapters(spark):
+    df = spark.createDataFrame([(r[0],) for r in JOB_URLS], "url string")
+    u = F.col("url")
+    assert [tuple(r) for r in df.select(u, urls.adapter_of(u), urls.external_id(u), urls.adapter_canonical(u)).collect()] == JOB_URLS
+
+
+def test_places_and_pay(spark):
+    got = spark.createDataFrame([(r[0],) for r in PLACES], "raw string").select("raw", normalize.location(F.col("raw")).alias("n")).select("raw", "n.city", "n.state", "n.country", "n.is_remote")
+    assert [tuple(r) for r in got.collect()] == PLACES
+    got = spark.createDataFrame([(r[0],) for r in PAY], "raw string").select("raw", normalize.salary(F.col("raw")).alias("n")).select("raw", "n.period", "n.min_amount", "n.max_amount", "n.annual_inr")
+    assert [tuple(r) for r in got.collect()] == PAY
+
+
 def test_location(spark):
     n = one(spark, "Hosur Road, KA", normalize.location(F.col("v")).alias("n")).n
     assert (n.city, n.state, n.country, n.is_remote) == ("Hosur Road", "Karnataka", None, False)

@@ -1,4 +1,7 @@
 import datetime
+import os
+import random
+import re
 import zipfile
 
 import pandas as pd
@@ -6,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import api, schemas
+from sluice.functions import fixed
 from sluice.functions.score import Criteria
 from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, search, upsert
 from sluice.sources import raw_store, remote, search_pages
@@ -111,6 +115,103 @@ def test_page_extraction(spark):
     assert rows[2].title is None and rows[3].title is None
 
 
+def brute_sections(text):
+    """First section of each label, a line at a time."""
+    found, label, held = {}, "body", []
+
+    def close():
+        body = "\n".join(held).strip()
+        if body:
+            found.setdefault(label, body)
+
+    for line in re.split(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", text):
+        stripped = line.strip()
+        opens = next((k for k, ps in fixed.HEADINGS.items() if len(stripped) < fixed.HEADING_LENGTH and any(re.search(p, stripped, re.I) for p in ps)), None)
+        if opens:
+            close()
+            label, held = opens, []
+        else:
+            held.append(line)
+    close()
+    return found
+
+
+def brute_fields(text):
+    """Fields of a page text, one rule after the other."""
+    sec = brute_sections(text)
+
+    def first(where, pattern, group=0, flags=re.I):
+        m = re.search(pattern, where, flags)
+        return (m[group] or "").strip() or None if m else None
+
+    def bounded(pattern, low, high, flags=re.I):
+        v = first(text[:3000], pattern, 1, flags) or ""
+        return v if low < len(v) < high else None
+
+    lines = [x.strip() for x in text.split("\n") if x.strip()][:10]
+    bare = lambda x: re.sub(fixed.BULLET, "", x.strip()).strip()
+    apply_text = sec.get("application", text)
+    return {
+        "title": next((x for x in lines if 3 < len(x) < 120 and not x.endswith(":") and not re.search(fixed.NOT_TITLE, x, re.I)), None),
+        "company_name": bounded(fixed.COMPANY_LABEL, 2, 80) or bounded(fixed.COMPANY_AT, 2, 80), "location": bounded(fixed.LOCATION_LABEL, 2, 100) or bounded(fixed.LOCATION_CITY, 2, 100, 0),
+        "employment_type": first(text[:2000], fixed.EMPLOYMENT_TEXT), "work_mode": first(text[:2000], fixed.WORK_MODE_TEXT), "salary_raw": first(sec.get("salary", text[:4000]), fixed.SALARY_TEXT),
+        "experience_raw": first(sec.get("requirements", text[:3000]), fixed.EXPERIENCE_TEXT), "posted_date": first(text, fixed.POSTED_TEXT), "apply_url": first(apply_text, fixed.APPLY_URL_TEXT), "apply_email": first(apply_text, fixed.EMAIL_TEXT, flags=0),
+        "description_text": sec.get("description", sec.get("body")), "requirements_text": sec.get("requirements"), "preferred_text": sec.get("preferred_qualifications"), "benefits_text": sec.get("benefits"),
+        "responsibilities": [x for x in map(bare, sec["responsibilities"].split("\n")) if len(x) > 4] if "responsibilities" in sec else None,
+    }
+
+
+def make_pages(n=60):
+    r = random.Random(8)
+    heads = ["Requirements", "Key Responsibilities", "About the Role", "Salary", "How to Apply", "What we offer", "Nice to have", "Preferred Skills"]
+    parts = [
+        "Senior Data Engineer", "Company: Acme Labs", "Location: Pune, MH", "full-time and hybrid", "₹4-8 LPA", "3-5 years of experience in Spark", "posted 3 days ago", "apply here: https://x.example/job?id=1", "mail jobs@acme.example now",
+        "• 1) Build things", "- write tests daily", "Login", "x", "We work at Blue Sky Inc. is great", "Bengaluru, KA office", "INR 5,00,000 to 7,00,000", "Home:", "10+ yrs", "a" * 130,
+    ]
+    return [None, "", *("".join(f"<{t}>{r.choice(heads) if r.random() < 0.3 else r.choice(parts)}</{t}>" for t in r.choices(["p", "div", "h2", "li"], k=r.randint(1, 25))) for _ in range(n))]
+
+
+def test_fields_against_brute_force(spark):
+    source = make_pages()
+    if os.path.exists("/root/testdata/sf0.001/pages.parquet"):
+        source += [x.html for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(source)), "id int, html string")
+    found = pages.extract(df, "id", "html")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        if source[r.id] is None:
+            continue
+        want = brute_fields(r.page_text)
+        got = {k: (r[k].value if r[k] is not None and hasattr(r[k], "value") else r[k]) for k in want}
+        assert got == want, r.id
+
+
+def test_clean_page_of_generated_markup():
+    """Text outside noise elements, each piece on its own line, however elements nest."""
+    r = random.Random(3)
+
+    def element(depth, noisy):
+        out, kept = [], []
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if kind < 0.5 or depth == 0:
+                word = f"w{r.randint(0, 99)}"
+                out.append(f"{word}<br>")
+                if not noisy:
+                    kept.append(word)
+            else:
+                tag = r.choice(["p", "div", "b", *(t for t in fixed.NOISE_TAGS if t not in ("script", "style", "iframe"))])
+                inner, more = element(depth - 1, noisy or tag in fixed.NOISE_TAGS)
+                out.append(f"<{tag}>{inner}</{tag}>")
+                kept += more
+        return "".join(out), kept
+
+    for _ in range(300):
+        html, kept = element(4, False)
+        assert pages.clean_page(html + "<script>if (a < b) {}</script><style>p {}</style>") == "\n".join(kept)
+
+
 @pytest.mark.parametrize(("line", "label"), [("Requirements", "requirements"), ("Preferred Skills", "preferred_qualifications"), ("It would be an advantage to know Go", "preferred_qualifications"), ("Why join us today", "benefits"), ("requirements are long", None), ("x" * 90, None)])
 def test_headings(spark, line, label):
     assert spark.createDataFrame([(line,)], "l string").select(pages.heading(F.col("l")).alias("h")).first().h == label

@@ -62,3 +62,15 @@ def schema_errors(job: dict[str, Column]) -> Column:
 
 def quality(status: Column, errors: Column) -> Column:
     return F.when(status.isin("failed", "critical"), "invalid").when((F.size(errors) > 0) | (status == "partial"), "partial").otherwise("valid")
+
+
+MESSAGES = {
+    "canonical_url": "not an http(s) URL", "content_hash": "not a SHA-256 in hexadecimal", "employment_type": "not a known employment type", "work_mode": "not a known work mode", "lifecycle_status": "not a known status",
+    "apply_email": "not an e-mail address", "experience": "the minimum is above the maximum", "salary": "the minimum is above the maximum",
+}
+
+
+def schema_problems(errors: Column) -> Column:
+    """array(struct(field, message)) of the names that ``schema_errors`` gives."""
+    said = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+    return F.transform(errors, lambda e: F.struct(e.alias("field"), F.try_element_at(said, e).alias("message")))

@@ -73,3 +73,9 @@ def run_ids(df: DataFrame, at: str, *order: str) -> DataFrame:
     day = F.date_format(at, "yyyyMMdd")
     n = F.row_number().over(Window.partitionBy(day).orderBy(at, *order))
     return df.withColumn("run_id", F.format_string("SR_%s_%03d", day, n))
+
+
+def snapshots(versioned: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, current_version, version_count, versions): each key's versions as an ordered array of structs with the given columns."""
+    held = F.array_sort(F.collect_list(F.struct("version_number", *columns)))
+    return versioned.groupBy(key).agg(held.alias("versions")).select(key, F.element_at("versions", -1)["version_number"].alias("current_version"), F.size("versions").alias("version_count"), "versions")

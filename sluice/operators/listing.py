@@ -45,6 +45,12 @@ def ranked_page(df: DataFrame, c: score.Criteria, as_of: Column, sort: str = "re
     return out
 
 
+def components(scored: DataFrame, *columns: str) -> DataFrame:
+    """The given columns, relevance, and its components rounded to three places in one struct."""
+    parts = [c for c in scored.columns if c.startswith("score_")]
+    return scored.select(*columns, "relevance", F.struct(*[F.bround(c, 3).alias(c.removeprefix("score_")) for c in parts]).alias("components"))
+
+
 def top_relevant(df: DataFrame, c: score.Criteria, as_of: Column, n: int, tie: str = "canonical_url") -> DataFrame:
     return with_scores(df, c, as_of).orderBy(F.col("relevance").desc(), tie).limit(n)
 

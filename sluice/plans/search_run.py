@@ -181,6 +181,15 @@ def interpret(run: Run, extracted: DataFrame, now: Column, scratch: Scratch) ->
     return keyed.join(both, "cache_key", "left").withColumn("llm", F.when(F.col("llm_status") == "success", normalize.llm_output(F.col("llm_output")))).withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))).drop("cache_key", "llm_output")
 
 
+def fetch_results(fetched: DataFrame, now: Column) -> DataFrame:
+    """Typed outcome of every URL: decision and reason, status, code, error, retries, hash and slot of its page."""
+    path = F.when(F.col("job_key").isNotNull(), F.concat_ws("/", "source_name", "job_key"))
+    return fetched.select(
+        "url", "canonical_url", "source_name", F.struct("decision", "reason").alias("policy"), F.coalesce("result", F.lit("skipped")).alias("status"), "http_status", F.coalesce("error", text.blank_to_null(F.col("reason"))).alias("error"),
+        "retry_count", "content_hash", path.alias("raw_content_path"), F.when(F.col("result").isNotNull(), now).alias("retrieved_at"),
+    )
+
+
 def evidence(name: str) -> Column:
     return F.col(f"{name}.value")
 

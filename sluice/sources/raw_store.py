@@ -29,3 +29,27 @@ def load(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
 
 def existing(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     return wanted.join(spark.read.parquet(root).select("source", "job_key"), ["source", "job_key"], "left_semi")
+
+
+def _one(spark: SparkSession, root: str, wanted: DataFrame, column: str) -> DataFrame:
+    return load(spark, root, wanted.select("source", "job_key")).select("source", "job_key", column)
+
+
+def load_html(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(source, job_key, raw_html), null where a slot is missing; only that column is read."""
+    return _one(spark, root, wanted, "raw_html")
+
+
+def load_text(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(source, job_key, raw_text), null where a slot is missing."""
+    return _one(spark, root, wanted, "raw_text")
+
+
+def load_metadata(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(source, job_key, metadata) as a map, null where a slot is missing."""
+    return _one(spark, root, wanted, "metadata").withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+
+
+def load_retrieval(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(source, job_key, retrieval) as a map, null where a slot is missing."""
+    return _one(spark, root, wanted, "retrieval").withColumn("retrieval", F.from_json("retrieval", "map<string,string>"))

@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.errors import SourceUnavailable
 from sluice.functions import fixed, urls
 
 #: Sources whose pages can be fetched directly; the others answer "unavailable".
@@ -40,3 +41,10 @@ def register(name: str, hosts: list[str], external_id: Callable[[Column], Column
     generic = urls.ADAPTERS.pop("generic")
     urls.ADAPTERS[name] = (hosts, external_id, canonical)
     urls.ADAPTERS["generic"] = generic
+
+
+def fetch_job(source: str) -> None:
+    """Direct fetching of a source's pages, which none offers: first-tier sources are not implemented, the others unavailable."""
+    if source in FIRST_TIER:
+        raise NotImplementedError(f"{source}: no direct access yet")
+    raise SourceUnavailable(f"{source}: pages cannot be fetched directly")

@@ -58,6 +58,25 @@ def circuits(stream: DataFrame, key: str, ok: str, at: str, seq: str, threshold:
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, circuit_state string, failure_count int", "state string, failures int, successes int, opened_at double", "update", GroupStateTimeout.NoTimeout)
 
 
+def versions(stream: DataFrame, key: str, digest: str, at: str, seq: str) -> DataFrame:
+    """(key, version_number, digest, at) of every row that opens a version: its digest differs from the key's last one. State is that digest and a counter."""
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        out = []
+        for when, _, value in pd.concat(list(frames)).sort_values([at, seq])[[at, seq, digest]].itertuples(index=False, name=None):
+            value = value if isinstance(value, str) else None
+            if n == 0 or value != last:
+                last, n = value, n + 1
+                out.append((k[0], n, value, when))
+        state.update((last, n))
+        yield pd.DataFrame(out, columns=[key, "version_number", digest, at])
+
+    schema = f"{key} {kinds[key]}, version_number int, {digest} string, {at} {kinds[at]}"
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "digest string, n int", "append", GroupStateTimeout.NoTimeout)
+
+
 def source_health(stream: DataFrame, source: str, statuses: dict[str, Column]) -> DataFrame:
     """The batch aggregate in update mode."""
     return health.source_health(stream, source, statuses)

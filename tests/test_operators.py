@@ -8,11 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sluice import api, schemas
-from sluice.functions import fixed
+from sluice import api, errors, schemas
+from sluice.functions import fixed, validate
 from sluice.functions.score import Criteria
 from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, search, upsert
-from sluice.sources import raw_store, remote, search_pages
+from sluice.sources import providers, raw_store, registry, remote, search_pages
 from sluice.sources.warehouse import Warehouse
 from sluice.streaming import folds as streaming
 
@@ -68,6 +68,43 @@ def test_streaming_lifecycle_equals_batch(spark, tmp_path):
     assert last == EXPECTED
 
 
+def test_streaming_versions_equal_batch(spark, tmp_path):
+    rows = [("u", i, h) for i, h in enumerate(["A", "A", "B", "A", "A", "C"])] + [("w", 0, None), ("w", 5, None), ("w", 6, "A")]
+    df = spark.createDataFrame(rows, "k string, n int, h string")
+    for i in range(2):
+        df.where(f"n between {i * 3} and {i * 3 + 3 + i}" if i else "n < 3").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = streaming.versions(stream, "k", "h", "n", "n").writeStream.format("memory").queryName("vers").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {(r.k, r.version_number, r.h, r.n) for r in history.versions(df, "k", "h", "n").collect()}
+    assert {tuple(r) for r in spark.table("vers").collect()} == want
+    shots = {r.k: r for r in history.snapshots(history.versions(df, "k", "h", "n"), "k", "h", "n").collect()}
+    assert shots["u"].current_version == shots["u"].version_count == 4 and [v.h for v in shots["u"].versions] == ["A", "B", "A", "C"]
+
+
+def test_providers_and_errors(spark):
+    asked = search.fan_out(spark, ["a", "b"], ["indeed"])
+    body = b'<div class="result"><a class="result__a" href="http://x.com/1">One</a></div>'
+    get = lambda u: (200, body) if "q=a" in u else (429, b"")
+    rows = sorted((r.query, r.classification, r.url, r.rank) for r in providers.provider("pages", get)(asked, 10).collect())
+    assert rows == [("a", "SEARCH_SUCCESS", "http://x.com/1", 1), ("b", "SEARCH_RATE_LIMITED", None, None)]
+    assert providers.provider("mock", get)(asked, 10).count() == 0 and providers.provider("pages")(asked, 10).count() == 0
+    with pytest.raises(errors.SearchError):
+        providers.provider("other", get)
+    e = errors.of_class("SEARCH_RATE_LIMITED", "slow down", query="a", http_status=429)
+    assert isinstance(e, errors.RateLimited) and e.as_dict() == {"classification": "SEARCH_RATE_LIMITED", "source": None, "query": "a", "http_status": 429, "reason": "slow down"}
+    with pytest.raises(NotImplementedError):
+        registry.fetch_job("indeed")
+    with pytest.raises(errors.SourceUnavailable):
+        registry.fetch_job("generic")
+
+
+def test_schema_problems_and_components(spark):
+    df = spark.createDataFrame([(["salary", "work_mode"], 0.12345, 0.5)], "e array<string>, score_title double, relevance double")
+    assert [tuple(x) for x in df.select(validate.schema_problems(F.col("e")).alias("p")).first().p] == [("salary", validate.MESSAGES["salary"]), ("work_mode", validate.MESSAGES["work_mode"])]
+    assert listing.components(df, "e").first().components.title == 0.123
+
+
 def test_streaming_first_seen(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "n int, k string")
     df.write.parquet(str(tmp_path / "in"))

@@ -66,6 +66,7 @@ def test_run(spark, tmp_path, scratch):
     assert w.read("url_states").count() == len(states) and states["R1", "https://jobs.example.com/3"] == "fetch_failed" and states["R2", "https://jobs.example.com/2"] == "stored"
     slot = w.read("jobs").select(F.col("source.source_name").alias("source"), F.col("retrieval.content_hash").substr(1, 16).alias("job_key"))
     assert {r.raw_html for r in raw_store.load(spark, run.raw_root, slot).collect()} == set(run.get(u)[1].decode() for u in PAGES)
+    assert raw_store.load_metadata(spark, run.raw_root, slot).first().metadata["canonical_url"].startswith("https://jobs.example.com/")
     health = w.read("source_health").first()
     assert (health.circuit_state, health.total_requests, health.total_failures) == ("closed", 6, 2)
     assert api.stored_sources_health(w).first().field_rates["title"] == 1.0

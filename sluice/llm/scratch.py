@@ -6,12 +6,16 @@ costs the tasks it ran, not the stages before them.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[DataFrame]] = []
 _OWN: dict[str, str] = {}
 
 
@@ -37,9 +41,22 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def only() -> Iterator[list[DataFrame]]:
+    """Tables kept inside are deleted at the end, failed or not, but for those put into the list that it gives."""
+    spared: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield spared
+    finally:
+        drop(*(t for t in _SCOPES.pop() if not any(t is s for s in spared)))
+
+
 def add(df: DataFrame, path: str) -> None:
     """Write the rows of ``df`` beside those that ``path`` has."""
     df.write.mode("append").option("compression", "zstd").parquet(path)

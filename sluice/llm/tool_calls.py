@@ -326,7 +326,6 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     its null fields. Every row stays, repeated rows too.
     """
     names = ["conv_id", "position", "kind", "call_id", "name", "arguments", "content", "depends_on"]
-    rows = scratch.keep(messages.select(*names).withColumn("message", F.monotonically_increasing_id()), "messages")
     known = check_schemas(schemas)
 
     @F.pandas_udf("errors array<string>, json string")
@@ -347,12 +346,14 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             yield pd.DataFrame(out, columns=["errors", "json"])
 
     text = [F.col(c).cast(StringType()) for c in ("kind", "call_id", "name", "arguments", "content")]
-    places = order(link(rows.select("message", "conv_id", "position", "kind", "call_id", "depends_on"))).select("message", "linked", "level", "ordinal")
-    out = rows.join(places, "message").withColumn("judged", judged(*text))
-    errors = F.col("judged.errors")
-    out = out.select(*names, "linked", "level", "ordinal", F.when(F.col("kind") == CALL, F.size(errors) == 0).alias("valid"), errors.alias("errors"), F.col("judged.json").alias("json"))
-    out = scratch.keep(out, "formatted")
-    scratch.drop(rows)
+    with scratch.only() as spared:
+        rows = scratch.keep(messages.select(*names).withColumn("message", F.monotonically_increasing_id()), "messages")
+        places = order(link(rows.select("message", "conv_id", "position", "kind", "call_id", "depends_on"))).select("message", "linked", "level", "ordinal")
+        out = rows.join(places, "message").withColumn("judged", judged(*text))
+        errors = F.col("judged.errors")
+        valid = F.when(F.col("kind") == CALL, F.size(errors) == 0)
+        out = scratch.keep(out.select(*names, "linked", "level", "ordinal", valid.alias("valid"), errors.alias("errors"), F.col("judged.json").alias("json")), "formatted")
+        spared.append(out)
     return out
 
 

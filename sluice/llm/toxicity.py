@@ -12,6 +12,7 @@ bucket reach the driver and, from there, the scoring tasks.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -106,12 +107,15 @@ class Grams:
                 found.append((doc[here + 1] << BUCKET_BITS) + (h * scan.GOLD >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
         return np.unique(np.concatenate(found), return_counts=True)
 
-    def values(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, feature, value) of the buckets that have a feature number."""
+    def features(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature, count) of the buckets that have a feature number."""
         feature = number[self.bucket]
         at = np.flatnonzero(feature >= 0)
-        doc = self.doc[at]
-        return doc, feature[at], np.minimum(1.0, self.count[at] / np.maximum(1.0, self.words[doc] * FULL_SHARE))
+        return self.doc[at], feature[at], self.count[at]
+
+    def full(self) -> np.ndarray:
+        """The count at which a bucket's value saturates, per document."""
+        return np.maximum(1.0, self.words * FULL_SHARE)
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, list[str | None]]]:
@@ -129,7 +133,8 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         g = Grams(texts)
-        doc, feature, value = g.values(self.number)
+        doc, feature, count = g.features(self.number)
+        value = np.minimum(1.0, count / g.full()[doc])
         z = np.bincount(doc, self.weight[feature] * value, minlength=g.n_docs) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -149,64 +154,60 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), "clean": pa.array(counts[0, at]), "toxic": pa.array(counts[1, at])})
 
 
-class Values:
-    """Sparse training rows (y, features, values) in files of ``folder``, by row and, after ``turn``, once more by feature; memory holds chunks of them."""
-
-    def __init__(self, folder: str, rows: Iterable[tuple[int, bytes, bytes]], scale: np.ndarray):
-        y, size = [], []
-        with open(os.path.join(folder, "f"), "wb") as ff, open(os.path.join(folder, "v"), "wb") as fv:
-            for label, features, values in rows:
-                f = np.frombuffer(features, "<i4")
-                ff.write(features)
-                fv.write((np.frombuffer(values, "<f4") * scale[f]).astype("<f4"))
-                y.append(label)
-                size.append(len(f))
-        self.y, self.start = np.array(y, np.float64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        n = int(self.start[-1])
+class Columns:
+    """The training sample by feature: rows and values of each, in two files of ``folder``; memory holds chunks of them.
+
+    ``rows`` are (y, full, features, counts) as ``vectors`` gives them, and
+    ``size`` has the number of rows with each feature.
+    """
+
+    def __init__(self, folder: str, rows: Iterable[tuple[int, float, bytes, bytes]], scale: np.ndarray, size: np.ndarray, n_rows: int):
+        self.edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        n = int(self.edge[-1])
         # a map of an empty file is an error
-        file = lambda name, kind, mode: np.memmap(os.path.join(folder, name), kind, mode, shape=n) if n else np.zeros(0, kind)
-        self.feature, self.value = file("f", "<i4", "r"), file("v", "<f4", "r")
-        self.spans = list(scan.chunks(self.start, CHUNK, CHUNK))
-        self.file, self.n_features = file, len(scale)
-
-    def turn(self) -> None:
-        """Write the copy by feature."""
-        self.row_by, self.value_by = self.file("rb", "<u2" if len(self.y) <= 1 << 16 else "<i4", "w+"), self.file("vb", "<f4", "w+")
-        count = np.zeros(self.n_features, np.int64)
-        for i, j in self.spans:
-            count += np.bincount(self.feature[self.start[i] : self.start[j]], minlength=self.n_features)
-        self.edge = np.concatenate([[0], np.cumsum(count)])
-        self.spans_by = list(scan.chunks(self.edge, CHUNK, CHUNK))
-        free = self.edge[:-1].copy()
-        for i, j in self.spans:
-            a, b = self.start[i], self.start[j]
-            by = np.argsort(self.feature[a:b], kind="stable")
-            f, first, times = np.unique(self.feature[a:b][by], return_index=True, return_counts=True)
-            at = np.repeat(free[f] - first, times) + np.arange(b - a)
-            self.row_by[at] = np.repeat(np.arange(i, j), np.diff(self.start[i : j + 1]))[by]
-            self.value_by[at] = self.value[a:b][by]
+        file = lambda name, kind: np.memmap(os.path.join(folder, name), kind, "w+", shape=n) if n else np.zeros(0, kind)
+        self.row, self.value = file("r", "<u2" if n_rows <= 1 << 16 else "<i4"), file("v", "<f4")
+        self.spans = list(scan.chunks(self.edge, CHUNK, CHUNK))
+        y, free = [], self.edge[:-1].copy()
+        for batch in itertools.batched(rows, 64):
+            feature = [np.cumsum(np.frombuffer(f, "<i4")) for _, _, f, _ in batch]
+            value = np.concatenate([np.minimum(1.0, np.frombuffer(c, "<u4") / full) for _, full, _, c in batch])
+            row = np.repeat(np.arange(len(y), len(y) + len(batch)), [len(f) for f in feature])
+            feature = np.concatenate(feature)
+            by = np.argsort(feature, kind="stable")
+            f, first, times = np.unique(feature[by], return_index=True, return_counts=True)
+            at = np.repeat(free[f] - first, times) + np.arange(len(by))
+            self.row[at], self.value[at] = row[by], value[by] * scale[feature[by]]
             free[f] += times
-
-    @staticmethod
-    def _sums(x: np.ndarray, index: np.ndarray, value: np.ndarray, edge: np.ndarray, i: int, j: int) -> np.ndarray:
-        """Sums of x[index] * value over the ranges i to j of edge."""
-        a, at = edge[i], edge[i : j + 1] - edge[i]
-        out = np.add.reduceat(np.append(x[index[a : edge[j]]] * value[a : edge[j]], np.float32(0)), at[:-1], dtype=np.float64)
-        out[at[:-1] == at[1:]] = 0
-        return out
+            y += [label for label, _, _, _ in batch]
+        if not np.array_equal(free, self.edge[1:]):
+            raise ValueError("the sample and its counts differ")
+        self.y, self.n_features = np.array(y, np.float64), len(size)
 
     def times(self, pool: ThreadPoolExecutor, w: np.ndarray) -> np.ndarray:
         """Sum per row of its values times the weights of their features."""
-        x = w.astype(np.float32)
-        return np.concatenate(list(pool.map(lambda s: self._sums(x, self.feature, self.value, self.start, *s), self.spans)))
+
+        def part(span: tuple[int, int]) -> np.ndarray:
+            i, j = span
+            a, b = self.edge[i], self.edge[j]
+            x = np.repeat(w[i:j], np.diff(self.edge[i : j + 1]))
+            return np.bincount(self.row[a:b], x * self.value[a:b], minlength=len(self.y))
+
+        return sum(pool.map(part, self.spans), np.zeros(len(self.y)))
 
     def times_by(self, pool: ThreadPoolExecutor, e: np.ndarray) -> np.ndarray:
         """Sum per feature of its values times the numbers of their rows."""
-        x = e.astype(np.float32)
-        return np.concatenate(list(pool.map(lambda s: self._sums(x, self.row_by, self.value_by, self.edge, *s), self.spans_by)))
+        numbers = e.astype(np.float32)
+
+        def part(span: tuple[int, int]) -> np.ndarray:
+            i, j = span
+            a, at = self.edge[i], self.edge[i : j + 1] - self.edge[i]
+            return np.add.reduceat(numbers[self.row[a : self.edge[j]]] * self.value[a : self.edge[j]], at[:-1], dtype=np.float64)
+
+        return np.concatenate(list(pool.map(part, self.spans)))
 
 
-def fit_logistic(x: Values, penalty: float = 2e-4, steps: int = 300, rate: float = 0.15) -> tuple[np.ndarray, float]:
+def fit_logistic(x: Columns, penalty: float = 2e-4, steps: int = 300, rate: float = 0.15) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-penalised logistic regression, by full-batch gradient steps with moments."""
     n, n_features = len(x.y), x.n_features
     w, b = np.zeros(n_features), 0.0
@@ -258,26 +259,30 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAINING_TOXIC, clean
         share = n[1] / sum(n) if sum(n) else 0.5
         return Model(number, np.zeros(1), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     number[bucket[kept]] = np.arange(len(kept))
-    scale = np.abs(log_count_ratios(df[0][kept], df[1][kept], *n))
-    sent = spark.sparkContext.broadcast((number, scale))
+    scale, size, n_rows = np.abs(log_count_ratios(df[0][kept], df[1][kept], *n)), df[0][kept] + df[1][kept], sum(n)
+    sent = spark.sparkContext.broadcast((number, scale, size))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = np.asarray(batch.column(batch.schema.get_field_index("toxic")))
             for i, j, texts in _texts(batch):
-                doc, feature, value = Grams(texts).values(sent.value[0])
+                g = Grams(texts)
+                doc, feature, count = g.features(sent.value[0])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_pydict({"y": pa.array(y[i:j].astype(np.int32)), "f": pa.array([feature[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "v": pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+                ranges = list(zip(cut[:-1], cut[1:], strict=True))
+                count = count.astype("<u4")
+                yield pa.RecordBatch.from_pydict({
+                    "y": pa.array(y[i:j].astype(np.int32)), "full": pa.array(g.full()), "f": pa.array([np.diff(feature[a:b], prepend=0).astype("<i4").tobytes() for a, b in ranges], pa.binary()),
+                    "c": pa.array([count[a:b].tobytes() for a, b in ranges], pa.binary()),
+                })
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True))
         with tempfile.TemporaryDirectory() as folder:
-            x = Values(folder, rows, sent.value[1])
-            x.turn()
-            w, b = fit_logistic(x)
+            w, b = fit_logistic(Columns(folder, rows, *sent.value[1:], n_rows))
         yield pa.RecordBatch.from_pydict({"weight": pa.array([(w * sent.value[1]).tobytes()], pa.binary()), "bias": pa.array([b])})
 
-    found = scratch.keep(sample.mapInArrow(vectors, "y int, f binary, v binary"), "toxicity")
+    found = scratch.keep(sample.mapInArrow(vectors, "y int, full double, f binary, c binary"), "toxicity")
     model = found.coalesce(1).mapInArrow(fit, "weight binary, bias double").first()
     scratch.drop(sample, found)
     sent.destroy()

@@ -131,6 +131,11 @@ class Model:
     weight: np.ndarray
     bias: float
 
+    @property
+    def learned(self) -> bool:
+        """Whether any bucket has a weight."""
+        return bool((self.number >= 0).any())
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         g = Grams(texts)
         doc, feature, count = g.features(self.number)

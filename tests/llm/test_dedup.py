@@ -197,6 +197,16 @@ def test_line_dedup(docs, doc_rows):
         assert len(out) == len(rows) and "digest" in out[0].asDict() and any(gone.values())
 
 
+def test_line_dedup_of_an_id_with_two_texts(spark):
+    """Texts of one id are documents of their own; the run stays in one of them and in no other."""
+    run = " ".join(f"w{i}" for i in range(25))
+    rows = [(5, f"{run}\na"), (5, f"b\n{run}"), (9, f"c\n{run}"), (5, f"{run}\na")]
+    out = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 4 and sum(r.n_deleted for r in out if r.doc_id == 9) == 1
+    assert {run in r.text for r in out if r.doc_id == 5 and r.text.startswith("b")} | {run in r.text for r in out if r.doc_id == 5 and "a" in r.text.split("\n")} == {True, False}
+    assert len({r.text for r in out if "a" in r.text.split("\n")}) == 1
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert line_dedup.remove_repeated_lines(no_docs).count() == 0
 

@@ -51,3 +51,39 @@ def test_stages(spark, tmp_path):
     for r in kept["packing"]:
         tokens[r.doc_id] += r.length
     assert set(tokens) == ids["decontamination"] and all(tokens[r.doc_id] == r.doc_tokens for r in kept["packing"])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run_stages(spark, folder, rows, bench):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.scratch.keep(stage(spark, docs, str(folder)), name)
+        kept[name] = docs.collect()
+    return kept
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated ids and rows, and no labels: nothing is lost but copies, repeats and leaks."""
+    line = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    same = line(1, 60)
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two", None, "b", 7), (None, line(2, 30), "en", None, 1), (4, line(3, 30), "en", "a", 1), (4, line(4, 30), "en", "a", 1), (4, line(4, 30), "en", "a", 1),
+        (5, same, "en", "a", 1), (6, same + " more", "en", "a", 1), (7, line(5, 20_000), "en", "c", 1), (None, None, None, None, None), (8, "leak " + line(6, 12), "en", "a", 1), (9, line(7, 25) + "\n" + line(8, 25), "en", "a", 1), (10, line(7, 25) + "\nother", "en", "a", 1),
+    ]
+    kept = run_stages(spark, tmp_path, rows, [(1, line(6, 12)), (None, same), (2, None)])
+    assert collections.Counter(map(tuple, kept["toxicity"])) == collections.Counter(rows)
+    assert {r.doc_id: r.text for r in kept["line_dedup"]}[10] == "other" and len(kept["line_dedup"]) == len(rows)
+    ids = lambda name: collections.Counter(r.doc_id for r in kept[name])
+    assert ids("near_copies") == ids("line_dedup") - collections.Counter({6: 1})
+    assert ids("decontamination") == ids("near_copies") - collections.Counter({8: 1})
+    ends = collections.Counter(r.doc_id for r in kept["packing"] if r.start + r.length == r.doc_tokens)
+    assert ends == ids("decontamination")
+
+
+def test_no_documents(spark, tmp_path):
+    assert not any(run_stages(spark, tmp_path, [], []).values())

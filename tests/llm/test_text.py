@@ -49,6 +49,22 @@ def test_rules_find_a_conjunction():
     assert quality_rules.learn(x, np.zeros(3000, bool)) == []
 
 
+def test_decision_against_brute_force(docs):
+    """The ordered expression rejects what the first rule that holds rejects, on every row's own statistics."""
+    t = quality_rules.Test
+    rules = [quality_rules.Rule((t("words", True, 300.0), t("repeat_share", True, 0.5))), quality_rules.Rule((t("chars_per_word", False, 2.5),)), quality_rules.Rule((t("words_per_line", False, 3.0), t("short_line_share", True, 0.2)))]
+    stats = quality_rules.statistics(docs)
+    rows = stats.select(*quality_rules.STATS, quality_rules.decision(rules).alias("kept")).collect()
+
+    def value(r, name):
+        return eval(quality_rules.FEATURES[name], {"greatest": max, "double": float} | {k: r[k] for k in quality_rules.STATS})
+
+    holds = lambda r, x: value(r, x.feature) > x.threshold if x.above else value(r, x.feature) <= x.threshold
+    want = [not any(all(holds(r, x) for x in rule.tests) for rule in rules) for r in rows]
+    assert [r.kept for r in rows] == want and len(set(want)) == 2
+    assert {r.kept for r in stats.select(quality_rules.decision([]).alias("kept")).collect()} == {True}
+
+
 def test_quality(spark, no_docs):
     good, junk = "plain words of an ordinary kind that say something new each time ", "## noise $$ and %% more && noise || here << or >> there ** too ### "
     rows = [(i, (good if i % 4 else junk) + str(i)) for i in range(200)] + [(900, None), (901, "too short")]
@@ -426,6 +442,60 @@ def test_visible_text(html, text):
     assert visible_text(html) == text
 
 
+def test_visible_words_of_generated_markup():
+    """Every visible word once and in order, nothing of hidden elements, blocks on lines of their own, cells of a row on one."""
+    r = np.random.default_rng(6)
+    count = iter(range(1_000_000))
+
+    def inline(depth, seen):
+        out, kept = [], []
+        for _ in range(int(r.integers(1, 4))):
+            word = f"w{next(count)}"
+            kind = r.integers(0, 5)
+            if kind == 0 and depth:
+                tag = r.choice(["b", "span", "a", "em"])
+                hide = r.choice(["", "", " hidden", " style='display:none'"])
+                inner, more = inline(depth - 1, seen and not hide)
+                out.append(f"<{tag}{hide}>{inner}</{tag}>")
+                kept += more
+            elif kind == 1:
+                out.append(f"<script>{word} < 1</script>" if r.random() < 0.5 else f"<!-- {word} -->")
+            else:
+                out.append(f" {word} ")
+                kept += [word] if seen else []
+        return "".join(out), kept
+
+    def block(depth, seen):
+        out, kept, lines = [], [], []
+        for _ in range(int(r.integers(1, 4))):
+            kind = r.integers(0, 4) if depth else 3
+            hide = r.choice(["", "", "", " hidden"])
+            if kind == 0:
+                inner, more, rows = block(depth - 1, seen and not hide)
+                out.append(f"<div{hide}>{inner}</div>")
+                kept, lines = kept + more, lines + rows
+            elif kind == 1:
+                items = [inline(1, seen and not hide) for _ in range(int(r.integers(1, 4)))]
+                out.append(f"<ul{hide}>" + "".join(f"<li>{x}" for x, _ in items) + "</ul>")
+                kept, lines = kept + [w for _, k in items for w in k], lines + [k for _, k in items if k]
+            elif kind == 2:
+                cells = [[inline(1, seen and not hide) for _ in range(2)] for _ in range(2)]
+                out.append(f"<table{hide}>" + "".join("<tr>" + "".join(f"<td>{x}" for x, _ in row) for row in cells) + "</table>")
+                rows = [[w for _, k in row for w in k] for row in cells]
+                kept, lines = kept + sum(rows, []), lines + [x for x in rows if x]
+            else:
+                inner, more = inline(2, seen and not hide)
+                out.append(f"<p{hide}>{inner}")
+                kept, lines = kept + more, lines + ([more] if more else [])
+        return "".join(out), kept, lines
+
+    for _ in range(400):
+        source, kept, lines = block(3, True)
+        text = visible_text(source)
+        assert re.findall(r"w\d+", text) == kept
+        assert [re.findall(r"w\d+", x) for x in text.split("\n") if "w" in x] == lines
+
+
 def test_visible_text_of_deep_markup():
     assert visible_text("<div>" * 20_000 + "x") == "x"
     assert visible_text("<ul><li>" * 300 + "x").endswith("- x")

@@ -123,6 +123,8 @@ def _written(uri: str) -> Iterator[pa.NativeFile]:
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part, compression=None) as f:
         yield f
+    if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:  # from an earlier attempt; some file systems do not move over it
+        fs.delete_file(path)
     fs.move(part, path)
 
 

@@ -199,7 +199,7 @@ def _levels_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     now, held = None, []
     for pdf in frames:
         out = []
-        for conv, call, wanted in pdf[["conv_id", *KEYS[1:], "wanted"]].itertuples(index=False, name=None):
+        for conv, call, wanted in pdf[[*KEYS, "wanted"]].itertuples(index=False, name=None):
             if conv != now and held:
                 out += [(now, *x) for x in levels_of_one(held)]
                 held = []

@@ -58,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage leaves besides its result goes, and so does its input."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with scratch.only() as spared:
+            out = scratch.keep(stage(spark, docs, sf_dir), name)
+            spared.append(out)
+        scratch.drop(docs)
+        docs = out
         scratch.release(spark)
     return docs

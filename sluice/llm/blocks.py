@@ -75,7 +75,9 @@ def route(values: np.ndarray, parts: int, bits: int) -> np.ndarray:
 
 
 def ranges(part: np.ndarray) -> list[tuple[int, int, int]]:
-    """(part, first, end) of the parts that occur in an ascending array."""
+    """(part, first, end) of the parts that occur in an ascending array; none of an empty one."""
+    if not len(part):
+        return []
     s = scan.group_starts(part)
     return list(zip(part[s].tolist(), s.tolist(), [*s[1:].tolist(), len(part)], strict=True))
 

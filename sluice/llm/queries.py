@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import oracle
+from sluice.llm import oracle, scratch
 from sluice.llm.decontaminate import contamination
 from sluice.llm.html_text import extract
 from sluice.llm.jaccard_join import jaccard_components
@@ -70,8 +71,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` in a scope of its own: of what it writes, only what its result reads is left, and nothing if it fails."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch.only() as spared:
+            out = query(spark, sf_dir)
+            spared.append(out)
+        return out
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op7_chat_format, op8_html_text, op9_packing, op10_decontaminate)}
+    return {f.__name__: alone(f) for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op7_chat_format, op8_html_text, op9_packing, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,8 +14,10 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-_SCOPES: list[list[DataFrame]] = []
+#: Of every open scope, the folders made in it, each with the name of its table if it has one.
+_SCOPES: list[list[tuple[str, str | None]]] = []
 _OWN: dict[str, str] = {}
 
 
@@ -31,30 +33,44 @@ def base(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
-def fresh(spark: SparkSession, tag: str) -> str:
-    return f"{base(spark)}/{tag}-{uuid.uuid4().hex}"
+def fresh(spark: SparkSession, tag: str, table: bool = False) -> str:
+    """A folder that nothing has used; the innermost scope deletes it, and the table of its name if there is one."""
+    name = f"{tag}-{uuid.uuid4().hex}".replace("-", "_" if table else "-")
+    path = f"{base(spark)}/{name}"
+    if _SCOPES:
+        _SCOPES[-1].append((path, name if table else None))
+    return path
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` and return the written table."""
     spark, path = df.sparkSession, fresh(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    if _SCOPES:
-        _SCOPES[-1].append(out)
+    return stored(spark, path, df.schema)
+
+
+def _folders(df: DataFrame) -> list[str]:
+    """Folders that the plan of ``df`` reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        if leaves.apply(i).nodeName() == "LogicalRelation" and "HadoopFsRelation" in leaves.apply(i).relation().getClass().getName():
+            roots = leaves.apply(i).relation().location().rootPaths()
+            out += [roots.apply(k).toString() for k in range(roots.size())]
     return out
 
 
 @contextlib.contextmanager
 def only() -> Iterator[list[DataFrame]]:
-    """Tables kept inside are deleted at the end, failed or not, but for those put into the list that it gives."""
+    """What is written inside is deleted at the end, failed or not, but for what the frames read that are put into the given list."""
     spared: list[DataFrame] = []
     _SCOPES.append([])
     try:
         yield spared
     finally:
-        drop(*(t for t in _SCOPES.pop() if not any(t is s for s in spared)))
+        read = {p.split(":", 1)[-1].lstrip("/") for df in spared for p in _folders(df)}
+        for path, name in _SCOPES.pop():
+            if path.split(":", 1)[-1].lstrip("/") not in read:
+                _drop(SparkSession.active(), path, name)
 
 
 def add(df: DataFrame, path: str) -> None:
@@ -62,7 +78,7 @@ def add(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("compression", "zstd").parquet(path)
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def stored(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The table at ``path``."""
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
@@ -70,22 +86,26 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def keep_bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``key``: grouping by it later moves no rows."""
-    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    """Write ``df`` as a table bucketed by ``key``: grouping by it later moves no rows. Its files are in the shared folder too."""
+    spark, path = df.sparkSession, fresh(df.sparkSession, tag, table=True)
+    name = path.rsplit("/", 1)[-1]
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
     out = spark.table(name)
-    out.scratch_table = name
+    out.scratch_path, out.scratch_table = path, name
     return out
 
 
+def _drop(spark: SparkSession, path: str, name: str | None) -> None:
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    delete(spark, path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete written tables that no later result reads."""
     for t in tables:
-        spark = t.sparkSession
-        if name := getattr(t, "scratch_table", None):
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        elif path := getattr(t, "scratch_path", None):
-            delete(spark, path)
+        if path := getattr(t, "scratch_path", None):
+            _drop(t.sparkSession, path, getattr(t, "scratch_table", None))
 
 
 def delete(spark: SparkSession, *paths: str) -> None:

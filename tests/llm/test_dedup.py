@@ -1,6 +1,7 @@
 """Suffix-array, line and n-gram de-duplication against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sluice.llm import jaccard_join, line_dedup, suffix_dedup
+from sluice.llm import jaccard_join, line_dedup, queries, suffix_dedup
 from sluice.llm.gsaca import suffix_arrays
 from tests.llm.conftest import SCHEMA, ranked
 
@@ -162,6 +163,35 @@ def test_jaccard_join_of_nothing(no_docs, spark):
     assert sorted(tuple(r) for r in jaccard_join.jaccard_components(blank).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
+def test_jaccard_join_of_blocks_without_a_representative(spark):
+    """A block that holds only copies of documents of other blocks, and one of empty texts."""
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    files = [[(0, line(0)), (1, line(1))], [(i, line(0)) for i in range(10, 14)], [(i, x) for i, x in enumerate(["", None, " "], 20)]]
+    parts = [spark.createDataFrame(rows, "doc_id long, text string").coalesce(1) for rows in files]
+    docs = parts[0].union(parts[1]).union(parts[2])
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {0: 0, 1: 1} | dict.fromkeys(range(10, 14), 0) | {20: 20, 21: 21, 22: 22}
+    assert sorted(r.doc_id for r in jaccard_join.representatives(docs).collect()) == [0, 1, 20, 21, 22]
+
+
+def left_behind(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set(), {t.name for t in spark.catalog.listTables()}
+
+
+def test_a_query_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "same words in each of these texts", "s") for i in range(3)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = queries.queries()["op4_jaccard_join"]
+    before = left_behind(spark)
+    assert {r.component_id for r in run(spark, str(tmp_path)).collect()} == {0}
+    after = left_behind(spark)
+    assert len(after[0] - before[0]) == 1 and after[1] == before[1]
+    monkeypatch.setattr(jaccard_join, "_survivors", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="division"):
+        run(spark, str(tmp_path))
+    assert left_behind(spark) == after
+
+
 def deleted_lines(rows, least):
     docs = []
     for i, t in sorted({((1 << 63) - 1 if r[0] is None else r[0], r[1] or "") for r in rows}):

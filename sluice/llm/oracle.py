@@ -74,4 +74,22 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL = {"op2_suffix_dedup": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op6_line_dedup": OP6, "op7_chat_format": OP7, "op10_decontaminate": OP10}
+#: The unsigned CRC-32 of the UTF-8 bytes of {x}, by a table of 256 remainders.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS remainders FROM range(256) t(i))"
+CRC = "xor(list_reduce(list_transform(range(0, octet_length(encode({x}))), lambda k: ('0x' || substr(hex(encode({x})), 2 * k + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+OP13 = f"""
+WITH {CRC_TABLE}, d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT {_ALNUM} AS w FROM benchmark),
+de AS (SELECT doc_id, unnest(w) AS w FROM d), be AS (SELECT unnest(w) AS w FROM b),
+h AS MATERIALIZED (SELECT w, {CRC.format(x="w")} % 10000 AS bucket FROM (SELECT w FROM de UNION SELECT w FROM be), crc),
+s AS (SELECT bucket, count(*) AS s FROM de JOIN h USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM be JOIN h USING (w) GROUP BY bucket),
+st AS (SELECT bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM st),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS total FROM de JOIN h USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, len(w) AS n_features, coalesce((total - ((total % len(w)) + len(w)) % len(w)) // len(w), 0) AS weight, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)
+"""
+
+SQL = {"op13_resample": OP13, "op2_suffix_dedup": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op6_line_dedup": OP6, "op7_chat_format": OP7, "op10_decontaminate": OP10}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sluice.llm import oracle, scratch
 from sluice.llm.decontaminate import contamination
 from sluice.llm.html_text import extract
+from sluice.llm.importance import resample
 from sluice.llm.jaccard_join import jaccard_components
 from sluice.llm.line_dedup import remove_repeated_lines
 from sluice.llm.packing import pack
@@ -71,6 +72,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """``query`` in a scope of its own: of what it writes, only what its result reads is left, and nothing if it fails."""
 
@@ -85,7 +90,7 @@ def alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: alone(f) for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op7_chat_format, op8_html_text, op9_packing, op10_decontaminate)}
+    return {f.__name__: alone(f) for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op7_chat_format, op8_html_text, op9_packing, op10_decontaminate, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,12 +33,13 @@ def words(text: Column) -> Column:
 
 def ngrams(words: Column, longest: int) -> Column:
     """All runs of one to ``longest`` words, joined by a space, repeats included."""
-    runs = [words]
-    for k in range(2, longest + 1):
+
+    def runs(k: int) -> Column:
         last = F.size(words) - k + 1
         at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(at, lambda i, k=k: F.array_join(F.slice(words, i, k), " ")))
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+        return F.transform(at, lambda i: F.array_join(F.slice(words, i, k), " "))
+
+    return words if longest == 1 else F.concat(words, *[runs(k) for k in range(2, longest + 1)])
 
 
 def hashed(docs: DataFrame, longest: int, buckets: int, *keep: str) -> DataFrame:

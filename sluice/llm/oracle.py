@@ -92,4 +92,19 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, co
 SELECT y.doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)
 """
 
-SQL = {"op13_resample": OP13, "op2_suffix_dedup": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op6_line_dedup": OP6, "op7_chat_format": OP7, "op10_decontaminate": OP10}
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, {FOLD.format(x="run")} AS run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, c, {CRC.format(x="(doc_id || ':' || run)")} AS h, length(run) AS n FROM r, crc),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % n)::INT) || substr(run, (h % n)::INT + 2) ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+less AS (SELECT DISTINCT d.word AS a, w.word AS b FROM d JOIN w ON w.word = d.rest),
+p AS (SELECT a, b FROM less UNION SELECT b, a FROM less UNION SELECT x.word, y.word FROM d x JOIN d y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY w.n DESC, b) AS b, first(w.n ORDER BY w.n DESC, b) AS bn FROM p JOIN w ON w.word = p.b GROUP BY a),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 5 * w.n THEN b END AS form, CASE WHEN bn >= 5 * w.n THEN bn END AS form_n FROM w LEFT JOIN best USING (word)),
+go AS (SELECT word, word AS spot FROM f UNION ALL SELECT go.word, f.form FROM go JOIN f ON f.word = go.spot WHERE f.form IS NOT NULL)
+SELECT f.word, form, spot AS root, n, n_near, form_n FROM f JOIN (SELECT go.word, go.spot FROM go JOIN f ON f.word = go.spot WHERE f.form IS NULL) t USING (word)
+"""
+
+SQL = {"op11_spelling": OP11, "op13_resample": OP13, "op2_suffix_dedup": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op6_line_dedup": OP6, "op7_chat_format": OP7, "op10_decontaminate": OP10}

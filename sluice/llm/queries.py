@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import oracle, scratch
+from sluice.llm import oracle, scratch, token_codes
 from sluice.llm.decontaminate import contamination
 from sluice.llm.html_text import extract
 from sluice.llm.importance import resample
@@ -16,6 +16,7 @@ from sluice.llm.jaccard_join import jaccard_components
 from sluice.llm.line_dedup import remove_repeated_lines
 from sluice.llm.packing import pack
 from sluice.llm.quality_rules import quality
+from sluice.llm.spelling import variants
 from sluice.llm.suffix_dedup import remove_repeats
 from sluice.llm.tool_calls import REPLY, as_calls, format_messages
 from sluice.llm.toxicity import toxicity
@@ -72,6 +73,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,7 +99,7 @@ def alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: alone(f) for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op7_chat_format, op8_html_text, op9_packing, op10_decontaminate, op13_resample)}
+    return {f.__name__: alone(f) for f in (op1_quality_rules, op2_suffix_dedup, op3_toxicity, op4_jaccard_join, op5_warc, op6_line_dedup, op7_chat_format, op8_html_text, op9_packing, op10_decontaminate, op11_spelling, op12_token_codes, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -110,15 +110,15 @@ def members(archive: bytes, step: int = 1 << 15) -> Iterator[tuple[int, int, byt
         at = end
 
 
-def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """File system and path of a URI that the executors share and pyarrow knows."""
     return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 @contextlib.contextmanager
-def _written(uri: str) -> Iterator[pa.NativeFile]:
+def written(uri: str) -> Iterator[pa.NativeFile]:
     """A new file that appears under its name when it is complete, so that a repeated task does no harm."""
-    fs, path = _file_system(uri)
+    fs, path = file_system(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part, compression=None) as f:
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         rows = rows.sort_by("row")
         first = dict(zip(told.column("row").to_pylist(), told.column("first").to_pylist(), strict=True))
         name, at, out = f"{block >> 32:06d}-{block & 0xFFFFFFFF:06d}", 0, []
-        with _written(_archive(folder, name)) as f:
+        with written(_archive(folder, name)) as f:
             for row, page_id, text, url in zip(rows.column("row").to_pylist(), rows.column("doc_id").to_pylist(), rows.column("text"), rows.column("rest").combine_chunks().field("url").to_pylist(), strict=True):
                 payload = text.as_py().encode()
                 data = record(page_id, url, payload, first.get(row))
@@ -246,7 +246,7 @@ def build_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
         if first is None:
             return
         held.append(first)
-        with _written(_shard(folder, part)) as f:
+        with written(_shard(folder, part)) as f:
             for e in rows:
                 if len(held) == block_lines:
                     at += flush(f)
@@ -312,7 +312,7 @@ def resolve(index: Index, wanted: DataFrame) -> DataFrame:
     def find(key: tuple, asked: pa.Table, directory: pa.Table) -> pa.Table:
         found = []
         if asked.num_rows and directory.num_rows:
-            fs, path = _file_system(_shard(folder, key[0].as_py()))
+            fs, path = file_system(_shard(folder, key[0].as_py()))
             with fs.open_input_file(path) as f:
                 held = Blocks(f, directory.sort_by("block").to_pylist())
                 for p in sorted(_place(*row) for row in zip(*(asked.column(c).to_pylist() for c in ("key", "stamp", "page_id")), strict=True)):
@@ -328,11 +328,11 @@ def lookup(index: Index, archives: str, url: str) -> list[dict]:
     key, out = surt(url), []
     rows = index.directory.where((F.col("key") <= key) & (F.col("last_key") >= key)).orderBy("shard", "block")
     for row in rows.toLocalIterator():  # the blocks that can hold one key
-        fs, path = _file_system(_shard(index.folder, row.shard))
+        fs, path = file_system(_shard(index.folder, row.shard))
         with fs.open_input_file(path) as f:
             found = list(Blocks(f, [row.asDict()]).between((key,), (key,)))
         for e in found:
-            fs, path = _file_system(_archive(archives, e["archive"]))
+            fs, path = file_system(_archive(archives, e["archive"]))
             with fs.open_input_file(path) as f:
                 f.seek(e["offset"])
                 out.append(parse(gzip.decompress(f.read(e["length"]))))
@@ -348,7 +348,7 @@ def read_back(archives: str, entries: DataFrame) -> DataFrame:
 
     @scan.frugal
     def run(key: tuple, wanted: pa.Table) -> pa.Table:
-        fs, path = _file_system(_archive(archives, key[0].as_py()))
+        fs, path = file_system(_archive(archives, key[0].as_py()))
         out = []
         with fs.open_input_file(path) as f:
             for offset, length in sorted(zip(wanted.column("offset").to_pylist(), wanted.column("length").to_pylist(), strict=True)):

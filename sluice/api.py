@@ -90,10 +90,10 @@ def stored_sources_health(w: Warehouse) -> DataFrame:
     return sources_health(w.read("field_health"), "source_name", {f: F.col("statuses")[f] for f in fixed.HEALTH_FIELDS})
 
 
-def search(run: search_run_.Run, criteria: Criteria, now: datetime.datetime, scratch: search_run_.Scratch) -> DataFrame:
+def search(run: search_run_.Run, criteria: Criteria, now: datetime.datetime) -> DataFrame:
     """Start a run and carry it out; returns (run_id, status)."""
     run_id = start_run(run.warehouse, criteria, now)
-    return search_run_.execute(run, run_id, criteria, F.lit(now).cast("timestamp"), scratch).select("run_id", "status")
+    return search_run_.execute(run, run_id, criteria, F.lit(now).cast("timestamp")).select("run_id", "status")
 
 
 def export_jobs(w: Warehouse, path: str, overwrite: bool = False, run_id: str | None = None, now: datetime.datetime | None = None, **filters) -> tuple[str, int]:

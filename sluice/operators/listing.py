@@ -86,6 +86,20 @@ def skills_label(required: Column, preferred: Column) -> Column:
     return blank_to_null(F.array_join(F.concat(F.coalesce(required, none), F.coalesce(preferred, none)), ", "))
 
 
+def ordered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` sorted over all partitions; ``_at`` has the partition above 33 bits and the row in it below. To be stored before ``placed``."""
+    return df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+
+
+def placed(stored: DataFrame) -> DataFrame:
+    """A stored table of ``ordered`` with ``place``, the number of rows before; one count per partition is added up, no row is moved."""
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = stored.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    both = stored.withColumn("_part", part).join(F.broadcast(counts), "_part")
+    return both.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
+
+
 def per_source_quota(df: DataFrame, source: str, rank: list[str], most: int, n_sources: int) -> DataFrame:
     """At most ``max(1, most // n_sources)`` rows per source, with their rank from 1, and ``most`` in all in source order."""
     at = Window.partitionBy(source).orderBy(*rank)

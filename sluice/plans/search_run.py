@@ -1,9 +1,11 @@
 """One search run over DataFrames: discover, identify, decide, fetch, extract, validate, version, store.
 
-A run is a row of ``search_runs`` and can be resumed: queries that were issued
-are not asked again, URLs that reached a final state are not fetched again, and
-every table is written by key, so that a stage that runs twice leaves what it
-left the first time.
+A run is a row of ``search_runs``, and each of its URLs a row of ``url_states``
+that every stage moves on: discovered, fetched, extraction_done, stored, or the
+state in which it ended. What a stage makes is a table that stays until the run
+ends, and what it writes elsewhere is written by key or by batch; so a run that
+was interrupted anywhere is executed again, goes on with the first stage that is
+missing, and leaves the tables of a run that was not.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ from pyspark.sql import functions as F
 
 from sluice.functions import fixed, normalize, text, urls, validate
 from sluice.functions.score import Criteria
-from sluice.operators import dedup, folds, history, pages, policy, runs, search
+from sluice.operators import dedup, folds, history, listing, pages, policy, runs, search
 from sluice.operators.upsert import cache_entries, live_entries
+from sluice.plans.stages import Stages
 from sluice.settings import Settings
 from sluice.sources import raw_store, remote
 from sluice.sources.warehouse import Warehouse
 
-Scratch = Callable[[DataFrame, str], DataFrame]
-
 
 @dataclasses.dataclass
 class Run:
@@ -42,12 +43,14 @@ class Run:
     model: str = "model"
     cooldown_s: float = 3600
     schema_version: str = "1.0"
-    attempts: int = remote.ATTEMPTS
+    manners: remote.Manners = remote.Manners()  # noqa: RUF009
     clock: Callable[[], datetime.datetime] = lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
 
     @classmethod
-    def with_settings(cls, s: Settings, warehouse: Warehouse, provider: Callable, get: Callable, **more: object) -> Run:
-        return cls(warehouse, provider, get, budget=s.max_fetches, most_results=s.max_search_results, cooldown_s=s.cooldown_s, schema_version=s.extraction_schema_version, attempts=max(1, s.max_retries), **more)
+    def with_settings(cls, s: Settings, warehouse: Warehouse, provider: Callable, get: Callable | None = None, **more: object) -> Run:
+        """A run by settings; without ``get``, pages are read over HTTP with the timeout set."""
+        manners = remote.Manners(max(1, s.max_retries), s.backoff_base_s, s.pace_s)
+        return cls(warehouse, provider, get or remote.http_get(s.request_timeout_s), budget=s.max_fetches, most_results=s.max_search_results, cooldown_s=s.cooldown_s, schema_version=s.extraction_schema_version, manners=manners, **more)
 
     @property
     def raw_root(self) -> str:
@@ -55,19 +58,29 @@ class Run:
 
 
 def begin(run: Run, run_id: str, now: Column) -> list[str]:
-    """Insert or resume the run's row; returns the queries that it has issued."""
-    row = run.warehouse.find("search_runs", F.col("run_id") == run_id).first()
-    if row is not None and row.status in runs.RESUMABLE:
+    """Insert or resume the run's row; returns the queries that it has issued.
+
+    A resumed run keeps its attempt as long as that has stages to go on with.
+    """
+    w = run.warehouse
+    row = w.find("search_runs", F.col("run_id") == run_id).first()
+    attempt = (row.attempt or 0) if row is not None else 0
+    again = row is not None and row.status in runs.RESUMABLE
+    if again and w.names(stages_of(run, run_id, attempt).folder):
         return list(row.queries_issued or [])
-    start = run.warehouse.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit("running").alias("status"), now.alias("started_at"))
-    run.warehouse.merge("search_runs", start, first=())
-    return []
+    start = w.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit("running").alias("status"), F.lit(attempt + 1).alias("attempt"), now.alias("started_at"))
+    w.merge("search_runs", start.drop("started_at") if again else start)
+    return list(row.queries_issued or []) if again else []
+
+
+def stages_of(run: Run, run_id: str, attempt: int) -> Stages:
+    return Stages(run.warehouse, f"{run.warehouse.root.rstrip('/')}/_stages/{run_id}-{attempt}")
 
 
 def flush(run: Run, run_id: str, status: str, values: dict[str, Column]) -> None:
     """Write status and values into the run's row."""
     row = run.warehouse.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), *[v.alias(k) for k, v in values.items()])
-    run.warehouse.merge("search_runs", row, first=())
+    run.warehouse.merge("search_runs", row)
 
 
 def queries_of(run: Run, criteria: Criteria, issued: list[str]) -> list[str]:
@@ -80,31 +93,31 @@ def discover(run: Run, criteria: Criteria, issued: list[str]) -> DataFrame:
     return run.provider(search.fan_out(run.warehouse.spark, queries, search.target_sources(criteria)), run.most_results)
 
 
-def collect(run: Run, criteria: Criteria, issued: list[str], now: Column, scratch: Scratch) -> DataFrame:
+def collect(run: Run, criteria: Criteria, queries: list[str], now: Column, st: Stages) -> DataFrame:
     """Results as ``discover`` gives them, from the query cache where a query was answered within its cooldown, else from the provider.
 
     What the provider answers is cached, and each answer taken from the cache counts as a hit.
     """
     w = run.warehouse
-    asked = search.fan_out(w.spark, queries_of(run, criteria, issued), search.target_sources(criteria))
-    asked = scratch(asked.withColumn("query_hash", text.query_hash(F.col("scoped_query"))), "asked")
-    live = live_entries(w.read("query_cache"), now)
-    again = asked.join(live.select("query_hash", "results"), "query_hash")
+    asked = st.table("asked", lambda: search.fan_out(w.spark, queries, search.target_sources(criteria)).withColumn("query_hash", text.query_hash(F.col("scoped_query"))))
+    live = st.table("live", lambda: live_entries(w.lookup("query_cache", asked), now).select("query_hash", "results", "hit_count"))
+    again = asked.join(live, "query_hash")
     fresh = asked.join(live.select("query_hash"), "query_hash", "left_anti")
-    found = scratch(run.provider(fresh, run.most_results), "answers")
+    found = st.table("answers", lambda: run.provider(fresh, run.most_results))
     for name, kind in (("title", "string"), ("snippet", "string"), ("rank", "int")):
         found = found if name in found.columns else found.withColumn(name, F.lit(None).cast(kind))
     if "classification" in found.columns:
         found = search.before_rate_limit(found, "query_no")
     plain = ["query_no", "query", "source_no", "source_name", "query_hash", "scoped_query", "title", "url", "snippet", "rank"]
-    found = scratch(found.where("url is not null").select(*plain), "results")
+    found = found.where("url is not null").select(*plain)
     kept = again.withColumn("r", F.explode("results")).select("query_no", "query", "source_no", "source_name", "query_hash", "scoped_query", "r.title", "r.url", "r.snippet", "r.rank")
     result = F.struct("title", "url", "snippet", "source_name", "query", "query_hash", F.col("rank").cast("int").alias("rank"), now.alias("discovered_at"))
     entries = found.groupBy("query_hash").agg(F.first("scoped_query").alias("query_text"), F.first("source_name").alias("source_name"), F.count("*").cast("int").alias("result_count"), F.array_sort(F.collect_list(result)).alias("results"))
-    out = scratch(found.unionByName(kept), "collected")
-    hits = w.read("query_cache").join(again.select("query_hash").distinct(), "query_hash").select("query_hash", (F.coalesce("hit_count", F.lit(0)) + 1).alias("hit_count"))
-    w.merge("query_cache", scratch(hits, "hits"), first=())
-    w.merge("query_cache", scratch(cache_entries(entries.withColumn("cached_at", now).withColumn("hit_count", F.lit(0)), "cached_at", run.cooldown_s), "entries"), first=())
+    out = st.table("collected", lambda: found.unionByName(kept))
+    hits = again.select("query_hash", (F.coalesce("hit_count", F.lit(0)) + 1).alias("hit_count")).distinct()
+    st.once("cache-hits", lambda: w.merge("query_cache", hits))
+    new = st.table("entries", lambda: cache_entries(entries.withColumn("cached_at", now).withColumn("hit_count", F.lit(0)), "cached_at", run.cooldown_s))
+    st.once("cache-entries", lambda: w.merge("query_cache", new))
     return out
 
 
@@ -123,34 +136,33 @@ def decide(run: Run, found: DataFrame, now: Column) -> DataFrame:
         out = out.withColumn("robots_allowed", F.lit(True))
     else:
         sites = out.select(policy.origin(F.col("canonical_url")).alias("origin")).distinct().withColumn("robots_url", F.concat("origin", F.lit("/robots.txt")))
-        read = remote.fetch(sites, "robots_url", run.robots, 1).select("origin", F.when((F.col("result") == "success") & (F.col("http_status") == 200), F.decode("body", "UTF-8")).alias("robots_text"))
+        read = remote.fetch(sites, "robots_url", run.robots, dataclasses.replace(run.manners, attempts=1)).select("origin", F.when((F.col("result") == "success") & (F.col("http_status") == 200), F.decode("body", "UTF-8")).alias("robots_text"))
         out = policy.robots_by_path(out, "canonical_url", read, run.agent)
     decision = F.when(F.col("_open"), "block_circuit_open").when(~F.col("robots_allowed"), "block_robots").otherwise("allow")
     return out.withColumn("decision", decision).drop("_open")
 
 
-def fetch(run: Run, found: DataFrame, now: Column, scratch: Scratch) -> DataFrame:
+def fetch(run: Run, found: DataFrame, now: Column, st: Stages) -> DataFrame:
     """Every URL of ``found`` with its decision, the outcome of its fetch where it was allowed, and the slot its page belongs to.
 
     The budget counts successful fetches: URLs are fetched in order, as many at
-    a time as are left to succeed, until it is spent.
+    a time as are left to succeed, until it is spent. The order is set once, and
+    what is fetched at a time is dealt over tasks by host.
     """
-    decided = scratch(decide(run, found, now), "decided")
+    decided = st.table("decided", lambda: decide(run, found, now))
     order = ["query_no", "source_no", "rank", "canonical_url"]
-    left = decided.where("decision = 'allow'").select(*order, "source_name")
+    ranked = st.table("sorted", lambda: listing.ordered(decided.where("decision = 'allow'").select(*order, "source_name"), *order))
+    ranked = st.table("ranked", lambda: listing.placed(ranked))
     rounds: list[DataFrame] = []
-    need = run.budget
-    while True:
-        take = left if run.budget == 0 else left.orderBy(*order).limit(need)
-        got = scratch(remote.fetch(take, "canonical_url", run.get, run.attempts), f"fetched-{len(rounds)}")
+    every, at, need = ranked.count(), 0, run.budget
+    while not rounds or (run.budget and need and at < every):
+        end = at + need if run.budget else every
+        take = ranked.where((F.col("place") >= at) & (F.col("place") < end))
+        got = st.table(f"fetched-{len(rounds)}", lambda take=take: remote.fetch(take, "canonical_url", run.get, run.manners))
         rounds.append(got)
-        if run.budget == 0:
-            break
-        n, done = got.count(), got.where("result = 'success'").count()
-        need -= done
-        if need == 0 or n == 0:
-            break
-        left = left.join(got.select("canonical_url"), "canonical_url", "left_anti")
+        at = end
+        if run.budget:
+            need -= got.where("result = 'success'").count()
     got = rounds[0]
     for more in rounds[1:]:
         got = got.unionByName(more)
@@ -161,23 +173,23 @@ def fetch(run: Run, found: DataFrame, now: Column, scratch: Scratch) -> DataFram
     return out.withColumn("reason", policy.reason(F.col("decision"), F.col("source_name"), F.col("canonical_url"), run.budget))
 
 
-def interpret(run: Run, extracted: DataFrame, now: Column, scratch: Scratch) -> DataFrame:
+def interpret(run: Run, extracted: DataFrame, now: Column, st: Stages) -> DataFrame:
     """``extracted`` with llm and the outcome columns of the model; answers are cached by content, schema version and model."""
     empty = F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':', 1) for c in normalize.LLM_SCHEMA.split(', '))}>")
     if run.complete is None:
         return extracted.withColumn("llm", empty).withColumn("llm_status", F.lit(None).cast("string")).withColumn("llm_retries", F.lit(0)).withColumn("llm_errors", F.lit(None).cast("string")).withColumn("cache_hit", F.lit(False))
     w = run.warehouse
     keyed = extracted.withColumn("cache_key", text.llm_cache_key(F.col("content_hash"), run.schema_version, run.model))
-    cache = w.read("llm_cache").select("cache_key", F.col("status").alias("llm_status"), F.col("output").alias("llm_output"), F.col("errors").alias("llm_errors"), F.col("retry_count").alias("llm_retries"))
+    cache = w.lookup("llm_cache", keyed).select("cache_key", F.col("status").alias("llm_status"), F.col("output").alias("llm_output"), F.col("errors").alias("llm_errors"), F.col("retry_count").alias("llm_retries"))
     hits, misses = remote.from_cache(keyed.select("canonical_url", "content_hash", "cache_key", "page_text"), cache, "cache_key")
     asked = misses.where(F.length("page_text") > 0).groupBy("cache_key", "content_hash").agg(F.min("page_text").alias("page_text"))
-    told = scratch(remote.interpret(asked, "page_text", run.complete), "interpreted")
+    told = st.table("interpreted", lambda: remote.interpret(asked, "page_text", run.complete))
     cols = ["cache_key", "llm_status", "llm_output", "llm_errors", "llm_retries"]
-    both = scratch(hits.select(*cols, F.lit(True).alias("cache_hit")).distinct().unionByName(told.select(*cols, F.lit(False).alias("cache_hit"))), "model")
-    w.merge("llm_cache", scratch(told.where("cacheable").select(
+    both = st.table("model", lambda: hits.select(*cols, F.lit(True).alias("cache_hit")).distinct().unionByName(told.select(*cols, F.lit(False).alias("cache_hit"))))
+    st.once("cache-answers", lambda: w.merge("llm_cache", told.where("cacheable").select(
         "cache_key", "content_hash", F.lit(run.model).alias("model"), F.lit(run.schema_version).alias("schema_version"), F.col("llm_status").alias("status"), F.col("llm_output").alias("output"),
         F.col("llm_raw").alias("raw_response"), F.col("llm_errors").alias("errors"), F.col("llm_retries").alias("retry_count"), now.alias("cached_at"),
-    ), "cacheable"), first=())
+    )))
     return keyed.join(both, "cache_key", "left").withColumn("llm", F.when(F.col("llm_status") == "success", normalize.llm_output(F.col("llm_output")))).withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))).drop("cache_key", "llm_output")
 
 
@@ -194,11 +206,11 @@ def evidence(name: str) -> Column:
     return F.col(f"{name}.value")
 
 
-def records(run: Run, fetched: DataFrame, now: Column, scratch: Scratch) -> DataFrame:
+def records(run: Run, fetched: DataFrame, now: Column, st: Stages) -> DataFrame:
     """Job records of the fetched pages: a model's value where it gives one, else the extracted one, then validated; responsibilities the other way round."""
     ok = fetched.where("result = 'success'")
-    found = pages.extract(ok.select("canonical_url", "html"), "canonical_url", "html").join(ok.select("canonical_url", "content_hash"), "canonical_url")
-    found = interpret(run, scratch(found, "extracted"), now, scratch).drop("content_hash")
+    found = st.table("extracted", lambda: pages.extract(ok.select("canonical_url", "html"), "canonical_url", "html").join(ok.select("canonical_url", "content_hash"), "canonical_url"))
+    found = interpret(run, found, now, st).drop("content_hash")
     pick = lambda model, own: F.coalesce(text.blank_to_null(F.col(f"llm.{model}")), own)
     pay = normalize.salary(pick("salary_raw", evidence("salary_raw")))
     duties = F.when(F.size("responsibilities") > 0, F.col("responsibilities")).otherwise(F.col("llm.responsibilities"))
@@ -244,10 +256,13 @@ LISTS = {"responsibilities", "required_skills", "preferred_skills"}
 
 
 def version_rows(run: Run, jobs: DataFrame, now: Column) -> DataFrame:
-    """Snapshots of the jobs whose content differs from their latest version, with what changed; lists are compared sorted."""
-    last = history.latest(run.warehouse.read("job_versions"), "canonical_url", "version_number").select("canonical_url", F.col("version_number").alias("_last"), F.col("content_hash").alias("_hash"))
-    stored = run.warehouse.read("jobs").select("canonical_url", F.col("details").alias("_details"))
-    both = jobs.join(last, "canonical_url", "left").join(stored, "canonical_url", "left").where(~F.col("content_hash").eqNullSafe(F.col("_hash")))
+    """Snapshots of the jobs whose content differs from their latest version, with what changed; lists are compared sorted.
+
+    A stored job is its latest version: its hash, its details, and how many
+    versions it has. Only the buckets of these jobs are read, no history.
+    """
+    stored = run.warehouse.lookup("jobs", jobs).select("canonical_url", F.col("version_count").alias("_last"), F.col("content_hash").alias("_hash"), F.col("details").alias("_details"))
+    both = jobs.join(stored, "canonical_url", "left").where(~F.col("content_hash").eqNullSafe(F.col("_hash")))
     value = lambda side, f: text.flatten(F.col(f"{side}.{PLACES[f]}")) if f in LISTS else F.col(f"{side}.{PLACES[f]}")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), value("_details", f).alias("before"), value("details", f).alias("after")) for f in fixed.CHANGE_FIELDS])
     changed = F.filter(pairs, lambda x: ~x["before"].eqNullSafe(x["after"]))
@@ -257,23 +272,33 @@ def version_rows(run: Run, jobs: DataFrame, now: Column) -> DataFrame:
 def failed_jobs(run: Run, fetched: DataFrame, now: Column) -> DataFrame:
     """Stored jobs whose page could not be fetched: expired after a permanent failure, else unavailable, or removed from the third failure in a row on."""
     bad = fetched.where("result in ('permanent_failure', 'transient_failure')").select("canonical_url", "result").distinct()
-    jobs = run.warehouse.read("jobs").select("canonical_url", F.coalesce("fetch_failures", F.lit(0)).alias("_failures")).join(bad, "canonical_url")
+    jobs = run.warehouse.lookup("jobs", bad).select("canonical_url", F.coalesce("fetch_failures", F.lit(0)).alias("_failures")).join(bad, "canonical_url")
     n = F.col("_failures") + F.when(F.col("result") == "transient_failure", 1).otherwise(0)
     status = F.when(F.col("result") == "permanent_failure", "expired").when(n >= history.REMOVAL_THRESHOLD, "removed").otherwise("unavailable")
     return jobs.select("canonical_url", status.alias("lifecycle_status"), n.cast("int").alias("fetch_failures"))
 
 
-def states(run_id: str, results: DataFrame, fetched: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
-    """The state that each URL of the run ends in: stored, fetch_failed, fetch_skipped, extraction_failed or duplicate."""
-    done = jobs.select("canonical_url", F.lit(True).alias("_stored"))
-    both = fetched.join(done, "canonical_url", "left")
-    status = F.when(F.col("_stored"), "stored").when(F.col("result").isNull(), "fetch_skipped").when(F.col("result") == "success", "extraction_failed").otherwise("fetch_failed")
-    why = F.coalesce(F.col("error"), text.blank_to_null(F.col("reason")), F.when(F.col("result") != "success", F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))))
-    first = both.select("url", "canonical_url", "source_name", status.alias("status"), "content_hash", why.alias("error_message"))
+def states(run_id: str, rows: DataFrame, status: Column, now: Column, error: Column | None = None) -> DataFrame:
+    """Rows of ``url_states`` for (url, canonical_url, source_name) in a new status."""
+    digest = F.col("content_hash") if "content_hash" in rows.columns else F.lit(None).cast("string")
+    why = error if error is not None else F.lit(None).cast("string")
+    out = rows.select(F.lit(run_id).alias("run_id"), "url", "canonical_url", "source_name", status.alias("status"), digest.alias("content_hash"), why.alias("error_message"), now.alias("discovered_at"), now.alias("updated_at"))
+    return out.dropDuplicates(["url"])
+
+
+def discovered(run_id: str, results: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """States of what the search gave: discovered, or duplicate for further URLs of a page that is in ``found``."""
+    first = states(run_id, found, F.lit("discovered"), now)
     known = results.where(urls.valid(F.col("url"))).select("url", urls.canonical(F.col("url")).alias("canonical_url"), urls.source_of(F.col("url")).alias("source_name")).distinct()
-    again = known.join(first.select("url"), "url", "left_anti").join(first.select("canonical_url"), "canonical_url", "left_semi").select("url", "canonical_url", "source_name", F.lit("duplicate").alias("status"))
-    out = first.unionByName(again, allowMissingColumns=True).dropDuplicates(["url"])
-    return out.select(F.lit(run_id).alias("run_id"), "url", "canonical_url", "source_name", "status", "content_hash", "error_message", now.alias("discovered_at"), now.alias("updated_at"))
+    again = known.join(first.select("url"), "url", "left_anti").join(first.select("canonical_url"), "canonical_url", "left_semi")
+    return first.unionByName(states(run_id, again, F.lit("duplicate"), now))
+
+
+def fetched_states(run_id: str, fetched: DataFrame, now: Column) -> DataFrame:
+    """fetched, fetch_failed or fetch_skipped, with the reason."""
+    status = F.when(F.col("result").isNull(), "fetch_skipped").when(F.col("result") == "success", "fetched").otherwise("fetch_failed")
+    why = F.coalesce(F.col("error"), text.blank_to_null(F.col("reason")), F.when(F.col("result") != "success", F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))))
+    return states(run_id, fetched, status, now, why)
 
 
 def source_outcomes(run: Run, fetched: DataFrame, now: Column) -> DataFrame:
@@ -297,52 +322,84 @@ def field_statuses(run_id: str, jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.select(F.lit(run_id).alias("run_id"), "source_name", F.create_map(*pairs).alias("statuses"), now.alias("observed_at"))
 
 
-def _stages(run: Run, run_id: str, criteria: Criteria, issued: list[str], now: Column, scratch: Scratch) -> dict[str, Column]:
+def _stages(run: Run, run_id: str, criteria: Criteria, issued: list[str], now: Column, st: Stages, batch: str) -> dict[str, Column]:
     w = run.warehouse
-    queries = queries_of(run, criteria, issued)
-    results = collect(run, criteria, issued, now, scratch)
-    flush(run, run_id, "running", {"queries_generated": F.lit(len(queries) + len(issued)).cast("long"), "queries_issued": F.array(*map(F.lit, issued + queries)).cast("array<string>")})
-    found = scratch(identify(run, run_id, results), "found")
-    fetched = scratch(fetch(run, found, now, scratch), "pages")
+    listed = st.table("queries", lambda: w.spark.createDataFrame(list(enumerate(queries_of(run, criteria, issued))), "n int, query string"))
+    queries = [r.query for r in listed.orderBy("n").collect()]  # MOST_QUERIES at most
+    results = collect(run, criteria, queries, now, st)
+    every = list(dict.fromkeys(issued + queries))
+    st.once("issue", lambda: flush(run, run_id, "running", {"queries_generated": F.lit(len(every)).cast("long"), "queries_issued": F.array(*map(F.lit, every)).cast("array<string>")}))
+    found = st.table("found", lambda: identify(run, run_id, results))
+    st.once("log-discovered", lambda: w.merge("url_states", discovered(run_id, results, found, now)))
+
+    fetched = st.table("pages", lambda: fetch(run, found, now, st))
+    st.once("log-fetched", lambda: w.merge("url_states", fetched_states(run_id, fetched, now)))
     ok = fetched.where("result = 'success'")
-    slots = ok.select(F.col("source_name").alias("source"), "job_key", F.col("html").alias("raw_html"), F.to_json(F.struct("canonical_url", "content_hash")).alias("metadata"), F.to_json(F.struct("http_status", "retry_count", now.alias("retrieved_at"))).alias("retrieval"))
-    raw_store.save(slots, run.raw_root)
-    jobs = scratch(records(run, fetched, now, scratch), "records")
-    changed = scratch(version_rows(run, jobs, now), "versions")
-    w.append("job_versions", changed)
-    counts = w.read("job_versions").groupBy("canonical_url").agg(F.count("*").cast("int").alias("version_count"))
-    w.merge("jobs", scratch(jobs.join(counts, "canonical_url").select(*[c for c in w.read("jobs").columns if c in (*jobs.columns, "version_count")]), "jobs"), now=now)
-    w.merge("jobs", scratch(failed_jobs(run, fetched, now), "failed"), now=now)
-    w.merge("source_health", scratch(source_outcomes(run, fetched, now), "outcomes"), first=())
-    w.append("field_health", field_statuses(run_id, jobs, now))
-    w.append("search_results", results.join(ok.select("url", F.lit(True).alias("_ok")).distinct(), "url", "left").select(F.lit(run_id).alias("run_id"), "title", "url", "snippet", "source_name", "query", "query_hash", F.col("rank").cast("int").alias("rank"), F.coalesce("_ok", F.lit(False)).alias("fetched"), now.alias("discovered_at")))
-    w.append("source_fetches", fetched.where("result is not null").select(F.lit(run_id).alias("run_id"), F.col("canonical_url").alias("url"), "source_name", "result", "http_status", "retry_count", now.alias("fetched_at")))
+
+    jobs = st.table("records", lambda: records(run, fetched, now, st))
+    texts = w.spark.read.parquet(f"{st.folder}/extracted").select("canonical_url", F.col("page_text").alias("raw_text"))
+    slots = ok.join(texts, "canonical_url", "left").select(
+        F.col("source_name").alias("source"), "job_key", F.col("html").alias("raw_html"), "raw_text", F.to_json(F.struct("canonical_url", "content_hash")).alias("metadata"),
+        F.to_json(F.struct("http_status", "retry_count", now.alias("retrieved_at"))).alias("retrieval"),
+    )
+    st.once("save-pages", lambda: raw_store.save(slots, run.raw_root, batch))
+    done = ok.join(jobs.select("canonical_url", F.lit(True).alias("_done")), "canonical_url", "left")
+    st.once("log-extracted", lambda: w.merge("url_states", states(run_id, done, F.when(F.col("_done"), "extraction_done").otherwise("extraction_failed"), now)))
+
+    changed = st.table("versions", lambda: version_rows(run, jobs, now))
+    failed = st.table("failed", lambda: failed_jobs(run, fetched, now))
+    outcomes = st.table("outcomes", lambda: source_outcomes(run, fetched, now))
+    counted = jobs.join(changed.select("canonical_url", F.col("version_number").alias("version_count")), "canonical_url", "left")
+    st.once("add-versions", lambda: w.append("job_versions", changed, batch))
+    st.once("merge-jobs", lambda: w.merge("jobs", counted, now))
+    st.once("merge-failed", lambda: w.merge("jobs", failed, now))
+    st.once("merge-health", lambda: w.merge("source_health", outcomes))
+    st.once("add-fields", lambda: w.append("field_health", field_statuses(run_id, jobs, now), batch))
+    st.once("add-results", lambda: w.append("search_results", results.join(ok.select("url", F.lit(True).alias("_ok")).distinct(), "url", "left").select(
+        F.lit(run_id).alias("run_id"), "title", "url", "snippet", "source_name", "query", "query_hash", F.col("rank").cast("int").alias("rank"), F.coalesce("_ok", F.lit(False)).alias("fetched"), now.alias("discovered_at"),
+    ), batch))
+    tried = fetch_results(fetched, now).where("status <> 'skipped'")
+    st.once("add-fetches", lambda: w.append("source_fetches", tried.select(
+        F.lit(run_id).alias("run_id"), F.col("canonical_url").alias("url"), "source_name", F.col("status").alias("result"), "http_status", "retry_count", F.col("retrieved_at").alias("fetched_at"),
+    ), batch))
     status = F.coalesce("llm_status", F.lit("success"))
-    w.append("extraction_events", jobs.select(F.lit(run_id).alias("run_id"), F.col("canonical_url").alias("url"), status.alias("status"), F.when(F.col("llm_status").isNotNull(), F.lit(run.model)).alias("model"), F.lit(run.schema_version).alias("schema_version"), F.col("llm_retries").alias("retry_count"), F.col("llm_errors").alias("errors"), now.alias("extracted_at")))
-    ended = scratch(states(run_id, results, fetched, jobs, now), "states")
-    w.merge("url_states", ended, first=("discovered_at",))
-    every = w.find("url_states", F.col("run_id") == run_id).groupBy("status").count()
-    n = {r.status: r["count"] for r in every.collect()}  # one row per status
-    versions, stored = changed.count(), n.get("stored", 0)
+    st.once("add-events", lambda: w.append("extraction_events", jobs.select(
+        F.lit(run_id).alias("run_id"), F.col("canonical_url").alias("url"), status.alias("status"), F.when(F.col("llm_status").isNotNull(), F.lit(run.model)).alias("model"), F.lit(run.schema_version).alias("schema_version"),
+        F.col("llm_retries").alias("retry_count"), F.col("llm_errors").alias("errors"), now.alias("extracted_at"),
+    ), batch))
+    st.once("log-stored", lambda: w.merge("url_states", states(run_id, done.where("_done"), F.lit("stored"), now)))
+    return counters(run, run_id, results, jobs, changed)
+
+
+def counters(run: Run, run_id: str, results: DataFrame, jobs: DataFrame, changed: DataFrame) -> dict[str, Column]:
+    """The run's counters from the states of its URLs and what it stored, in one job."""
+    states_ = run.warehouse.find("url_states", F.col("run_id") == run_id).groupBy(F.lit("state").alias("what"), "status").agg(F.count("*").alias("n"))
+    one = lambda df, what: df.select(F.lit(what).alias("what"), F.lit("").alias("status")).groupBy("what", "status").agg(F.count("*").alias("n"))
+    every = states_.union(one(jobs, "jobs")).union(one(changed, "versions")).union(one(results.select("source_name").distinct(), "sources"))
+    n = {(r.what, r.status): r.n for r in every.collect()}  # one row per status
+    of = lambda *status: sum(n.get(("state", x), 0) for x in status)
+    stored, versions = of("stored"), n.get(("versions", ""), 0)
     return {k: F.lit(v).cast("long") for k, v in {
-        "sources_searched": results.select("source_name").distinct().count(), "urls_discovered": sum(n.values()) - n.get("duplicate", 0), "pages_fetched": stored + n.get("extraction_failed", 0), "fetch_failures": n.get("fetch_failed", 0) + n.get("fetch_skipped", 0),
-        "extraction_failures": n.get("extraction_failed", 0), "duplicates": n.get("duplicate", 0), "jobs_stored": versions, "jobs_updated": jobs.count() - versions,
+        "sources_searched": n.get(("sources", ""), 0), "urls_discovered": sum(v for (what, x), v in n.items() if what == "state" and x != "duplicate"), "pages_fetched": stored + of("extraction_failed"), "fetch_failures": of("fetch_failed", "fetch_skipped"),
+        "extraction_failures": of("extraction_failed"), "duplicates": of("duplicate"), "jobs_stored": versions, "jobs_updated": n.get(("jobs", ""), 0) - versions,
     }.items()}
 
 
-def execute(run: Run, run_id: str, criteria: Criteria, now: Column, scratch: Scratch) -> DataFrame:
+def execute(run: Run, run_id: str, criteria: Criteria, now: Column) -> DataFrame:
     """All stages of a run, new or resumed; returns its row of ``search_runs``.
 
-    ``scratch(df, name)`` writes a stage and returns the written table. A run
-    that fails is marked so, with the error, and can be started again.
+    A run that fails is marked so, with the error, and can be started again.
     """
     issued = begin(run, run_id, now)
+    attempt = run.warehouse.find("search_runs", F.col("run_id") == run_id).first().attempt
+    st = stages_of(run, run_id, attempt)
     ends = lambda: {"completed_at": (t := F.lit(run.clock()).cast("timestamp")), "execution_duration_s": (F.unix_micros(t) - F.unix_micros(_started(run, run_id))) / F.lit(1e6)}
     try:
-        counters = _stages(run, run_id, criteria, issued, now, scratch)
-        flush(run, run_id, "completed", counters | ends())
+        found = _stages(run, run_id, criteria, issued, now, st, f"{run_id}-{attempt}")
+        flush(run, run_id, "completed", found | ends())
     except Exception as e:  # whatever stopped the run is recorded in its row
         flush(run, run_id, "failed", {"errors": F.array(F.lit(f"{type(e).__name__}: {e}"[:2000]))} | ends())
+    st.clear()
     return run.warehouse.find("search_runs", F.col("run_id") == run_id)
 
 

@@ -12,7 +12,7 @@ RESULT = "struct<title:string,url:string,snippet:string,source_name:string,query
 TABLES = {
     "jobs": f"canonical_url string, content_hash string, lifecycle_status string, source struct<source_name:string,external_job_id:string>, details {DETAILS}, retrieval struct<content_hash:string,retrieved_at:timestamp,raw_content_path:string>, first_seen_at timestamp, last_seen_at timestamp, last_verified_at timestamp, validation struct<status:string,score:double,errors:array<string>,missing_fields:array<string>,warnings:array<string>>, version_count int, fetch_failures int, created_at timestamp, updated_at timestamp",
     "job_versions": "canonical_url string, version_number int, content_hash string, retrieved_at timestamp, versioned_at timestamp, raw_content_path string, changes array<struct<field:string,before:string,after:string>>",
-    "search_runs": "run_id string, status string, started_at timestamp, completed_at timestamp, queries_generated bigint, sources_searched bigint, urls_discovered bigint, pages_fetched bigint, fetch_failures bigint, extraction_failures bigint, duplicates bigint, jobs_stored bigint, jobs_updated bigint, execution_duration_s double, queries_issued array<string>, errors array<string>",
+    "search_runs": "run_id string, status string, attempt int, started_at timestamp, completed_at timestamp, queries_generated bigint, sources_searched bigint, urls_discovered bigint, pages_fetched bigint, fetch_failures bigint, extraction_failures bigint, duplicates bigint, jobs_stored bigint, jobs_updated bigint, execution_duration_s double, queries_issued array<string>, errors array<string>",
     "url_states": "run_id string, url string, canonical_url string, source_name string, status string, content_hash string, error_message string, discovered_at timestamp, updated_at timestamp",
     "search_results": "run_id string, title string, url string, snippet string, source_name string, query string, query_hash string, rank int, fetched boolean, discovered_at timestamp",
     "source_fetches": "run_id string, url string, source_name string, result string, http_status int, retry_count int, fetched_at timestamp",

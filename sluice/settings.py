@@ -16,6 +16,8 @@ class Settings:
     request_timeout_s: int = dataclasses.field(default=30, metadata={"range": (1, 300)})
     max_retries: int = dataclasses.field(default=3, metadata={"range": (0, 10)})
     backoff_base_s: float = dataclasses.field(default=2.0, metadata={"range": (0.0, 60.0)})
+    #: Seconds between two calls to one host.
+    pace_s: float = dataclasses.field(default=0.0, metadata={"range": (0.0, 3600.0)})
     cooldown_s: int = dataclasses.field(default=3600, metadata={"range": (0, 31_536_000)})
     extraction_schema_version: str = "1.0"
 

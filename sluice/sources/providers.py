@@ -23,7 +23,7 @@ def result_pages(get: Callable[[str], tuple[int, bytes]], attempts: int = 1) ->
     """Asks an engine's result pages by scoped URL: one row per result, and one row with the class alone for a query that failed."""
 
     def search(asked: DataFrame, most: int) -> DataFrame:
-        got = remote.fetch(asked, "scoped_url", get, attempts).withColumn("page", F.decode("body", "UTF-8"))
+        got = remote.fetch(asked, "scoped_url", get, remote.Manners(attempts=attempts)).withColumn("page", F.decode("body", "UTF-8"))
         got = got.withColumn("classification", search_pages.classify(F.col("http_status"), F.col("page"), F.col("error")))
         found = got.withColumn("found", F.when(F.col("classification") == "SEARCH_SUCCESS", search_pages.results(F.col("page"), most)))
         return found.select(*asked.columns, "classification", F.posexplode_outer("found").alias("pos", "r")).select(*asked.columns, "classification", "r.title", "r.url", "r.snippet", (F.col("pos") + 1).alias("rank"))

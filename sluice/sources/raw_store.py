@@ -16,19 +16,36 @@ def slots(pages: DataFrame, source: str, html: str) -> DataFrame:
     return pages.withColumn("content_hash", digest).withColumn("job_key", safe_name(job_key(F.col("content_hash")))).withColumn("source", safe_name(F.col(source)))
 
 
-def save(rows: DataFrame, root: str) -> None:
-    """Write slots, partitioned by source; missing columns are null."""
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    schema = ", ".join(f"{c} string" for c in [*COLUMNS, "_batch"])
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(root)
+
+
+def save(rows: DataFrame, root: str, batch: str) -> None:
+    """Write the slots that no other batch has, once each, partitioned by batch and source; missing columns are null.
+
+    A slot's name is the hash of its page, so what is stored already is the
+    same page: only the names of stored slots are read, never their contents.
+    A batch that is written again takes its own place.
+    """
+    spark = rows.sparkSession
     have = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]
-    rows.select(*have).write.mode("append").partitionBy("source").parquet(root)
+    keys = ["source", "job_key"]
+    one = rows.select(*have).groupBy(*keys).agg(F.min(F.struct("metadata", "retrieval", "raw_html", "raw_text")).alias("s")).select(*keys, "s.*")
+    others = _stored(spark, root).where(F.col("_batch") != batch).select(*keys)
+    one.join(others, keys, "left_anti").select(*COLUMNS).write.mode("overwrite").partitionBy("source").parquet(f"{root}/_batch={batch}")
 
 
 def load(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """Slots of ``wanted`` (source, job_key), null where there is none; partitions are pruned by source."""
-    return wanted.join(spark.read.parquet(root), ["source", "job_key"], "left")
+    return wanted.join(_stored(spark, root).drop("_batch"), ["source", "job_key"], "left")
 
 
 def existing(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    return wanted.join(spark.read.parquet(root).select("source", "job_key"), ["source", "job_key"], "left_semi")
+    return wanted.join(_stored(spark, root).select("source", "job_key"), ["source", "job_key"], "left_semi")
 
 
 def _one(spark: SparkSession, root: str, wanted: DataFrame, column: str) -> DataFrame:

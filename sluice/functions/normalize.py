@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import fixed
+from sluice.functions import answers, fixed
 from sluice.functions.text import blank_to_null, squeeze, strip
 
 
@@ -99,11 +99,7 @@ def work_mode(x: Column) -> Column:
 
 
 #: Fields that a model may return; anything else in its answer is ignored.
-LLM_SCHEMA = (
-    "title string, company string, location string, employment_type string, work_mode string, salary_raw string, salary_min double, salary_max double, experience_raw string, "
-    "experience_min int, experience_max int, required_skills array<string>, preferred_skills array<string>, responsibilities array<string>, description_summary string, "
-    "benefits array<string>, posted_date string, apply_url string, apply_email string, seniority string, education string, corrupt string"
-)
+LLM_SCHEMA = answers.SCHEMA
 
 
 def llm_output(raw: Column, schema: str = LLM_SCHEMA) -> Column:

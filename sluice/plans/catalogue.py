@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions import fixed, normalize, score, text, urls, validate
-from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, runs, upsert
+from sluice.functions import answers, fixed, normalize, score, text, urls, validate
+from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, runs, sources_join, upsert
 from sluice.plans import sql
 from sluice.sources import search_pages
 
@@ -536,3 +536,39 @@ def conversation_latest(spark: SparkSession, d: str) -> DataFrame:
     return last.join(c.groupBy("conv_id").agg(F.count("*").alias("version_count")), "conv_id")
 
 
+
+
+# --- registered domains and model answers ---
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^.*@|:[0-9]*$', '', 'g')"
+
+
+@query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), m AS (SELECT DISTINCT CASE page_id % 2 WHEN 0 THEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) ELSE host END AS domain FROM h WHERE page_id % 3 = 0),
+t AS (SELECT domain, 'site ' || domain AS source_name FROM m WHERE domain <> ''), x AS (SELECT DISTINCT host FROM h),
+f AS (SELECT host, arg_max(source_name, length(domain)) AS source_name FROM x JOIN t ON host = domain OR ends_with(host, '.' || domain) GROUP BY host)
+SELECT page_id, coalesce(source_name, 'generic') AS source_name FROM h LEFT JOIN f USING (host)""")
+def source_by_domain(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by a table of domains that every third page registers: its host, or the last two labels of it."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    host = F.regexp_replace(F.lower(urls.part(F.col("url"), 2)), r"^.*@|:\d*$", "")
+    domain = F.when(F.col("page_id") % 2 == 0, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).otherwise(host)
+    listed = p.where("page_id % 3 = 0").select(domain.alias("domain")).distinct().where("domain <> ''")
+    return sources_join.source_by_host(p, "url", listed.withColumn("source_name", F.concat(F.lit("site "), F.col("domain")))).select("page_id", "source_name")
+
+
+#: What a model might put into a field, in turn.
+_VALUES = ['"x"', "5", "2.5", "null", '["a","b"]', '["a",1]', '{"a":1}', '"12"', "[]", '"2.50"', "true"]
+_FINE = {
+    "string": [0, 3, 7, 9], "int": [1, 3, 7, 10], "number": [1, 2, 3, 7, 9, 10], "list": [3, 4, 8], "any": list(range(len(_VALUES))),
+}
+_ERRORS = ", ".join(f"CASE WHEN (event_id + {i}) % {len(_VALUES)} NOT IN ({', '.join(map(str, _FINE[k]))}) THEN '{f}: not {answers.EXPECTED.get(k)}' END" for i, (f, k) in enumerate(answers.FIELDS.items()))
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '{answers.NOT_AN_OBJECT}' ELSE array_to_string([x for x in [{_ERRORS}] if x IS NOT NULL], '; ') END AS errors FROM events""")
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with an answer of all fields, in each of which stands one thing after the other; some answers are cut short."""
+    values = F.array(*[F.lit(v) for v in _VALUES])
+    fields = [F.concat(F.lit(f'"{f}":'), F.get(values, ((F.col("event_id") + i) % len(_VALUES)).cast("int"))) for i, f in enumerate(answers.FIELDS)]
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit(',"more":1}'))
+    answer = F.when(F.col("event_id") % 13 == 0, F.substring(whole, 1, 40)).otherwise(whole)
+    return table(spark, d, "events").select("event_id", F.array_join(answers.errors(answer), "; ").alias("errors"))

@@ -216,11 +216,11 @@ def records(run: Run, fetched: DataFrame, now: Column, st: Stages) -> DataFrame:
     duties = F.when(F.size("responsibilities") > 0, F.col("responsibilities")).otherwise(F.col("llm.responsibilities"))
     details = F.struct(
         pick("title", evidence("title")).alias("title"), pick("location", evidence("location")).alias("location"), normalize.employment_type(pick("employment_type", evidence("employment_type"))).alias("employment_type"),
-        normalize.work_mode(pick("work_mode", evidence("work_mode"))).alias("work_mode"), F.lit(None).cast("timestamp").alias("posted_at"), F.struct(pick("company", evidence("company_name")).alias("name")).alias("company"),
+        normalize.work_mode(pick("work_mode", evidence("work_mode"))).alias("work_mode"), F.lit(None).cast("timestamp").alias("posted_at"), F.struct(pick("company_name", evidence("company_name")).alias("name")).alias("company"),
         F.struct(F.coalesce("description_text", "page_text").alias("raw_text"), duties.alias("responsibilities")).alias("description"),
         F.struct(
-            F.col("llm.required_skills").alias("required_skills"), F.col("llm.preferred_skills").alias("preferred_skills"), F.col("llm.experience_min").alias("experience_years_min"),
-            F.col("llm.experience_max").alias("experience_years_max"), pick("experience_raw", evidence("experience_raw")).alias("experience_raw"), F.col("requirements_text").alias("raw_text"),
+            F.col("llm.required_skills").alias("required_skills"), F.col("llm.preferred_skills").alias("preferred_skills"), F.col("llm.experience_min_years").alias("experience_years_min"),
+            F.col("llm.experience_max_years").alias("experience_years_max"), evidence("experience_raw").alias("experience_raw"), F.col("requirements_text").alias("raw_text"),
         ).alias("requirements"),
         F.struct(pay["min_amount"].alias("min_amount"), pay["max_amount"].alias("max_amount"), pay["currency"].alias("currency"), pay["period"].alias("period"), pay["original_text"].alias("raw_text")).alias("compensation"),
         F.struct(pick("apply_url", evidence("apply_url")).alias("apply_url"), pick("apply_email", evidence("apply_email")).alias("apply_email")).alias("application"), text.blank_to_null(F.col("llm.seniority")).alias("seniority"),
@@ -385,14 +385,15 @@ def counters(run: Run, run_id: str, results: DataFrame, jobs: DataFrame, changed
     }.items()}
 
 
-def execute(run: Run, run_id: str, criteria: Criteria, now: Column) -> DataFrame:
+def execute(run: Run, run_id: str, criteria: Criteria, now: Column, stages: type[Stages] = Stages) -> DataFrame:
     """All stages of a run, new or resumed; returns its row of ``search_runs``.
 
     A run that fails is marked so, with the error, and can be started again.
+    ``stages`` is how they are kept.
     """
     issued = begin(run, run_id, now)
     attempt = run.warehouse.find("search_runs", F.col("run_id") == run_id).first().attempt
-    st = stages_of(run, run_id, attempt)
+    st = stages(run.warehouse, stages_of(run, run_id, attempt).folder)
     ends = lambda: {"completed_at": (t := F.lit(run.clock()).cast("timestamp")), "execution_duration_s": (F.unix_micros(t) - F.unix_micros(_started(run, run_id))) / F.lit(1e6)}
     try:
         found = _stages(run, run_id, criteria, issued, now, st, f"{run_id}-{attempt}")

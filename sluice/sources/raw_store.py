@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ def _stored(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(root)
 
 
-def save(rows: DataFrame, root: str, batch: str) -> None:
+def save(rows: DataFrame, root: str, batch: str | None = None) -> None:
     """Write the slots that no other batch has, once each, partitioned by batch and source; missing columns are null.
 
     A slot's name is the hash of its page, so what is stored already is the
     same page: only the names of stored slots are read, never their contents.
     A batch that is written again takes its own place.
     """
-    spark = rows.sparkSession
+    spark, batch = rows.sparkSession, batch or uuid.uuid4().hex
     have = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]
     keys = ["source", "job_key"]
     one = rows.select(*have).groupBy(*keys).agg(F.min(F.struct("metadata", "retrieval", "raw_html", "raw_text")).alias("s")).select(*keys, "s.*")

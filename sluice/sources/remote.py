@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import fixed
+from sluice.functions import answers, fixed
 from sluice.operators.policy import origin
 
 ATTEMPTS, BASE_SECONDS, MOST_SECONDS = 3, 2.0, 30.0
@@ -132,11 +132,16 @@ TEXT_CHARS, PREVIOUS_CHARS, RE_PROMPTS = 6000, 1000, 3
 INTERPRETED = "llm_status string, llm_output string, llm_raw string, llm_errors string, llm_retries int, cacheable boolean"
 
 
-def interpret_one(text: str, complete: Callable[[str], str], valid: Callable[[object], str | None]) -> tuple:
+Checked = Callable[[object], tuple[object, list[str]]]
+
+
+def interpret_one(text: str, complete: Callable[[str], str], check: Checked = answers.check) -> tuple:
     """(status, output JSON, raw, errors, retries, cacheable) of one page.
 
-    A transport error on the first call is ``llm_unavailable`` and not cached;
-    answers that stay invalid after RE_PROMPTS further calls are ``extraction_failed``.
+    ``check`` gives the answer in its fields' kinds, and what is wrong with it;
+    the model is told all of that and asked again. A transport error on the
+    first call is ``llm_unavailable`` and not cached; answers that stay invalid
+    after RE_PROMPTS further calls are ``extraction_failed``.
     """
     try:
         raw = complete(text[:TEXT_CHARS])
@@ -145,11 +150,11 @@ def interpret_one(text: str, complete: Callable[[str], str], valid: Callable[[ob
     retries = 0
     while True:
         try:
-            value = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", raw.strip()))
-            error = valid(value)
+            value, wrong = check(json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", raw.strip())))
         except ValueError as e:
-            value, error = None, str(e)
-        if error is None:
+            value, wrong = None, [f"not JSON: {e}"]
+        error = "; ".join(wrong)
+        if not wrong:
             return "success", json.dumps(value), raw, None, retries, True
         if retries == RE_PROMPTS:
             return "extraction_failed", None, raw, error, retries, True
@@ -160,12 +165,12 @@ def interpret_one(text: str, complete: Callable[[str], str], valid: Callable[[ob
             return "extraction_failed", None, raw, str(e), retries, True
 
 
-def interpret(pages: DataFrame, text: str, complete: Callable[[str], str], valid: Callable[[object], str | None] = lambda v: None if isinstance(v, dict) else "not an object") -> DataFrame:
+def interpret(pages: DataFrame, text: str, complete: Callable[[str], str], check: Checked = answers.check) -> DataFrame:
     """``pages`` with llm_status, llm_output, llm_raw, llm_errors, llm_retries and cacheable. Pages found in a cache are anti-joined first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [interpret_one(t or "", complete, valid) for t in pdf[text]]
+            out = [interpret_one(t or "", complete, check) for t in pdf[text]]
             more = pd.DataFrame(out, columns=["llm_status", "llm_output", "llm_raw", "llm_errors", "llm_retries", "cacheable"], index=pdf.index)
             yield pd.concat([pdf, more], axis=1)
 

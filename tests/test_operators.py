@@ -1,4 +1,5 @@
 import datetime
+import json
 import os
 import random
 import re
@@ -9,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import api, errors, schemas
-from sluice.functions import fixed, validate
+from sluice.functions import answers, fixed, normalize, validate
 from sluice.functions.score import Criteria
-from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, search, upsert
+from sluice.operators import dedup, export, folds, health, history, listing, pages, policy, search, sources_join, upsert
 from sluice.sources import providers, raw_store, registry, remote, search_pages
 from sluice.sources.warehouse import Warehouse
 from sluice.streaming import folds as streaming
@@ -294,14 +295,51 @@ def test_fetch_retries():
 
 def test_interpretation():
     replies = iter(["junk", '```json\n{"a": 1}\n```'])
-    ok = remote.interpret_one("text", lambda p: next(replies), lambda v: None)
+    ok = remote.interpret_one("text", lambda p: next(replies))
     assert ok[0] == "success" and ok[4] == 1
-    assert remote.interpret_one("t", lambda p: "junk", lambda v: None)[0] == "extraction_failed"
+    assert remote.interpret_one("t", lambda p: "junk")[0] == "extraction_failed"
 
     def down(p):
         raise OSError("down")
 
-    assert remote.interpret_one("t", down, lambda v: None)[::5] == ("llm_unavailable", False)
+    assert remote.interpret_one("t", down)[::5] == ("llm_unavailable", False)
+
+
+def test_a_model_is_told_what_is_wrong():
+    asked, answers_ = [], iter(['{"title": 5, "benefits": ["a", 1], "salary_min": "high"}', '{"title": "Dev", "salary_min": "10.5", "experience_min_years": 3.0, "work_mode": 7, "other": {}}'])
+
+    def model(prompt):
+        asked.append(prompt)
+        return next(answers_)
+
+    status, output, _, errors, retries, _ = remote.interpret_one("page", model)
+    assert asked[1].startswith("title: not a string; salary_min: not a number; benefits: not a list of strings\n{")
+    assert (status, errors, retries) == ("success", None, 1) and json.loads(output) == {"title": "Dev", "salary_min": 10.5, "experience_min_years": 3, "work_mode": "7"}
+
+
+def test_answer_errors_alike_in_columns_and_calls(spark):
+    values = ['"x"', "5", "2.5", "1e3", "null", '["a"]', '["a", 1]', '["a", null]', "[]", "[null]", "{}", '"12"', '" 7.0 "', '"1e3"', '"x1"', "true", '""']
+    fields = list(answers.FIELDS)
+    texts = ["{" + ", ".join(f'"{f}": {values[(i + k) % len(values)]}' for k, f in enumerate(fields)) + "}" for i in range(len(values))]
+    texts += ["[]", "5", '"x"', "null", "{}", '{"title": "a", "more": [1]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", "no json", '{"title": '])], "i int, t string")
+    got = {r.i: r.e for r in df.select("i", answers.errors(F.col("t")).alias("e")).collect()}
+    assert all(got[i] == answers.check(json.loads(t))[1] for i, t in enumerate(texts))
+    assert all(got[len(texts) + k] == [answers.NOT_AN_OBJECT] for k in range(3))
+    right = [t for t in texts if not answers.check(json.loads(t))[1]]
+    assert right and spark.createDataFrame([(json.dumps(answers.check(json.loads(t))[0]),) for t in right], "t string").where(normalize.llm_output(F.col("t"))["corrupt"].isNotNull()).count() == 0
+
+
+def test_sources_by_registered_domain(spark):
+    domains = spark.createDataFrame([("example.com", "e"), ("jobs.Example.com", "j"), ("jobs.example.com", "z"), ("com", "c"), (None, "n"), ("a.b.c", None)], "domain string, source_name string")
+    cases = {
+        "https://example.com/x": "e", "https://www.jobs.example.com/": "j", "https://JOBS.example.com:8080/1": "j", "https://notexample.com/": "c", "https://x.org/": "generic", "https://u@h.example.com/": "e",
+        "https://a.b.c/": "generic", "mailto:x": "generic", "": "generic", None: "generic",
+    }
+    df = spark.createDataFrame([(u, "old", 1) for u in cases] * 2, "url string, source_name string, domain int")
+    got = sources_join.source_by_host(df, "url", domains).collect()
+    assert len(got) == 2 * len(cases) and all(r.source_name == cases[r.url] and r.domain == 1 for r in got)
+    assert sources_join.source_by_host(df.limit(0), "url", domains).count() == 0
 
 
 def _jobs(spark):

@@ -15,6 +15,7 @@ begins, the footer's length in four bytes, and ``MAGIC`` again.
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import struct
@@ -47,22 +48,35 @@ SPAN = 1 << 20
 STEP_BITS = 22
 DIRECTORY = "part int, seq int, file string, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-CACHE_ENTRIES = 300_000
+#: Bytes of text that are encoded together, and chunks whose ids a worker keeps.
+BATCH_BYTES, CACHE_ENTRIES = 8 << 20, 600_000
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
+def _bytes(*values: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+_WHITE, _SIGN = _bytes(0x20, *range(0x09, 0x0E)), _bytes(*range(0x21, 0x7F))
+_LETTER = _bytes(*range(0x41, 0x5B), *range(0x61, 0x7B))
+#: ASCII signs that are no letter, no digit, do not begin a contraction and do not follow a letter inside the special token.
+_POINT = _SIGN & ~_LETTER & ~_bytes(0x27, 0x7C, *range(0x30, 0x3A))
 
 
 def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where texts can be cut without a change of their ids: before ASCII white space that follows a character that is none.
+    """Where texts can be cut without a change of their ids: before ASCII white space that follows a character that is none, and between a letter and a sign.
 
     The vocabulary's pattern begins a new piece there whatever follows, and what
     stands before ends in no white space, so neither side looks across the cut.
     """
-    before, lead = raw[:-1], np.concatenate([[0], raw[:-2]]).astype(np.uint8) if len(raw) > 1 else raw[:0]
-    plain = (before >= 0x21) & (before <= 0x7E)
-    two_bytes = (before >= 0x80) & (before <= 0xBF) & (lead >= 0xC3) & (lead <= 0xDF)
-    return np.union1d(np.flatnonzero(_WHITE[raw[1:]] & (plain | two_bytes)) + 1, offsets)
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 1:
+        before, lead = raw[:-1], np.concatenate([np.zeros(1, np.uint8), raw[:-2]])
+        two_bytes = (before >= 0x80) & (before <= 0xBF) & (lead >= 0xC3) & (lead <= 0xDF)
+        cut[1:-1] = (_WHITE[raw[1:]] & (_SIGN[before] | two_bytes)) | (_POINT[raw[1:]] & _LETTER[before])
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
@@ -85,9 +99,9 @@ class Encoder:
         for i in range(0, len(new), 1 << 14):
             part = new[i : i + (1 << 14)]
             for c, e in zip(part, self.full.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
+                cache[c] = array.array("I", e.ids).tobytes()
         found = [cache[c] for c in distinct]
-        length = np.array([len(x) for x in found], np.int64) // 4
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.concatenate([[0], np.cumsum(length)])[:-1]
         index = coded.indices.to_numpy()
         place, _ = spread(start[index], length[index])
@@ -113,11 +127,17 @@ def widths(ids: np.ndarray) -> list[int]:
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
-    """``width`` bits of each value, lowest first, with eight spare bytes at the end."""
-    out, each = [], np.arange(width, dtype=np.uint32)
-    for i in range(0, len(values), 1 << 16):
-        out.append(np.packbits(((values[i : i + (1 << 16), None] >> each) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes())
-    return b"".join(out) + bytes(8)
+    """``width`` bits of each value, lowest first, with eight spare bytes at the end; eight values make ``width`` bytes."""
+    v = np.zeros(-(-len(values) // 8) * 8, np.uint64)
+    v[: len(values)] = values
+    v = v.reshape(-1, 8)
+    words = np.zeros((len(v), -(-width // 8)), "<u8")
+    for k in range(8):
+        word, shift = divmod(k * width, 64)
+        words[:, word] |= v[:, k] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, word + 1] |= v[:, k] >> np.uint64(64 - shift)
+    return words.view(np.uint8).reshape(len(v), -1)[:, :width].tobytes() + bytes(8)
 
 
 def unpacked(blob: bytes, width: int, first: int, count: int) -> np.ndarray:
@@ -238,7 +258,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k in ("part", "seq") else None) for k, v in row.items()})
 
         for batch in batches:
-            for i, j in tokens.batches(batch.column(1)):
+            for i, j in tokens.batches(batch.column(1), BATCH_BYTES):
                 ids, ends = enc.encode(batch.column(1).slice(i, j - i))
                 for d, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if held and held + b - a >= file_tokens:

@@ -26,7 +26,7 @@ def full():
 
 def test_chunks_do_not_change_ids(full):
     r = random.Random(1)
-    odd = ["a", "é", "ß", " ", "  ", "\n", "\t", " ", " ", "　", "\u0085", "'s", "don't", "12", "!?", "<|endoftext|>", "中", "\x1c", "\x00", "🙂"]
+    odd = ["a", "é", "ß", " ", "  ", "\n", "\t", " ", " ", "　", "\u0085", "'s", "don't", "12", "!?", "<|endoftext|>", "<|", "|>", "b", "÷", "中", "\x1c", "\x00", "🙂"]
     texts = [x for x in make_texts() if x is None or len(x) < 30_000] + ["".join(r.choice(odd) for _ in range(r.randint(0, 40))) for _ in range(400)]
     ids, ends = T.Encoder(PATH).encode(pa.array(texts, pa.string()))
     want = [e.ids for e in full.encode_batch([t or "" for t in texts], add_special_tokens=False)]

@@ -48,8 +48,8 @@ SPAN = 1 << 20
 STEP_BITS = 22
 DIRECTORY = "part int, seq int, file string, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Bytes of text that are encoded together, and chunks whose ids a worker keeps.
-BATCH_BYTES, CACHE_ENTRIES = 8 << 20, 600_000
+#: Bytes of text that are encoded together, and chunks of each of two generations whose ids a worker keeps.
+BATCH_BYTES, CACHE_ENTRIES = 8 << 20, 400_000
 
 
 def _bytes(*values: int) -> np.ndarray:
@@ -84,7 +84,24 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.full, self.cache = Tokenizer.from_file(path), {}
+        self.full, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks. Those that are not asked for while a generation fills up are forgotten."""
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, chunks))
+        missing = [k for k, v in enumerate(found) if v is None]
+        for k in missing:
+            if (v := old.get(chunks[k])) is not None:
+                found[k] = young[chunks[k]] = v
+        new = [k for k in missing if found[k] is None]
+        for i in range(0, len(new), 1 << 14):
+            part = new[i : i + (1 << 14)]
+            for k, e in zip(part, self.full.encode_batch_fast([chunks[k].decode("utf-8", "replace") for k in part], add_special_tokens=False), strict=True):
+                found[k] = young[chunks[k]] = array.array("I", e.ids).tobytes()
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end, and the n + 1 offsets; a null text has none."""
@@ -92,15 +109,7 @@ class Encoder:
         at = chunk_starts(raw, offsets)
         n = len(at) - 1
         coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache, distinct = self.cache, coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in cache]
-        for i in range(0, len(new), 1 << 14):
-            part = new[i : i + (1 << 14)]
-            for c, e in zip(part, self.full.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
-                cache[c] = array.array("I", e.ids).tobytes()
-        found = [cache[c] for c in distinct]
+        found = self._ids(coded.dictionary.to_pylist())
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.concatenate([[0], np.cumsum(length)])[:-1]
         index = coded.indices.to_numpy()

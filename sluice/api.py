@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.functions import fixed
 from sluice.functions.score import Criteria
@@ -29,16 +30,26 @@ def ping(w: Warehouse) -> dict[str, str]:
     return {"status": "ok" if w.spark.range(1).count() == 1 else "down"}
 
 
+#: Flat column of a listing: where a nested record has it, and its type.
+FLAT = {
+    "canonical_url": ("canonical_url", "string"), "content_hash": ("content_hash", "string"), "lifecycle_status": ("lifecycle_status", "string"), "source_name": ("source.source_name", "string"), "title": ("details.title", "string"),
+    "location": ("details.location", "string"), "work_mode": ("details.work_mode", "string"), "employment_type": ("details.employment_type", "string"), "posted_at": ("details.posted_at", "timestamp"), "company": ("details.company.name", "string"),
+    "required_skills": ("details.requirements.required_skills", "array<string>"), "preferred_skills": ("details.requirements.preferred_skills", "array<string>"),
+    "experience_years_min": ("details.requirements.experience_years_min", "int"), "experience_years_max": ("details.requirements.experience_years_max", "int"), "salary_raw": ("details.compensation.raw_text", "string"),
+    "apply_url": ("details.application.apply_url", "string"), "apply_email": ("details.application.apply_email", "string"), "first_seen_at": ("first_seen_at", "timestamp"), "last_seen_at": ("last_seen_at", "timestamp"),
+    "validation_status": ("validation.status", "string"), "version_count": ("version_count", "int"),
+}
+
+
+def _has(schema: StructType, path: str) -> bool:
+    head, _, rest = path.partition(".")
+    return head in schema.fieldNames() and (not rest or isinstance(schema[head].dataType, StructType) and _has(schema[head].dataType, rest))
+
+
 def flat(jobs: DataFrame) -> DataFrame:
-    """Nested job records as the flat columns that the listing operators use."""
-    d = F.col("details")
-    return jobs.select(
-        "canonical_url", "content_hash", "lifecycle_status", F.col("source.source_name").alias("source_name"), d["title"].alias("title"), d["location"].alias("location"), d["work_mode"].alias("work_mode"),
-        d["employment_type"].alias("employment_type"), d["posted_at"].alias("posted_at"), d["company"]["name"].alias("company"), d["requirements"]["required_skills"].alias("required_skills"),
-        d["requirements"]["preferred_skills"].alias("preferred_skills"), d["requirements"]["experience_years_min"].alias("experience_years_min"), d["requirements"]["experience_years_max"].alias("experience_years_max"),
-        d["compensation"]["raw_text"].alias("salary_raw"), d["application"]["apply_url"].alias("apply_url"), d["application"]["apply_email"].alias("apply_email"), "first_seen_at", "last_seen_at",
-        F.col("validation.status").alias("validation_status"), "version_count",
-    )
+    """Job records as the flat columns that the listing operators use: nested values, else flat ones of the same name, else null."""
+    found = lambda name, path, kind: [F.col(p).cast(kind) for p in dict.fromkeys([path, name]) if _has(jobs.schema, p)]
+    return jobs.select(*[F.coalesce(*found(n, p, k), F.lit(None).cast(k)).alias(n) for n, (p, k) in FLAT.items()])
 
 
 def list_jobs(w: Warehouse, criteria: Criteria | None = None, sort: str = "newest", lifecycle_status: str = "active", limit: int = 50, skip: int = 0, as_of: Column | None = None) -> DataFrame:

@@ -337,7 +337,7 @@ def _stages(run: Run, run_id: str, criteria: Criteria, issued: list[str], now: C
     ok = fetched.where("result = 'success'")
 
     jobs = st.table("records", lambda: records(run, fetched, now, st))
-    texts = w.spark.read.parquet(f"{st.folder}/extracted").select("canonical_url", F.col("page_text").alias("raw_text"))
+    texts = st.table("extracted", lambda: None).select("canonical_url", F.col("page_text").alias("raw_text"))
     slots = ok.join(texts, "canonical_url", "left").select(
         F.col("source_name").alias("source"), "job_key", F.col("html").alias("raw_html"), "raw_text", F.to_json(F.struct("canonical_url", "content_hash")).alias("metadata"),
         F.to_json(F.struct("http_status", "retry_count", now.alias("retrieved_at"))).alias("retrieval"),

@@ -10,9 +10,11 @@ stored stages, so one that was done but not marked does the same again.
 from __future__ import annotations
 
 import dataclasses
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from sluice.sources.warehouse import Warehouse
 
@@ -28,16 +30,22 @@ class Stages:
         return name in self.warehouse.names(f"{self.folder}/_marks")
 
     def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """The stage's table, made and written if it is not there."""
+        """The stage's table, made and written if it is not there; its mark holds its schema."""
         path = f"{self.folder}/{name}"
-        self.once(name, lambda: make().write.mode("overwrite").parquet(path))
-        return self.warehouse.spark.read.parquet(path)
 
-    def once(self, name: str, action: Callable[[], None]) -> None:
-        """``action``, unless it is marked as done."""
+        def write() -> str:
+            df = make()
+            df.write.mode("overwrite").parquet(path)
+            return df.schema.json()
+
+        self.once(name, write)
+        schema = StructType.fromJson(json.loads(self.warehouse.text(f"{self.folder}/_marks/{name}")))
+        return self.warehouse.spark.read.schema(schema).parquet(path)
+
+    def once(self, name: str, action: Callable[[], str | None]) -> None:
+        """``action``, unless it is marked as done; what it returns is kept in the mark."""
         if not self.done(name):
-            action()
-            self.warehouse.create(f"{self.folder}/_marks/{name}")
+            self.warehouse.create(f"{self.folder}/_marks/{name}", action() or "")
 
     def clear(self) -> None:
         self.warehouse.remove(self.folder)

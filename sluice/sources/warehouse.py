@@ -91,7 +91,8 @@ class Warehouse:
         out.close()
         return True
 
-    def _text(self, path: str) -> str:
+    def text(self, path: str) -> str:
+        """A small file."""
         fs, p = self._hadoop(path)
         stream = fs.open(p)
         try:
@@ -111,7 +112,7 @@ class Warehouse:
         numbers = sorted((int(n.split(".")[0]) for n in self.names(folder) if n.endswith(".json")), reverse=True)
         for n in numbers:
             try:
-                found = json.loads(self._text(f"{folder}/{n:08d}.json"))
+                found = json.loads(self.text(f"{folder}/{n:08d}.json"))
             except ValueError:  # its writer was lost
                 continue
             return Manifest(numbers[0], **found)

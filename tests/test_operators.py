@@ -342,6 +342,17 @@ def test_sources_by_registered_domain(spark):
     assert sources_join.source_by_host(df.limit(0), "url", domains).count() == 0
 
 
+def test_flat_and_nested_records(spark):
+    """A nested value wins, a flat one stands in for it, and what neither has is null."""
+    nested = spark.createDataFrame([{"canonical_url": "u1", "source": {"source_name": "a"}, "details": {"title": "T", "requirements": {"experience_years_min": 2}}}], "canonical_url string, source struct<source_name:string>, details struct<title:string,requirements:struct<experience_years_min:bigint>>")
+    plain = spark.createDataFrame([("u2", "b", "P", 3, ["x"])], "canonical_url string, source_name string, title string, experience_years_min int, required_skills array<string>")
+    both = nested.unionByName(plain, allowMissingColumns=True)
+    pick = ["canonical_url", "source_name", "title", "experience_years_min", "required_skills", "company"]
+    rows = lambda df: sorted(tuple(r) for r in api.flat(df).select(*pick).collect())
+    assert rows(nested) == [("u1", "a", "T", 2, None, None)] and rows(plain) == [("u2", "b", "P", 3, ["x"], None)] and rows(both) == rows(nested) + rows(plain)
+    assert api.flat(both).dtypes == api.flat(plain).dtypes
+
+
 def _jobs(spark):
     t = datetime.datetime(2024, 5, 1)
     base = {"canonical_url": "https://a.b/1", "lifecycle_status": "active", "source": {"source_name": "indeed"}, "details": {"title": "Dev", "location": "Pune", "requirements": {"experience_years_min": 1}}, "first_seen_at": t, "last_seen_at": t}

@@ -82,8 +82,8 @@ def skills(raw: Column) -> Column:
 def distinct_skills(df: DataFrame, key: str, raw: Column) -> DataFrame:
     """(key, pos, canonical, original, alias): what ``skills`` keeps of each row's entries, one row each; an aggregate by name, for long arrays. pos counts distinct entries."""
     each = df.select(key, F.posexplode(F.array_distinct(raw)).alias("pos", "_raw")).select(key, "pos", strip(F.col("_raw")).alias("original")).where(F.length("original") > 0)
-    x = F.col("original")
-    named = each.withColumn("canonical", F.coalesce(F.try_element_at(mapping(fixed.SKILLS), clean_skill(x)), x))
+    known = df.sparkSession.createDataFrame(list(fixed.SKILLS.items()), "_clean string, _known string")  # a fixed table of names
+    named = each.withColumn("_clean", clean_skill(F.col("original"))).join(F.broadcast(known), "_clean", "left").withColumn("canonical", F.coalesce("_known", "original"))
     first = named.groupBy(key, F.lower("canonical").alias("_name")).agg(F.min_by(F.struct("pos", "canonical", "original"), "pos").alias("s"))
     return first.select(key, "s.*", F.when(F.lower("s.original") != F.lower("s.canonical"), F.col("s.original")).alias("alias"))
 

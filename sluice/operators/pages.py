@@ -62,10 +62,10 @@ def clean_html(html: Column) -> Column:
 
 
 def heading(line: Column) -> Column:
-    """Label of the section that a stripped line opens, or null."""
-    short = F.length(line) < fixed.HEADING_LENGTH
-    tests = [F.when(short & line.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)), label) for label, patterns in fixed.HEADINGS.items()]
-    return F.coalesce(*tests)
+    """Label of the section that a stripped line opens, or null. One look with all patterns lets most lines pass."""
+    tests = [F.when(line.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)), label) for label, patterns in fixed.HEADINGS.items()]
+    any_ = "(?iu)" + "|".join(f"(?:{p})" for patterns in fixed.HEADINGS.values() for p in patterns)
+    return F.when((F.length(line) < fixed.HEADING_LENGTH) & line.rlike(any_), F.coalesce(*tests))
 
 
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -75,7 +75,7 @@ def blocks(text: Column) -> Column:
     """array(struct(block, label, text)) of a text's sections with text, in order; lines before the first heading are 'body'."""
 
     def cut(lines: Column) -> Column:
-        found = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), heading(strip(x)).alias("label"))), lambda x: x["label"].isNotNull())
+        found = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), let(strip(x), heading).alias("label"))), lambda x: x["label"].isNotNull())
 
         def between(starts: Column) -> Column:
             def one(s: Column, k: Column) -> Column:

@@ -85,3 +85,66 @@ def source_health(stream: DataFrame, source: str, statuses: dict[str, Column]) -
 def windowed_counts(stream: DataFrame, at: str, delay: str, width: str, *keys: str) -> DataFrame:
     """Rows per key and event-time window; rows later than ``delay`` are dropped."""
     return stream.withWatermark(at, delay).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"))
+
+
+def _seconds(when: pd.Timestamp) -> float:
+    return when.value / 1e9
+
+
+def cooldown(stream: DataFrame, key: str, at: str, seq: str, succeeded: str, seconds: float, delay: str) -> DataFrame:
+    """(key, seq, at, accepted) of every row: whether ``seconds`` have passed since the key's last accepted success.
+
+    ``at`` is a timestamp, with rows up to ``delay`` late. A timer drops the
+    state of a key whose cooldown is over, so keys that fall silent cost nothing.
+    """
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = (state.get[0] if state.exists else None), []
+        for when, n, good in pd.concat(list(frames)).sort_values([at, seq])[[at, seq, succeeded]].itertuples(index=False, name=None):
+            ok = last is None or _seconds(when) - last >= seconds
+            if ok and bool(good):
+                last = _seconds(when)
+            out.append((k[0], n, when, ok))
+        until = None if last is None else int((last + seconds) * 1000) + 1
+        if until is not None and until > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[key, seq, at, "accepted"])
+
+    schema = f"{key} {kinds[key]}, {seq} {kinds[seq]}, {at} {kinds[at]}, accepted boolean"
+    return stream.withWatermark(at, delay).groupBy(key).applyInPandasWithState(run, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cache_states(stream: DataFrame, key: str, at: str, ttl_s: float, delay: str) -> DataFrame:
+    """(key, state, at): ``live`` when an entry is written that has no live one before it, ``expired`` by a timer when its time is over.
+
+    An entry that is written again before that lives on from then.
+    """
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        moment = lambda s: pd.Timestamp(round(s * 1e6), unit="us")
+        if state.hasTimedOut:
+            ends = state.get[0]
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "state": ["expired"], at: [moment(ends)]})
+            return
+        ends, out = (state.get[0] if state.exists else None), []
+        for when in pd.concat(list(frames))[at].sort_values():
+            if ends is not None and _seconds(when) > ends:  # its time was over before its timer came
+                out.append((k[0], "expired", moment(ends)))
+                ends = None
+            if ends is None:
+                out.append((k[0], "live", when))
+            ends = max(ends or 0.0, _seconds(when) + ttl_s)
+        state.update((ends,))
+        state.setTimeoutTimestamp(max(int(ends * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "state", at])
+
+    return stream.withWatermark(at, delay).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, state string, {at} {kinds[at]}", "ends double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from sluice.plans import catalogue, stored_runs  # noqa: F401  (registers its queries)
+from sluice.plans import catalogue, stored_runs, streams  # noqa: F401  (they register their queries)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "customer documents labels pages benchmark conversations events nation orders part".split()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import answers, fixed
-from sluice.functions.text import blank_to_null, squeeze, strip
+from sluice.functions.text import blank_to_null, let, squeeze, strip
 
 
 def mapping(values: dict[str, str]) -> Column:
@@ -46,21 +46,29 @@ def _amount(token: Column, unit: Column) -> Column:
 
 
 def salary(raw: Column) -> Column:
-    """struct(currency, min_amount, max_amount, period, annual_inr, original_text) of a salary text; the currency is always INR."""
-    text = strip(raw)
-    period = F.when(text.rlike("(?iu)" + fixed.ANNUAL), "annual").when(text.rlike("(?iu)" + fixed.MONTHLY), "monthly").when(text.rlike("(?iu)" + fixed.HOURLY), "hourly")
-    unit = blank_to_null(F.lower(F.regexp_extract(text, "(?iu)" + fixed.UNIT, 1)))
-    bare = strip(F.regexp_replace(F.regexp_replace(text, "[₹$€£]", ""), "(?iu)" + fixed.SALARY_NOISE, " "))
-    ends = F.split(bare, "(?iu)" + fixed.RANGE, 2)
-    is_range = (F.size(ends) == 2) & (F.length(strip(F.get(ends, F.lit(1)))) > 0)
-    low = F.when(is_range, _amount(strip(F.get(ends, F.lit(0))), unit)).otherwise(_amount(bare, unit))
-    high = F.when(is_range, _amount(strip(F.get(ends, F.lit(1))), unit))
-    some = F.length(text) > 0
-    annual = F.when(period == "annual", low).when(period == "monthly", low * 12)
-    return F.struct(
-        F.when(some, "INR").alias("currency"), F.when(some, low).alias("min_amount"), F.when(some, high).alias("max_amount"), F.when(some, period).alias("period"), F.when(some, annual).alias("annual_inr"),
-        F.when(some, text).otherwise(raw).alias("original_text"),
-    )
+    """struct(currency, min_amount, max_amount, period, annual_inr, original_text) of a salary text; the currency is always INR. Each step is computed once: spelled out in every column, the steps outgrow compiled code."""
+
+    def parts(text: Column) -> Column:
+        period = F.when(text.rlike("(?iu)" + fixed.ANNUAL), "annual").when(text.rlike("(?iu)" + fixed.MONTHLY), "monthly").when(text.rlike("(?iu)" + fixed.HOURLY), "hourly")
+        unit = blank_to_null(F.lower(F.regexp_extract(text, "(?iu)" + fixed.UNIT, 1)))
+        bare = strip(F.regexp_replace(F.regexp_replace(text, "[₹$€£]", ""), "(?iu)" + fixed.SALARY_NOISE, " "))
+        return F.struct(text.alias("text"), period.alias("period"), unit.alias("unit"), bare.alias("bare"), F.transform(F.split(bare, "(?iu)" + fixed.RANGE, 2), strip).alias("ends"))
+
+    def amounts(p: Column) -> Column:
+        is_range = (F.size(p["ends"]) == 2) & (F.length(F.get(p["ends"], F.lit(1))) > 0)
+        low = _amount(F.when(is_range, F.get(p["ends"], F.lit(0))).otherwise(p["bare"]), p["unit"])
+        high = F.when(is_range, _amount(F.get(p["ends"], F.lit(1)), p["unit"]))
+        return F.struct(p["text"].alias("text"), p["period"].alias("period"), low.alias("low"), high.alias("high"))
+
+    def out(p: Column) -> Column:
+        some = F.length(p["text"]) > 0
+        annual = F.when(p["period"] == "annual", p["low"]).when(p["period"] == "monthly", p["low"] * 12)
+        return F.struct(
+            F.when(some, "INR").alias("currency"), F.when(some, p["low"]).alias("min_amount"), F.when(some, p["high"]).alias("max_amount"), F.when(some, p["period"]).alias("period"), F.when(some, annual).alias("annual_inr"),
+            F.when(some, p["text"]).otherwise(raw).alias("original_text"),
+        )
+
+    return let(strip(raw), lambda text: let(parts(text), lambda p: let(amounts(p), out)))
 
 
 def clean_skill(raw: Column) -> Column:

@@ -132,3 +132,10 @@ def test_validation(spark):
     assert (r.score, r.status, r.failures) == (0.0, "critical", ["title", "description"])
     full = df.select(*[v.alias(k) for k, v in validate.completeness({n: F.lit(True) for n in none}, F.lit("")).items()]).first()
     assert (full.score, full.status, full.missing) == (1.0, "complete", [])
+
+
+def test_salary_steps_are_computed_once(spark):
+    """Columns of a salary share its steps, so that the plan does not grow with the columns that name them."""
+    n = spark.range(1).select(normalize.salary(F.concat(F.col("id").cast("string"), F.lit("-9 LPA"))).alias("n")).select("n.period", "n.min_amount", "n.max_amount", "n.annual_inr")
+    assert n._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 10
+    assert [tuple(r) for r in n.collect()] == [("annual", 0.0, 900000.0, 0.0)]

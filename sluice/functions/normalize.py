@@ -96,6 +96,22 @@ def distinct_skills(df: DataFrame, key: str, raw: Column) -> DataFrame:
     return first.select(key, "s.*", F.when(F.lower("s.original") != F.lower("s.canonical"), F.col("s.original")).alias("alias"))
 
 
+def skill_names(df: DataFrame, key: str, raw: Column) -> DataFrame:
+    """(key, names, first): per key, the distinct lower-cased names of its rows' entries as ``skills`` gives them, and the canonical name of the first entry.
+
+    Entries are named inside their row, so that only a row's distinct names
+    are shuffled, to meet those of further rows of its key. Keys without an
+    entry have no row.
+    """
+    known = mapping(fixed.SKILLS)
+    entries = F.filter(F.transform(F.array_distinct(raw), strip), lambda x: F.length(x) > 0)
+    clean = lambda x: F.when(x.rlike(r"^[A-Za-z0-9_.#+\-/]+$"), F.lower(x)).otherwise(clean_skill(x))  # noqa: E731  (the same, in one look at most entries)
+    named = F.transform(entries, lambda x: F.coalesce(F.try_element_at(known, clean(x)), x))
+    row = df.select(key, let(named, lambda n: F.struct(F.array_distinct(F.transform(n, F.lower)).alias("names"), F.get(n, F.lit(0)).alias("first"))).alias("s"))
+    rows = row.select(key, "s.*").where("first is not null").repartition(key)
+    return rows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.min("first").alias("first"))
+
+
 def employment_type(x: Column) -> Column:
     v = F.lower(strip(x))
     return F.when(v.isin("fulltime", "full time"), "full-time").when(v.isin("parttime", "part time"), "part-time").otherwise(v)

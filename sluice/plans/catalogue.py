@@ -219,8 +219,8 @@ n AS (SELECT doc_id, pos, coalesce({sql.mapping(fixed.SKILLS)}[trim(regexp_repla
 SELECT doc_id, count(DISTINCT lower(canonical)) AS n_skills, min_by(canonical, pos) AS first_skill FROM n GROUP BY doc_id""")
 def skills_norm(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(F.regexp_replace("text", r"[\n|]", " "), " ")
-    n = normalize.distinct_skills(table(spark, d, "documents"), "doc_id", words)
-    return n.groupBy("doc_id").agg(F.count("*").alias("n_skills"), F.min_by("canonical", "pos").alias("first_skill"))
+    n = normalize.skill_names(table(spark, d, "documents"), "doc_id", words)
+    return n.select("doc_id", F.size("names").cast("long").alias("n_skills"), F.col("first").alias("first_skill"))
 
 
 # --- listings made from the order tables ---

@@ -54,3 +54,14 @@ def test_title_score_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "x " * 150 + "that que"), (2, "this")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["title_score"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0.5), (2, 0.25)}
+
+
+def test_skills_move_no_entries(spark, tmp_path):
+    """Entries are named inside their row, and rows that share a doc_id count each name once."""
+    rows = [(1, "js JavaScript\tx"), (1, "Node.js x x |x"), (2, " \n|"), (3, None), (None, "Go, go")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES["skills_norm"](spark, str(tmp_path))
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r.n_skills for r in df.collect()}
+    r = duckdb.connect().execute(catalogue.SQL["skills_norm"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    assert got == {x[0]: x[1] for x in r.fetchall()}

@@ -42,6 +42,8 @@ BATCH_BYTES = 1 << 20
 LARGE_TEXT, MOST_TURNS = 1500, 8
 #: Bytes of texts scanned together, and of a text that is scanned in ranges of its windows.
 SCAN_BYTES, LONG_TEXT = 1 << 17, 1 << 20
+#: Blocks whose pieces a reducer holds at most, as a share of all.
+BLOCKS_A_PART = 2
 
 
 def anchor_hashes(raw: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -102,7 +104,7 @@ class Pieces:
             end = np.minimum(end, start + MOST_WINDOWS)
         prefix = scan.prefix_hash(h)
         content = scan.span_hash(prefix, start, end + SPAN - 1)
-        return start, end - start, long_[of], low[start], content
+        return start, end - start, long_[of], scan.mix(low[start]), content  # minima lie close together; mixed, they deal evenly
 
 
 class Entries:
@@ -274,16 +276,22 @@ def narrowed(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, text: np.n
     cut pieces (bytes, start, windows, text, doc) and, per old window, its new window.
     """
     length = windows + WINDOW - 1
-    k, _ = spread(start, length)
-    flat = raw[k]
-    h = anchor_hashes(flat)
-    low = scan.sliding_min(scan.mix(h ^ scan.mix(np.array([turn + 1], np.uint64))[0]), SPAN)
-    w, of = spread(np.concatenate([[0], np.cumsum(length)])[:-1], windows)
-    least = low[w]
-    new = scan.group_starts(of, least)
-    cut_windows, cut_start = np.diff(np.append(new, len(w))), w[new]
-    content = scan.span_hash(scan.prefix_hash(h), cut_start, cut_start + cut_windows + SPAN - 1)
-    t, m, d = text[of[new]], least[new], doc[of[new]]
+    seed, flats, cuts, base = scan.mix(np.array([turn + 1], np.uint64))[0], [], [], 0
+    for lo, hi in _batches(length):  # hashes take many times the bytes
+        k, _ = spread(start[lo:hi], length[lo:hi])
+        flat = raw[k]
+        h = anchor_hashes(flat)
+        low = scan.sliding_min(scan.mix(h ^ seed), SPAN)
+        w, of = spread(np.concatenate([[0], np.cumsum(length[lo:hi])])[:-1], windows[lo:hi])
+        least = low[w]
+        new = scan.group_starts(of, least)
+        n, at = np.diff(np.append(new, len(w))), w[new]
+        cuts.append((base + at, n, scan.span_hash(scan.prefix_hash(h), at, at + n + SPAN - 1), least[new], lo + of[new]))
+        flats.append(flat)
+        base += len(flat)
+    flat = np.concatenate(flats)
+    cut_start, cut_windows, content, m, of = [np.concatenate(x) for x in zip(*cuts, strict=True)]
+    t, d = text[of], doc[of]
     o = np.lexsort((d, content, m, t))
     g = scan.group_starts(t[o], m[o], content[o])
     rank = np.empty(len(o), np.int64)
@@ -292,7 +300,7 @@ def narrowed(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, text: np.n
     texts = scan.group_starts(t[keep], m[keep])
     new_text = np.repeat(np.arange(len(texts)), np.diff(np.append(texts, len(keep))))
     first_new = np.concatenate([[0], np.cumsum(cut_windows[keep])])[:-1]
-    inside, cut_of = spread(np.zeros(len(new), np.int64), cut_windows)
+    inside, cut_of = spread(np.zeros(len(cut_windows), np.int64), cut_windows)
     return flat, cut_start[keep], cut_windows[keep], new_text, d[keep], first_new[rank[cut_of]] + inside
 
 
@@ -421,7 +429,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     blocked = blocks.pack(docs, "repeats")
-    parts = 4 * blocks.buckets_for(docs)
+    parts = max(4 * blocks.buckets_for(docs), blocked.select("block").distinct().count() // BLOCKS_A_PART)
     sent = blocked.groupBy("block").applyInArrow(_send(parts), SENT)
     found = scratch.keep(sent.groupBy("part").applyInArrow(_smallest, ANSWERS), "smallest")
     scratch.release(spark)

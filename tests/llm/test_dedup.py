@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import jaccard_join, line_dedup, queries, suffix_dedup
@@ -73,6 +74,28 @@ def test_suffix_dedup_narrows_large_groups(monkeypatch):
     assert suffix_dedup.smallest_documents(flat, start, windows, text, doc).tolist() == plain.tolist()
 
 
+def test_suffix_dedup_deals_pieces_evenly():
+    """No range of minimizers holds much more than its share: minima lie at the low end of their hash."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(4000)) for _ in range(50)]
+    e = suffix_dedup.Entries(pa.table({"doc_id": pa.array(range(50), pa.int64()), "text": texts}), 64)
+    share = np.diff(e.cut)
+    assert share.sum() == len(e.anchor) and share.max() < 2 * share.mean()
+
+
+def test_suffix_dedup_narrows_a_batch_at_a_time(monkeypatch):
+    """The hashes of a large group are taken of a bounded number of bytes at a time."""
+    r = random.Random(6)
+    base = bytes(r.choice(b"abcd") for _ in range(80))
+    raw = np.frombuffer(b"".join(base[:k] + bytes([65 + k]) + base[k + 1 :] for k in range(60)), np.uint8)
+    start, windows, text, doc = np.arange(60) * 80, np.full(60, 31), np.zeros(60, np.int64), np.arange(60)[::-1].copy()
+    plain, most, real = suffix_dedup.equal_windows(raw, start, windows, text, doc), [], suffix_dedup.anchor_hashes
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 400)
+    monkeypatch.setattr(suffix_dedup, "anchor_hashes", lambda x, *a: most.append(len(x)) or real(x, *a))
+    assert suffix_dedup.smallest_documents(raw, start, windows, text, doc).tolist() == plain.tolist()
+    assert max(most) <= 400
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 

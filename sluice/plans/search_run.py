@@ -303,17 +303,14 @@ def fetched_states(run_id: str, fetched: DataFrame, now: Column) -> DataFrame:
 
 def source_outcomes(run: Run, fetched: DataFrame, now: Column) -> DataFrame:
     """New ``source_health`` rows: circuits go on from where they stood, one outcome after the other, and totals add up."""
-    tried = fetched.where("result is not null").select("source_name", (F.col("result") == "success").alias("ok"), F.unix_micros(now).alias("_at"), "query_no", "source_no", "rank", "canonical_url")
-    tried = tried.withColumn("at", F.col("_at") / F.lit(1e6)).drop("_at")
+    tried = fetched.where("result is not null").select("source_name", (F.col("result") == "success").alias("ok"), "query_no", "source_no", "rank", "canonical_url")
     stored = run.warehouse.read("source_health")
     before = stored.select("source_name", "circuit_state", "consecutive_failures", (F.unix_micros("opened_at") / F.lit(1e6)).alias("opened_at"))
-    order = ["query_no", "source_no", "rank", "canonical_url"]
-    folded = folds.circuits_from(tried, "source_name", "at", "ok", before, *order)
-    last = folded.groupBy("source_name").agg(F.max_by(F.struct("circuit_state", "failure_count", "opened_at"), F.struct(*order)).alias("s"), F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"))
+    last = folds.circuits_after(tried, "source_name", F.unix_micros(now) / F.lit(1e6), "ok", before, "query_no", "source_no", "rank", "canonical_url")
     both = last.join(stored.select("source_name", "total_requests", "total_failures"), "source_name", "left")
     total, bad = F.coalesce("total_requests", F.lit(0)) + F.col("n"), F.coalesce("total_failures", F.lit(0)) + F.col("bad")
-    opened = F.when(F.col("s.opened_at") > 0, F.timestamp_micros((F.col("s.opened_at") * 1e6).cast("long")))
-    return both.select("source_name", F.col("s.circuit_state").alias("circuit_state"), F.col("s.failure_count").alias("consecutive_failures"), opened.alias("opened_at"), total.alias("total_requests"), bad.alias("total_failures"), ((total - bad) / total).alias("success_rate"), now.alias("updated_at"))
+    opened = F.when(F.col("opened_at") > 0, F.timestamp_micros((F.col("opened_at") * 1e6).cast("long")))
+    return both.select("source_name", "circuit_state", F.col("failure_count").alias("consecutive_failures"), opened.alias("opened_at"), total.alias("total_requests"), bad.alias("total_failures"), ((total - bad) / total).alias("success_rate"), now.alias("updated_at"))
 
 
 def field_statuses(run_id: str, jobs: DataFrame, now: Column) -> DataFrame:

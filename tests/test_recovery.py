@@ -6,6 +6,7 @@ import os
 import threading
 import time
 
+import numpy as np
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -124,6 +125,38 @@ def test_a_merge_of_one_row_writes_one_file(spark, tmp_path):
     assert {r.canonical_url: (r.lifecycle_status, r.version_count) for r in w.read("jobs").collect()} == back
 
 
+def test_circuits_of_one_time_are_folded_in_parts(spark):
+    """As one outcome after the other, from any state; a source with very many outcomes is dealt over tasks."""
+    import random
+
+    from sluice.operators import folds
+
+    r = random.Random(5)
+    for _ in range(3000):
+        state, failures, opened = r.choice([folds.CLOSED, folds.OPEN, folds.HALF_OPEN]), r.randrange(9), r.choice([0.0, 980.0, 940.0, 939.9])
+        ok = np.array([r.random() < r.choice([0.1, 0.4, 0.9]) for _ in range(r.randrange(1, 30))])
+        b = folds.Breaker(5, 60.0, state=state, failures=failures, opened_at=opened)
+        for x in ok.tolist():
+            b.record(x, 1000.0)
+        cuts = sorted({0, len(ok), *(r.randrange(len(ok)) for _ in range(3))})
+        parts = [folds.summary(ok[i:j], 5) for i, j in zip(cuts, cuts[1:])]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = folds.joined(whole, p, 5)
+        assert whole == folds.summary(ok, 5) and folds.circuit_after(state, failures, opened, whole, 1000.0, 5, 60.0) == (b.state, b.failures, b.opened_at)
+    rows = [("big" if i % 50 else f"s{i % 7}", i, r.random() < 0.6) for i in range(6000)]
+    df = spark.createDataFrame(rows, "source string, n int, ok boolean")
+    stored = spark.createDataFrame([("big", "half_open", 6, 3.0), ("s1", "open", 5, 990.0), ("s2", "closed", 2, None)], "source string, circuit_state string, consecutive_failures int, opened_at double")
+    every = folds.circuits_from(df.withColumn("at", F.lit(1000.0)), "source", "at", "ok", stored, "n").groupBy("source").agg(F.max_by(F.struct("circuit_state", "failure_count", "opened_at"), "n").alias("s"), F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"))
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = folds.circuits_after(df, "source", F.lit(1000.0), "ok", stored, "n")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.select("source", "s.*", "n", "bad").collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+
+
 def test_merges_fold_like_upserts(spark, tmp_path):
     """Random updates, with nulls, deletes and a compaction between: as one upsert after the other."""
     import random

@@ -30,7 +30,12 @@ def resolve(df: DataFrame, url: str, *order: str) -> DataFrame:
 
 def new_urls(df: DataFrame, url: str, seen: DataFrame, *order: str) -> DataFrame:
     """Resolved URLs that are neither repeated nor canonical in ``seen`` (canonical_url)."""
-    return resolve(df, url, *order).where(~F.col("is_duplicate")).drop("is_duplicate").join(seen.select("canonical_url").distinct(), "canonical_url", "left_anti")
+    return unseen(resolve(df, url, *order), seen)
+
+
+def unseen(resolved: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows that ``resolve`` found to be no repeats and whose canonical_url is not in ``seen``."""
+    return resolved.where(~F.col("is_duplicate")).drop("is_duplicate").join(seen.select("canonical_url").distinct(), "canonical_url", "left_anti")
 
 
 def seen_count(df: DataFrame, key: str) -> DataFrame:

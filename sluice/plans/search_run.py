@@ -93,14 +93,15 @@ def discover(run: Run, criteria: Criteria, issued: list[str]) -> DataFrame:
     return run.provider(search.fan_out(run.warehouse.spark, queries, search.target_sources(criteria)), run.most_results)
 
 
-def collect(run: Run, criteria: Criteria, queries: list[str], now: Column, st: Stages) -> DataFrame:
+def collect(run: Run, criteria: Criteria, queries: list[str], now: Column, st: Stages, batch: str) -> DataFrame:
     """Results as ``discover`` gives them, from the query cache where a query was answered within its cooldown, else from the provider.
 
     What the provider answers is cached, and each answer taken from the cache counts as a hit.
+    A cache entry names the batch of ``cached_results`` that holds its results, a row each.
     """
     w = run.warehouse
     asked = st.table("asked", lambda: search.fan_out(w.spark, queries, search.target_sources(criteria)).withColumn("query_hash", text.query_hash(F.col("scoped_query"))))
-    live = st.table("live", lambda: live_entries(w.lookup("query_cache", asked), now).select("query_hash", "results", "hit_count"))
+    live = st.table("live", lambda: live_entries(w.lookup("query_cache", asked), now).where("answered_in is not null").select("query_hash", "answered_in", "hit_count"))
     again = asked.join(live, "query_hash")
     fresh = asked.join(live.select("query_hash"), "query_hash", "left_anti")
     found = st.table("answers", lambda: run.provider(fresh, run.most_results))
@@ -110,21 +111,32 @@ def collect(run: Run, criteria: Criteria, queries: list[str], now: Column, st: S
         found = search.before_rate_limit(found, "query_no")
     plain = ["query_no", "query", "source_no", "source_name", "query_hash", "scoped_query", "title", "url", "snippet", "rank"]
     found = found.where("url is not null").select(*plain)
-    kept = again.withColumn("r", F.explode("results")).select("query_no", "query", "source_no", "source_name", "query_hash", "scoped_query", "r.title", "r.url", "r.snippet", "r.rank")
-    result = F.struct("title", "url", "snippet", "source_name", "query", "query_hash", F.col("rank").cast("int").alias("rank"), now.alias("discovered_at"))
-    entries = found.groupBy("query_hash").agg(F.first("scoped_query").alias("query_text"), F.first("source_name").alias("source_name"), F.count("*").cast("int").alias("result_count"), F.array_sort(F.collect_list(result)).alias("results"))
+    held = w.batches("cached_results", [r.answered_in for r in live.select("answered_in").distinct().collect()])  # of one entry per query and source at most
+    kept = held.select("query_hash", "answered_in", "title", "url", "snippet", "rank").join(F.broadcast(again), ["query_hash", "answered_in"]).select(*plain)
+    entries = found.groupBy("query_hash").agg(F.first("scoped_query").alias("query_text"), F.first("source_name").alias("source_name"), F.count("*").cast("int").alias("result_count")).withColumn("answered_in", F.lit(batch))
+    results = found.select("query_hash", F.lit(batch).alias("answered_in"), "title", "url", "snippet", "source_name", "query", F.col("rank").cast("int").alias("rank"), now.alias("discovered_at"))
     out = st.table("collected", lambda: found.unionByName(kept))
     hits = again.select("query_hash", (F.coalesce("hit_count", F.lit(0)) + 1).alias("hit_count")).distinct()
     st.once("cache-hits", lambda: w.merge("query_cache", hits))
     new = st.table("entries", lambda: cache_entries(entries.withColumn("cached_at", now).withColumn("hit_count", F.lit(0)), "cached_at", run.cooldown_s))
+    st.once("cache-results", lambda: w.append("cached_results", results, batch))
     st.once("cache-entries", lambda: w.merge("query_cache", new))
     return out
 
 
 def identify(run: Run, run_id: str, results: DataFrame) -> DataFrame:
     """New canonical URLs of this run: valid, first of their kind, not settled by an earlier attempt."""
+    return unsettled(run, run_id, resolve(results))
+
+
+def resolve(results: DataFrame) -> DataFrame:
+    return dedup.resolve(results, "url", "query_no", "source_no", "rank")
+
+
+def unsettled(run: Run, run_id: str, resolved: DataFrame) -> DataFrame:
+    """``identify`` of results that are resolved."""
     states = run.warehouse.find("url_states", (F.col("run_id") == run_id) & F.col("status").isin(fixed.PROCESSED))
-    return dedup.new_urls(results, "url", states, "query_no", "source_no", "rank")
+    return dedup.unseen(resolved, states)
 
 
 def decide(run: Run, found: DataFrame, now: Column) -> DataFrame:
@@ -286,10 +298,10 @@ def states(run_id: str, rows: DataFrame, status: Column, now: Column, error: Col
     return out.dropDuplicates(["url"])
 
 
-def discovered(run_id: str, results: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+def discovered(run_id: str, resolved: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """States of what the search gave: discovered, or duplicate for further URLs of a page that is in ``found``."""
     first = states(run_id, found, F.lit("discovered"), now)
-    known = results.where(urls.valid(F.col("url"))).select("url", urls.canonical(F.col("url")).alias("canonical_url"), urls.source_of(F.col("url")).alias("source_name")).distinct()
+    known = resolved.select("url", "canonical_url", "source_name").distinct()
     again = known.join(first.select("url"), "url", "left_anti").join(first.select("canonical_url"), "canonical_url", "left_semi")
     return first.unionByName(states(run_id, again, F.lit("duplicate"), now))
 
@@ -323,11 +335,12 @@ def _stages(run: Run, run_id: str, criteria: Criteria, issued: list[str], now: C
     w = run.warehouse
     listed = st.table("queries", lambda: w.spark.createDataFrame(list(enumerate(queries_of(run, criteria, issued))), "n int, query string"))
     queries = [r.query for r in listed.orderBy("n").collect()]  # MOST_QUERIES at most
-    results = collect(run, criteria, queries, now, st)
+    results = collect(run, criteria, queries, now, st, batch)
     every = list(dict.fromkeys(issued + queries))
     st.once("issue", lambda: flush(run, run_id, "running", {"queries_generated": F.lit(len(every)).cast("long"), "queries_issued": F.array(*map(F.lit, every)).cast("array<string>")}))
-    found = st.table("found", lambda: identify(run, run_id, results))
-    st.once("log-discovered", lambda: w.merge("url_states", discovered(run_id, results, found, now)))
+    resolved = st.table("resolved", lambda: resolve(results))
+    found = st.table("found", lambda: unsettled(run, run_id, resolved))
+    st.once("log-discovered", lambda: w.merge("url_states", discovered(run_id, resolved, found, now)))
 
     fetched = st.table("pages", lambda: fetch(run, found, now, st))
     st.once("log-fetched", lambda: w.merge("url_states", fetched_states(run_id, fetched, now)))

@@ -28,7 +28,7 @@ from sluice.operators.upsert import fold
 TABLES = {
     "jobs": (["canonical_url"], "last_seen_at", ["first_seen_at", "created_at"]), "job_versions": (["canonical_url", "version_number"], "versioned_at", []), "search_runs": (["run_id"], "started_at", []),
     "url_states": (["run_id", "url"], "updated_at", ["discovered_at"]), "search_results": (["run_id", "url"], "discovered_at", []), "source_fetches": ([], "fetched_at", []), "extraction_events": ([], "extracted_at", []),
-    "query_cache": (["query_hash"], "cached_at", []), "source_health": (["source_name"], "updated_at", []), "llm_cache": (["cache_key"], "cached_at", []), "field_health": ([], "observed_at", []),
+    "query_cache": (["query_hash"], "cached_at", []), "source_health": (["source_name"], "updated_at", []), "llm_cache": (["cache_key"], "cached_at", []), "cached_results": ([], "discovered_at", []), "field_health": ([], "observed_at", []),
 }
 #: Tables whose rows are updated by key; the others are tables of events.
 KEYED = {"jobs", "search_runs", "url_states", "query_cache", "source_health", "llm_cache"}
@@ -129,9 +129,16 @@ class Warehouse:
         return F.pmod(F.xxhash64(*TABLES[table][0]), F.lit(buckets)).cast("int")
 
     def _write(self, table: str, rows: DataFrame, buckets: int, prefix: str) -> dict[str, str]:
-        """Write rows, one folder per bucket; returns the folder of each bucket that has rows."""
+        """Write rows, one folder per bucket; returns the folder of each bucket that has rows.
+
+        Where there are fewer buckets than tasks, the rows of a bucket are dealt
+        over several: a new table has one bucket, however much is merged at once.
+        """
         folder = f"{prefix}-{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self._bucket(table, buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path(table)}/{folder}")
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        shares = 1 if buckets >= tasks else -(-8 * tasks // buckets)
+        share = F.pmod(F.hash(*TABLES[table][0]), F.lit(shares))
+        rows.withColumn("_bucket", self._bucket(table, buckets)).repartition("_bucket", share).write.partitionBy("_bucket").parquet(f"{self.path(table)}/{folder}")
         return {n.split("=")[1]: f"{folder}/{n}" for n in self.names(f"{self.path(table)}/{folder}") if n.startswith("_bucket=")}
 
     def _files(self, table: str, folders: Iterable[str], more: str = "") -> DataFrame:
@@ -278,9 +285,15 @@ class Warehouse:
         """
         if self.manifest(table) is not None:
             raise ValueError(f"{table} has keyed rows: use merge or insert")
-        name = F.url_encode(F.lit(batch or uuid.uuid4().hex))
-        folder = self.spark.range(1).select(name).first()[0]
-        self._full(table, rows).write.mode("overwrite").parquet(f"{self.path(table)}/_batch={folder}")
+        self._full(table, rows).write.mode("overwrite").parquet(f"{self.path(table)}/{self._batch_folder(batch or uuid.uuid4().hex)}")
+
+    def _batch_folder(self, batch: str) -> str:
+        return f"_batch={self.spark.range(1).select(F.url_encode(F.lit(batch))).first()[0]}"
+
+    def batches(self, table: str, names: Iterable[str]) -> DataFrame:
+        """The rows of the named batches that are there; no others are read."""
+        there = set(self.names(self.path(table)))
+        return self._files(table, [f for f in map(self._batch_folder, names) if f in there])
 
     def sink(self, table: str, stream: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
         """A function for ``foreachBatch``: an epoch that Spark repeats after a failure is written once."""

@@ -125,6 +125,22 @@ def test_a_merge_of_one_row_writes_one_file(spark, tmp_path):
     assert {r.canonical_url: (r.lifecycle_status, r.version_count) for r in w.read("jobs").collect()} == back
 
 
+def test_a_large_merge_is_written_by_several_tasks(spark, tmp_path):
+    """A new table has one bucket, but not one task."""
+    w = Warehouse(spark, str(tmp_path))
+    rows = spark.range(2000).select(F.lit("R").alias("run_id"), F.concat(F.lit("u"), "id").alias("url"), F.lit("found").alias("status"))
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        w.merge("url_states", rows)
+        w.merge("url_states", rows.where("url = 'u7'").withColumn("status", F.lit("stored")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    files = [[r.n for r in spark.read.parquet(str(tmp_path / "url_states" / d["folder"])).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()] for d in w.manifest("url_states").deltas]
+    assert w.manifest("url_states").buckets == 1 and sum(files[0]) == 2000 and max(files[0]) < 1200 and files[1] == [1]
+    assert w.count("url_states") == 2000 and w.count("url_states", F.col("status") == "stored") == 1
+
+
 def test_circuits_of_one_time_are_folded_in_parts(spark):
     """As one outcome after the other, from any state; a source with very many outcomes is dealt over tasks."""
     import random

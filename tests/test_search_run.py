@@ -7,6 +7,7 @@ from sluice import api
 from sluice.__main__ import main
 from sluice.functions.score import Criteria
 from sluice.plans import search_run
+from sluice.plans.stages import Stages
 from sluice.settings import Settings
 from sluice.sources import raw_store, registry, remote
 from sluice.sources.warehouse import Warehouse
@@ -133,6 +134,33 @@ def test_robots_budget_and_caches(spark, tmp_path):
     assert w.delete("query_cache", F.col("expires_at") < day(9)) == 1 and w.read("query_cache").count() == 0
 
 
+def test_cached_results_are_rows(spark, tmp_path):
+    """However many results a query has, none of its rows grows; an entry gives the results of its own batch."""
+    w = Warehouse(spark, str(tmp_path / "wh"))
+    stages = lambda n: Stages(w, f"{w.root}/_stages/{n}")
+    asked = spark.sparkContext.accumulator(0)
+
+    def many(n):
+        def provider(rows, most):
+            asked.add(rows.count())
+            pages = spark.range(n).select(F.concat(F.lit("https://jobs.example.com/"), "id").alias("url"), F.col("id").cast("int").alias("rank"))
+            return rows.where("source_no = 0").crossJoin(pages)
+
+        return provider
+
+    run, c = search_run.Run(w, many(300), serve(PAGES), cooldown_s=86400), Criteria(title="Dev", preferred_sources=["linkedin"])
+    rows = lambda df: sorted((r.query_no, r.source_no, r.query_hash, r.url, r.rank) for r in df.collect())
+    first = rows(search_run.collect(run, c, ["a", "b"], day(1), stages(1), "1"))
+    assert len(first) == 600 and w.read("query_cache").columns.count("results") == 0 and w.read("cached_results").count() == 600
+    assert {(r.result_count, r.answered_in) for r in w.read("query_cache").collect()} == {(300, "1")}
+    n, run.provider = asked.value, many(5)
+    assert rows(search_run.collect(run, c, ["a", "b"], day(1), stages(2), "2")) == first and asked.value == n
+    # after the cooldown the source is asked again, and what it said before is not given with it
+    later = rows(search_run.collect(run, c, ["a"], day(3), stages(3), "3"))
+    assert len(later) == 5 and rows(search_run.collect(run, c, ["a"], day(3), stages(4), "4")) == later
+    assert w.read("query_cache").agg(F.sum("hit_count")).first()[0] == 2
+
+
 def test_settings():
     assert Settings.from_env({"SLUICE_MAX_FETCHES": "7"}).max_fetches == 7
     with pytest.raises(ValueError):

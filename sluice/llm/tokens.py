@@ -2,8 +2,9 @@
 
 The vocabulary lower-cases, drops white space and never merges across it, so a
 text is the concatenation of its space-separated chunks. Chunks of a batch are
-dictionary-encoded, each distinct one is tokenised once, and a bounded cache
-keeps results between batches of a worker. Chunks of plain Latin letters and
+dictionary-encoded and, where they are a word with signs after it, parted into
+these; each distinct piece is tokenised once, and a bounded cache keeps results
+between batches of a worker. Chunks of plain Latin letters and
 ASCII go through a byte-pair merger that takes any adjacent pair whose joined
 bytes are in the vocabulary, lowest id first; ``unsafe_ids`` lists the tokens
 for which that could differ from the listed merges, and a chunk with such a
@@ -13,6 +14,7 @@ token, or with any other character, is left to the reference tokenizer.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +32,10 @@ WORD_END = "</w>"
 END = b"\xff"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+#: A chunk that is a word and the signs after it: one piece each.
+WORD_AND_SIGNS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<signs>[!-/:-@\[-`{-~]*)$"
+#: Stands for the ids of a piece that has an unsafe token.
+UNSAFE = b"?"
 CACHE_ENTRIES = 300_000
 BATCH_BYTES = 4 << 20
 
@@ -85,6 +91,7 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.unsafe = unsafe
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def chunk(self, chunk: str) -> bytes:
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
@@ -93,22 +100,51 @@ class Encoder:
                 return np.array(ids, "<u4").tobytes()
         return np.array(self.full.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts laid end to end, and the n + 1 offsets; a null text has none."""
-        texts = pc.fill_null(texts, "")
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        per_text = np.diff(parts.offsets.to_numpy())
-        coded = parts.flatten().dictionary_encode()
-        cache, found = self.cache, []
-        if len(cache) > CACHE_ENTRIES:
+    def piece(self, piece: str) -> bytes:
+        """Ids of a lower-case word, or of signs; UNSAFE if the merger may not be used for it."""
+        ids = self.merge(piece.encode() + END)
+        return array("I", ids).tobytes() if self.unsafe.isdisjoint(ids) else UNSAFE
+
+    def distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks laid end to end, and how many each has."""
+        cache, pieces = self.cache, self.pieces
+        if len(cache) + len(pieces) > CACHE_ENTRIES:
             cache.clear()
-        for c in coded.dictionary.to_pylist():
+            pieces.clear()
+            pieces[""] = b""
+        parted = pc.extract_regex(chunks, WORD_AND_SIGNS)
+        special = pc.or_kleene(pc.is_null(parted), pc.match_substring(chunks, "<|")).to_numpy(zero_copy_only=False)
+        found, of = [b""], np.zeros((len(chunks), 2), np.int64)  # a chunk's two pieces
+        for k, name in enumerate(("word", "signs")):
+            coded = pc.fill_null(pc.utf8_lower(pc.struct_field(parted, name)), "").dictionary_encode()
+            of[:, k] = coded.indices.to_numpy() + len(found)
+            for p in coded.dictionary.to_pylist():
+                ids = pieces.get(p)
+                if ids is None:
+                    ids = pieces[p] = self.piece(p)
+                found.append(ids)
+        size = np.array([len(x) for x in found], np.int64)
+        other = np.flatnonzero(special | (size[of] % 4 > 0).any(axis=1))
+        of[other] = 0
+        of[other, 0] = np.arange(len(other)) + len(found)
+        for c in chunks.take(pa.array(other)).to_pylist():
             ids = cache.get(c)
             if ids is None:
                 ids = cache[c] = self.chunk(c)
             found.append(ids)
+        found = [b"" if x is UNSAFE else x for x in found]
         length = np.array([len(x) for x in found], np.int64) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
+        start = np.cumsum(length) - length
+        at, _ = spread(start[of.ravel()], length[of.ravel()])
+        return np.frombuffer(b"".join(found), "<u4")[at], length[of].sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts laid end to end, and the n + 1 offsets; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        per_text = np.diff(parts.offsets.to_numpy())
+        coded = parts.flatten().dictionary_encode()
+        flat, length = self.distinct(coded.dictionary)
         start = np.concatenate([[0], np.cumsum(length)])[:-1]
         index = coded.indices.to_numpy()
         at, _ = spread(start[index], length[index])

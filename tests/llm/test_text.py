@@ -223,6 +223,25 @@ def test_encoder_is_exact(doc_rows):
     assert tokens.Encoder(VOCABULARY, frozenset(range(49408))).encode(pa.array(texts, pa.string()))[0].tolist() == ids.tolist()
 
 
+def test_pieces_are_tokenised_once():
+    """A word that stands before different signs, or in capitals, goes through the merger once; ids are those of the tokenizer."""
+    import pyarrow as pa
+
+    texts = ["Word. word, WORD!! (word) word's word 'word' ...", "ÀÉß; àéß: İx K ª. µ, x<|y <|endoftext|>. a1. 12, \t, word\u00a0, ''", None, ""]
+    full, calls = Tokenizer.from_file(VOCABULARY), []
+    for unsafe in (frozenset(), tokens.unsafe_ids(VOCABULARY), frozenset(range(0, 49408, 3))):
+        enc = tokens.Encoder(VOCABULARY, unsafe)
+        merge = enc.merge
+        enc.merge = lambda piece, merge=merge: calls.append(piece) or merge(piece)
+        for _ in range(2):
+            ids, cut = enc.encode(pa.array(texts, pa.string()))
+            assert [ids[i:j].tolist() for i, j in zip(cut, cut[1:])] == [full.encode(t or "", add_special_tokens=False).ids for t in texts]
+    enc, calls = tokens.Encoder(VOCABULARY), []
+    merge, enc.merge = enc.merge, lambda piece: calls.append(piece) or merge(piece)
+    enc.encode(pa.array(["Word. word, WORD!! word"]))
+    assert sorted(calls) == sorted(x + tokens.END for x in (b"word", b".", b",", b"!!"))
+
+
 def test_packing(docs, doc_rows, no_docs):
     full = Tokenizer.from_file(VOCABULARY)
     size = 64
